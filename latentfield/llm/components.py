@@ -1,0 +1,30 @@
+"""Connected components by rounds of contraction, for graphs of any size.
+
+In each round every node of the remaining graph moves to its smallest neighbour's smallest neighbour;
+edges are renamed accordingly, and those inside one node disappear. The rounds grow with the
+logarithm of the graph. Tables are staged between rounds; nothing is collected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged
+
+
+def components(edges: DataFrame, *, name: str = "components", most_rounds: int = 60) -> DataFrame:
+    """From edges (a, b): node and root, the smallest node reachable, for every node that has an edge to another."""
+    between = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = staged(between.distinct(), f"{name}-edges")
+    nodes = staged(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), f"{name}-nodes")
+    for _ in range(most_rounds):
+        if rest.isEmpty():
+            return nodes
+        both = rest.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
+        to = staged(both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("to")), f"{name}-to")
+        jump = staged(to.join(to.select(F.col("u").alias("to"), F.col("to").alias("further")), "to").select("u", F.col("further").alias("to")), f"{name}-jump")
+        nodes = staged(nodes.join(jump.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-nodes")
+        moved = rest.join(jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
+        rest = staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+    raise RuntimeError("components did not settle")
