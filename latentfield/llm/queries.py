@@ -10,7 +10,9 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .mixing import mix
+from .passage_dedup import repeated_documents
 from .piece_codec import round_trip
+from .pseudonyms import found_documents
 from .quality import quality_rules
 from .secret_scan import secret_scan
 from .token_counts import token_counts
@@ -35,6 +37,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_documents(documents(spark, sf_dir))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
@@ -51,6 +57,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_documents(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -61,10 +71,12 @@ QUERIES = {
         op1_sentencepiece_codec,
         op2_language_id,
         op3_source_mixing,
+        op4_passage_dedup,
         op5_jaccard_join,
         op6_embedding_dedup,
         op7_quality_rules,
         op8_secret_scan,
+        op9_pseudonyms,
         op10_token_counts,
     )
 }
