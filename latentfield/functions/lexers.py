@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import identifier_tokens
+from .scalars import identifier_parts, tokens_of
 
 #: Words of many languages that say nothing about what code does; fixed list.
 GENERIC_KEYWORDS = (
@@ -57,9 +57,14 @@ def text_identifiers(text: Column) -> Column:
 
 
 def match_tokens(files: DataFrame, identifiers: Column) -> DataFrame:
-    """(path, space, token) rows of files, for matching signals. Distinct within a file, so no shuffle is needed."""
-    tokens = F.array_distinct(F.flatten(F.transform(identifiers, identifier_tokens)))
-    return files.select("path", F.explode(tokens).alias("t")).select("path", "t.space", "t.token")
+    """(path, space, token) rows of files, for matching signals; no shuffle.
+
+    Identifiers become rows before they are split, so that each is split once, in generated code. Two
+    identifiers of a file may give one token twice, which matching does away with.
+    """
+    ids = files.select("path", F.explode(identifiers).alias("id"))
+    parts = ids.select("path", F.lower("id").alias("full"), identifier_parts(F.col("id")).alias("parts")).where(F.size("parts") > 0)
+    return parts.select("path", F.explode(tokens_of(F.col("full"), F.col("parts"))).alias("t")).select("path", "t.space", "t.token")
 
 
 def text_tokens(files: DataFrame) -> DataFrame:

@@ -81,11 +81,15 @@ def token(space: str, text: Column) -> Column:
     return F.struct(F.lit(space).alias("space"), text.alias("token"))
 
 
+def tokens_of(full: Column, parts: Column) -> Column:
+    """What can match a name with these parts, lower-cased: it and its joined parts as full, each part as part."""
+    return F.array_distinct(F.concat(F.array(token("full", full), token("full", F.array_join(parts, ""))), F.transform(parts, lambda p: token("part", p))))
+
+
 def identifier_tokens(x: Column) -> Column:
-    """SCL8: what an identifier can be matched by: it and its joined words as full, each word as part. None if it has no words."""
+    """SCL8: the tokens of an identifier; none if it has no words."""
     parts = identifier_parts(x)
-    full = F.array(token("full", F.lower(x)), token("full", F.array_join(parts, "")))
-    return F.when(F.size(parts) > 0, F.array_distinct(F.concat(full, F.transform(parts, lambda p: token("part", p))))).otherwise(F.expr("array()").cast("array<struct<space:string,token:string>>"))
+    return F.when(F.size(parts) > 0, tokens_of(F.lower(x), parts)).otherwise(F.expr("array()").cast("array<struct<space:string,token:string>>"))
 
 
 def signal_keys(x: Column) -> Column:
