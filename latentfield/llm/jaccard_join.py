@@ -39,7 +39,7 @@ from .shingles import Bands, linked, overlap, shingle_set, text_words
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
-GROUPS = 64
+GROUPS = 256
 CHUNK = 2048
 LEAF = 32
 
@@ -48,6 +48,15 @@ def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """16 bits a count, or 32 if one needs them."""
+    return point.astype("<u2" if point.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(points: list[bytes], groups: int = GROUPS) -> np.ndarray:
+    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * groups else "<u4").astype(np.int32) for x in points])
+
+
 def least_overlap(n_a, n_b, percent: int = PERCENT):
     """The smallest intersection that links sets of these sizes: 100 i >= percent (a + b - i)."""
     return -(-percent * (n_a + n_b) // (100 + percent))
@@ -90,8 +99,8 @@ class CountTree:
             go = self.may_link(upper[x], low[x], high[x], upper[y], low[y], high[y], percent)
             x, y = x[go], y[go]
             below = len(self.order) if level == 0 else len(self.levels[level - 1][0])
-            for t in range(0, len(x), 64):
-                u, v = x[t : t + 64], y[t : t + 64]
+            for t in range(0, len(x), 16):
+                u, v = x[t : t + 16], y[t : t + 16]
                 grid = np.arange(LEAF)
                 p = np.repeat(u[:, None] * LEAF + grid, LEAF, axis=1).ravel()
                 q = np.tile(v[:, None] * LEAF + grid, (1, LEAF)).ravel()
@@ -121,7 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n[i] = len(s)
                 if len(s):
                     digest[i] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    point[i] = count_vector(s).astype("<i4").tobytes()
+                    point[i] = packed(count_vector(s))
                     keys[i] = bands.keys(s)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -137,11 +146,11 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            if not t.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<i4").reshape(t.num_rows, -1) for c in ("p", "q"))
-            ok = np.minimum(p, q).sum(axis=1) >= least_overlap(p.sum(axis=1), q.sum(axis=1))
-            yield t.select(["a", "b"]).filter(pa.array(ok))
+            for s in range(0, t.num_rows, 1024):
+                u = t.slice(s, 1024)
+                p, q = (unpacked(u.column(c).to_pylist()) for c in ("p", "q"))
+                ok = np.minimum(p, q).sum(axis=1) >= least_overlap(p.sum(axis=1), q.sum(axis=1))
+                yield u.select(["a", "b"]).filter(pa.array(ok))
 
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
@@ -178,9 +187,9 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = staged(banded.join(trees, "key").select("key", "id", "leader", "m"), "join-members")
     involved = members.select("id").distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(involved, "id", "left_semi"), "join-texts")
-    few = staged(points.select("id", "point").join(involved, "id", "left_semi"), "join-points")
+    few = staged(points.select("id", "point", "keys").join(involved, "id", "left_semi"), "join-points")
     to_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tried = staged(bounded(to_leader, few), "join-leaders")
+    tried = staged(bounded(to_leader, few.select("id", "point")), "join-leaders")
     links = staged(verified(tried, texts).distinct(), "join-links")
     roots = components(links, name="join")
     # what the leaders left apart: trees with several components
@@ -192,11 +201,11 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(few, "id")
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "point")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "point", "keys")
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Trees follow each other, sorted; each is joined when its last row is read."""
+        """Trees follow each other, sorted; each is joined when its last row is read. A pair that several trees hold is left to the first of them."""
         pending: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -204,13 +213,15 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if root.min() == root.max():
                 return
             apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-            tree = CountTree(np.frombuffer(b"".join(rows.column("point").to_pylist()), "<i4").reshape(len(ids), -1))
+            keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            band = int((keys[0] == rows.column("key")[0].as_py()).argmax())
+            tree = CountTree(unpacked(rows.column("point").to_pylist()))
             for p, q in tree.pairs():
-                ok = root[p] != root[q]
+                ok = (root[p] != root[q]) & ~(keys[p, :band] == keys[q, :band]).any(axis=1)
                 if apart:
                     ok &= mine[p] != mine[q]
                 p, q = ids[p[ok]], ids[q[ok]]
-                if len(p):
+                if len(p):  # few: most pairs of a tree are united already or out of bounds
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
         for b in batches:
@@ -228,7 +239,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if pending:
             yield from done(pa.Table.from_batches(pending))
 
-    crossed = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "a long, b long").distinct()
+    crossed = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "a long, b long")
     crossed = staged(crossed.join(tried, ["a", "b"], "left_anti"), "join-crossed")
     if not crossed.isEmpty():
         more = staged(verified(crossed, texts).distinct(), "join-more-links")
