@@ -56,14 +56,15 @@ class Binder:
         return self.letters[c]
 
     def parts(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-        """Rows and lower-cased parts of about PART characters together; parts of one text overlap by two characters."""
-        each = ((i, x[s : s + PART + 2]) for i, x in enumerate(texts) for s in range(0, max(len(x) - 2, 1), PART))
+        """Rows and lower-cased parts of about PART characters together. A text has a blank before and after it; its parts overlap by two characters."""
+        padded = (f" {x} " for x in texts)
+        each = ((i, x[s : s + PART + 2]) for i, x in enumerate(padded) for s in range(0, max(len(x) - 2, 1), PART))
         for group in by_size(each, lambda p: len(p[1]) + 20, PART):
             yield [i for i, _ in group], [x.lower() for _, x in group]
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, index and letters of the 3-grams of the texts: (row of each, index of each, letters of each index). Other characters are one blank; 3-grams with two blanks in a row don't count."""
-        data = "\x00\x00".join(texts)
+        """Row, index and letters of the 3-grams of the texts: (row of each, index of each, letters of each index). Other characters are a blank; 3-grams with two blanks in a row, and those over a NUL, which ends a text here, don't count."""
+        data = "\x00".join(texts)
         points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) < 3:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
@@ -74,8 +75,9 @@ class Binder:
         code = np.where(letter, dense[np.minimum(points, len(dense) - 1)], 0)
         k = len(alphabet) + 1
         a, b, c = code[:-2], code[1:-1], code[2:]
-        good = ~((b == 0) & ((a == 0) | (c == 0)))
-        starts = np.cumsum([0] + [len(x) + 2 for x in texts[:-1]])
+        end = points == 0
+        good = ~((b == 0) & ((a == 0) | (c == 0)) | end[:-2] | end[1:-1] | end[2:])
+        starts = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
         at = np.flatnonzero(good)
         row = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(points))))[at]
         key = (a[at] * k + b[at]) * k + c[at]
