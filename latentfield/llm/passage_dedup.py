@@ -1,8 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
 Repeated passages sit anywhere in a text, so its paragraphs are found by content, not by line ends: of each
-run of WINDOW consecutive SPAN-word windows the one with the smallest hash is a paragraph. Any passage of
-SPAN + WINDOW - 1 = 50 words or more holds at least one, the same one wherever it stands.
+run of WINDOW words the one where the smallest hash of ANCHOR words stands begins a paragraph of SPAN
+words. Any passage of SPAN + WINDOW - 1 = 50 words or more holds at least one, the same one wherever it
+stands; a changed word moves only the anchors that it is part of.
 
 Equal paragraphs are one class. Classes are banded by min-hashes of their 5-word shingles, with as
 many bands as the wanted recall at the threshold needs; those that collide are verified by exact
@@ -30,6 +31,7 @@ from .shingles import Bands, linked, mixed, overlap, text_words
 
 SPAN = 16
 WINDOW = 35
+ANCHOR = 3
 WIDTH = 5
 PERCENT = 80
 CHUNK = 512
@@ -74,9 +76,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             found: list[tuple[np.ndarray, ...]] = []
             for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
                 grams = rolled(words, SPAN)
-                at = paragraph_starts(grams)
-                if not len(at):
+                if not len(grams):
                     continue
+                at = paragraph_starts(rolled(words, ANCHOR)[: len(grams)])
                 sets = np.lib.stride_tricks.sliding_window_view(rolled(words, WIDTH), SPAN - WIDTH + 1)[at]
                 least = np.stack([((sets ^ y) * x).min(axis=1) for x, y in zip(hashes.a, hashes.b)])
                 keys = mixed(mixed(numbers * np.uint64(0xD6E8FEB86659FD93) + mixed(least[::2])) + mixed(least[1::2]))
