@@ -13,7 +13,7 @@ import re
 import tokenize
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scalars import identifier_parts, tokens_of
@@ -448,3 +448,33 @@ def lexed(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "ext", "text").mapInArrow(run, LEXED)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes lexers table functions of SQL: lex_tokens(text, ext) and lex_declarations(text, ext)."""
+
+    class Tokens:
+        def eval(self, text: str, ext: str):
+            seen = set()
+            for name in identifiers(text or "", ext or ""):
+                parts = python_parts(name)
+                if parts:
+                    seen |= {("full", name.lower()), ("full", "".join(parts)), *(("part", p) for p in parts)}
+            yield from sorted(seen)
+
+    class Declarations:
+        def eval(self, text: str, ext: str):
+            if ext in SCRIPT:
+                yield from script_declarations(text or "")
+            else:
+                yield from ((name, []) for name in definitions(text or "", ext or ""))
+
+    spark.udtf.register("lex_tokens", F.udtf(Tokens, returnType="space string, token string"))
+    spark.udtf.register("lex_declarations", F.udtf(Declarations, returnType="name string, refs array<string>"))
+
+
+def python_parts(name: str) -> list[str]:
+    """The words of an identifier as the columns of scalars.py split it."""
+    apart = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z0-9])([A-Z])", r"\1 \2", name))
+    words = [w for w in re.split("[^a-z0-9]+", apart.lower()) if w]
+    return [w[:-1] if len(w) > 4 and w.endswith("s") and not w.endswith("ss") else w for w in words]

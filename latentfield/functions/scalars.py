@@ -73,8 +73,12 @@ def singular(x: Column) -> Column:
     return F.when((F.length(x) > 4) & x.endswith("s") & ~x.endswith("ss"), F.substring(x, 1, F.length(x) - 1)).otherwise(x)
 
 
+#: Identifiers of one word, as most are; they need no splitting.
+ONE_WORD = "^[A-Z]?[a-z0-9]+$"
+
+
 def identifier_parts(x: Column) -> Column:
-    return F.transform(split_identifier(x), singular)
+    return F.when(x.rlike(ONE_WORD), F.array(singular(F.lower(x)))).otherwise(F.transform(split_identifier(x), singular))
 
 
 def token(space: str, text: Column) -> Column:
@@ -83,7 +87,10 @@ def token(space: str, text: Column) -> Column:
 
 def tokens_of(full: Column, parts: Column) -> Column:
     """What can match a name with these parts, lower-cased: it and its joined parts as full, each part as part."""
-    return F.array_distinct(F.concat(F.array(token("full", full), token("full", F.array_join(parts, ""))), F.transform(parts, lambda p: token("part", p))))
+    first = F.element_at(parts, 1)
+    one = F.array(token("full", full), token("full", first), token("part", first))
+    more = F.array_distinct(F.concat(F.array(token("full", full), token("full", F.array_join(parts, ""))), F.transform(parts, lambda p: token("part", p))))
+    return F.when(F.size(parts) == 1, one).otherwise(more)
 
 
 def identifier_tokens(x: Column) -> Column:

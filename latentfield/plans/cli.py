@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.presentation import printed_designs
 from ..sources.inputs import as_json, write_report
 from . import pipelines
 
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
                     show(found.where(role), SHOWN["map"], 12 if role == "is_isolated" and not a.top else top)
         elif a.command == "reflect":
             found = pipelines.reflect(spark, a.repo, a.data, a.level)
-            emit(found) if a.json else show(found, None, top)
+            emit(found) if a.json else show(printed_designs(found) if a.level == 3 else found, None, top)
         elif a.command == "serve":
             from .server import serve
 

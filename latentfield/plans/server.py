@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.presentation import quadrant, stability_cards
 from ..sources.inputs import as_json
 from . import pipelines
 
@@ -38,7 +39,9 @@ def answer(spark: SparkSession, root: str, data: str, path: str) -> object | Non
         return rows(pipelines.discover(spark, root, data))
     if path == "/api/reflect":
         two, three = pipelines.reflection(spark, root, data)
-        return {"level2": rows(two), "level3": rows(three)}
+        return {"level2": rows(two), "level3": rows(three), "cards": rows(stability_cards(two, three))}
+    if path == "/api/quadrant":
+        return rows(quadrant(pipelines.scan(spark, root, data)))
     return None
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexers import text_tokens
 from ..operators.readings import config
+from ..plans.staging import spread
 
 #: So many keys take events and use.
 KEYS = 40
@@ -40,7 +41,7 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("path"), "text")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +87,12 @@ def half(events: DataFrame, later: bool) -> DataFrame:
     middle = F.lit("2024-01-16").cast("date")
     day: Column = F.to_date("ts")
     return events.where(day >= middle if later else day < middle)
+
+
+MODEL = {"capabilities": capabilities, "files": files, "tokens": tokens, "corrections": corrections, "usage": usage, "supplier_links": supplier_links}
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """The model's tables as temporary views, for SQL."""
+    for name, view in MODEL.items():
+        view(spark, sf_dir).createOrReplaceTempView(name)

@@ -234,6 +234,31 @@ def test_import_resolution_order(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {("src/a.ts", "src/b.js"), ("src/a.ts", "src/c/index.ts"), ("p/m.py", "p/n/__init__.py")}
 
 
+def test_lexers_and_views_in_sql(spark, sf):
+    from latentfield.sources import views
+
+    lexers.register(spark)
+    got = {tuple(r) for r in spark.sql("SELECT * FROM lex_tokens('const ownerIds = HTTPServer2x', '.ts')").collect()}
+    want = spark.range(1).select(F.explode(F.concat(S.identifier_tokens(F.lit("ownerIds")), S.identifier_tokens(F.lit("HTTPServer2x")))).alias("t")).select("t.*").collect()
+    assert got == {tuple(r) for r in want}
+    assert spark.sql("SELECT name FROM lex_declarations('def a(): pass', '.py')").first().name == "a"
+    views.register(spark, sf)
+    assert spark.sql("SELECT count(DISTINCT capability) AS n FROM corrections JOIN capabilities ON capability = id").first().n > 0
+
+
+def test_presentation(spark):
+    from latentfield.operators import presentation as P
+
+    e = "named_struct('correction_count', 2L, 'arrow_share', double(0.75)) AS evidence"
+    rows = spark.sql(f"SELECT * FROM VALUES ('a', 'A', 0.3, 0.5, true, 'low-signal'), ('b', 'B', NULL, 0.5, false, 'low-signal'), ('c', 'C', 0.8, 0.001, true, 'low-signal') AS t(capability, label, integration_distance, score, known, category)").selectExpr("*", e)
+    assert [(r.capability, r.side) for r in P.quadrant(rows).collect()] == [("a", "ripe")]
+    assert [(r.distance, r.unverified, r.heat_percent) for r in P.badges(rows).collect()] == [("RIPE", False, 25), (None, True, 25), ("DEEP", False, 25)]
+    two = spark.sql("SELECT * FROM VALUES ('a', 0.5, 0.7, 'hi'), ('b', 0.0, 0.0, 'lo'), ('c', 0.0, 0.99, 'lo') AS t(capability, baseline_cp, candidate_share, knob)")
+    three = spark.sql("SELECT 'a' AS capability, 0.1 AS min_share, 0.9 AS max_share, 0.7 AS l2_share, false AS class_converges, 0.5 AS baseline_cp")
+    assert {(r.capability, r.knob) for r in P.stability_cards(two, three).collect()} == {("a", "hi"), ("c", None)}
+    assert P.printed_designs(three).count() == 1
+
+
 def test_malformed_inputs_are_empty(spark, tmp_path):
     for k, text in enumerate(('[{"id": "a"', '{"id": "a"}', "")):
         (tmp_path / f"{k}").mkdir()
