@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts at exactly these.
@@ -63,3 +65,15 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def small(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about limit bytes of the column's text, so that a worker's memory doesn't follow the size of Spark's batches."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        part = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            yield b.slice(s, e - s)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_bytes
+from .common import small, staged, text_bytes
 from .components import components
 from .shingles import Bands, linked, overlap, shingle_set, text_words
 
@@ -40,7 +40,7 @@ WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 GROUPS = 256
-CHUNK = 2048
+CHUNK = 512
 LEAF = 32
 
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(BANDS, ROWS)
-        for b in batches:
+        for b in small(batches, "text"):
             texts = [x.lower() for x in text_bytes(b.column("text"))]
             n, digest, point, keys = ([None] * len(texts) for _ in range(4))
             for i, words in text_words(texts):

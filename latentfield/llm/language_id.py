@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, small
 
 DIMENSIONS = 1024
 PART = 1 << 18
@@ -143,7 +143,7 @@ def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binder, sums = None, defaultdict(lambda: np.zeros(dimensions, np.int64))
-        for b in batches:
+        for b in small(batches, "text"):
             binder = binder or Binder(dimensions, seed)
             texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
             names = sorted(set(langs))
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binder = None
-        for b in batches:
+        for b in small(batches, "text"):
             binder = binder or Binder(profiles.dimensions, profiles.seed)
             texts = [x or "" for x in b.column("text").to_pylist()]
             langs, scores = [], []

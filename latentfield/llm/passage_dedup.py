@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_bytes
+from .common import small, staged, text_bytes
 from .components import components
 from .shingles import Bands, linked, mixed, overlap, text_words
 
@@ -71,7 +71,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Bands(bands, 2)
         numbers = np.arange(bands, dtype=np.uint64)[:, None]
-        for b in batches:
+        for b in small(batches, "text"):
             ids = b.column("doc_id").to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
             for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
@@ -104,7 +104,7 @@ def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, "text"):
             at = b.column("at").to_pylist()
             classes, sets = [], []
             for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):

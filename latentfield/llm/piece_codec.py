@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size
+from .common import by_size, small
 
 SPACE = "▁"
 LONG = 40
 BIG = np.int64(1 << 40)
 M64 = (1 << 64) - 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -276,7 +276,7 @@ def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for b in batches:
+        for b in small(batches, len(keep)):
             codec = codec or Codec(path, dropout=dropout, seed=seed, variants=variants)
             texts, keys = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
             start = 0
@@ -313,7 +313,7 @@ def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for b in batches:
+        for b in small(batches, "text"):
             codec = codec or Codec(path, dropout=dropout, seed=seed, variants=variants)
             texts, keys = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             rows = []

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 ROUNDS = 8
 KEY = b"demonstration key; give your own"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
@@ -217,7 +219,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, *, back: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for b in batches:
+        for b in small(batches, at):
             cols = list(b.columns)
             cols[at] = pa.array([replaced(x, finds(f, x, back)) if x else x for x in cols[at].to_pylist()], b.schema.types[at])
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
@@ -230,7 +232,7 @@ def found_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for b in batches:
+        for b in small(batches, "text"):
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if text and (found := finds(f, text)):

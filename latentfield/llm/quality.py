@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small, text_bytes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -88,7 +88,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of every row; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, "text"):
             found = [statistics(x) for x in text_bytes(b.column("text"))]
             cols = list(zip(*found)) if found else [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays(
@@ -231,7 +231,7 @@ def passing(docs: DataFrame, model: Trees, *, least_probability: float = 0.3) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, at):
             found = [statistics(x) for x in text_bytes(b.column(at))]
             x = np.array([f[5] for f in found], dtype=float).reshape(len(found), len(FEATURES))
             s = np.concatenate([model.scores(x[i : i + 1000]) for i in range(0, len(found), 1000)] or [np.zeros(0)])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Fixed by the contract of the scan: kinds in their order, with patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -192,7 +194,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """One row for each document with counts, the digest of the base spans and all spans; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, "text"):
             rows = []
             for text in b.column("text").to_pylist():
                 base, more = scan(text or "")
@@ -211,7 +213,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, at):
             texts = b.column(at).to_pylist()
             new = [redacted(x) if x else x for x in texts]
             cols = list(b.columns)

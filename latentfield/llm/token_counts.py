@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, small
 
 LIMIT = 512
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk_chars:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
-        for b in batches:
+        for b in small(batches, "text"):
             counter = counter or Counter(path, chunk_chars, overlap_chars)
             texts = [x or "" for x in b.column("text").to_pylist()]
             n = counter.counts(texts)
