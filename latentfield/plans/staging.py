@@ -26,7 +26,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: A table of up to so many bytes may be one row group, which one task would read and work on alone.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt out evenly if it is read from fewer files than there are cores; a table of many files is left as it is."""
+    """A small table dealt out evenly if it has fewer files than there are cores; a larger one is left as it is, since its splits are enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
