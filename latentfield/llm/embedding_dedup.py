@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import staged
-from .components import components
 
 RUN = 256
 CHUNK = 1024

@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import small, staged, text_bytes
-from .components import components
 from .shingles import Bands, linked, overlap, shingle_set, text_words
 
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 GROUPS = 256
-CHUNK = 512
+CHUNK = 256
 LEAF = 32
 
 
