@@ -33,5 +33,5 @@ SMALL = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt out evenly if it has fewer files than there are cores; a larger one is left as it is, since its splits are enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
