@@ -172,6 +172,10 @@ e AS (SELECT cell, f, n, 2 * x + a AS u, 2 * y + b AS v FROM c, (VALUES (1, 0),
 p AS (SELECT cell, CASE f // 2 WHEN 0 THEN [(f % 2) * 2 * n, u, v] WHEN 1 THEN [u, (f % 2) * 2 * n, v] ELSE [u, v, (f % 2) * 2 * n] END AS at FROM e),
 near AS (SELECT DISTINCT a.cell, b.cell AS near FROM p a JOIN p b ON a.at = b.at WHERE a.cell <> b.cell) SELECT cell, count(*) AS n_near, sum(near)::BIGINT AS sum_near FROM near GROUP BY cell"""
 
+SCRIPTS = "parts AS (SELECT p_partkey AS k, (p_partkey * 7 + 3) % 100 AS o FROM part), both_ways AS (SELECT k AS a, o AS b FROM parts WHERE o IN (SELECT k FROM parts) AND o <> k), edges AS (SELECT a, b FROM both_ways UNION SELECT b, a FROM both_ways)"
+MODULES = """m AS (SELECT p_partkey AS k, p_size // 10 + 1 AS n_defs FROM part), l AS (SELECT DISTINCT k, t FROM (SELECT k, k % 10 AS t FROM m UNION ALL SELECT k, k % 3 FROM m) WHERE t <> k AND t IN (SELECT k FROM m)),
+d AS (SELECT 'pkg.m' || k AS module, n_defs, (SELECT count(*) FROM l WHERE l.t = m.k) AS in_degree, (SELECT count(*) FROM l WHERE l.k = m.k) AS out_degree FROM m)"""
+
 SQL = {
     "readings": f"{READINGS} SELECT {SHOWN} FROM rd",
     "signal_kind_join": f"WITH {EVENTS} SELECT kind, count(*) AS n, sum(tenths) / 10.0::DOUBLE AS weight, count(*) FILTER (arrow) AS n_arrows FROM ev GROUP BY kind",
@@ -215,4 +219,10 @@ SQL = {
     "wave": f"WITH RECURSIVE {board(40)}, walk AS (SELECT (n_nationkey * 61 % 1600)::BIGINT AS cell, 0 AS step FROM nation UNION SELECT near, step + 1 FROM walk JOIN near USING (cell) WHERE step < 6) SELECT cell::INT AS cell, min(step) AS step FROM walk GROUP BY cell",
     "cube_surface": CUBE,
     "stream_demand": f"WITH {EVENTS}, {demand()} SELECT capability, \"count\", demand, {r('arrow_share', 6)} AS arrow_share, {r('coherence', 6)} AS coherence, direction_known FROM dem",
+    "json_inputs": f"WITH {SIG} SELECT ord::INT AS ord, capability AS id, 'item ' || capability AS label, (SELECT string_agg(signal, ',' ORDER BY length(signal) DESC, signal) FROM sig s WHERE s.ord = caps.ord) AS signals FROM caps",
+    "baseline_round_trip": f"{READINGS} SELECT capability, 0.0::DOUBLE AS d_collapse_potential, 0.0::DOUBLE AS d_correction, 0.0::DOUBLE AS d_utilization, 'stable' AS verdict FROM rd",
+    "script_lexer": f"WITH {SCRIPTS} SELECT 'src/part' || k || '.ts' AS path, array_to_string(list_sort(list_distinct(['makePart' || k, 'makePart' || o, 'size', 'name', 'length'])), ',') AS identifiers, array_to_string(list_sort(['makePart' || k, 'name']), ',') AS declared, './part' || o || '.js' AS imported FROM parts",
+    "import_graph": f"WITH {SCRIPTS} SELECT 'src/part' || a || '.ts' AS src, 'src/part' || b || '.ts' AS dst FROM edges",
+    "symbol_graph": f"WITH {SCRIPTS} SELECT 'makepart' || a AS src, 'makepart' || b AS dst FROM edges UNION SELECT 'makepart' || k, 'name' FROM parts UNION SELECT 'name', 'makepart' || k FROM parts",
+    "module_map": f"WITH {MODULES} SELECT module, n_defs, in_degree, out_degree, in_degree >= 2 AS is_foundation, in_degree = 0 AND out_degree >= 2 AND n_defs > 0 AS is_surface, n_defs >= 5 AND in_degree <= 1 AND out_degree <= 1 AS is_rich, in_degree = 0 AND out_degree = 0 AND n_defs > 0 AS is_isolated FROM d",
 }

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexers
 from ..functions import scalars as S
 from ..functions.lexers import import_specs, text_identifiers
-from ..operators import changes, fields, graphs, modules, proposals, puzzles, sweeps
+from ..operators import changes, fields, graphs, modules, proposals, puzzles, sweeps, symbols
 from ..operators.readings import evidence, ranked, readings
+from ..sources import inputs
 from ..sources import views as V
 from ..streaming import demand_stream
 from .staging import shared_dir, staged
@@ -234,6 +236,51 @@ def stream_demand(spark: SparkSession, sf: str) -> DataFrame:
     return demand_stream.demand_so_far(spark, f"{at}/sums").select("capability", "count", "demand", S.rounded(F.col("arrow_share"), 6).alias("arrow_share"), S.rounded(F.col("coherence"), 6).alias("coherence"), "direction_known")
 
 
+def json_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Capabilities written as one JSON array and read again with their order."""
+    at = f"{shared_dir(spark)}/inputs-{uuid.uuid4().hex}/capabilities.json"
+    caps = V.capabilities(spark, sf).select(F.struct("ord", "id", "label", "signals").alias("r"))
+    ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["id"].alias("id"), r["label"].alias("label"), r["signals"].alias("signals")))
+    caps.agg(F.to_json(ordered).alias("value")).coalesce(1).write.text(at)
+    return inputs.json_rows(spark, at, inputs.CAPABILITIES).select("ord", "id", "label", F.array_join("signals", ",").alias("signals"))
+
+
+def baseline_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings saved as a baseline and compared with themselves."""
+    at = f"{shared_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    now = staged(view_readings(spark, sf), "readings")
+    inputs.write_baseline(now, at)
+    return changes.compared(inputs.read_baseline(spark, at), now)
+
+
+def script_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A script for each part: it imports another part's, and its function calls that one's."""
+    other = (F.col("p_partkey") * 7 + 3) % 100
+    text = F.format_string("// part %1$d\nimport { makePart%2$d } from './part%2$d.js';\nexport function makePart%1$d(size: number) {\n  const name = `${size} of %3$s`;\n  return makePart%2$d(name.length);\n}\n", "p_partkey", other, "p_type")
+    return V.table(spark, sf, "part").select(F.format_string("src/part%d.ts", "p_partkey").alias("path"), F.lit(".ts").alias("ext"), text.alias("text"))
+
+
+def script_lexer(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexers.lexed(script_files(spark, sf))
+    return found.select("path", F.array_join(F.array_sort("identifiers"), ",").alias("identifiers"), F.array_join(F.array_sort(F.transform("declarations", lambda d: d["name"])), ",").alias("declared"), F.array_join(F.transform("imports", lambda i: i["spec"]), ",").alias("imported"))
+
+
+def import_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.import_graph(lexers.lexed(script_files(spark, sf)))
+
+
+def symbol_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return symbols.symbol_graph(lexers.lexed(script_files(spark, sf)))
+
+
+def module_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules that import one of ten others, and define as many functions as their size in tens."""
+    defs = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("p_size") / 10).cast("int")), lambda i: F.concat(F.lit("def f"), i.cast("string"), F.lit("(): pass"))), "\n")
+    head = F.format_string("from .m%d import x\nimport pkg.m%d\n", F.col("p_partkey") % 10, F.col("p_partkey") % 3)
+    files = V.table(spark, sf, "part").select(F.format_string("pkg/m%d.py", "p_partkey").alias("path"), F.lit(".py").alias("ext"), F.concat(head, defs).alias("text"))
+    return modules.roles(modules.module_map(lexers.lexed(files))).select("module", "n_defs", "in_degree", "out_degree", "is_foundation", "is_surface", "is_rich", "is_isolated")
+
+
 QUERIES = {
     "readings": readings_query,
     **{
@@ -243,6 +290,7 @@ QUERIES = {
             signal_match, capacity_field, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover,
             set_overlap, bfs_hops, mean_distance, integration_label, degree, sweep_l2, sensitivity, sweep_l3, compare_verdict, module_filters,
             python_imports, test_files, stencil, puzzle_solution, wave, cube_surface, stream_demand,
+            json_inputs, baseline_round_trip, script_lexer, import_graph, symbol_graph, module_map,
         )
     },
 }

@@ -246,6 +246,16 @@ def test_lexers_and_views_in_sql(spark, sf):
     assert spark.sql("SELECT count(DISTINCT capability) AS n FROM corrections JOIN capabilities ON capability = id").first().n > 0
 
 
+def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path):
+    from latentfield.plans import staging
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan(staging.spread(spark.read.parquet(str(tmp_path / "one"))))
+    assert "Exchange" not in plan(staging.spread(spark.read.parquet(str(tmp_path / "many"))))
+
+
 def test_presentation(spark):
     from latentfield.operators import presentation as P
 
