@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.staging import shared_dir, spread, staged
 
-__all__ = ["WORD", "WORD_RE", "by_size", "documents", "shared_dir", "small", "spread", "staged", "text_bytes"]
+__all__ = ["WORD", "WORD_RE", "by_size", "documents", "in_parts", "shared_dir", "small", "spread", "staged", "text_bytes"]
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,20 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_parts(df: DataFrame) -> DataFrame:
+    """df, after making its session send at most BATCH_BYTES of rows (or one row) at once to Python workers; a lower setting stays."""
+    conf = df.sparkSession.conf
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(BATCH_SETTING))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df
+
+
 def small(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about limit bytes of the column's text, so that a worker's memory doesn't follow the size of Spark's batches."""
     for b in batches:

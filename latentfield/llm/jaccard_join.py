@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import small, staged, text_bytes
+from .common import in_parts, small, staged, text_bytes
 from .shingles import Bands, linked, overlap, shingle_set, text_words
 
 WIDTH = 5
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "class", "point", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary, keys array<long>")
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary, keys array<long>")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:

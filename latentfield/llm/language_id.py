@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, small
+from .common import by_size, in_parts, small
 
 DIMENSIONS = 1024
 PART = 1 << 18
@@ -159,7 +159,7 @@ def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sums[x].tolist() for x in names], pa.list_(pa.int64()))], names=["lang", "v"])
 
     rows = (
-        labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+        in_parts(labelled).where("text IS NOT NULL AND lang IS NOT NULL")
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .mapInArrow(run, "lang string, v array<long>")
         .select("lang", F.posexplode("v").alias("i", "x"))
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 scores += got[1].tolist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), is_held_out().alias("held_out")).select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), is_held_out().alias("held_out")).select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
 def language_id(docs: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size, small
+from .common import by_size, in_parts, small
 
 SPACE = "▁"
 LONG = 40
@@ -290,7 +290,7 @@ def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
                 yield pa.RecordBatch.from_arrays([*cols, ids], names=[*(f.name for f in fields), "piece_ids"])
 
     schema = T.StructType([*fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), F.col(key).cast("long").alias("__key")).mapInArrow(run, schema)
+    return in_parts(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), F.col(key).cast("long").alias("__key")).mapInArrow(run, schema)
 
 
 def with_text(encoded: DataFrame, path: str) -> DataFrame:
@@ -305,7 +305,7 @@ def with_text(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("text", T.StringType())])
-    return encoded.select(*(F.col(f"`{c}`") for c in keep), "piece_ids").mapInArrow(run, schema)
+    return in_parts(encoded).select(*(F.col(f"`{c}`") for c in keep), "piece_ids").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
@@ -324,4 +324,4 @@ def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
             cols = list(zip(*rows)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_())))], names=["doc_id", "n_pieces", "ids_crc", "lossless"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc long, lossless boolean")
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc long, lossless boolean")

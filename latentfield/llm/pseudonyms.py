@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import in_parts, small
 
 ROUNDS = 8
 KEY = b"demonstration key; give your own"
@@ -224,7 +224,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, *, back: bool = False) -> D
             cols[at] = pa.array([replaced(x, finds(f, x, back)) if x else x for x in cols[at].to_pylist()], b.schema.types[at])
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_parts(docs).mapInArrow(run, docs.schema)
 
 
 def found_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -240,4 +240,4 @@ def found_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_found", "spans", "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_found long, spans string, text_sha256 string")
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_found long, spans string, text_sha256 string")

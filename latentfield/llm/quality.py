@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, text_bytes
+from .common import in_parts, small, text_bytes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -96,7 +96,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "features"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 @dataclass
@@ -238,7 +238,7 @@ def passing(docs: DataFrame, model: Trees, *, least_probability: float = 0.3) ->
             keep = [f[0] >= MIN_WORDS and 100 * f[4] <= MAX_REPEAT_PERCENT * f[0] and v >= margin for f, v in zip(found, s)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_parts(docs).mapInArrow(run, docs.schema)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

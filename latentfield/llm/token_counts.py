@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, small
+from .common import by_size, in_parts, small
 
 LIMIT = 512
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -108,4 +108,4 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk_chars:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
