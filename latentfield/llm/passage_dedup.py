@@ -8,7 +8,7 @@ stands; a changed word moves only the anchors that it is part of.
 Equal paragraphs are one class. Classes are banded by min-hashes of their 5-word shingles, with as
 many bands as the wanted recall at the threshold needs; those that collide are verified by exact
 Jaccard similarity, and linked classes are united to components. A component that stands in several
-documents is a repeat: its first occurrence stays, the others are removals.
+documents is a repeat: it stays in the first of them, in the others it is a removal.
 
 Defined cases: null and empty texts and texts of fewer than SPAN words have no paragraphs and no
 rows, as have rows with a null doc_id; rows that repeat a doc_id count as one document; repeats inside one document
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import small, staged, text_bytes
+from .common import in_parts, small, staged, text_bytes
 from .shingles import Bands, linked, mixed, overlap, text_words
 
 SPAN = 16
@@ -89,7 +89,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             if found:
                 yield batch(found, bands)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start int, class long, keys array<long>")
+    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start int, class long, keys array<long>")
 
 
 def batch(found: list[tuple[np.ndarray, ...]], bands: int) -> pa.RecordBatch:
@@ -160,23 +160,27 @@ def block_links(t: pa.Table) -> pa.Table:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Each paragraph that repeats across documents: doc_id, start (word number), component, first_doc_id and removed (false for the component's first occurrence)."""
+    """Each paragraph that repeats across documents: doc_id, start (word number), component, first_doc_id and removed (false in the component's first document)."""
     found = staged(paragraphs(docs), "passage-paragraphs")
+    # keys are the same in all rows of a class; as numbers of their own they are aggregated by hash, without a sort
+    keys = [f"key{i}" for i in range(tuned_bands())]
     classes = staged(
-        found.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"), F.first("keys").alias("keys")),
+        found.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))),
         "passage-classes",
     )
     # classes that share a band; each is verified against the band's first class
-    banded = classes.select("class", F.explode("keys").alias("key"))
+    banded = classes.select("class", F.explode(F.array(*keys)).alias("key"))
     shared = staged(banded.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("other")).where("lead < other").select("key", "lead"), "passage-bands")
-    pairs = staged(banded.join(shared, "key").where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
-    near = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = classes.join(near, "class").select("class", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"))
+    banded = staged(banded.join(shared, "key").select("key", "class", "lead"), "passage-banded")
+    pairs = staged(banded.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
+    near = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "passage-near")
+    at = found.select("class", "doc_id", "start").join(near, "class").join(classes.select("class", F.col("first_doc_id").alias("doc_id")), ["class", "doc_id"])
+    wanted = at.groupBy("class", "doc_id").agg(F.min("start").alias("start"))
     sets = staged(shingle_rows(wanted, docs), "passage-shingles")
     links = staged(verified(pairs, sets), "passage-links")
     roots = components(links, name="passage")
     # bands that still hold several components are compared whole, in blocks
-    placed = staged(banded.join(shared.select("key"), "key").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "passage-placed")
+    placed = staged(banded.select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "passage-placed")
     apart = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "passage-apart")
     blocks = (
         placed.join(apart, "key")
@@ -188,17 +192,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     more = staged(blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long").distinct(), "passage-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), name="passage")
-    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("component"), "first", "last_doc")
-    named = staged(named, "passage-named")
-    repeats = (
-        named.groupBy("component")
-        .agg(F.min("first").alias("head"), F.max("last_doc").alias("last_doc"))
-        .where("head.doc_id < last_doc")
-    )
-    members = staged(named.select("class", "component").join(repeats, "component").select("class", "component", "head"), "passage-members")
-    return found.select("doc_id", "start", "class").join(members, "class").select(
-        "doc_id", "start", "component", F.col("head.doc_id").alias("first_doc_id"), ((F.col("doc_id") != F.col("head.doc_id")) | (F.col("start") != F.col("head.start"))).alias("removed")
+    named = staged(
+        classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("component"), "first_doc_id", "last_doc_id"),
+        "passage-named",
     )
+    repeats = named.groupBy("component").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
+    members = staged(named.select("class", "component").join(repeats, "component"), "passage-members")
+    return found.select("doc_id", "start", "class").join(members, "class").select("doc_id", "start", "component", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
 
 
 def repeated_documents(docs: DataFrame) -> DataFrame:
