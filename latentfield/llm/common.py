@@ -10,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.staging import shared_dir, spread, staged
+from ..plans.staging import discard, shared_dir, spread, staged
 
-__all__ = ["WORD", "WORD_RE", "by_size", "documents", "in_parts", "shared_dir", "small", "spread", "staged", "text_bytes"]
+__all__ = ["WORD", "WORD_RE", "by_size", "discard", "documents", "in_parts", "shared_dir", "small", "spread", "staged", "text_bytes"]
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"

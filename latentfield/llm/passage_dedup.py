@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import in_parts, small, staged, text_bytes
+from .common import discard, in_parts, small, staged, text_bytes
 from .shingles import Bands, linked, mixed, overlap, text_words
 
 SPAN = 16
@@ -161,17 +161,22 @@ def block_links(t: pa.Table) -> pa.Table:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """Each paragraph that repeats across documents: doc_id, start (word number), component, first_doc_id and removed (false in the component's first document)."""
-    found = staged(paragraphs(docs), "passage-paragraphs")
+    wide = staged(paragraphs(docs), "passage-paragraphs")
     # keys are the same in all rows of a class; as numbers of their own they are aggregated by hash, without a sort
     keys = [f"key{i}" for i in range(tuned_bands())]
-    classes = staged(
-        found.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))),
-        "passage-classes",
+    wide_classes = staged(
+        wide.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))),
+        "passage-wide-classes",
     )
+    # the keys aren't needed again beyond the bands; without them both tables take less than half the disk
+    found = staged(wide.select("doc_id", "start", "class"), "passage-found")
+    discard(wide)
     # classes that share a band; each is verified against the band's first class
-    banded = classes.select("class", F.explode(F.array(*keys)).alias("key"))
+    banded = wide_classes.select("class", F.explode(F.array(*keys)).alias("key"))
     shared = staged(banded.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("other")).where("lead < other").select("key", "lead"), "passage-bands")
     banded = staged(banded.join(shared, "key").select("key", "class", "lead"), "passage-banded")
+    classes = staged(wide_classes.select("class", "first_doc_id", "last_doc_id"), "passage-classes")
+    discard(wide_classes)
     pairs = staged(banded.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
     near = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "passage-near")
     at = found.select("class", "doc_id", "start").join(near, "class").join(classes.select("class", F.col("first_doc_id").alias("doc_id")), ["class", "doc_id"])
