@@ -8,7 +8,9 @@ stands; a changed word moves only the anchors that it is part of.
 Equal paragraphs are one class. Classes are banded by min-hashes of their 5-word shingles, with as
 many bands as the wanted recall at the threshold needs; those that collide are verified by exact
 Jaccard similarity, and linked classes are united to components. A component that stands in several
-documents is a repeat: it stays in the first of them, in the others it is a removal.
+documents is a repeat: it stays in the first of them, in the others it is a removal. Paragraphs only find the
+matches: each is compared with the first document that holds it and grows to both sides over all words that agree;
+spans that touch are one. deduplicated() gives the texts without these spans.
 
 Defined cases: null and empty texts and texts of fewer than SPAN words have no paragraphs and no
 rows, as have rows with a null doc_id; rows that repeat a doc_id count as one document; repeats inside one document
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from .common import discard, in_parts, small, staged, text_bytes
-from .shingles import Bands, linked, mixed, overlap, text_words
+from .shingles import Bands, linked, mixed, overlap, pieces, text_words, word_hashes
 
 SPAN = 16
 WINDOW = 35
@@ -65,7 +67,7 @@ def paragraph_starts(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (word number), class (hash of the words) and band keys of each paragraph."""
+    """doc_id, start (word number), n (words), class (hash of the words) and band keys of each paragraph."""
     bands = tuned_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,20 +84,20 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 sets = np.lib.stride_tricks.sliding_window_view(rolled(words, WIDTH), SPAN - WIDTH + 1)[at]
                 least = np.stack([((sets ^ y) * x).min(axis=1) for x, y in zip(hashes.a, hashes.b)])
                 keys = mixed(mixed(numbers * np.uint64(0xD6E8FEB86659FD93) + mixed(least[::2])) + mixed(least[1::2]))
-                found.append((np.full(len(at), ids[i]), at, grams[at].view(np.int64), keys.T.copy().view(np.int64)))
+                found.append((np.full(len(at), ids[i]), at, np.full(len(at), SPAN), grams[at].view(np.int64), keys.T.copy().view(np.int64)))
                 if sum(len(f[1]) for f in found[-64:]) > 50_000:
                     yield batch(found, bands)
                     found = []
             if found:
                 yield batch(found, bands)
 
-    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start int, class long, keys array<long>")
+    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start int, n int, class long, keys array<long>")
 
 
 def batch(found: list[tuple[np.ndarray, ...]], bands: int) -> pa.RecordBatch:
-    ids, at, classes, keys = (np.concatenate(x) for x in zip(*found))
+    ids, at, n, classes, keys = (np.concatenate(x) for x in zip(*found))
     offsets = np.arange(0, bands * len(ids) + 1, bands, dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["doc_id", "start", "class", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["doc_id", "start", "n", "class", "keys"])
 
 
 def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -159,8 +161,11 @@ def block_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Each paragraph that repeats across documents: doc_id, start (word number), component, first_doc_id and removed (false in the component's first document)."""
+def repeats(docs: DataFrame) -> DataFrame:
+    """Each paragraph that repeats across documents: doc_id, start (word number), n (words), class, component, first_doc_id, and where else it stands: other (document), other_start and other_n.
+
+    What is removed is matched with the first document that has the very same words, or else the component's first.
+    """
     wide = staged(paragraphs(docs), "passage-paragraphs")
     # keys are the same in all rows of a class; as numbers of their own they are aggregated by hash, without a sort
     keys = [f"key{i}" for i in range(tuned_bands())]
@@ -169,7 +174,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "passage-wide-classes",
     )
     # the keys aren't needed again beyond the bands; without them both tables take less than half the disk
-    found = staged(wide.select("doc_id", "start", "class"), "passage-found")
+    found = staged(wide.select("doc_id", "start", "n", "class"), "passage-found")
     discard(wide)
     # classes that share a band; each is verified against the band's first class
     banded = wide_classes.select("class", F.explode(F.array(*keys)).alias("key"))
@@ -201,11 +206,138 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("component"), "first_doc_id", "last_doc_id"),
         "passage-named",
     )
-    repeats = named.groupBy("component").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
-    members = staged(named.select("class", "component").join(repeats, "component"), "passage-members")
-    return found.select("doc_id", "start", "class").join(members, "class").select("doc_id", "start", "component", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+    repeated = named.groupBy("component").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
+    members = staged(named.select("class", "component", F.col("first_doc_id").alias("class_doc")).join(repeated, "component"), "passage-members")
+    for t in (classes, named, banded, placed, pairs, near, sets, shared, apart, more, links):
+        discard(t)
+    rows = staged(found.select("doc_id", "start", "n", "class").join(members, "class"), "passage-rows")
+    discard(found)
+    discard(members)
+    place = F.min(F.struct("start", "n"))
+    same = rows.where("doc_id = class_doc").groupBy("class").agg(place.alias("same"))
+    like = rows.where("doc_id = first_doc_id").groupBy("component").agg(place.alias("like"))
+    own = F.col("doc_id") == F.col("class_doc")
+    at = F.when(own, F.col("like")).otherwise(F.col("same"))
+    return (
+        rows.join(same, "class")
+        .join(like, "component")
+        .select("doc_id", "start", "n", "class", "component", "first_doc_id", F.when(own, F.col("first_doc_id")).otherwise(F.col("class_doc")).alias("other"), at["start"].alias("other_start"), at["n"].alias("other_n"))
+    )
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Each paragraph that repeats across documents: doc_id, start (word number), component, first_doc_id and removed (false in the component's first document)."""
+    return repeats(docs).select("doc_id", "start", "component", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words a and b have in common from their begins on."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(at + step, n)] != b[at : min(at + step, n)])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = at + step, 2 * step
+    return n
+
+
+def extended(a: np.ndarray, b: np.ndarray, at: list[dict]) -> list[tuple[int, int]]:
+    """The matches in at (start and n in a, other_start and other_n in b) with all words before and behind that agree: begin and end in a."""
+    out: list[tuple[int, int]] = []
+    done: dict[int, int] = {}
+    for m in sorted(at, key=lambda m: m["start"]):
+        s, e, x, y = m["start"], m["start"] + m["n"], m["other_start"], m["other_start"] + m["other_n"]
+        if s - x == e - y and done.get(s - x, -1) >= e:
+            continue
+        begin, end = s - agreeing(a[:s][::-1], b[:x][::-1]), e + agreeing(a[e:], b[y:])
+        done[e - y] = end
+        out.append((begin, end))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """spans in order, those that touch or overlap as one."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+SPANS = "array<struct<begin:int,end:int>>"
+
+
+def texts_of(docs: DataFrame, name: str, text: str) -> DataFrame:
+    """The texts by doc_id: rows that repeat one count as one document, whose matches are sought in each."""
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias(name), F.col("text").cast("string").alias(text))
+
+
+def removed_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (hash of the text) and spans: the whole extents, in words, of all that is removed from each document, merged where they touch. found: as from repeats()."""
+    pairs = found.where("doc_id <> first_doc_id").groupBy("doc_id", "other").agg(F.collect_list(F.struct("start", "n", "class", "other_start", "other_n")).alias("at"))
+    both = pairs.join(texts_of(docs, "doc_id", "text"), "doc_id").join(texts_of(docs, "other", "other_text"), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(small(batches, "text"), "other_text"):
+            at, n = b.column("at").to_pylist(), b.num_rows
+            words = [[w for _, w in text_words([x.lower() for x in text_bytes(b.column(c))])] for c in ("text", "other_text")]
+            spans = []
+            for i in range(n):
+                here = [m for m in at[i] if m["start"] + m["n"] <= len(words[0][i]) and rolled(words[0][i][m["start"] : m["start"] + m["n"]], m["n"])[0].view(np.int64) == m["class"]]
+                spans.append([{"begin": s, "end": e} for s, e in merged(extended(words[0][i], words[1][i], here))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text_key", "spans"])
+
+    each = in_parts(both).select("doc_id", F.xxhash64("text").alias("text_key"), "at", "text", "other_text").mapInArrow(run, f"doc_id long, text_key long, spans {SPANS}")
+
+    union = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.array().cast(SPANS),
+        lambda out, x: F.when((F.size(out) > 0) & (x["begin"] <= F.try_element_at(out, F.lit(-1))["end"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
+    )
+    return each.groupBy("doc_id", "text_key").agg(union.alias("spans"))
+
+
+def without(text: str, spans: list[dict]) -> str:
+    """text without the words of spans and the white space behind each of them."""
+    data = text.encode()
+    starts = np.append(np.concatenate([word_hashes(x)[0] + o for x, o in placed_pieces(data)]), len(data))
+    out, at = [], 0
+    for x in spans:
+        out.append(data[at : starts[x["begin"]]])
+        at = starts[x["end"]]
+    return b"".join([*out, data[at:]]).decode()
+
+
+def placed_pieces(data: bytes) -> Iterator[tuple[bytes, int]]:
+    at = 0
+    for x in pieces(data):
+        yield x, at
+        at += len(x)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with the whole extents of repeated passages taken out of text, but for each passage's first document; all other columns stay."""
+    spans = removed_spans(staged(repeats(docs), "passage-repeats"), docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans"))
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, at):
+            cols, found = list(b.columns[: len(names)]), b.column(len(names)).to_pylist()
+            cols[at] = pa.array([without(x, s) if x and s else x for x, s in zip(cols[at].to_pylist(), found)], b.schema.types[at])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    rows = in_parts(docs).join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_key")), "left").select(*(F.col(f"`{c}`") for c in names), "__spans")
+    return rows.mapInArrow(run, docs.schema)
 
 
 def repeated_documents(docs: DataFrame) -> DataFrame:
-    """One row for each document that shares a passage with another: doc_id, n_paragraphs shared, n_removed of them, first_doc_id (the smallest that any was seen in first)."""
-    return repeated_passages(docs).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.min("first_doc_id").alias("first_doc_id"))
+    """One row for each document that shares a passage with another: doc_id, n_paragraphs (those that stay and the spans that go), n_removed (spans), first_doc_id (the smallest that any was seen in first), n_words_removed, and spans (begin:end in words, in order)."""
+    found = staged(repeats(docs), "passage-repeats")
+    kept = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("first_doc_id")).alias("kept"), F.min("first_doc_id").alias("first_doc_id"))
+    n = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
+    words = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["begin"]), F.lit(0).cast("long"))
+    text = F.coalesce(F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["begin"], x["end"])), ","), F.lit(""))
+    gone = removed_spans(found, docs).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return kept.join(gone, "doc_id", "left").select("doc_id", (F.col("kept") + n).alias("n_paragraphs"), n.alias("n_removed"), "first_doc_id", words.alias("n_words_removed"), text.alias("spans"))

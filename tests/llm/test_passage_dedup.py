@@ -1,4 +1,4 @@
-from latentfield.llm.passage_dedup import SPAN, WINDOW, repeated_documents, repeated_passages, tuned_bands
+from latentfield.llm.passage_dedup import SPAN, WINDOW, deduplicated, repeated_documents, repeated_passages, tuned_bands
 
 
 def test_every_repeat_of_fifty_words_is_found(docs):
@@ -39,3 +39,18 @@ def test_bands_reach_the_recall():
 def test_odd_rows(odd, none):
     got = {r.doc_id for r in repeated_documents(odd).collect()}
     assert got == {5, 6, 7, 8} and repeated_documents(none).count() == 0
+
+
+def test_whole_passages_are_removed(spark):
+    own = lambda d, n: " ".join(f"d{d}w{k}" for k in range(n))
+    rows = []
+    for n in (50, 64, 100, 200, 1000):
+        passage = " ".join(f"P{n}x{k}" for k in range(n))
+        rows += [(n, f"{own(n, 70)} {passage} {own(-n, 70)}"), (n + 1, f"{own(n + 1, 41)}\n{passage}  {own(-n - 1, 33)}"), (n + 2, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in deduplicated(docs).collect()}
+    counts = {r.doc_id: r for r in repeated_documents(docs).collect()}
+    for n in (50, 64, 100, 200, 1000):
+        assert got[n] == dict(rows)[n] and got[n + 2] == ""
+        assert got[n + 1] == f"{own(n + 1, 41)}\n{own(-n - 1, 33)}"
+        assert (counts[n + 1].n_removed, counts[n + 1].n_words_removed, counts[n + 1].spans) == (1, n, f"41:{41 + n}")
