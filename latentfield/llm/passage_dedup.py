@@ -5,6 +5,9 @@ run of WINDOW words the one where the smallest hash of ANCHOR words stands begin
 words. Any passage of SPAN + WINDOW - 1 = 50 words or more holds at least one, the same one wherever it
 stands; a changed word moves only the anchors that it is part of.
 
+Each line, each block between blank lines and the whole text, of SPAN words or more, is a paragraph as
+well, so near copies with changes inside are compared whole.
+
 Equal paragraphs are one class. Classes are banded by min-hashes of their 5-word shingles, with as
 many bands as the wanted recall at the threshold needs; those that collide are verified by exact
 Jaccard similarity, and linked classes are united to components. A component that stands in several
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components
 from .common import discard, in_parts, small, staged, text_bytes
-from .shingles import Bands, linked, mixed, overlap, pieces, text_words, word_hashes
+from .shingles import IS_SPACE, Bands, linked, mixed, overlap, pieces, powers, text_words, word_hashes
 
 SPAN = 16
 WINDOW = 35
@@ -66,6 +69,38 @@ def paragraph_starts(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def blocks_of(data: bytes, n_words: int) -> np.ndarray:
+    """First word and number of words of each line, each block between blank lines and the whole text, of SPAN words or more."""
+    line_ends = []
+    words = 0
+    for part in pieces(data):  # cut behind white space, so no word is cut
+        raw = np.frombuffer(part, np.uint8)
+        space = IS_SPACE[raw]
+        starts = np.flatnonzero(~space & np.append(True, space[:-1])) if len(raw) else np.zeros(0, np.int64)
+        line_ends.append(np.searchsorted(starts, np.flatnonzero(raw == 10)) + words)
+        words += len(starts)
+    ends, times = np.unique(np.concatenate(line_ends), return_counts=True)
+    spans = {(0, n_words)}
+    for cuts in (ends, ends[times > 1]):
+        cuts = np.unique(np.concatenate([[0], cuts, [n_words]]))
+        spans.update(zip(cuts[:-1].tolist(), np.diff(cuts).tolist()))
+    return np.array(sorted(x for x in spans if x[1] >= SPAN), np.int64).reshape(-1, 2)
+
+
+def block_least(shingles: np.ndarray, spans: np.ndarray, hashes: Bands) -> np.ndarray:
+    """The min-hashes of each span (first word, number of words) over all its shingles: a row for each hash."""
+    bounds = np.stack([spans[:, 0], spans[:, 0] + spans[:, 1] - WIDTH + 1], axis=1).ravel()
+    padded = np.append(shingles, np.uint64(0))  # a span may end with the text
+    return np.stack([np.minimum.reduceat((padded ^ y) * x, bounds)[::2] for x, y in zip(hashes.a, hashes.b)])
+
+
+def span_hash(words: np.ndarray) -> np.uint64:
+    """The class of a span of words; for SPAN words, as from rolled()."""
+    if len(words) == SPAN:
+        return rolled(words, SPAN)[0]
+    return mixed((words * powers(len(words))[0][: len(words)]).sum(keepdims=True) + np.uint64(len(words)))[0]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, start (word number), n (words), class (hash of the words) and band keys of each paragraph."""
     bands = tuned_bands()
@@ -76,15 +111,24 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         for b in small(batches, "text"):
             ids = b.column("doc_id").to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
-            for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
+            texts = [x.lower() for x in text_bytes(b.column("text"))]
+            for i, words in text_words(texts):
                 grams = rolled(words, SPAN)
                 if not len(grams):
                     continue
                 at = paragraph_starts(rolled(words, ANCHOR)[: len(grams)])
-                sets = np.lib.stride_tricks.sliding_window_view(rolled(words, WIDTH), SPAN - WIDTH + 1)[at]
+                shingles = rolled(words, WIDTH)
+                sets = np.lib.stride_tricks.sliding_window_view(shingles, SPAN - WIDTH + 1)[at]
                 least = np.stack([((sets ^ y) * x).min(axis=1) for x, y in zip(hashes.a, hashes.b)])
+                classes, n = grams[at], np.full(len(at), SPAN)
+                whole = blocks_of(texts[i], len(words))
+                whole = whole[(whole[:, 1] > SPAN) | ~np.isin(whole[:, 0], at)]
+                if len(whole):
+                    least = np.hstack([least, block_least(shingles, whole, hashes)])
+                    classes = np.append(classes, np.array([span_hash(words[x : x + y]) for x, y in whole.tolist()], np.uint64))
+                    at, n = np.append(at, whole[:, 0]), np.append(n, whole[:, 1])
                 keys = mixed(mixed(numbers * np.uint64(0xD6E8FEB86659FD93) + mixed(least[::2])) + mixed(least[1::2]))
-                found.append((np.full(len(at), ids[i]), at, np.full(len(at), SPAN), grams[at].view(np.int64), keys.T.copy().view(np.int64)))
+                found.append((np.full(len(at), ids[i]), at, n, classes.view(np.int64), keys.T.copy().view(np.int64)))
                 if sum(len(f[1]) for f in found[-64:]) > 50_000:
                     yield batch(found, bands)
                     found = []
@@ -101,8 +145,8 @@ def batch(found: list[tuple[np.ndarray, ...]], bands: int) -> pa.RecordBatch:
 
 
 def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (class, doc_id, start) with the sorted shingles of that paragraph, read again from the texts."""
-    starts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "start")).alias("at"))
+    """wanted (class, doc_id, start, n) with the sorted shingles of that paragraph, read again from the texts."""
+    starts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "start", "n")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +154,12 @@ def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             at = b.column("at").to_pylist()
             classes, sets = [], []
             for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
-                grams, shingles = rolled(words, SPAN), rolled(words, WIDTH)
+                shingles = rolled(words, WIDTH)
                 for p in at[i]:
-                    if p["start"] < len(grams) and int(grams[p["start"]].view(np.int64)) == p["class"]:
+                    end = p["start"] + p["n"]
+                    if end <= len(words) and int(span_hash(words[p["start"] : end]).view(np.int64)) == p["class"]:
                         classes.append(p["class"])
-                        sets.append(np.unique(shingles[p["start"] : p["start"] + SPAN - WIDTH + 1]).tobytes())
+                        sets.append(np.unique(shingles[p["start"] : end - WIDTH + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
     return texts.join(starts, "doc_id").select("text", "at").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
@@ -140,8 +185,18 @@ def block_links(t: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
     size = np.array([len(x) for x in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    m = np.zeros((len(sets), int(column.max()) + 1), np.float32)
-    m[np.repeat(np.arange(len(sets)), size), column] = 1
+    row, times = np.repeat(np.arange(len(sets)), size), np.bincount(column)
+    # shingles of one set alone are shared with none; the others are counted in parts, since sets of long blocks are large
+    several = times > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for s in range(0, int(several.sum()), 4096):
+        u, v = np.searchsorted(column, [s, s + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[u:v], column[u:v] - s] = 1
+        shared += m @ m.T
     out: list[tuple[int, int]] = []
     at = {int(r): int(r) for r in root}
 
@@ -151,7 +206,7 @@ def block_links(t: pa.Table) -> pa.Table:
         return x
 
     for s in range(0, len(sets), 256):
-        common = m[s : s + 256] @ m.T
+        common = shared[s : s + 256]
         r, c = np.nonzero(100 * common >= PERCENT * (size[s : s + 256, None] + size[None, :] - common))
         for x, y in zip((r + s).tolist(), c.tolist()):
             u, v = top(int(root[x])), top(int(root[y]))
@@ -184,8 +239,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     discard(wide_classes)
     pairs = staged(banded.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
     near = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "passage-near")
-    at = found.select("class", "doc_id", "start").join(near, "class").join(classes.select("class", F.col("first_doc_id").alias("doc_id")), ["class", "doc_id"])
-    wanted = at.groupBy("class", "doc_id").agg(F.min("start").alias("start"))
+    at = found.select("class", "doc_id", "start", "n").join(near, "class").join(classes.select("class", F.col("first_doc_id").alias("doc_id")), ["class", "doc_id"])
+    wanted = at.groupBy("class", "doc_id").agg(F.min("start").alias("start"), F.min("n").alias("n"))
     sets = staged(shingle_rows(wanted, docs), "passage-shingles")
     links = staged(verified(pairs, sets), "passage-links")
     roots = components(links, name="passage")
@@ -285,7 +340,7 @@ def removed_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
             words = [[w for _, w in text_words([x.lower() for x in text_bytes(b.column(c))])] for c in ("text", "other_text")]
             spans = []
             for i in range(n):
-                here = [m for m in at[i] if m["start"] + m["n"] <= len(words[0][i]) and rolled(words[0][i][m["start"] : m["start"] + m["n"]], m["n"])[0].view(np.int64) == m["class"]]
+                here = [m for m in at[i] if m["start"] + m["n"] <= len(words[0][i]) and span_hash(words[0][i][m["start"] : m["start"] + m["n"]]).view(np.int64) == m["class"]]
                 spans.append([{"begin": s, "end": e} for s, e in merged(extended(words[0][i], words[1][i], here))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text_key", "spans"])
 
@@ -335,9 +390,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def repeated_documents(docs: DataFrame) -> DataFrame:
     """One row for each document that shares a passage with another: doc_id, n_paragraphs (those that stay and the spans that go), n_removed (spans), first_doc_id (the smallest that any was seen in first), n_words_removed, and spans (begin:end in words, in order)."""
     found = staged(repeats(docs), "passage-repeats")
-    kept = found.groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("first_doc_id")).alias("kept"), F.min("first_doc_id").alias("first_doc_id"))
+    kept = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") == F.col("first_doc_id"), F.struct("start", "n"))).alias("kept"), F.min("first_doc_id").alias("first_doc_id"))
     n = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
     words = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["begin"]), F.lit(0).cast("long"))
     text = F.coalesce(F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["begin"], x["end"])), ","), F.lit(""))
     gone = removed_spans(found, docs).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return kept.join(gone, "doc_id", "left").select("doc_id", (F.col("kept") + n).alias("n_paragraphs"), n.alias("n_removed"), "first_doc_id", words.alias("n_words_removed"), text.alias("spans"))
+    gone_at = F.coalesce("spans", F.array().cast(SPANS))
+    stays = F.filter("kept", lambda p: ~F.exists(gone_at, lambda x: (x["begin"] <= p["start"]) & (x["end"] >= p["start"] + p["n"])))
+    return kept.join(gone, "doc_id", "left").select("doc_id", (F.size(stays).cast("long") + n).alias("n_paragraphs"), n.alias("n_removed"), "first_doc_id", words.alias("n_words_removed"), text.alias("spans"))

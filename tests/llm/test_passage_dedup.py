@@ -46,11 +46,31 @@ def test_whole_passages_are_removed(spark):
     rows = []
     for n in (50, 64, 100, 200, 1000):
         passage = " ".join(f"P{n}x{k}" for k in range(n))
-        rows += [(n, f"{own(n, 70)} {passage} {own(-n, 70)}"), (n + 1, f"{own(n + 1, 41)}\n{passage}  {own(-n - 1, 33)}"), (n + 2, passage)]
+        # as much text of their own around, so that lines and whole texts aren't near copies
+        rows += [(n, f"{own(n, 70)} {passage} {own(-n, n)}"), (n + 1, f"{own(n + 1, 41)}\n{passage}  {own(-n - 1, n)}"), (n + 2, passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in deduplicated(docs).collect()}
     counts = {r.doc_id: r for r in repeated_documents(docs).collect()}
     for n in (50, 64, 100, 200, 1000):
         assert got[n] == dict(rows)[n] and got[n + 2] == ""
-        assert got[n + 1] == f"{own(n + 1, 41)}\n{own(-n - 1, 33)}"
+        assert got[n + 1] == f"{own(n + 1, 41)}\n{own(-n - 1, n)}"
         assert (counts[n + 1].n_removed, counts[n + 1].n_words_removed, counts[n + 1].spans) == (1, n, f"41:{41 + n}")
+
+
+def test_near_copies_with_changes_inside_are_found(spark):
+    """Whole texts, lines and blocks of lines with one or two words changed, of a Jaccard similarity of 0.8 or more."""
+    rows, want, base = [], set(), 0
+    for n, changed in ((50, (49,)), (55, (27,)), (60, (30,)), (80, (40,)), (100, (33, 66))):
+        for k in range(20):
+            words = [f"t{n}k{k}w{i}" for i in range(n)]
+            near = [f"x{w}" if i in changed else w for i, w in enumerate(words)]
+            around = [" ".join(f"{c}{n}k{k}o{i}" for i in range(30)) for c in "ab"]
+            one, two = (" ".join(words), " ".join(near)) if k % 3 == 0 else (f"{around[0]}\n{' '.join(words)}", f"{' '.join(near)}\n{around[1]}")
+            if k % 3 == 2:
+                one, two = (f"{around[0]}\n\n" + "\n".join(" ".join(words[i : i + 10]) for i in range(0, n, 10)), f"{' '.join(near)}\n\n{around[1]}")
+            rows += [(base, one), (base + 1, two)]
+            want.add((base + 1, n))
+            base += 2
+    got = {r.doc_id: r for r in repeated_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [d for d, n in want if d in got and got[d].n_words_removed >= n]
+    assert len(hit) >= 0.95 * len(want)
