@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 A text's symbols are merged best score first, as an agenda of candidate merges is worked off. Each
-candidate is skipped if a keyed hash of (seed, variant, word, place, left symbol, right symbol)
-falls below the dropout rate, so one text has many segmentations, each of them reproducible. Which
-variant a word gets depends on the document's key and the word's place in the text. Without dropout
-the pieces are those of the sentencepiece library.
-
-No piece of the model reaches over a word's begin, so words are encoded by themselves and kept in a
-bounded cache. New words of a batch are merged together in numpy arrays, one merge for each word and
+candidate is skipped if a keyed hash of (seed, the document's key, the word's number in the text, place, left symbol,
+right symbol) falls below the dropout rate, so each occurrence of a word is segmented by itself, and reproducibly.
+Without dropout the pieces are those of the sentencepiece library.
+
+No piece of the model reaches over a word's begin, so words are encoded by themselves. What the agenda
+does depends only on the word and on which of the offered candidates are skipped, so that is what the bounded cache
+holds: a node for a word and a set of skipped candidates has the pieces and the candidates still to be tested; an
+occurrence tests them with its own key and goes on to the node of those that it skips, until it skips no more. New nodes
+of a batch, and occurrences that need a node that no other one of the batch needs, are merged together in numpy arrays, one merge for each word and
 round; words of over LONG characters go through a heap instead, in time that grows as n log n.
 
 Characters outside the vocabulary, and a literal U+2581, become byte pieces: decoding gives back every text exactly.
@@ -19,10 +21,13 @@ texts of any length are encoded whole; other columns pass through unread.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,11 @@ SPACE = "▁"
 LONG = 40
 BIG = np.int64(1 << 40)
 M64 = (1 << 64) - 1
-CACHE_WORDS = 200_000
+CACHE_NODES = 200_000
+#: Candidates of a node that fit into a mask.
+MASK_BITS = 62
+#: Bits of a symbol in a candidate's number.
+SYMBOL_BITS = 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,10 +60,18 @@ def mixed_one(x: int) -> int:
     return x ^ (x >> 31)
 
 
+#: Bits of a candidate's number: place in a short word, left and right symbol.
+OFFER_BITS = 6 + 2 * SYMBOL_BITS
+
+
+def offer_hash(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(place.astype(np.uint64) << np.uint64(48) ^ left.astype(np.uint64) << np.uint64(24) ^ right.astype(np.uint64))
+
+
 class Codec:
     """Encodes and decodes with the BPE model at path."""
 
-    def __init__(self, path: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 8):
+    def __init__(self, path: str, *, dropout: float = 0.1, seed: int = 1):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -107,8 +124,21 @@ class Codec:
                 s, probe = (s + 1) & ((1 << self.bits) - 1), probe + 1
             self.slot_keys[s], self.slot_ids[s], self.probes = k, i, max(self.probes, probe)
         self.cut = int(dropout * 2**32)
-        self.seed, self.variants = seed, variants if dropout > 0 else 1
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        if n >= 1 << SYMBOL_BITS:
+            raise ValueError("the model has too many pieces")
+        self.seed = seed
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache. Of each node: word, skipped candidates, pieces, and where its own candidates stand."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[tuple[int, int], int] = {}
+        self.node_words: list[str] = []
+        self.node_skips: list[np.ndarray] = []
+        self.node_data: list[bytes] = []
+        self.node_ends = np.zeros(1, np.int64)
+        self.offers = np.zeros(0, np.int64)
+        self.offer_hashes = np.zeros(0, np.uint64)
 
     def slot(self, key: int) -> int:
         return ((key * 0x9E3779B97F4A7C15) & M64) >> (64 - self.bits)
@@ -130,22 +160,17 @@ class Codec:
             open_ = open_[~hit & (got >= 0)]
         return np.where((left >= 0) & (right >= 0), out, -1)
 
-    def word_key(self, word: str, variant: int) -> int:
-        data = word.encode()
-        return mixed_one((zlib.crc32(data) << 32 | zlib.adler32(data)) ^ mixed_one((self.seed << 20 ^ variant) & M64))
+    def text_key(self, key: int | tuple | None) -> int:
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{key}".encode(), digest_size=8).digest(), "little")
 
-    def ranks(self, key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
-        out = np.where(merged >= 0, self.rank[merged], BIG)
-        if self.cut:
-            h = mixed(key ^ mixed(place.astype(np.uint64) << np.uint64(48) ^ left.astype(np.uint64) << np.uint64(24) ^ right.astype(np.uint64)))
-            out = np.where((h >> np.uint64(32)).astype(np.int64) < self.cut, BIG, out)
-        return out
+    def skipped(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return (mixed(keys ^ hashes) >> np.uint64(32)).astype(np.int64) < self.cut
 
-    def agenda(self, word: str, variant: int) -> list[int]:
-        """The pieces of one word by a heap of candidates."""
+    def agenda(self, word: str, key: int) -> list[int]:
+        """The pieces of one occurrence of a word by a heap of candidates."""
         points = [ord(c) for c in word]
         sym = [int(self.char[c]) for c in points]
-        n, key = len(sym), self.word_key(word, variant)
+        n = len(sym)
         after, before, dead = list(range(1, n + 1)), list(range(-1, n - 1)), [False] * n
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -180,8 +205,101 @@ class Codec:
             i = after[i]
         return out
 
-    def merge_all(self, words: list[str], variants: list[int]) -> list[bytes]:
-        """The pieces of many short words, as bytes of 32-bit ids."""
+    def merge_all(self, words: list[str], keys: list[int] | np.ndarray) -> list[bytes]:
+        """The pieces of many short words, as bytes of 32-bit ids. keys: of each occurrence."""
+        keys = np.asarray(keys, np.uint64)
+
+        def skip(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return self.skipped(keys[word], offer_hash(place, left, right))
+
+        return self.merged(words, skip if self.cut else None)
+
+    def explored(self, words: list[str], skips: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The pieces of words if exactly the candidates in skips are skipped, and the others that are offered: word's number and candidate, in order."""
+        gone = np.concatenate([s | i << OFFER_BITS for i, s in enumerate(skips)] or [np.zeros(0, np.int64)])
+        gone.sort()
+        offered: list[np.ndarray] = []
+
+        def skip(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            x = word << OFFER_BITS | place << 2 * SYMBOL_BITS | left << SYMBOL_BITS | right
+            out = np.zeros(len(x), bool)
+            if len(gone):
+                out = gone[np.minimum(np.searchsorted(gone, x), len(gone) - 1)] == x
+            offered.append(x[~out])
+            return out
+
+        data = self.merged(words, skip if self.cut else None)
+        x = np.unique(np.concatenate(offered or [np.zeros(0, np.int64)]))
+        return data, x >> OFFER_BITS, x & ((1 << OFFER_BITS) - 1)
+
+    def added(self, words: list[str], skips: list[np.ndarray], tested: list[np.ndarray]) -> range:
+        """New nodes; tested: candidates of the nodes above, which need no second test."""
+        first = len(self.node_data)
+        data, of, offers = self.explored(words, skips)
+        above = np.concatenate([t | i << OFFER_BITS for i, t in enumerate(tested)] or [np.zeros(0, np.int64)])
+        new = ~np.isin(of << OFFER_BITS | offers, above)
+        of, offers = of[new], offers[new]
+        self.node_words += words
+        self.node_skips += skips
+        self.node_data += data
+        self.node_ends = np.append(self.node_ends, self.node_ends[-1] + np.cumsum(np.bincount(of, minlength=len(words))))
+        self.offers = np.append(self.offers, offers)
+        ones = (1 << SYMBOL_BITS) - 1
+        self.offer_hashes = np.append(self.offer_hashes, offer_hash(offers >> 2 * SYMBOL_BITS, offers >> SYMBOL_BITS & ones, offers & ones))
+        return range(first, first + len(words))
+
+    def occurrences(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The pieces of occurrences of short words, each with its key; the same as merge_all gives."""
+        new = sorted(w for w, n in Counter(words).items() if n > 1 and w not in self.roots)
+        none = np.zeros(0, np.int64)
+        if new:
+            self.roots.update(zip(new, self.added(new, [none] * len(new), [none] * len(new))))
+        at = np.fromiter(map(self.roots.get, words, repeat(-1)), np.int64, len(words))
+        alone = np.flatnonzero(at < 0).tolist()  # a word that the batch has once is merged for itself
+        active = np.flatnonzero(at >= 0) if self.cut else np.zeros(0, np.int64)
+        while len(active):
+            size = self.node_ends[at[active] + 1] - self.node_ends[at[active]]
+            alone += active[size > MASK_BITS].tolist()
+            some = (size > 0) & (size <= MASK_BITS)
+            active, size = active[some], size[some]
+            if not len(active):
+                break
+            begin = np.cumsum(size) - size
+            bit = np.arange(int(size.sum())) - np.repeat(begin, size)
+            hit = self.skipped(np.repeat(keys[active], size), self.offer_hashes[np.repeat(self.node_ends[at[active]], size) + bit])
+            mask = np.add.reduceat(hit.astype(np.int64) << bit, begin)
+            active, mask = active[mask != 0], mask[mask != 0]
+            steps = list(zip(at[active].tolist(), mask.tolist()))
+            missing = Counter(x for x in steps if x not in self.children)
+            make = [x for x, n in missing.items() if n > 1]
+            if make:
+                own = [self.offers[self.node_ends[k] : self.node_ends[k + 1]] for k, _ in make]
+                more = [o[(m >> np.arange(len(o))) & 1 > 0] for o, (_, m) in zip(own, make)]
+                skips = [np.append(self.node_skips[k], x) for (k, _), x in zip(make, more)]
+                # candidates above that were tested and not skipped may be offered again, and testing them again changes nothing
+                self.children.update(zip(make, self.added([self.node_words[k] for k, _ in make], skips, own)))
+            to = np.fromiter(map(self.children.get, steps, repeat(-1)), np.int64, len(steps))
+            alone += active[to < 0].tolist()
+            active = active[to >= 0]
+            at[active] = to[to >= 0]
+        out = [self.node_data[k] if k >= 0 else b"" for k in at.tolist()]
+        if alone:
+            for i, x in zip(alone, self.merge_all([words[i] for i in alone], keys[alone])):
+                out[i] = x
+        return out
+
+    def merged(self, words: list[str], skip: Callable | None) -> list[bytes]:
+        """The pieces of many short words, without the candidates (word's number, place, left, right) that skip tells."""
+        if not words:
+            return []
+
+        def ranks(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
+            out = np.where(merged >= 0, self.rank[merged], BIG)
+            if skip is not None:
+                some = np.flatnonzero(merged >= 0)
+                out[some[skip(word[some], place[some], left[some], right[some])]] = BIG
+            return out
+
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -190,14 +308,10 @@ class Codec:
         sym = self.char[points].astype(np.int64)
         unknown = sym < 0
         sym[unknown] = -1 - points[unknown].astype(np.int64)
-        data = [w.encode() for w in words]
-        own = np.fromiter(map(zlib.crc32, data), np.uint64, n) << np.uint64(32) | np.fromiter(map(zlib.adler32, data), np.uint64, n)
-        of = np.array([mixed_one((self.seed << 20 ^ v) & M64) for v in range(self.variants)], np.uint64)
-        keys = mixed(own ^ of[np.array(variants, np.int64)])
         last = np.append(word[1:] != word[:-1], True)
         right = np.append(sym[1:], -1)
         merged = np.where(last, -1, self.lookup(sym, right))
-        rank = self.ranks(keys[word], place, sym, right, merged)
+        rank = ranks(word, place, sym, right, merged)
         done_word, done_sym = [], []
         while len(sym):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
@@ -226,7 +340,7 @@ class Codec:
             ends = (touched + 1 >= len(sym)) | (word[touched] != word[nxt])
             m = np.where(ends, -1, self.lookup(sym[touched], sym[nxt]))
             merged[touched] = m
-            rank[touched] = self.ranks(keys[word[touched]], place[touched], sym[touched], sym[nxt], m)
+            rank[touched] = ranks(word[touched], place[touched], sym[touched], sym[nxt], m)
         word, sym = np.concatenate(done_word or [np.zeros(0, np.int64)]), np.concatenate(done_sym or [np.zeros(0, np.int64)])
         by = np.argsort(word, kind="stable")
         word, sym = word[by], sym[by]
@@ -238,29 +352,26 @@ class Codec:
         ends = 4 * np.cumsum(np.bincount(word, minlength=n))
         return [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def encode(self, texts: list[str], keys: list[int | None]) -> list[bytes]:
-        """The pieces of each text as bytes of 32-bit little-endian ids. keys: choose the variants of the text's words."""
-        if sum(map(len, self.cache)) > CACHE_WORDS:
-            self.cache = [{} for _ in range(self.variants)]
-        n = self.variants
-        words = [self.words.findall(" " + x) if x else [] for x in texts]
-        first = [zlib.crc32(f"{self.seed}:{k}".encode()) % n for k in keys]
-        for v, known in enumerate(self.cache):
-            new = set()
-            for w, f in zip(words, first):
-                new.update(w[(v - f) % n :: n])
-            new = sorted(new.difference(known))
-            short = [w for w in new if len(w) <= LONG]
-            known.update(zip(short, self.merge_all(short, [v] * len(short))) if short else ())
-            known.update((w, np.array(self.agenda(w, v), "<i4").tobytes()) for w in new if len(w) > LONG)
-        out = []
-        for w, f in zip(words, first):
-            got: list[bytes] = [b""] * len(w)
-            for v, known in enumerate(self.cache):
-                s = (v - f) % n
-                got[s::n] = map(known.__getitem__, w[s::n])
-            out.append(b"".join(got))
-        return out
+    def encode(self, texts: list[str], keys: list) -> list[bytes]:
+        """The pieces of each text as bytes of 32-bit little-endian ids. keys: of each text, such as its doc_id."""
+        if len(self.node_data) > CACHE_NODES:
+            self.forget()
+        each = [self.words.findall(" " + x) if x else [] for x in texts]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        ends = np.cumsum(size)
+        words = list(chain.from_iterable(each))
+        number = np.arange(len(words), dtype=np.uint64) - np.repeat((ends - size).astype(np.uint64), size)
+        own = mixed(np.repeat(np.array([self.text_key(k) for k in keys], np.uint64), size) + number * np.uint64(0x9E3779B97F4A7C15))
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        short = words
+        if long:
+            short = words.copy()
+            for i in long:
+                short[i] = " "
+        out = self.occurrences(short, own)
+        for i in long:
+            out[i] = np.array(self.agenda(words[i], int(own[i])), "<i4").tobytes()
+        return [b"".join(out[e - n : e]) for n, e in zip(size.tolist(), ends.tolist())]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -269,7 +380,7 @@ class Codec:
 PART = 1 << 20
 
 
-def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 8, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (default: all but text) and piece_ids, an array of ids; one pass, no shuffle."""
     keep = [c for c in docs.columns if c not in ("text", "piece_ids")] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
@@ -277,7 +388,7 @@ def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in small(batches, len(keep)):
-            codec = codec or Codec(path, dropout=dropout, seed=seed, variants=variants)
+            codec = codec or Codec(path, dropout=dropout, seed=seed)
             texts, keys = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
             start = 0
             for part in by_size(range(len(texts)), lambda i: len(texts[i] or ""), PART):
@@ -308,13 +419,13 @@ def with_text(encoded: DataFrame, path: str) -> DataFrame:
     return in_parts(encoded).select(*(F.col(f"`{c}`") for c in keep), "piece_ids").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """For each document: n_pieces, ids_crc (of the ids' bytes) and whether the pieces decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in small(batches, "text"):
-            codec = codec or Codec(path, dropout=dropout, seed=seed, variants=variants)
+            codec = codec or Codec(path, dropout=dropout, seed=seed)
             texts, keys = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             rows = []
             for part in by_size(range(len(texts)), lambda i: len(texts[i]), PART):

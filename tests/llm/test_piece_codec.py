@@ -57,3 +57,21 @@ def test_encoding_keeps_columns_and_decodes(odd):
     assert set(encoded.columns) == set(odd.columns) - {"text"} | {"piece_ids"}
     back = with_text(encoded, PATH).select("doc_id", "text").collect()
     assert sorted(map(repr, back)) == sorted(map(repr, odd.select("doc_id", "text").collect()))
+
+
+def test_each_occurrence_is_segmented_by_itself():
+    text = "internationalization considerations " * 40
+    got = varied.encode([text] * 400, list(range(400)))
+    assert len(set(got)) == 400  # 8 before
+    one = Codec(PATH, dropout=0.3).encode(["internationalization " * 400], [1])[0]
+    words = varied.encode(["internationalization"] * 400, list(range(400)))
+    assert len(set(words)) > 100 and len(one) > 400
+
+
+def test_cached_nodes_give_what_the_agenda_gives(docs):
+    texts = [r.text or "" for r in docs.limit(40).collect()]
+    for codec in (Codec(PATH, dropout=0.1), Codec(PATH, dropout=0.6)):
+        words = [w for x in texts for w in codec.words.findall(" " + x) if len(w) <= LONG][:6000]
+        keys = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for _ in range(2):
+            assert [ids(x) for x in codec.occurrences(words, keys)] == [codec.agenda(w, int(k)) for w, k in zip(words, keys)]
