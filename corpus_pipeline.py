@@ -6,7 +6,8 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from latentfield.llm import jaccard_join, mixing, piece_codec, quality, secret_scan
 from latentfield.llm.common import documents, staged
@@ -34,8 +35,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as piece ids, in place of text."""
-    return piece_codec.with_pieces(docs, tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=1)
+    """The texts as piece ids, in place of text. Rows that repeat a document are numbered, and each has a segmentation of its own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id", *others)
+    numbered = docs.withColumn("__occurrence", F.row_number().over(same))
+    return piece_codec.with_pieces(numbered, tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=1, occurrence="__occurrence")
 
 
 STAGES = [

@@ -380,16 +380,17 @@ class Codec:
 PART = 1 << 20
 
 
-def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (default: all but text) and piece_ids, an array of ids; one pass, no shuffle."""
-    keep = [c for c in docs.columns if c not in ("text", "piece_ids")] if keep is None else keep
+def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", keep: list[str] | None = None, occurrence: str | None = None) -> DataFrame:
+    """The columns in keep (default: all but text) and piece_ids, an array of ids; one pass, no shuffle. occurrence: a column with numbers from 1 for repetitions of a document, each segmented by itself."""
+    keep = [c for c in docs.columns if c not in ("text", "piece_ids", occurrence)] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in small(batches, len(keep)):
             codec = codec or Codec(path, dropout=dropout, seed=seed)
-            texts, keys = b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()
+            texts, times = b.column(len(keep)).to_pylist(), b.column(len(keep) + 2).to_pylist()
+            keys = [k if n == 1 else (k, n) for k, n in zip(b.column(len(keep) + 1).to_pylist(), times)]
             start = 0
             for part in by_size(range(len(texts)), lambda i: len(texts[i] or ""), PART):
                 data = codec.encode([texts[i] or "" for i in part], [keys[i] for i in part])
@@ -401,7 +402,7 @@ def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
                 yield pa.RecordBatch.from_arrays([*cols, ids], names=[*(f.name for f in fields), "piece_ids"])
 
     schema = T.StructType([*fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    return in_parts(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), F.col(key).cast("long").alias("__key")).mapInArrow(run, schema)
+    return in_parts(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), F.col(key).cast("long").alias("__key"), (F.lit(1) if occurrence is None else F.col(occurrence)).cast("long").alias("__times")).mapInArrow(run, schema)
 
 
 def with_text(encoded: DataFrame, path: str) -> DataFrame:

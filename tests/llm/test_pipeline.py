@@ -42,3 +42,10 @@ def test_stages_take_odd_and_no_rows(spark, odd, none, sf):
 
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "secret_scan", "source_mixing", "sentencepiece_encoding"]
+
+
+def test_repeated_rows_are_segmented_apart(spark, docs, sf):
+    some = docs.where("length(text) > 500").limit(5)
+    thrice = some.unionByName(some).unionByName(some)
+    got = [sorted((r.doc_id, tuple(r.piece_ids)) for r in corpus_pipeline.encoding_stage(spark, x, sf).collect()) for x in (thrice, thrice.repartition(3))]
+    assert got[0] == got[1] and len(got[0]) == len(set(got[0])) == 3 * some.count()
