@@ -117,7 +117,14 @@ def phone(f: Feistel, s: str, back: bool) -> str | None:
     head = 1 if s.startswith("+1") and len(d) == 11 else 0
     if len(d) - head == 10 and (head or not s.startswith("+")):
         if d[head] < 2 or d[head + 3] < 2:
-            return None
+            if not head:
+                return None
+            # with +1 it is a phone all the same: permuted among those that break the rule, so that it can be turned back
+            body = d[head:]
+            while True:
+                body = f.mixed_radix(body, [10] * 10, b"phone+1", back)
+                if body[0] < 2 or body[3] < 2:
+                    return refilled(s, d[:head] + body)
         radices = [8 if i in (0, 3) else 10 for i in range(10)]
         got = f.mixed_radix([v - 2 * (i in (0, 3)) for i, v in enumerate(d[head:])], radices, b"phone", back)
         return refilled(s, d[:head] + [v + 2 * (i in (0, 3)) for i, v in enumerate(got)])

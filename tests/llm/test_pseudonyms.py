@@ -52,3 +52,11 @@ def test_odd_rows(odd, none, docs):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
     flagged = {r.doc_id for r in P.found_documents(docs).collect()}
     assert {r.doc_id for r in docs.where("text LIKE '%@mail%'").collect()} <= flagged
+
+
+def test_phones_with_a_country_code_outside_the_numbering_rules():
+    for text in ("+1 (017) 555-7713", "+1 (117) 555-7713", "+1 (784) 055-7713", "+1 (784) 155-7713", "+1 000-000-0000"):
+        (found,) = P.finds(F8, text)
+        new = P.replaced(text, [found])
+        assert found[2] == "phone" and new != text and new.startswith("+1 ") and len(new) == len(text)
+        assert P.replaced(new, P.finds(F8, new, back=True)) == text
