@@ -30,6 +30,29 @@ def test_any_text_splices(text):
 test_any_text_splices.counter = Counter(PATH, chunk_chars=25, overlap_chars=3)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=" \n\t\r'sab1.é\xa0\u2028\x1c日", max_size=40), min_size=1, max_size=4))
+def test_units_add_up(texts):
+    c = test_units_add_up.counter
+    assert c.counts(texts) == [whole(c, x) for x in texts]
+
+
+test_units_add_up.counter = Counter(PATH)
+
+
+def test_units_equal_the_library_on_all_documents(docs):
+    c = Counter(PATH)
+    texts = HARD + [r.text or "" for r in docs.select("text").collect()]
+    assert c.by_units and c.counts(texts) == c.encoded(texts) == c.counts(texts)
+    c.cached = 1 << 40
+    assert c.counts(texts[:9]) == c.encoded(texts[:9]) and c.cached < 1 << 20
+
+
+def test_other_tokenizers_count_whole_texts():
+    c = Counter(public_tokenizers.path("word_bpe_49k.json"))
+    assert not c.by_units and c.counts(HARD) == [whole(c, x) for x in HARD]
+
+
 def test_odd_rows(odd, none):
     c = Counter(PATH)
     want = sorted(((r.doc_id, len((r.text or "").encode()), whole(c, r.text or "")) for r in odd.collect()), key=repr)
