@@ -1,4 +1,4 @@
-"""Whole pipelines over the small inputs, with values worked out from the formulas."""
+"""Whole pipelines over the small inputs, against the formulas in plain Python and values worked out by hand."""
 
 import pytest
 
@@ -13,42 +13,61 @@ def inputs(tmp_path_factory):
 
 def test_scan(spark, inputs):
     got = {r.capability: r for r in pipelines.scan(spark, *inputs).collect()}
-    want = {
-        "renewals": (0.811, 0.865, 0.049, 0.626, 0.667, 0.811, 0.9333, "uncollapsed-feature", 1),
-        "digest": (0.736, 0.632, 0.095, 0.491, 0.421, 0.736, 0.3333, "uncollapsed-feature", 2),
-        "audit": (0.283, 0.393, 0.991, 0.001, 0.001, 0.283, 0.0, "already-collapsed", 3),
-        "export": (0.736, 0.0, 0.0, 0.0, 0.0, 0.0, None, "unsupported-wish", 4),
-        "dark": (0.0, 0.393, 1.0, 0.0, 0.0, 0.0, 0.3889, "already-collapsed", 5),
-    }
-    columns = ("correction", "capacity", "utilization", "score", "collapse_potential", "confidence", "integration_distance", "category", "rank")
+    columns = ("correction", "capacity", "utilization", "score", "collapse_potential", "confidence")
+    want = {name: fixtures.reading(e) for name, e in fixtures.EVIDENCE.items()}
     assert {k: tuple(r[c] for c in columns) for k, r in got.items()} == want
-    assert (len(got["renewals"].evidence.capacity_files), len(got["renewals"].evidence.matched_signals)) == (4, 6)
-    assert got["renewals"].integration == "DEEP"
+    assert {k: r.category for k, r in got.items()} == {k: fixtures.judged(v, fixtures.EVIDENCE[k][-1]) for k, v in want.items()}
+    assert [k for k, r in sorted(got.items(), key=lambda x: x[1].rank)] == sorted(want, key=lambda k: -want[k][3])
+    # watering matches symbols of one script only, so files count: one import of three pairs; frost: two files apart; stall: a call between its two symbols
+    assert {k: r.integration_distance for k, r in got.items()} == {"watering": 0.7778, "bees": 0.0, "frost": 1.0, "seeds": 0.0, "stall": 0.3333}
+    assert {k: r.integration for k, r in got.items()} == {"watering": "DEEP", "bees": "CO-LOCATED", "frost": "DEEP", "seeds": "CO-LOCATED", "stall": "RIPE"}
+    e = got["watering"].evidence
+    assert e.capacity_files == ["garden/water.py", "garden/weather.py", "pumps/drip.ts"] and e.matched_signals == ["dripLine", "rain_forecast", "soilMoisture", "valveSchedule"]
+    assert (e.correction_count, e.demand, e.arrow_share, e.direction_coherence, e.usage_count) == (5, 4.2, 0.905, 0.8, 3.0)
 
 
 def test_discover(spark, inputs):
-    got = pipelines.discover(spark, *inputs).collect()
-    assert [(r.capability, r.signals, len(r.member_ids)) for r in got] == [
-        ("emergent-renewal-risk-blocker", ["renewal", "risk", "blocker", "owner", "report"], 5),
-        ("emergent-digest-weekly-notification", ["digest", "weekly", "notification"], 4),
-        ("emergent-csv-download-result", ["csv", "download", "result"], 4),
-        ("emergent-changed-what-who", ["changed", "what", "who"], 1),
-    ]
-    assert [(r.correction, r.capacity, r.score, r.collapse_potential, r.confidence, r.category) for r in got][0] == (0.811, 0.777, 0.132, 0.315, 0.162, "candidate-unverified")
-    assert got[0].integration_distance == 0.8
+    """Members and signals by hand: words that recur in a cluster, most frequent first; evidence as for declared capabilities."""
+    got = {r.capability: r for r in pipelines.discover(spark, *inputs).collect()}
+    want = {
+        "emergent-hive-weight-chart": (["hive", "weight", "chart"], ["g7", "g8", "g9", "g10"], (4.0, 1.0, 1.0, True, 2, 3, 1, None)),
+        "emergent-beds-dry-soil": (["beds", "dry", "soil", "water"], ["g0", "g1", "g2", "g3"], (3.8, 1.0, 4 / 5, True, 2, 4, 1, None)),
+        "emergent-night-siren": (["night", "siren"], ["g5", "g6"], (3.5, 1.0, 1 / 2, True, 1, 2, 2, None)),
+        "emergent-coin-receipt-returned": (["coin", "receipt", "returned"], ["g12"], (1.0, 1.0, 1.0, True, 0, 3, 0, None)),
+    }
+    assert {k: (r.signals, r.member_ids) for k, r in got.items()} == {k: v[:2] for k, v in want.items()}
+    for name, (_, _, evidence) in want.items():
+        r, values = got[name], fixtures.reading(evidence)
+        assert (r.correction, r.capacity, r.utilization, r.score, r.collapse_potential, r.confidence) == values
+        assert r.category == fixtures.judged(values, None)
+    assert [r.rank for r in sorted(got.values(), key=lambda r: -r.score)] == [1, 2, 3, 4]
 
 
 def test_reflect(spark, inputs):
     two = {r.capability: r for r in pipelines.reflect(spark, *inputs).collect()}
-    top = two["renewals"]
-    assert (top.configurations, top.rank1_share, round(top.candidate_share, 4), top.cp_min, top.cp_max) == (729, 1.0, 0.7037, 0.323, 0.923)
-    assert (top.knob, top.high_level, round(top.high_share, 3), round(top.low_share, 3)) == ("c_half", 3.0, 0.889, 0.333)
-    assert top.verdict == "always first; mostly robust"
-    assert round(two["digest"].candidate_share, 4) == 0.3704 and two["digest"].knob == "k_half"
+    knobs = ("c_half", "k_half", "u_half", "unknown_util_prior", "hi", "lo")
+    for name, rows in fixtures.second_level().items():
+        r = two[name]
+        assert (r.configurations, r.cp_min, r.cp_max) == (729, min(x[4] for x in rows), max(x[4] for x in rows))
+        assert r.rank1_share == pytest.approx(sum(x[2] for x in rows) / 729) and r.candidate_share == pytest.approx(sum(x[3] for x in rows) / 729)
+        spread = {}
+        for i, knob in enumerate(knobs):
+            n = {}
+            for s, cut, _, candidate, _ in rows:
+                n[(*s, *cut)[i]] = n.get((*s, *cut)[i], 0) + candidate
+            spread[knob] = (max(n.values()) - min(n.values()), n)
+        best = max(knobs, key=lambda k: spread[k][0])
+        assert r.knob == (best if spread[best][0] else None)
+        if spread[best][0]:
+            assert r.high_share == pytest.approx(max(spread[best][1].values()) / 243) and r.low_share == pytest.approx(min(spread[best][1].values()) / 243)
     three = {r.capability: r for r in pipelines.reflect(spark, *inputs, level=3).collect()}
-    top = three["renewals"]
-    assert (round(top.min_share, 3), top.max_share, round(top.spread, 3), top.rank1_min, top.class_converges) == (0.444, 1.0, 0.556, 1.0, False)
-    assert round(three["digest"].spread, 3) == 0.307 and three["digest"].class_converges
+    designs = fixtures.third_level()
+    for name in fixtures.EVIDENCE:
+        shares = [sum(x[3] for x in d[name]) / len(d[name]) for d in designs]
+        first = [sum(x[2] for x in d[name]) / len(d[name]) for d in designs]
+        r = three[name]
+        assert (r.min_share, r.max_share, r.mean_share, r.rank1_min) == pytest.approx((min(shares), max(shares), sum(shares) / 6, min(first)))
+        assert r.class_converges == (max(shares) - min(shares) <= 0.35)
 
 
 def test_baseline_and_compare(spark, inputs, tmp_path):
@@ -75,7 +94,7 @@ def test_unrelated_capability_changes_no_reading(spark, inputs):
     tokens = pipelines.tree_tokens(pipelines.lexed_tree(spark, root))
     caps = sources.capabilities(spark, data)
     d, u = fields.demand(sources.corrections(spark, data)), fields.usage(sources.usage(spark, data))
-    found = [{r.capability: r for r in readings(evidence(c, d, fields.capacity(c, tokens), u), config(spark)).drop("ord").collect()} for c in (caps, caps.where("id <> 'dark'"))]
+    found = [{r.capability: r for r in readings(evidence(c, d, fields.capacity(c, tokens), u), config(spark)).drop("ord").collect()} for c in (caps, caps.where("id <> 'seeds'"))]
     assert all(found[0][k] == r for k, r in found[1].items())
 
 
@@ -113,12 +132,12 @@ def test_command_line_and_server(spark, inputs, tmp_path, capsys):
     root, data = inputs
     assert cli.main(["scan", "--repo", root, "--data", data, "--json", "--out", str(tmp_path / "o")]) == 0
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
-    assert [x["capability"] for x in lines][:2] == ["renewals", "digest"] and lines[3]["integration_distance"] is None
+    assert [x["capability"] for x in lines][0] == "watering" and len(lines) == 5
     assert cli.main(["experiment"]) == 2
     with server(spark, root, data, 0) as s:
         threading.Thread(target=s.serve_forever, daemon=True).start()
         at = f"http://127.0.0.1:{s.server_address[1]}"
-        assert json.loads(urllib.request.urlopen(f"{at}/api/scan").read())[0]["capability"] == "renewals"
+        assert json.loads(urllib.request.urlopen(f"{at}/api/scan").read())[0]["capability"] == "watering"
         assert b"<table" in urllib.request.urlopen(at).read()
         s.shutdown()
 
