@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -380,15 +381,20 @@ class Codec:
 PART = 1 << 20
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str, dropout: float = 0.1, seed: int = 1) -> Codec:
+    """One for all tasks of a Python worker, so that each starts with the cache of those before."""
+    return Codec(path, dropout=dropout, seed=seed)
+
+
 def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", keep: list[str] | None = None, occurrence: str | None = None) -> DataFrame:
     """The columns in keep (default: all but text) and piece_ids, an array of ids; one pass, no shuffle. occurrence: a column with numbers from 1 for repetitions of a document, each segmented by itself."""
     keep = [c for c in docs.columns if c not in ("text", "piece_ids", occurrence)] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for b in small(batches, len(keep)):
-            codec = codec or Codec(path, dropout=dropout, seed=seed)
+            codec = codec_of(path, dropout, seed)
             texts, times = b.column(len(keep)).to_pylist(), b.column(len(keep) + 2).to_pylist()
             keys = [k if n == 1 else (k, n) for k, n in zip(b.column(len(keep) + 1).to_pylist(), times)]
             start = 0
@@ -410,9 +416,8 @@ def with_text(encoded: DataFrame, path: str) -> DataFrame:
     keep = [c for c in encoded.columns if c not in ("piece_ids", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for b in batches:
-            codec = codec or Codec(path)
+            codec = codec_of(path)
             texts = [None if x is None else codec.decode(x) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
@@ -424,9 +429,8 @@ def round_trip(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
     """For each document: n_pieces, ids_crc (of the ids' bytes) and whether the pieces decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
         for b in small(batches, "text"):
-            codec = codec or Codec(path, dropout=dropout, seed=seed)
+            codec = codec_of(path, dropout, seed)
             texts, keys = [x or "" for x in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             rows = []
             for part in by_size(range(len(texts)), lambda i: len(texts[i]), PART):
