@@ -4,7 +4,13 @@ Numbers and dates are validated first (checksums, ranges, calendar). What is lef
 is a whole number below some bound; a keyed Feistel network permutes the numbers below that bound,
 so a value becomes another valid value of its format, equal values become equal ones in every
 document, and whoever has the key can turn them back. Of mail addresses the name before the @ is
-permuted, letters as letters and digits as digits; the domain stays.
+permuted, letters as letters and digits as digits, whatever their case; the domain and the case of each place stay.
+
+A pseudonym could read as a value of another kind (a phone whose digits pass for a card). So each value's
+permutation is walked on until a result is found again, as the same kind and whole, if the value itself is; and a
+stretch of text in which pseudonyms still form other values together with their neighbours is walked on as one.
+Both ways walk alike, so texts turn back. A stretch that finds no such state in WALK steps (it takes very many values
+side by side) keeps its first pseudonyms and may not turn back.
 
 Defined cases: null text has no finds and no row in found_documents(); pseudonymised() leaves null,
 empty and clean texts as they are; a null doc_id is passed through; repeated rows and equal values
@@ -13,6 +19,7 @@ get equal pseudonyms; texts of any length are searched whole; other columns pass
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -26,16 +33,22 @@ from pyspark.sql import functions as F
 from .common import in_parts, small
 
 ROUNDS = 8
-KEY = b"demonstration key; give your own"
+WALK = 256
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
+#: English month names, which dates in words use.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
-SSN = re.compile(r"(?<![\w.-])(\d{3})-(\d{2})-(\d{4})(?![\w-])")
-PHONE = re.compile(r"(?<![\w.])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w-])")
-IPV4 = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|\.\d)")
-ISO_DATE = re.compile(r"(?<![\w.-])(\d{4})-(\d{2})-(\d{2})(?![\w-])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+CARD = re.compile(r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-])")
+SSN = re.compile(r"(?<![\w.-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])")
+PHONE = re.compile(r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])")
+IPV4 = re.compile(r"(?<![\w.])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![\w]|\.[0-9])")
+ISO_DATE = re.compile(r"(?<![\w.-])([0-9]{4})-([0-9]{2})-([0-9]{2})(?=T[0-9]|(?![\w-]))")
+SLASH_DATE = re.compile(r"(?<![\w./-])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![\w/-])")
+WORD_DATE = re.compile(rf"(?<![\w.-])(?:([0-9]{{1,2}}) ({'|'.join(MONTHS)}) ([0-9]{{4}})|({'|'.join(MONTHS)}) ([0-9]{{1,2}}), ([0-9]{{4}}))(?![\w-])")
+#: No value, and nothing that decides whether one stands somewhere, reaches beyond such a stretch.
+STRETCH = re.compile(r"[\w ._%+@()/,-]+")
 #: Days that dates are permuted among.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -146,14 +159,55 @@ def ipv4(f: Feistel, s: str, back: bool) -> str | None:
     return f"{a + 1 + (a >= 126)}.{b}.{c}.{d}"
 
 
-def iso_date(f: Feistel, s: str, back: bool) -> str | None:
+def other_day(f: Feistel, day: int, back: bool, like: Callable[[datetime.date], bool]) -> datetime.date | None:
+    """The next day in the permutation that is like the given one, as an ordinal; None outside the days that are permuted."""
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    while True:
+        day = FIRST_DAY + f.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", back)
+        if like(datetime.date.fromordinal(day)):
+            return datetime.date.fromordinal(day)
+
+
+def ordinal(year: int, month: int, day: int) -> int:
+    """0 for a day that the calendar doesn't have."""
     try:
-        day = datetime.date.fromisoformat(s).toordinal()
+        return datetime.date(year, month, day).toordinal()
     except ValueError:
+        return 0
+
+
+def iso_date(f: Feistel, s: str, back: bool) -> str | None:
+    new = other_day(f, ordinal(*(int(x) for x in s.split("-"))), back, lambda d: True)
+    return new and new.isoformat()
+
+
+def slash_date(f: Feistel, s: str, back: bool) -> str | None:
+    """Month first where that is a day of the calendar, else day first; with or without leading zeros, as it was."""
+    a, b, year = s.split("/")
+    month_first = ordinal(int(year), int(a), int(b)) > 0
+    full = len(a) == len(b) == 2
+
+    def shown(d: datetime.date) -> tuple[int, int]:
+        return (d.month, d.day) if month_first else (d.day, d.month)
+
+    if not full and "0" in (a[0], b[0]):
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
-    return datetime.date.fromordinal(FIRST_DAY + f.permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", back)).isoformat()
+
+    def like(d: datetime.date) -> bool:
+        return (month_first or d.day > 12) and (full or min(shown(d)) < 10)
+
+    new = other_day(f, ordinal(int(year), int(a), int(b)) or ordinal(int(year), int(b), int(a)), back, like)
+    return new and ("{:02d}/{:02d}/{:04d}" if full else "{}/{}/{:04d}").format(*shown(new), new.year)
+
+
+def word_date(f: Feistel, s: str, back: bool) -> str | None:
+    m = WORD_DATE.fullmatch(s)
+    day, month, year = (m[1], m[2], m[3]) if m[1] else (m[5], m[4], m[6])
+    zero = day[0] == "0"
+    new = other_day(f, ordinal(int(year), MONTHS.index(month) + 1, int(day)), back, lambda d: not zero or d.day < 10)
+    shown = new and (f"{new.day:02d}" if zero else str(new.day))
+    return new and (f"{shown} {MONTHS[new.month - 1]} {new.year}" if m[1] else f"{MONTHS[new.month - 1]} {shown}, {new.year}")
 
 
 def iban_check(country: str, body: str) -> int:
@@ -179,7 +233,8 @@ def iban(f: Feistel, s: str, back: bool) -> str | None:
 
 def email(f: Feistel, s: str, back: bool) -> str | None:
     name, _, domain = s.rpartition("@")
-    return f"{by_characters(f, name, b'email', back)}@{domain}"
+    new = by_characters(f, name.lower(), b"email", back)
+    return "".join(c.upper() if x.isupper() else c for x, c in zip(name, new)) + "@" + domain
 
 
 #: Earlier kinds win where spans overlap.
@@ -191,25 +246,82 @@ RULES: tuple[tuple[str, re.Pattern[str], Callable[[Feistel, str, bool], str | No
     ("phone", PHONE, phone),
     ("ipv4", IPV4, ipv4),
     ("date", ISO_DATE, iso_date),
+    ("date", SLASH_DATE, slash_date),
+    ("date", WORD_DATE, word_date),
 )
 DIGIT = re.compile("[0-9]")
+Span = tuple[int, int, int]
 
 
-def finds(f: Feistel, text: str, back: bool = False) -> list[tuple[int, int, str, str]]:
-    """Start, end, kind and pseudonym of each validated value, by place, without overlap."""
-    out: list[tuple[int, int, str, str]] = []
+def located(f: Feistel, text: str) -> list[Span]:
+    """Start, end and rule of each validated value, by place, without overlap."""
+    out: list[Span] = []
     some = DIGIT.search(text) is not None
-    for kind, pattern, rule in RULES:
+    for k, (kind, pattern, rule) in enumerate(RULES):
         if kind == "email" and "@" not in text or kind != "email" and not some:
             continue
+        new: list[Span] = []
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(s < y and x < e for x, y, _, _ in out):
+            at = bisect.bisect_right(out, (s, len(text) + 1, 0))
+            if at and out[at - 1][1] > s or at < len(out) and out[at][0] < e:
                 continue
-            new = rule(f, m[0], back)
-            if new is not None:
-                out.append((s, e, kind, new))
-    return sorted(out)
+            if rule(f, m[0], False) is not None:
+                new.append((s, e, k))
+        out = sorted(out + new) if new else out
+    return out
+
+
+def walked(f: Feistel, value: str, k: int, back: bool) -> str:
+    """The next value of the permutation that is found by itself as this one is, or isn't as this one isn't."""
+    found = located(f, value) == [(0, len(value), k)]
+    while True:
+        value = RULES[k][2](f, value, back)
+        if (located(f, value) == [(0, len(value), k)]) == found:
+            return value
+
+
+def moved(spans: list[Span], values: list[str]) -> list[Span]:
+    """Where spans stand once they hold these values."""
+    out, shift = [], 0
+    for (s, e, k), x in zip(spans, values):
+        out.append((s + shift, s + shift + len(x), k))
+        shift += len(x) - (e - s)
+    return out
+
+
+def stretched(f: Feistel, text: str, spans: list[Span], back: bool) -> list[str]:
+    """New values for the spans of one stretch of text: the first after which the same rules find them all again."""
+    first: list[str] = []
+    now, at = text, spans
+    for _ in range(WALK):
+        values = [walked(f, now[s:e], k, back) for s, e, k in at]
+        now, at = replaced(now, [(s, e, "", x) for (s, e, _), x in zip(at, values)]), moved(at, values)
+        first = first or values
+        if located(f, now) == at:
+            return values
+    return first
+
+
+def finds(f: Feistel, text: str, back: bool = False) -> list[tuple[int, int, str, str]]:
+    """Start, end, kind and pseudonym (or, with back, the value before) of each validated value, by place, without overlap."""
+    spans = located(f, text)
+    if not spans:
+        return []
+    values = [walked(f, text[s:e], k, back) for s, e, k in spans]
+    found = [(s, e, RULES[k][0], x) for (s, e, k), x in zip(spans, values)]
+    if located(f, replaced(text, found)) == moved(spans, values):
+        return found
+    found, at = [], 0
+    for m in STRETCH.finditer(text):
+        here = []
+        while at < len(spans) and spans[at][0] < m.end():
+            s, e, k = spans[at]
+            here.append((s - m.start(), e - m.start(), k))
+            at += 1
+        if here:
+            found += [(s + m.start(), e + m.start(), RULES[k][0], x) for (s, e, k), x in zip(here, stretched(f, m[0], here, back))]
+    return found
 
 
 def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
@@ -220,7 +332,7 @@ def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, *, back: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, *, back: bool = False) -> DataFrame:
     """docs with the personal data in text replaced (or, with back, restored); all other columns stay."""
     at = docs.columns.index("text")
 
@@ -234,8 +346,8 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, *, back: bool = False) -> D
     return in_parts(docs).mapInArrow(run, docs.schema)
 
 
-def found_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """One row for each document that holds personal data: doc_id, n_found, spans (kind:start:end by place) and text_sha256 of the pseudonymised text."""
+def found_documents(docs: DataFrame, key: bytes) -> DataFrame:
+    """One row for each document that holds personal data: doc_id, n_found, spans (kind:start:end by place), pseudonyms (by place) and text_sha256 of the pseudonymised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
@@ -243,8 +355,8 @@ def found_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if text and (found := finds(f, text)):
-                    rows.append((i, len(found), ",".join(f"{k}:{s}:{e}" for s, e, k, _ in found), hashlib.sha256(replaced(text, found).encode()).hexdigest()))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_found", "spans", "text_sha256"])
+                    rows.append((i, len(found), ",".join(f"{k}:{s}:{e}" for s, e, k, _ in found), "|".join(x for *_, x in found), hashlib.sha256(replaced(text, found).encode()).hexdigest()))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "n_found", "spans", "pseudonyms", "text_sha256"])
 
-    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_found long, spans string, text_sha256 string")
+    return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_found long, spans string, pseudonyms string, text_sha256 string")

@@ -39,18 +39,18 @@ def test_what_does_not_validate_stays():
 
 def test_values_stay_linked(spark):
     rows = spark.createDataFrame([(k, f"{w} 4418452524842581 {w}") for k, w in enumerate(("a", "b"))], "doc_id long, text string")
-    a, b = (r.text.split()[1] for r in P.pseudonymised(rows).collect())
+    a, b = (r.text.split()[1] for r in P.pseudonymised(rows, b"k").collect())
     assert a == b != "4418452524842581"
     assert a != P.pseudonymised(rows, b"other").first().text.split()[1]
 
 
 def test_odd_rows(odd, none, docs):
-    assert P.found_documents(odd).count() == 0 and P.found_documents(none).count() == 0
-    same = P.pseudonymised(odd)
+    assert P.found_documents(odd, b"k").count() == 0 and P.found_documents(none, b"k").count() == 0
+    same = P.pseudonymised(odd, b"k")
     assert same.columns == odd.columns and sorted(map(repr, same.collect())) == sorted(map(repr, odd.collect()))
-    back = P.pseudonymised(P.pseudonymised(docs), back=True)
+    back = P.pseudonymised(P.pseudonymised(docs, b"k"), b"k", back=True)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
-    flagged = {r.doc_id for r in P.found_documents(docs).collect()}
+    flagged = {r.doc_id for r in P.found_documents(docs, b"k").collect()}
     assert {r.doc_id for r in docs.where("text LIKE '%@mail%'").collect()} <= flagged
 
 
@@ -60,3 +60,91 @@ def test_phones_with_a_country_code_outside_the_numbering_rules():
         new = P.replaced(text, [found])
         assert found[2] == "phone" and new != text and new.startswith("+1 ") and len(new) == len(text)
         assert P.replaced(new, P.finds(F8, new, back=True)) == text
+
+
+def turned(text):
+    """The text under pseudonyms, after asserting that it turns back."""
+    new = P.replaced(text, P.finds(F8, text))
+    assert P.replaced(new, P.finds(F8, new, back=True)) == text
+    return new
+
+
+def digits(n):
+    return st.text("0123456789", min_size=n, max_size=n)
+
+
+VALUES = st.one_of(
+    st.builds("+{} {} {} {} {}".format, st.integers(1, 99), digits(4), digits(4), digits(4), digits(2)),
+    st.builds("+1 ({}) {}-{}".format, digits(3), digits(3), digits(4)),
+    st.builds("{} {} {} {}".format, digits(4), digits(4), digits(4), digits(4)),
+    digits(16),
+    st.builds("{}-{}-{}".format, digits(3), digits(2), digits(4)),
+    st.builds("{}.{}.{}.{}".format, *[st.integers(0, 255)] * 4),
+    st.dates().map(str),
+    st.dates().map(lambda d: f"{d.month}/{d.day}/{d.year:04d}"),
+    st.dates().map(lambda d: f"{d.day:02d}/{d.month:02d}/{d.year:04d}"),
+    st.dates().map(lambda d: f"{d.day} {P.MONTHS[d.month - 1]} {d.year:04d}"),
+    st.dates().map(lambda d: f"{P.MONTHS[d.month - 1]} {d.day}, {d.year:04d}"),
+    st.builds("{}{}@x.org".format, st.sampled_from(("Ann", "ann.b", "a_B")), digits(3)),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(VALUES, st.sampled_from((" ", ", ", "\n", " at ", "; ", "+", "é"))), min_size=1, max_size=6))
+def test_mixed_texts_turn_back(parts):
+    turned("".join(v + sep for v, sep in parts))
+
+
+def test_a_phone_whose_pseudonym_is_a_card_by_chance():
+    for k in range(600):
+        turned(f"+1 {7297 + k} 4363 {3748 + 3 * k} 75")
+
+
+def test_dates_in_other_forms():
+    for text in ("2024-02-29T10:00:00", "12/31/1999", "31/12/1999", "1/5/2001", "5 March 2020", "05 March 2020", "March 5, 2020"):
+        (found,) = P.finds(F8, text)
+        assert found[2] == "date" and turned(text) != text
+    assert turned("2024-02-29T10:00:00").endswith("T10:00:00") and P.finds(F8, "31 February 2020 13/32/2000") == []
+
+
+def test_addresses_link_whatever_their_case():
+    a, b = turned("Ann.Lee7@x.org"), turned("ann.lee7@x.org")
+    assert a.lower() == b and a[0].isupper() and a != "Ann.Lee7@x.org"
+
+
+def test_found_rows_against_a_plain_finder(spark, docs):
+    """Numbers and addresses of the generated documents, found by plain patterns and arithmetic of the test's own."""
+    import hashlib
+    import re
+
+    def plain(text):
+        out = []
+        for kind, p in (("email", r"[\w.]+@[\w.]+\w"), ("card", r"(?<![\w.+-])\d{13,19}(?![\w-])"), ("phone", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("ipv4", r"(?<![\w.])\d+\.\d+\.\d+\.\d+(?!\w|\.\d)")):
+            for m in re.finditer(p, text):
+                if kind == "card" and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(m[0]))) % 10:
+                    continue
+                if kind == "ipv4" and (max(map(int, m[0].split("."))) > 255 or not 1 <= int(m[0].split(".")[0]) <= 223 or re.search(r"(^|\.)0\d", m[0]) or m[0].startswith("127.")):
+                    continue
+                out.append((m.start(), m.end(), kind))
+        return sorted(out)
+
+    rows = {r.doc_id: r for r in P.found_documents(docs, b"k").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r.text for r in P.pseudonymised(docs, b"k").collect()}
+    want = {i: plain(x) for i, x in texts.items() if x and plain(x)}
+    assert {i: r.spans for i, r in rows.items()} == {i: ",".join(f"{k}:{s}:{e}" for s, e, k in v) for i, v in want.items()}
+    for i, r in rows.items():
+        assert r.n_found == len(want[i]) == len(r.pseudonyms.split("|")) and r.text_sha256 == hashlib.sha256(new[i].encode()).hexdigest()
+        assert all(x in new[i] for x in r.pseudonyms.split("|")) and not any(texts[i][s:e] in new[i] for s, e, _ in want[i])
+
+
+def test_many_finds_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (1_000, 8_000):
+        text = "\n".join(f"{2000 + k % 90}-0{1 + k % 9}-1{k % 9} done" for k in range(n))
+        began = time.process_time()
+        assert len(P.finds(F8, text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1
