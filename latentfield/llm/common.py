@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.staging import discard, shared_dir, spread, staged
 
-__all__ = ["WORD", "WORD_RE", "by_size", "discard", "documents", "in_parts", "shared_dir", "small", "spread", "staged", "text_bytes"]
+__all__ = ["WORD", "WORD_RE", "by_size", "discard", "documents", "fresh", "in_parts", "shared_dir", "small", "spread", "staged", "text_bytes"]
 
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_size(rows: Iterable, size: Callable, limit: int) -> Iterator[list]:
     """Cuts rows into lists whose sizes sum to about limit; a single larger row is a list of its own."""
     out, total = [], 0

@@ -7,7 +7,7 @@ Without dropout the pieces are those of the sentencepiece library.
 
 No piece of the model reaches over a word's begin, so words are encoded by themselves. What the agenda
 does depends only on the word and on which of the offered candidates are skipped, so that is what the bounded cache
-holds: a node for a word and a set of skipped candidates has the pieces and the candidates still to be tested; an
+holds: a node for a word and a set of skipped candidates has the pieces and the candidates that were merged on the way; an
 occurrence tests them with its own key and goes on to the node of those that it skips, until it skips no more. New nodes
 of a batch, and occurrences that need a node that no other one of the batch needs, are merged together in numpy arrays, one merge for each word and
 round; words of over LONG characters go through a heap instead, in time that grows as n log n.
@@ -16,7 +16,7 @@ Characters outside the vocabulary, and a literal U+2581, become byte pieces: dec
 
 Defined cases: null text has null pieces and decodes to null (the query counts 0 pieces and calls it
 lossless); an empty text has none; a null doc_id has a key of its own; equal rows get equal pieces;
-texts of any length are encoded whole; other columns pass through unread.
+texts of any length are encoded whole; other columns pass through unread, but for one named piece_ids, which the pieces replace.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_size, in_parts, small
+from .common import by_size, fresh, in_parts, small
 
 SPACE = "▁"
 LONG = 40
@@ -45,6 +45,10 @@ M64 = (1 << 64) - 1
 CACHE_NODES = 200_000
 #: Candidates of a node that fit into a mask.
 MASK_BITS = 62
+#: Words are merged together with others of about their length, so many at once.
+WIDTHS, BLOCK = (6, 9, 13, 20), 1 << 13
+#: The symbol of a place that is empty, and the rank of a pair that can't be merged.
+GONE, LAST = -(1 << 30), 1 << 30
 #: Bits of a symbol in a candidate's number.
 SYMBOL_BITS = 17
 
@@ -101,6 +105,7 @@ class Codec:
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in ids.values()}, reverse=True))}
         self.rank = np.full(n, BIG, np.int64)
         self.rank[list(ids.values())] = [order[sp.get_score(i)] for i in ids.values()]
+        self.rank32 = np.minimum(self.rank, LAST).astype(np.int32)
         self.char = np.full(0x110000, -1, np.int32)
         for p, i in ids.items():
             if len(p) == 1:
@@ -216,21 +221,23 @@ class Codec:
         return self.merged(words, skip if self.cut else None)
 
     def explored(self, words: list[str], skips: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The pieces of words if exactly the candidates in skips are skipped, and the others that are offered: word's number and candidate, in order."""
+        """The pieces of words if exactly the candidates in skips are skipped, and the candidates that are merged: word's number and candidate, in order.
+
+        A candidate that never gets to its merge changes nothing, skipped or not, so an occurrence tests only these.
+        """
         gone = np.concatenate([s | i << OFFER_BITS for i, s in enumerate(skips)] or [np.zeros(0, np.int64)])
         gone.sort()
-        offered: list[np.ndarray] = []
+        done: list[np.ndarray] = []
 
-        def skip(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            x = word << OFFER_BITS | place << 2 * SYMBOL_BITS | left << SYMBOL_BITS | right
-            out = np.zeros(len(x), bool)
-            if len(gone):
-                out = gone[np.minimum(np.searchsorted(gone, x), len(gone) - 1)] == x
-            offered.append(x[~out])
-            return out
-
-        data = self.merged(words, skip if self.cut else None)
-        x = np.unique(np.concatenate(offered or [np.zeros(0, np.int64)]))
+        def numbered(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return word << OFFER_BITS | place << 2 * SYMBOL_BITS | left << SYMBOL_BITS | right
+
+        def skip(*offered: np.ndarray) -> np.ndarray:
+            x = numbered(*offered)
+            return gone[np.minimum(np.searchsorted(gone, x), len(gone) - 1)] == x
+
+        data = self.merged(words, skip if len(gone) else None, (lambda *x: done.append(numbered(*x))) if self.cut else None)
+        x = np.sort(np.concatenate(done or [np.zeros(0, np.int64)]))
         return data, x >> OFFER_BITS, x & ((1 << OFFER_BITS) - 1)
 
     def added(self, words: list[str], skips: list[np.ndarray], tested: list[np.ndarray]) -> range:
@@ -249,9 +256,9 @@ class Codec:
         self.offer_hashes = np.append(self.offer_hashes, offer_hash(offers >> 2 * SYMBOL_BITS, offers >> SYMBOL_BITS & ones, offers & ones))
         return range(first, first + len(words))
 
-    def occurrences(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """The pieces of occurrences of short words, each with its key; the same as merge_all gives."""
-        new = sorted(w for w, n in Counter(words).items() if n > 1 and w not in self.roots)
+    def occurrences(self, words: list[str], keys: np.ndarray, times: Counter[str] | None = None) -> list[bytes]:
+        """The pieces of occurrences of short words, each with its key; the same as merge_all gives. times: how often each word occurs."""
+        new = sorted(w for w, n in (Counter(words) if times is None else times).items() if n > 1 and w not in self.roots)
         none = np.zeros(0, np.int64)
         if new:
             self.roots.update(zip(new, self.added(new, [none] * len(new), [none] * len(new))))
@@ -289,69 +296,77 @@ class Codec:
                 out[i] = x
         return out
 
-    def merged(self, words: list[str], skip: Callable | None) -> list[bytes]:
-        """The pieces of many short words, without the candidates (word's number, place, left, right) that skip tells."""
-        if not words:
-            return []
+    def merged(self, words: list[str], skip: Callable | None, seen: Callable | None = None) -> list[bytes]:
+        """The pieces of many short words, without the candidates (word's number, place, left, right) that skip tells; seen is given those that are merged."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out = [b""] * len(words)
+        low = 0
+        for width in (*WIDTHS, max(int(size.max(initial=0)), WIDTHS[-1] + 1)):
+            alike = np.flatnonzero((size > low) & (size <= width))
+            for s in range(0, len(alike), BLOCK):
+                rows = alike[s : s + BLOCK]
+                for i, data in zip(rows.tolist(), self.merged_block([words[i] for i in rows.tolist()], rows, width, skip, seen)):
+                    out[i] = data
+            low = width
+        return out
 
-        def ranks(word: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> np.ndarray:
-            out = np.where(merged >= 0, self.rank[merged], BIG)
-            if skip is not None:
-                some = np.flatnonzero(merged >= 0)
-                out[some[skip(word[some], place[some], left[some], right[some])]] = BIG
-            return out
+    def merged_block(self, words: list[str], names: np.ndarray, width: int, skip: Callable | None, seen: Callable | None) -> list[bytes]:
+        """merged() for words of up to width symbols, a row of places for each; names: what skip and seen know them as.
 
+        In each round each word merges its best pair. A symbol knows its neighbours' places; the spare place behind all stands for none.
+        """
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        word = np.repeat(np.arange(n), size)
-        place = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
-        sym = self.char[points].astype(np.int64)
-        unknown = sym < 0
-        sym[unknown] = -1 - points[unknown].astype(np.int64)
-        last = np.append(word[1:] != word[:-1], True)
-        right = np.append(sym[1:], -1)
-        merged = np.where(last, -1, self.lookup(sym, right))
-        rank = ranks(word, place, sym, right, merged)
-        done_word, done_sym = [], []
-        while len(sym):
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, starts)
-            length = np.diff(np.append(starts, len(word)))
-            each = np.repeat(least, length)
-            over = each >= BIG
-            if over.any():
-                done_word.append(word[over])
-                done_sym.append(sym[over])
-                go = ~over
-                sym, word, place, merged, rank, each = sym[go], word[go], place[go], merged[go], rank[go], each[go]
-                if not len(sym):
-                    break
-            at = np.flatnonzero(rank == each)
-            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
-            sym[at] = merged[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            shift = at - np.arange(len(at))  # one symbol is gone for each merge before
-            sym, word, place, merged, rank = sym[keep], word[keep], place[keep], merged[keep], rank[keep]
-            marks = np.zeros(len(sym) + 1, bool)
-            marks[shift] = marks[shift - 1] = True  # -1 marks the spare place
-            touched = np.flatnonzero(marks[:-1])
-            nxt = np.minimum(touched + 1, len(sym) - 1)
-            ends = (touched + 1 >= len(sym)) | (word[touched] != word[nxt])
-            m = np.where(ends, -1, self.lookup(sym[touched], sym[nxt]))
-            merged[touched] = m
-            rank[touched] = ranks(word[touched], place[touched], sym[touched], sym[nxt], m)
-        word, sym = np.concatenate(done_word or [np.zeros(0, np.int64)]), np.concatenate(done_sym or [np.zeros(0, np.int64)])
-        by = np.argsort(word, kind="stable")
-        word, sym = word[by], sym[by]
-        if (sym < 0).any():
-            parts = [np.array([s], np.int64) if s >= 0 else self.byte_ids[np.frombuffer(chr(-1 - s).encode(), np.uint8)].astype(np.int64) for s in sym.tolist()]
-            word = np.repeat(word, [len(p) for p in parts])
-            sym = np.concatenate(parts)
-        data = sym.astype("<i4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(word, minlength=n))
-        return [data[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(n), size)
+        at = np.arange(len(points)) + (np.arange(n) * width - np.cumsum(size) + size)[row]
+        none = n * width
+        sym = np.full(none + 1, GONE, np.int32)
+        own = self.char[points]
+        sym[at] = np.where(own < 0, -1 - points.astype(np.int32), own)
+        after, before = np.full(none + 1, none, np.int32), np.full(none + 1, none, np.int32)
+        joined = np.flatnonzero(row[1:] == row[:-1])
+        after[at[joined]], before[at[joined + 1]] = at[joined + 1], at[joined]
+        to, rank = np.full(none + 1, -1, np.int32), np.full(none + 1, LAST, np.int32)
+
+        def offer(left: np.ndarray, right: np.ndarray) -> None:
+            """Puts the pairs at these places on the agenda, in place of what was there."""
+            a, b = sym[left], sym[right]
+            m = self.lookup(a, b)
+            r = np.where(m >= 0, self.rank32[m], LAST)
+            if skip is not None:
+                some = np.flatnonzero(m >= 0)
+                p = left[some].astype(np.int64)
+                r[some[skip(names[p // width], p % width, a[some].astype(np.int64), b[some].astype(np.int64))]] = LAST
+            to[left], rank[left] = m, r
+
+        offer(at[joined], at[joined + 1])
+        rows = rank[:none].reshape(n, width)
+        active = np.arange(n)
+        while len(active):
+            own = rows if len(active) == n else rows[active]
+            best = own.argmin(axis=1)
+            place = active * width + best
+            go = rank[place] < LAST
+            active, best, place = active[go], best[go], place[go]
+            behind = after[place]
+            if seen is not None and len(active):
+                seen(names[active], best, sym[place].astype(np.int64), sym[behind].astype(np.int64))
+            sym[place], sym[behind], rank[behind] = to[place], GONE, LAST
+            right, left = after[behind], before[place]
+            after[place], before[right] = right, place
+            offer(np.concatenate([left, place]), np.concatenate([place, right]))
+            rank[none], sym[none] = LAST, GONE
+        kept = sym[:none] != GONE
+        ends = np.cumsum(kept.reshape(n, width).sum(axis=1))
+        ids = sym[:none][kept]
+        if (ids < 0).any():
+            parts = [np.array([x], np.int32) if x >= 0 else self.byte_ids[np.frombuffer(chr(-1 - x).encode(), np.uint8)] for x in ids.tolist()]
+            ends = np.append(0, np.cumsum([len(x) for x in parts]))[ends]
+            ids = np.concatenate(parts)
+        data = ids.astype("<i4").tobytes()
+        ends = (4 * ends).tolist()
+        return [data[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
     def encode(self, texts: list[str], keys: list) -> list[bytes]:
         """The pieces of each text as bytes of 32-bit little-endian ids. keys: of each text, such as its doc_id."""
@@ -363,13 +378,13 @@ class Codec:
         words = list(chain.from_iterable(each))
         number = np.arange(len(words), dtype=np.uint64) - np.repeat((ends - size).astype(np.uint64), size)
         own = mixed(np.repeat(np.array([self.text_key(k) for k in keys], np.uint64), size) + number * np.uint64(0x9E3779B97F4A7C15))
-        long = [i for i, w in enumerate(words) if len(w) > LONG]
-        short = words
-        if long:
-            short = words.copy()
-            for i in long:
-                short[i] = " "
-        out = self.occurrences(short, own)
+        times = Counter(words)
+        above = {w for w in times if len(w) > LONG}
+        long = [i for i, w in enumerate(words) if w in above] if above else []
+        for i in long:
+            times[words[i]] = 0
+        short = [" " if w in above else w for w in words] if above else words
+        out = self.occurrences(short, own, times)
         for i in long:
             out[i] = np.array(self.agenda(words[i], int(own[i])), "<i4").tobytes()
         return [b"".join(out[e - n : e]) for n, e in zip(size.tolist(), ends.tolist())]
@@ -388,7 +403,7 @@ def codec_of(path: str, dropout: float = 0.1, seed: int = 1) -> Codec:
 
 
 def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int = 1, key: str = "doc_id", keep: list[str] | None = None, occurrence: str | None = None) -> DataFrame:
-    """The columns in keep (default: all but text) and piece_ids, an array of ids; one pass, no shuffle. occurrence: a column with numbers from 1 for repetitions of a document, each segmented by itself."""
+    """The columns in keep (default: all but text) and piece_ids, an array of ids, in place of a column of that name; one pass, no shuffle. occurrence: a column with numbers from 1 for repetitions of a document, each segmented by itself."""
     keep = [c for c in docs.columns if c not in ("text", "piece_ids", occurrence)] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
 
@@ -408,7 +423,8 @@ def with_pieces(docs: DataFrame, path: str, *, dropout: float = 0.1, seed: int =
                 yield pa.RecordBatch.from_arrays([*cols, ids], names=[*(f.name for f in fields), "piece_ids"])
 
     schema = T.StructType([*fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
-    return in_parts(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text"), F.col(key).cast("long").alias("__key"), (F.lit(1) if occurrence is None else F.col(occurrence)).cast("long").alias("__times")).mapInArrow(run, schema)
+    text, own, times = (fresh(docs, x) for x in ("__text", "__key", "__times"))
+    return in_parts(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(text), F.col(key).cast("long").alias(own), (F.lit(1) if occurrence is None else F.col(occurrence)).cast("long").alias(times)).mapInArrow(run, schema)
 
 
 def with_text(encoded: DataFrame, path: str) -> DataFrame:
