@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, in_parts, small
+from .common import by_size, discard, in_parts, small, staged
 
 DIMENSIONS = 1024
+#: Prototypes are 8 KB each on the driver and in each task.
+MOST_LANGUAGES = 2000
 PART = 1 << 18
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -60,10 +62,10 @@ class Binder:
         padded = (f" {x} " for x in texts)
         each = ((i, x[s : s + PART + 2]) for i, x in enumerate(padded) for s in range(0, max(len(x) - 2, 1), PART))
         for group in by_size(each, lambda p: len(p[1]) + 20, PART):
-            yield [i for i, _ in group], [x.lower() for _, x in group]
+            yield [i for i, _ in group], [x.lower().replace("\x00", " ") for _, x in group]
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, index and letters of the 3-grams of the texts: (row of each, index of each, letters of each index). Other characters are a blank; 3-grams with two blanks in a row, and those over a NUL, which ends a text here, don't count."""
+        """Row, index and letters of the 3-grams of the texts: (row of each, index of each, letters of each index). Other characters are a blank; 3-grams with two blanks in a row, and those over a NUL, which ends a text here (parts() puts a blank for those within texts), don't count."""
         data = "\x00".join(texts)
         points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) < 3:
@@ -134,11 +136,12 @@ class Profiles:
         return ["und" if n else self.languages[i] for i, n in zip(best, none)], np.where(none, 0.0, score)
 
 
-def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11) -> Profiles:
+def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11, most_languages: int = MOST_LANGUAGES) -> Profiles:
     """Prototypes of the languages in labelled (text, lang), over all its rows.
 
     Each task sends one bundle for each language; they are summed by language and dimension. What
-    comes to the driver is languages x dimensions numbers, whatever the number of rows.
+    comes to the driver is languages x dimensions numbers, whatever the number of rows; labels that are more than
+    most_languages raise an error before anything is collected.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +161,24 @@ def learn(labelled: DataFrame, *, dimensions: int = DIMENSIONS, seed: int = 11)
             names = sorted(sums)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sums[x].tolist() for x in names], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    rows = (
+    bundled = staged(
         in_parts(labelled).where("text IS NOT NULL AND lang IS NOT NULL")
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .mapInArrow(run, "lang string, v array<long>")
         .select("lang", F.posexplode("v").alias("i", "x"))
         .groupBy("lang", "i")
-        .agg(F.sum("x").alias("x"))
-        .groupBy("lang")
+        .agg(F.sum("x").alias("x")),
+        "language-bundles",
+    )
+    if bundled.where("i = 0").count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    rows = (
+        bundled.groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
         .select("lang", F.transform("v", lambda p: p["x"]).alias("v"))
         .collect()
     )
+    discard(bundled)
     found = sorted((r["lang"], np.array(r["v"], float)) for r in rows if any(r["v"]))
     names = [k for k, _ in found]
     if not names:

@@ -1,7 +1,10 @@
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from latentfield.llm.language_id import PART, Binder, identify, language_id, learn
+from latentfield.llm.language_id import PART, Binder, identify, is_held_out, language_id, learn
 
 
 def test_held_out_accuracy(docs):
@@ -33,3 +36,55 @@ def test_parts_add_up():
     b, text = Binder(128), "abc de " * (PART // 5)
     whole = sum(b.bundles(len(p), *b.grams(p)).sum(axis=0) for _, p in b.parts([text]))
     assert (whole == b.bundles(1, *b.grams([f" {text} "]))[0]).all()
+
+
+def test_letters_beside_nul_count(spark, docs):
+    profiles = learn(docs.where(~is_held_out()).select("text", "lang"))
+    rows = spark.createDataFrame([(1, "a\x00"), (2, "\x00 \x00"), (3, "a ")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(rows, profiles).collect()}
+    assert got[2] == ("und", 0.0) and got[1] == got[3] and got[1][0] != "und"
+
+
+def test_predictions_equal_brute_force(spark, docs):
+    """Every gram of every text bound letter by letter, bundled and compared in plain loops over dictionaries."""
+    b, d = Binder(128), 128
+    few = docs.orderBy("doc_id").limit(60).cache()
+    rows = few.collect()
+
+    def bundle(text):
+        out = np.zeros(d, np.int64)
+        clean = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        for i in range(len(clean) - 2):
+            x, y, z = clean[i : i + 3]
+            if y == " " and " " in (x, z):
+                continue
+            out += np.roll(b.letter(ord(x)).astype(np.int64), 2) * np.roll(b.letter(ord(y)).astype(np.int64), 1) * b.letter(ord(z))
+        return out
+
+    learned = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            learned[r.lang] = learned.get(r.lang, 0) + bundle(r.text)
+    names = sorted(k for k, v in learned.items() if v.any())
+    unit = {k: learned[k] / np.linalg.norm(learned[k]) for k in names}
+    mean = sum(unit.values()) / len(unit)
+    want = {}
+    for r in rows:
+        v = bundle(r.text).astype(float)
+        if not v.any():
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        v = v / np.linalg.norm(v) - mean
+        cos = {k: v @ (unit[k] - mean) / np.linalg.norm(v) / np.linalg.norm(unit[k] - mean) for k in names}
+        best = max(names, key=lambda k: round(cos[k], 9))
+        want[r.doc_id] = (best, min(max(cos[best], 0.0), 1.0))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id(few, dimensions=d).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = spark.createDataFrame([(f"abc{k}", f"l{k}") for k in range(5)], "text string, lang string")
+    assert len(learn(rows, dimensions=64, most_languages=5).languages) == 5
+    with pytest.raises(ValueError, match="languages"):
+        learn(rows, dimensions=64, most_languages=4)
