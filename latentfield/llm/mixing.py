@@ -10,7 +10,8 @@ from sums over the hash's first 12 bits and then among the documents of the buck
 cut. So no source, however large, is sorted or gathered whole, and documents themselves are never shuffled.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source
-without words has target 0; a null doc_id hashes as the word null; rows that repeat a doc_id share
+without words has target 0 and is never taken; documents without words are taken as their place in the hash's order says, so never
+more often than max_epochs; a null doc_id hashes as the word null; rows that repeat a doc_id share
 its hash and so are taken or left together; an empty table gives no rows; other columns are kept by
 mixed_rows() and not read by mix().
 """
@@ -84,14 +85,14 @@ def source_plan(sizes: DataFrame, *, weights: Sequence[float] = WEIGHTS, max_epo
         .groupBy("__s", "__hash", "__before", "__quota")
         .agg(F.sum("__size").alias("__size"))
         .withColumn("__upto", F.col("__before") + F.coalesce(F.sum("__size").over(at), F.lit(0)))
-        .where(F.col("__upto") + F.col("__size") / 2.0 <= F.col("__quota"))
+        .where(F.col("__upto") + F.col("__size") / 2.0 <= F.col("__quota"))  # a quota of 0 has no edge
         .groupBy("__s")
         .agg(F.max("__hash").alias("__last"))
     )
     full = (
         buckets.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0)))
         .join(sources.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")))
-        .where("__before + __words <= __quota")
+        .where("__quota > 0 AND __before + __words <= __quota")
         .groupBy("__s")
         .agg(F.max("__bucket").alias("__full"))
         .select("__s", (F.shiftleft(F.col("__full") + 1, HASH_BITS - BUCKET_BITS) - 1).alias("__last"))

@@ -31,6 +31,16 @@ def test_water_filling_clamps_and_reshares(spark):
         assert abs(per[n].target - target[s]) < 1e-6 and abs(per[n].taken - target[s]) <= 5 and per[n].most <= 3
 
 
+def test_rows_without_words_are_never_taken_too_often(spark):
+    rows = [(i, "w w" if i % 4 == 0 else " ", "small") for i in range(400)] + [(1000 + i, "w " * 50, "large") for i in range(400)] + [(5000 + i, None, "wordless") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("repeats").alias("most"), F.max("target").alias("target")).collect()
+    most = {r.source: (r.most, r.target) for r in got}
+    assert most["wordless"] == (0, 0.0) and most["small"][0] == 3 and most["large"][0] <= 3
+    assert mixed_rows(docs).where("source = 'wordless'").count() == 0
+    assert mixed_rows(docs).groupBy("doc_id").count().where("count > 3").count() == 0
+
+
 def test_reruns_agree(docs):
     assert mix(docs).orderBy("doc_id").collect() == mix(docs.repartition(7)).orderBy("doc_id").collect()
 
