@@ -15,7 +15,8 @@ passes with a probability below `miss`.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite numbers, or whose label is null, links with
 nothing; vectors of unlike length don't link; equal vectors of a label are one class with a count,
-each linked with all others; an empty table gives no rows; other columns are never read.
+each linked with all others; rows that repeat a vec_id are vectors of their own, each with its own links and component; an
+empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import staged
+from .common import discard, in_parts, staged
 
 RUN = 256
 CHUNK = 1024
@@ -59,12 +60,36 @@ def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(at) if i != r]
 
 
+def matrix(column: pa.Array, dims: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a list column by their length: row numbers and a matrix of them."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        yield rows, flat[(ends[rows] - d)[:, None] + np.arange(d)].astype(float)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row as bytes: in single precision if that holds it exactly."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    exact = (single == x).all(axis=1)
+    return [(a if e else b).tobytes() for a, b, e in zip(single, x, exact.tolist())]
+
+
+def unpacked(data: list[bytes], dims: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dims else float).astype(float) for v in data])
+
+
 def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, miss: float = 1e-4) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     good = "vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND size(e) > 0 AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(e, x -> x <> 0)"
     rows = staged(rows.withColumn("class", F.when(F.expr(good), F.md5(F.concat_ws("|", "label", F.array_join(F.col("e").cast("array<string>"), ","))))), "vectors")
-    classes = staged(rows.where("class IS NOT NULL").groupBy("class", "label").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("e").alias("e")), "vector-classes")
+    # classes have numbers of their own, since rows of unlike vectors may share a vec_id
+    classes = staged(
+        rows.where("class IS NOT NULL").groupBy("class", "label").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("e").alias("e")).select("*", F.monotonically_increasing_id().alias("id")), "vector-classes"
+    )
+    rows = rows.select("vec_id", "class")
     sizes = staged(classes.groupBy("label", F.size("e").alias("dims")).agg(F.count("*").alias("n")), "vector-labels")
     top = sizes.agg(F.max("n")).first()[0]
     if top is None:
@@ -75,22 +100,25 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, m
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            e, n = b.column("e").to_pylist(), b.column("n").to_pylist()
-            keys = []
-            for v, m in zip(e, n):
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((passes * most_bits, len(v)))
-                bits = max(0, math.ceil(math.log2(m / RUN)))
-                side = (planes[len(v)] @ np.array(v) > 0).reshape(passes, most_bits)[:, :bits]
-                keys.append((side @ (1 << np.arange(bits, dtype=np.int64))).tolist() if bits else [0])
-            data = [np.array(v).tobytes() for v in e]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("copies"), b.column("label"), pa.array([len(v) for v in e], pa.int32()), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "copies", "label", "dims", "data", "keys"],
-            )
+            dims, n = b.column("dims").to_numpy().astype(np.int64), b.column("n").to_numpy()
+            bits = np.array([max(0, math.ceil(math.log2(m / RUN))) for m in n.tolist()], np.int64)
+            keys, data = np.zeros((b.num_rows, passes), np.int64), [b""] * b.num_rows
+            for at, x in matrix(b.column("e"), dims):
+                d = x.shape[1]
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((passes * most_bits, d))
+                for i, v in zip(at.tolist(), packed(x)):
+                    data[i] = v
+                side = (x @ planes[d].T > 0).reshape(len(at), passes, most_bits)
+                weight = np.where(np.arange(most_bits) < bits[at][:, None], 1 << np.arange(most_bits, dtype=np.int64), 0)
+                keys[at] = (side * weight[:, None, :]).sum(axis=2)
+            several = np.where(bits > 0, passes, 1)  # a label that is one run has one pass
+            ends = np.append(0, np.cumsum(several)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.arange(passes) < several[:, None]]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copies"), b.column("label"), b.column("dims"), pa.array(data, pa.binary()), lists], names=["id", "copies", "label", "dims", "data", "keys"])
 
     signed = staged(
-        classes.withColumn("dims", F.size("e")).join(sizes, ["label", "dims"]).select("id", "copies", "label", "e", "n").mapInArrow(sign, "id long, copies long, label string, dims int, data binary, keys array<long>"),
+        in_parts(classes).withColumn("dims", F.size("e")).join(sizes, ["label", "dims"]).select("id", "copies", "label", "dims", "e", "n").mapInArrow(sign, "id long, copies long, label string, dims int, data binary, keys array<long>"),
         "vector-hashes",
     )
     run = ["pass", "label", "dims", "key"]
@@ -113,7 +141,7 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, m
         p, i, j = (key[k].as_py() for k in (0, 4, 5))
         t = t.sort_by("id")
         ids, copies, mine = (t.column(c).to_numpy() for c in ("id", "copies", "mine"))
-        x = np.frombuffer(b"".join(t.column("data").to_pylist()), float).reshape(len(ids), -1)
+        x = unpacked(t.column("data").to_pylist(), key[2].as_py())
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         prefix = np.array(t.column("keys").to_pylist(), np.int64).reshape(len(ids), -1)[:, :p]
@@ -146,10 +174,11 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, m
     found = staged(placed.groupBy(*run, "i", "j").applyInArrow(compare, "id long, links long, other long"), "vector-links")
     roots = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), name="vectors")
     links = staged(found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links")), "vector-counts")
-    per_class = staged(
-        classes.select("class", "id", "copies").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")),
-        "vector-results",
-    )
-    return rows.select("vec_id", "class").join(per_class, "class", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"), (F.coalesce("root", "vec_id") == F.col("vec_id")).alias("kept")
+    of = classes.select("class", "id", "first_id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    firsts = of.groupBy("root").agg(F.min("first_id").alias("component"))
+    per_class = staged(of.join(firsts, "root").join(links, "id", "left").select("class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component"), "vector-results")
+    for t in (classes, sizes, signed, hot, found, links):
+        discard(t)
+    return rows.join(per_class, "class", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept")
     )

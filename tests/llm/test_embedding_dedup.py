@@ -51,6 +51,35 @@ def test_equals_brute_force(spark, rows, monkeypatch, run, chunk):
     assert got == brute(rows)
 
 
+def test_links_at_the_defaults(spark):
+    """Planted pairs at 0.93 to 0.95 among 6,000 vectors of one label, so that runs are many: nearly none is missed at the production parameters, none is added."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.931, 0.95, (3000, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * y]).astype(np.float32)
+    near = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {k: int((near[k] @ near.T >= 0.93).sum()) - 1 for k in range(6000)}
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame([(k, e, 1) for k, e in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[k] <= n for k, n in want.items()) and sum(got.values()) >= 0.999 * sum(want.values()) > 5990
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, a, 0), (1, b, 0), (2, [1.0, 0.0, 0.2], 0), (3, [0.0, 1.0, 0.2], 0), (4, a, 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+
+
+def test_doubles_stay_doubles(spark):
+    third = [1 / 3, 2 / 3, 1e300]
+    got = E.near_duplicates(spark.createDataFrame([(1, third, 0), (2, [0.0, 0.0, 5.0], 0), (3, [1.0, 0.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_recall_of_passes():
     assert E.passes_for(3, 0.93, 1e-4) == E.PASSES and E.passes_for(20, 0.93, 1e-4) > 100
 
