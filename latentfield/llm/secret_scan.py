@@ -1,9 +1,10 @@
 """Secret scans with structural confirmation.
 
 Three base patterns find credentials by their form alone. Candidates for encoded keys and tokens are
-decoded first and reported only if what they hold parses: DER sequences whose nested lengths fill
-the bytes, OpenSSH key blobs with their nested counted strings, PEM blocks around either, and
-signed tokens whose header is JSON that names an algorithm.
+decoded first and reported only if what they hold parses: DER sequences of private keys whose nested lengths fill
+the bytes, OpenSSH key blobs with their nested counted strings, PEM blocks around either (their line ends may be
+escaped, and encrypted ones have headers in place of a structure), base64 of either over several lines, and
+signed tokens whose header is JSON that names an algorithm. Public keys are no secrets and aren't reported.
 
 Defined cases: null text is empty and has no spans; a null doc_id is passed through; repeated rows
 give the same result each; texts of any length are searched whole; other columns are never read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,9 +34,15 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr]|[A-Z][A-Za-z-]{2,30}: ?[A-Za-z0-9,-]{1,80}){16,}?)-----END \1-----")
+#: Headers of a PEM block, up to the line's end, which may be escaped; and what an encrypted one must say.
+PEM_HEADER = re.compile(r"[A-Z][A-Za-z-]{2,30}: ?[A-Za-z0-9,-]{1,80}(?=\s|\\[nr])")
+ENCRYPTED = re.compile(r"Proc-Type: ?4,ENCRYPTED(?:\s|\\[nr])+DEK-Info: ?[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,16}(?=\s|\\[nr])")
+LINE_END = re.compile(r"\s|\\[nr]")
 #: Base64 of a DER sequence begins with M, of an OpenSSH blob with b3BlbnNza; hex of a DER sequence with 30.
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNza[A-Za-z0-9+/_-]{31,})={0,2}")
+#: The same over lines, with real or escaped ends.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNza)[A-Za-z0-9+/]{39,75}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/]{1,76})+={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -79,7 +87,7 @@ def der_fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private or public key: one sequence that fills the bytes and whose fields, nested ones too, fill theirs."""
+    """A private key, encrypted or not: one sequence that fills the bytes and whose fields, nested ones too, fill theirs."""
     top = der_fields(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
@@ -96,9 +104,7 @@ def is_der_key(data: bytes) -> bool:
         pkcs8 = len(tags) >= 3 and tags[1:3] == [0x30, 0x04] and nested[0] and nested[0][0][0] == 0x06
         ec = len(tags) >= 2 and tags[1] == 0x04 and version == b"\x01"
         return bool(rsa or pkcs8 or ec)
-    public = tags == [0x30, 0x03] and nested[0] and nested[0][0][0] == 0x06
-    wrapped = tags == [0x30, 0x04] and nested[0] and nested[0][0][0] == 0x06
-    return bool(public or wrapped)
+    return bool(tags == [0x30, 0x04] and nested[0] and nested[0][0][0] == 0x06)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -146,21 +152,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def is_key(data: bytes | None) -> bool:
+    return data is not None and (is_der_key(data) or is_ssh_key(data))
+
+
+def is_pem_key(body: str) -> bool:
+    """What stands between the lines of a PEM block: base64 of a key, or headers of an encrypted key and whole base64."""
+    data = decoded(LINE_END.sub("", PEM_HEADER.sub("", body)))
+    return is_key(data) or bool(data) and ENCRYPTED.search(body) is not None
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Keys in base64 over several lines. The first bytes tell how long a DER key is, so lines behind it don't hide it."""
+    out = []
+    for m in WRAPPED.finditer(text):
+        places = [i for i in range(*m.span()) if text[i] not in " \t\r\n=\\" and (text[i] not in "nr" or text[i - 1] != "\\")]
+        flat = "".join(text[i] for i in places)
+        head = base64.b64decode(flat[:8])
+        size = der_length(head, 1)
+        n = -(-(size[0] + size[1]) * 4 // 3) if size and head[0] == 0x30 else len(flat)
+        if n <= len(flat) and is_key(decoded(flat[:n])):
+            end = places[n - 1] + 1
+            out.append((m.start(), end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))))
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded structure proves a key or a signed token."""
     out = []
     if "ey" in text and "." in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    taken = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            data = decoded(m[2])
-            if data is not None and (is_der_key(data) or is_ssh_key(data)):
-                out.append(("pem", *m.span()))
-    pems = [(s, e) for k, s, e in out if k == "pem"]
-    for m in ENCODED.finditer(text):
-        data = decoded(m[0])
-        if data is not None and (is_der_key(data) or is_ssh_key(data)) and not any(s <= m.start() < e for s, e in pems):
-            out.append(("key", *m.span()))
+        taken = [m.span() for m in PEM.finditer(text) if is_pem_key(m[2])]
+        out += [("pem", s, e) for s, e in taken]
+
+    def free(s: int) -> bool:
+        at = bisect.bisect_right(taken, (s, len(text) + 1))
+        return not at or taken[at - 1][1] <= s
+
+    if "\n" in text or "\\n" in text:
+        more = [x for x in wrapped_keys(text) if free(x[0])]
+        out += [("key", s, e) for s, e in more]
+        taken = sorted(taken + more)
+    out += [("key", *m.span()) for m in ENCODED.finditer(text) if free(m.start()) and is_key(decoded(m[0]))]
     for m in HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append(("key", *m.span()))

@@ -60,6 +60,44 @@ def test_structures_are_confirmed():
         assert [(k, s) for k, s, _ in found] == [(kind, 2)] and found[0][2] == 2 + len(text), kind
 
 
+def wrapped(data, width=64, end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_over_lines_and_with_headers():
+    for kind, text in (
+        ("pem", "-----BEGIN PRIVATE KEY-----\\n" + wrapped(pkcs8(), 64, "\\n") + "\\n-----END PRIVATE KEY-----"),
+        ("pem", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + wrapped(bytes(range(160))) + "\n-----END RSA PRIVATE KEY-----"),
+        ("pem", "-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n" + wrapped(rsa_key()) + "\n-----END RSA PRIVATE KEY-----"),
+        ("key", wrapped(rsa_key(), 76)),
+        ("key", wrapped(pkcs8(), 64, "\\n")),
+        ("key", wrapped(pkcs8(), 64, "\r\n")),
+    ):
+        found = K.confirmed_spans(f"é {text} end")
+        assert found == [(kind, 2, 2 + len(text))], text
+    text = wrapped(rsa_key()) + "\nand\nmore"
+    assert K.confirmed_spans(text) == [("key", 0, len(wrapped(rsa_key())))]
+
+
+def test_public_keys_are_not_reported():
+    public = tlv(0x30, tlv(0x30, tlv(6, b"\x2a\x86\x48\xce\x3d\x02\x01") + tlv(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")) + tlv(3, b"\x00\x04" + bytes(range(64))))
+    for text in (base64.b64encode(public).decode(), public.hex(), f"-----BEGIN PUBLIC KEY-----\n{wrapped(public)}\n-----END PUBLIC KEY-----"):
+        assert K.confirmed_spans(text) == []
+
+
+def test_many_blocks_take_time_in_proportion():
+    import time
+
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped(rsa_key())}\n-----END RSA PRIVATE KEY-----\n"
+    took = []
+    for n in (100, 800):
+        began = time.process_time()
+        assert [k for k, _, _ in K.confirmed_spans(block * n)] == ["pem"] * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_lookalikes_are_not_reported():
     broken = bytearray(rsa_key())
     broken[3] ^= 1
