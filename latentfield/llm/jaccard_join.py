@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import in_parts, small, staged, text_bytes
+from .common import fresh, in_parts, small, staged, text_bytes
 from .shingles import Bands, linked, overlap, shingle_set, text_words
 
 WIDTH = 5
@@ -258,5 +258,6 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, with all its columns: that of the smallest doc_id. Rows with a null doc_id stay; rows that repeat a doc_id stay or go together."""
     rows, named = jaccard_components(docs)
-    gone = rows.join(named, "class").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(staged(gone, "join-gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = rows.join(named, "class").where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(staged(gone, "join-gone"), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import discard, in_parts, small, staged, text_bytes
+from .common import discard, fresh, in_parts, small, staged, text_bytes
 from .shingles import IS_SPACE, Bands, linked, mixed, overlap, pieces, powers, text_words, word_hashes
 
 SPAN = 16
@@ -374,7 +374,8 @@ def placed_pieces(data: bytes) -> Iterator[tuple[bytes, int]]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the whole extents of repeated passages taken out of text, but for each passage's first document; all other columns stay."""
-    spans = removed_spans(staged(repeats(docs), "passage-repeats"), docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"), F.col("spans").alias("__spans"))
+    own, key, gone = (fresh(docs, x) for x in ("__id", "__text_key", "__spans"))
+    spans = removed_spans(staged(repeats(docs), "passage-repeats"), docs).select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("spans").alias(gone))
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +384,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array([without(x, s) if x and s else x for x, s in zip(cols[at].to_pylist(), found)], b.schema.types[at])
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = in_parts(docs).join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_key")), "left").select(*(F.col(f"`{c}`") for c in names), "__spans")
+    rows = in_parts(docs).join(spans, (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key)), "left").select(*(F.col(f"`{c}`") for c in names), gone)
     return rows.mapInArrow(run, docs.schema)
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns whose names operators use inside; documents may have them too.
-CLASHING = ("size", "target", "repeats", "features", "keys", "class", "point", "id", "component_id", "n_words", "kept", "__row")
+CLASHING = ("size", "target", "repeats", "features", "keys", "class", "point", "id", "component_id", "n_words", "kept", "__row", "__gone", "__text", "__key", "__times", "__occurrence", "__id", "__text_key", "__spans", "__source", "__hash", "__size", "__s", "__k", "whole", "hash_upto", "source_size", "piece_ids", "doc", "root", "node")
 
 
 @pytest.fixture(scope="session")
