@@ -55,13 +55,45 @@ def token_sets(words: DataFrame) -> DataFrame:
     return sets.join(heads, "set").select("ord", "head")
 
 
+def common_of(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """pairs (a, b) with common: how many words the two share."""
+    left, right = words.select(F.col("ord").alias("a"), "token"), words.select(F.col("ord").alias("b"), "token")
+    return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+
+
+def linked(common: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose overlap coefficient reaches the threshold. sizes: ord, size."""
+    sized = common.join(sizes.select(F.col("ord").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("ord").alias("b"), F.col("size").alias("sb")), "b")
+    return sized.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
+
+
+def linked_roots(words: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs.
+
+    Each event is first compared with the first event of each of its words, which are few; that unites nearly all that
+    belongs together. Then only events of different components are compared, over words that several components hold: a
+    pair's shared words are all among them, so its overlap is whole.
+    """
+    sizes = staged(words.groupBy("ord").agg(F.count("*").alias("size")), "cluster-sizes")
+    leads = words.groupBy("token").agg(F.min("ord").alias("a"))
+    tried = words.withColumnRenamed("ord", "b").join(leads, "token").where("a < b").select("a", "b").distinct()
+    links = staged(linked(common_of(tried, words), sizes, threshold), "cluster-leads")
+    roots = components(links, name="cluster")
+    placed = staged(words.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("token", "ord", F.coalesce("root", "ord").alias("root")), "cluster-placed")
+    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    apart = placed.join(several, "token")
+    left, right = apart.select("token", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("token", F.col("ord").alias("b"), F.col("root").alias("y"))
+    across = left.join(right, "token").where("x < y").groupBy("a", "b").agg(F.count("*").alias("common"))
+    more = staged(linked(across, sizes, threshold), "cluster-more")
+    return roots if more.isEmpty() else components(links.unionByName(more), name="cluster")
+
+
 def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN_COOCCURRENCE) -> DataFrame:
-    """GRA7: (ord, root) of every event with words; root is the cluster's first event."""
+    """GRA7: (ord, root) of every event with words; root is the cluster's first event. The threshold must be above 0."""
     wide = staged(expanded(words, least), "cluster-words")
     heads = staged(token_sets(wide), "cluster-heads")
     first = heads.select(F.col("head").alias("ord")).distinct()
-    links = overlap_pairs(wide.join(first, "ord", "left_semi"), threshold)
-    roots = components(links.select("a", "b"), name="cluster")
+    roots = linked_roots(staged(wide.join(first, "ord", "left_semi"), "cluster-sets"), threshold)
     return heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("ord", F.coalesce("root", "head").alias("root"))
 
 

@@ -57,8 +57,8 @@ cap AS (SELECT capability, count(DISTINCT signal) AS n_matched, count(DISTINCT d
 EVENTS = """
 ev AS (SELECT *, CASE kind WHEN 'correction' THEN 10 WHEN 'request' THEN 10 WHEN 'repetition' THEN 8 WHEN 'workaround' THEN 6 WHEN 'abandonment' THEN 5 ELSE 4 END AS tenths,
          kind NOT IN ('retry', 'abandonment') AS arrow FROM (
-  SELECT ts, (regexp_extract(props, '"k": (\\d+)', 1)::INT % 40) AS k, CASE event_type WHEN 'click' THEN 'correction' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'repetition' WHEN 'view' THEN 'retry' ELSE 'abandonment' END AS kind,
-         CASE WHEN user_id % 10 < 7 THEN '0' ELSE (user_id % 10)::VARCHAR END AS way FROM events) WHERE k % 5 <> 1)"""
+  SELECT ts, ((regexp_extract(props, '"k": (\\d+)', 1)::INT % 40) * (event_id % 40)) // 40 AS k, CASE event_type WHEN 'click' THEN 'correction' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'repetition' WHEN 'view' THEN 'retry' ELSE 'abandonment' END AS kind,
+         CASE WHEN user_id % 10 < 7 THEN '0' ELSE (user_id % 10)::VARCHAR END AS way FROM events))"""
 
 
 def demand(name: str = "dem", where: str = "TRUE") -> str:
@@ -69,7 +69,7 @@ def demand(name: str = "dem", where: str = "TRUE") -> str:
 
 
 USE = """
-us AS (SELECT (l_partkey % 40)::VARCHAR AS capability, count(*)::DOUBLE AS usage_total FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 AND (l_partkey % 40) % 7 <> 0 GROUP BY 1)"""
+us AS (SELECT (39 - ((l_partkey % 40) * (l_suppkey % 40)) // 40)::VARCHAR AS capability, count(*) * 2 / 100.0::DOUBLE AS usage_total FROM lineitem GROUP BY 1)"""
 
 
 def evidence(name: str = "evi", dem: str = "dem") -> str:
@@ -107,12 +107,19 @@ TURNS = f"WITH {{more}}turns AS (SELECT conv_id, turn, conv_id * 1000 + turn AS
 USER = TURNS.format(more="")
 PAIRS = """sized AS (SELECT *, count(*) OVER (PARTITION BY ord) AS n FROM w),
 linked AS (SELECT a.ord AS a, b.ord AS b, count(*) / least(a.n, b.n)::DOUBLE AS overlap FROM sized a JOIN sized b ON a.token = b.token AND a.ord < b.ord GROUP BY a.ord, b.ord, a.n, b.n)"""
-CLUSTERS = f"""{USER.replace('WITH ', 'WITH RECURSIVE ', 1)}, {PAIRS}, edges AS (SELECT a, b FROM linked WHERE overlap >= 0.6 UNION SELECT b, a FROM linked WHERE overlap >= 0.6),
+WIDE = "co AS (SELECT DISTINCT a.token, b.token AS other FROM w a JOIN w b ON a.ord = b.ord AND a.token <> b.token), wide AS (SELECT ord, token FROM w UNION SELECT ord, other FROM w JOIN co USING (token))"
+CLUSTERS = f"""{USER.replace('WITH ', 'WITH RECURSIVE ', 1)}, {WIDE}, {PAIRS.replace('FROM w)', 'FROM wide)')}, edges AS (SELECT a, b FROM linked WHERE overlap >= 0.34 UNION SELECT b, a FROM linked WHERE overlap >= 0.34),
 reach AS (SELECT DISTINCT ord AS node, ord AS hit FROM w UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.hit = e.a), cluster AS (SELECT node AS ord, min(hit) AS root FROM reach GROUP BY node)"""
-SIGNALS = f"""{CLUSTERS}, support AS (SELECT root, token, count(*) AS n FROM w JOIN cluster USING (ord) GROUP BY ALL), usable AS (SELECT *, max(n) OVER (PARTITION BY root) AS top FROM support WHERE token NOT IN ({listed(CODE_KEYWORDS)})),
+PLAIN = f"""{USER.replace('WITH ', 'WITH RECURSIVE ', 1)}, {PAIRS}, edges AS (SELECT a, b FROM linked WHERE overlap >= 0.6 UNION SELECT b, a FROM linked WHERE overlap >= 0.6),
+reach AS (SELECT DISTINCT ord AS node, ord AS hit FROM w UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.hit = e.a), cluster AS (SELECT node AS ord, min(hit) AS root FROM reach GROUP BY node)"""
+SIGNALS = f"""{{clusters}}, support AS (SELECT root, token, count(*) AS n FROM w JOIN cluster USING (ord) GROUP BY ALL), usable AS (SELECT *, max(n) OVER (PARTITION BY root) AS top FROM support WHERE token NOT IN ({listed(CODE_KEYWORDS)})),
 picked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, token) AS place FROM usable WHERE n >= 2 OR top < 2)"""
 
-LINKS = "lines AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 49), links AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey)"
+PROPOSED = f"""{SIGNALS}, top AS (SELECT root, list(token ORDER BY place) AS s FROM picked WHERE place <= 6 GROUP BY root), sizes AS (SELECT root, count(*) AS n_members FROM cluster GROUP BY root)
+      SELECT root, 'emergent-' || array_to_string(s[1:3], '-') AS id, array_to_string(list_transform(s[1:3], lambda t: upper(t[1]) || t[2:]), ' / ') || CASE WHEN n_members > 1 THEN ' (×' || n_members || ')' ELSE '' END AS label, array_to_string(s, ',') AS signals, n_members FROM top JOIN sizes USING (root)"""
+
+LINKS = """lines AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), shared AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY ALL),
+best AS (SELECT src, dst FROM shared QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) = 1), links AS (SELECT src, dst FROM best UNION SELECT dst, src FROM best)"""
 HOPS = f"WITH RECURSIVE {LINKS}, walk AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS hops FROM supplier WHERE {{where}} UNION SELECT source, dst, hops + 1 FROM walk JOIN links ON node = src WHERE hops < 8), reached AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY ALL)"
 DISTANCE = f"""{HOPS.format(where='TRUE')}, pairs AS (SELECT a.s_nationkey AS owner, coalesce(h.hops / (h.hops + 2)::DOUBLE, 1.0::DOUBLE) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey LEFT JOIN reached h ON h.source = a.s_suppkey AND h.node = b.s_suppkey),
 distances AS (SELECT s_nationkey AS owner, count(*) AS n_nodes, coalesce((SELECT avg(d) FROM pairs p WHERE p.owner = s_nationkey), 0.0::DOUBLE) AS distance FROM supplier GROUP BY s_nationkey)"""
@@ -196,12 +203,12 @@ SQL = {
     "token_expand": f"{USER}, co AS (SELECT a.token, b.token AS other FROM w a JOIN w b ON a.ord = b.ord AND a.token <> b.token GROUP BY ALL HAVING count(*) >= 3), wide AS (SELECT ord, token FROM w UNION SELECT ord, other FROM w JOIN co USING (token)) SELECT ord, (SELECT count(*) FROM w x WHERE x.ord = wide.ord) AS n_words, count(*) AS n_expanded FROM wide GROUP BY ord",
     "overlap_pairs": f"{USER}, {PAIRS} SELECT a, count(*) AS n_linked, {r('max(overlap)', 6)} AS most FROM linked WHERE overlap >= 0.34 GROUP BY a",
     "components": f"{CLUSTERS} SELECT ord, root FROM cluster",
-    "cluster_signals": f"{SIGNALS} SELECT root, token, n, place FROM picked WHERE place <= 6",
-    "discover": f"""{SIGNALS}, top AS (SELECT root, list(token ORDER BY place) AS s FROM picked WHERE place <= 6 GROUP BY root), sizes AS (SELECT root, count(*) AS n_members FROM cluster GROUP BY root)
-      SELECT root, 'emergent-' || array_to_string(s[1:3], '-') AS id, array_to_string(list_transform(s[1:3], lambda t: upper(t[1]) || t[2:]), ' / ') || CASE WHEN n_members > 1 THEN ' (×' || n_members || ')' ELSE '' END AS label, array_to_string(s, ',') AS signals, n_members FROM top JOIN sizes USING (root)""",
+    "cluster_signals": f"{SIGNALS.format(clusters=CLUSTERS)} SELECT root, token, n, place FROM picked WHERE place <= 6",
+    "discover": PROPOSED.format(clusters=CLUSTERS),
+    "discover_plain": PROPOSED.format(clusters=PLAIN),
     "set_overlap": f"""{USER}, said AS (SELECT conv_id, turn - 1 AS turn, {WORDS} AS b FROM conversations WHERE role = 'assistant'), both_ AS (SELECT conv_id, turn, words AS a, b, len(list_intersect(words, b)) AS c FROM turns JOIN said USING (conv_id, turn))
       SELECT conv_id, turn, c AS n_common, len(a) + len(b) - c AS n_all, {r('CASE WHEN least(len(a), len(b)) > 0 THEN c / least(len(a), len(b))::DOUBLE ELSE 0.0::DOUBLE END', 6)} AS overlap FROM both_""",
-    "bfs_hops": f"{HOPS.format(where='s_nationkey < 5')} SELECT source, node, hops FROM reached",
+    "bfs_hops": f"{HOPS.format(where='TRUE')} SELECT source, node, hops FROM reached",
     "mean_distance": f"{DISTANCE} SELECT owner, {r('distance', 6)} AS distance, n_nodes FROM distances",
     "integration_label": f"{DISTANCE} SELECT owner, CASE WHEN distance <= 0.1 THEN 'CO-LOCATED' WHEN distance <= 0.45 THEN 'RIPE' WHEN distance >= 0.75 THEN 'DEEP' ELSE 'MODERATE' END AS integration FROM distances",
     "degree": f"WITH {DEGREES} SELECT node, out_degree, in_degree FROM deg",
@@ -209,7 +216,7 @@ SQL = {
     "sensitivity": f"{SWEEP} SELECT capability, knob, level, t, c FROM cells",
     "sweep_l3": f"{L3} SELECT capability, baseline_cp, {r('candidate_share', 6)} AS l2_share, {', '.join(f'{r(c, 6)} AS {c}' for c in ('min_share', 'max_share', 'mean_share', 'spread', 'rank1_min'))}, spread <= 0.35 AS class_converges FROM two JOIN three USING (capability)",
     "compare_verdict": f"{HALVES} SELECT capability, {r('p', 6)} AS d_collapse_potential, {r('c', 6)} AS d_correction, {r('u', 6)} AS d_utilization, CASE WHEN p <= -0.1 AND u > 0 THEN 'collapsed' WHEN p <= -0.1 THEN 'decaying' WHEN p >= 0.1 THEN 'intensifying' ELSE 'stable' END AS verdict FROM change",
-    "module_filters": f"""WITH {DEGREES}, d AS (SELECT l_suppkey AS s, count(DISTINCT l_partkey) AS n_defs FROM lineitem WHERE l_quantity >= 50 GROUP BY 1), m AS (SELECT s_suppkey AS s, coalesce(n_defs, 0) AS n, coalesce(in_degree, 0) AS i, coalesce(out_degree, 0) AS o FROM supplier LEFT JOIN deg ON node = s_suppkey LEFT JOIN d ON s = s_suppkey)
+    "module_filters": f"""WITH {DEGREES}, d AS (SELECT l_suppkey AS s, count(DISTINCT l_partkey) AS n_defs FROM lineitem GROUP BY 1), m AS (SELECT s_suppkey AS s, coalesce(n_defs, 0) AS n, coalesce(in_degree, 0) AS i, coalesce(out_degree, 0) AS o FROM supplier LEFT JOIN deg ON node = s_suppkey LEFT JOIN d ON s = s_suppkey)
       SELECT s, i >= 2 AS is_foundation, i = 0 AND o >= 2 AND n > 0 AS is_surface, n >= 5 AND i <= 1 AND o <= 1 AS is_rich, i = 0 AND o = 0 AND n > 0 AS is_isolated FROM m""",
     "python_imports": f"""WITH specs AS (SELECT p_partkey, unnest([repeat('.', p_size % 4) || 'm' || p_size, 'lib.n' || (p_partkey % 7)]) AS spec FROM part), m AS (SELECT *, {MODULE} AS module FROM specs)
       SELECT p_partkey, spec, module, CASE WHEN contains(module, '.') THEN regexp_replace(module, '\\.[^.]*$', '') END AS parent FROM m""",

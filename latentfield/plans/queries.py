@@ -119,16 +119,22 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return proposals.clusters(proposals.event_words(V.turns(spark, sf, "user")), threshold=0.6, least=0)
+    return proposals.clusters(staged(proposals.event_words(V.turns(spark, sf, "user")), "words"))
 
 
 def cluster_signals(spark: SparkSession, sf: str) -> DataFrame:
     words = staged(proposals.event_words(V.turns(spark, sf, "user")), "words")
-    of = proposals.clusters(words, threshold=0.6, least=0)
+    of = proposals.clusters(words)
     return proposals.signals(proposals.support(words, of))
 
 
 def discover(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = proposals.propose(V.turns(spark, sf, "user"))
+    return found.select(F.col("ord").alias("root"), "id", "label", F.array_join("signals", ",").alias("signals"), "n_members")
+
+
+def discover_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without the words that stand beside an event's own, so with a higher threshold."""
     found, _ = proposals.propose(V.turns(spark, sf, "user"), threshold=0.6, least=0)
     return found.select(F.col("ord").alias("root"), "id", "label", F.array_join("signals", ",").alias("signals"), "n_members")
 
@@ -141,8 +147,7 @@ def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bfs_hops(spark: SparkSession, sf: str) -> DataFrame:
-    some = V.table(spark, sf, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("source"))
-    return graphs.hops(V.supplier_links(spark, sf), some)
+    return graphs.hops(V.supplier_links(spark, sf), V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source")))
 
 
 def view_distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +195,7 @@ def compare_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def module_filters(spark: SparkSession, sf: str) -> DataFrame:
     d = graphs.degrees(V.supplier_links(spark, sf).where("src < dst")).withColumnRenamed("node", "s")
-    parts = V.table(spark, sf, "lineitem").where("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("s")).agg(F.countDistinct("l_partkey").alias("n_defs"))
+    parts = V.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.countDistinct("l_partkey").alias("n_defs"))
     all_ = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s")).join(d, "s", "left").join(parts, "s", "left").fillna(0, ["n_defs", "in_degree", "out_degree"])
     return modules.roles(all_).select("s", *(f"is_{x}" for x in ("foundation", "surface", "rich", "isolated")))
 
@@ -287,7 +292,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             signal_kind_join, demand_agg, coherence, usage_known, correction_field, scalar_functions, identifier_split, text_lexer, tokenize,
-            signal_match, capacity_field, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover,
+            signal_match, capacity_field, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover, discover_plain,
             set_overlap, bfs_hops, mean_distance, integration_label, degree, sweep_l2, sensitivity, sweep_l3, compare_verdict, module_filters,
             python_imports, test_files, stencil, puzzle_solution, wave, cube_surface, stream_demand,
             json_inputs, baseline_round_trip, script_lexer, import_graph, symbol_graph, module_map,

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexers import text_tokens
+from ..operators.graphs import undirected
 from ..operators.readings import config
 from ..plans.staging import spread
 
@@ -48,13 +49,18 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_tokens(files(spark, sf_dir))
 
 
+def uneven(a: Column, b: Column) -> Column:
+    """A key from two numbers: small keys are common, large ones rare, and the last has nothing."""
+    return F.floor((a % KEYS) * (b % KEYS) / KEYS).cast("int")
+
+
 def as_corrections(events: DataFrame) -> DataFrame:
     """Events as signals of demand: kind by type; heat has no destination; most users pull one way."""
-    k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("int") % KEYS
+    k = uneven(F.regexp_extract("props", r'"k": (\d+)', 1).cast("int"), F.col("event_id"))
     kind = F.expr("CASE event_type WHEN 'click' THEN 'correction' WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'repetition' WHEN 'view' THEN 'retry' ELSE 'abandonment' END")
     heat = F.col("event_type").isin("view", "error")
     way = F.when(F.col("user_id") % 10 < 7, F.lit("0")).otherwise((F.col("user_id") % 10).cast("string"))
-    return events.select("ts", k.alias("k"), kind.alias("kind"), F.lit(None).cast("double").alias("weight"), F.when(~heat, F.lit("done")).alias("after"), F.array(way).alias("direction")).where("k % 5 <> 1").withColumn("capability", F.col("k").cast("string"))
+    return events.select("ts", k.alias("k"), kind.alias("kind"), F.lit(None).cast("double").alias("weight"), F.when(~heat, F.lit("done")).alias("after"), F.array(way).alias("direction")).withColumn("capability", F.col("k").cast("string"))
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +68,8 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One use for each large line that came back; some keys are never observed."""
-    k = F.col("l_partkey") % KEYS
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").where(k % 7 != 0).select(k.cast("string").alias("capability"), F.lit(1.0).alias("count"))
+    """A fiftieth of a use for each line, large keys being common; some keys are never observed."""
+    return table(spark, sf_dir, "lineitem").select((KEYS - 1 - uneven(F.col("l_partkey"), F.col("l_suppkey"))).cast("string").alias("capability"), F.lit(0.02).alias("count"))
 
 
 def scales(spark: SparkSession) -> DataFrame:
@@ -77,10 +82,12 @@ def turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 
 
 def supplier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst) of suppliers with large lines in one order, in both directions."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey").distinct()
+    """(src, dst) of each supplier and the one it shares most orders with (the smaller key, if equal), in both directions."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     other = lines.select("l_orderkey", F.col("l_suppkey").alias("dst"))
-    return lines.join(other, "l_orderkey").where("l_suppkey <> dst").select(F.col("l_suppkey").alias("src"), "dst").distinct()
+    shared = lines.join(other, "l_orderkey").where("l_suppkey <> dst").groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").alias("n"))
+    best = shared.groupBy("src").agg(F.max(F.struct("n", (-F.col("dst")).alias("d"))).alias("best")).select("src", (-F.col("best.d")).alias("dst"))
+    return undirected(best)
 
 
 def half(events: DataFrame, later: bool) -> DataFrame:
