@@ -58,15 +58,29 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
+def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The least or greatest of each run of width numbers, from runs of doubled lengths."""
+    have = 1
+    while 2 * have <= width:
+        x, have = best(x[:-have], x[have:]), 2 * have
+    return best(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
 def paragraph_starts(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Where the smallest hash of each run of windows stands (the first, if equal)."""
-    if len(grams) <= window:
-        return np.array([grams.argmin()]) if len(grams) else np.zeros(0, np.int64)
-    out = []
-    for s in range(0, len(grams) - window + 1, 1 << 16):
+    """Where the smallest hash of each run of windows stands: all places where it does, or the first alone in texts that repeat themselves much."""
+    n = len(grams)
+    if n <= window:
+        return np.array([grams.argmin()]) if n else np.zeros(0, np.int64)
+    least = sliding(grams, window, np.minimum)
+    around = np.concatenate([np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)])
+    out = np.flatnonzero(sliding(around, window, np.maximum) == grams)
+    if len(out) <= n // 6:
+        return out
+    first = []
+    for s in range(0, n - window + 1, 1 << 16):
         part = np.lib.stride_tricks.sliding_window_view(grams[s : s + (1 << 16) + window - 1], window)
-        out.append(np.unique(part.argmin(axis=1) + np.arange(len(part))) + s)
-    return np.unique(np.concatenate(out))
+        first.append(np.unique(part.argmin(axis=1) + np.arange(len(part))) + s)
+    return np.unique(np.concatenate(first))
 
 
 def blocks_of(data: bytes, n_words: int) -> np.ndarray:
@@ -102,7 +116,10 @@ def span_hash(words: np.ndarray) -> np.uint64:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (word number), n (words), class (hash of the words) and band keys of each paragraph."""
+    """doc_id, words (in the text), start (word number), n (words) and class (hash of the words) of each paragraph, and band keys of lines, blocks and whole texts.
+
+    The windows have none: one changed word takes nearly half of their shingles.
+    """
     bands = tuned_bands()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,37 +128,36 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         for b in small(batches, "text"):
             ids = b.column("doc_id").to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
+            rows = 0
             texts = [x.lower() for x in text_bytes(b.column("text"))]
             for i, words in text_words(texts):
                 grams = rolled(words, SPAN)
                 if not len(grams):
                     continue
-                at = paragraph_starts(rolled(words, ANCHOR)[: len(grams)])
-                shingles = rolled(words, WIDTH)
-                sets = np.lib.stride_tricks.sliding_window_view(shingles, SPAN - WIDTH + 1)[at]
-                least = np.stack([((sets ^ y) * x).min(axis=1) for x, y in zip(hashes.a, hashes.b)])
-                classes, n = grams[at], np.full(len(at), SPAN)
                 whole = blocks_of(texts[i], len(words))
-                whole = whole[(whole[:, 1] > SPAN) | ~np.isin(whole[:, 0], at)]
-                if len(whole):
-                    least = np.hstack([least, block_least(shingles, whole, hashes)])
-                    classes = np.append(classes, np.array([span_hash(words[x : x + y]) for x, y in whole.tolist()], np.uint64))
-                    at, n = np.append(at, whole[:, 0]), np.append(n, whole[:, 1])
+                least = block_least(rolled(words, WIDTH), whole, hashes)
                 keys = mixed(mixed(numbers * np.uint64(0xD6E8FEB86659FD93) + mixed(least[::2])) + mixed(least[1::2]))
-                found.append((np.full(len(at), ids[i]), at, n, classes.view(np.int64), keys.T.copy().view(np.int64)))
-                if sum(len(f[1]) for f in found[-64:]) > 50_000:
-                    yield batch(found, bands)
-                    found = []
+                classes = np.array([span_hash(words[x : x + y]) for x, y in whole.tolist()], np.uint64)
+                at = paragraph_starts(rolled(words, ANCHOR)[: len(grams)])
+                at = at[~np.isin(at, whole[whole[:, 1] == SPAN, 0])]  # a block that is just a window is there already
+                size = len(whole) + len(at)
+                found.append((np.full(size, ids[i]), np.full(size, len(words)), np.append(whole[:, 0], at), np.append(whole[:, 1], np.full(len(at), SPAN)), np.append(classes, grams[at]).view(np.int64), np.repeat([bands, 0], [len(whole), len(at)]), keys.T.ravel().view(np.int64)))
+                rows += size
+                if rows > 50_000:
+                    yield batch(found)
+                    found, rows = [], 0
             if found:
-                yield batch(found, bands)
+                yield batch(found)
 
-    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start int, n int, class long, keys array<long>")
+    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words int, start int, n int, class long, keys array<long>")
 
 
-def batch(found: list[tuple[np.ndarray, ...]], bands: int) -> pa.RecordBatch:
-    ids, at, n, classes, keys = (np.concatenate(x) for x in zip(*found))
-    offsets = np.arange(0, bands * len(ids) + 1, bands, dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], names=["doc_id", "start", "n", "class", "keys"])
+def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    ids, words, at, n, classes, sizes, keys = (np.concatenate(x) for x in zip(*found))
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(sizes == 0, False)), pa.array(keys))
+    numbers = [pa.array(x.astype(np.int32)) for x in (words, at, n)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array(classes), lists], names=["doc_id", "words", "start", "n", "class", "keys"])
 
 
 def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,58 +233,55 @@ def block_links(t: pa.Table) -> pa.Table:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Each paragraph that repeats across documents: doc_id, start (word number), n (words), class, component, first_doc_id, and where else it stands: other (document), other_start and other_n.
+    """Each paragraph that repeats across documents: doc_id, words (in the text), start (word number), n (words), class, component, first_doc_id, and where else it stands: other (document), other_start, other_n and other_words.
 
     What is removed is matched with the first document that has the very same words, or else the component's first.
     """
-    wide = staged(paragraphs(docs), "passage-paragraphs")
+    found = staged(paragraphs(docs), "passage-paragraphs")
     # keys are the same in all rows of a class; as numbers of their own they are aggregated by hash, without a sort
     keys = [f"key{i}" for i in range(tuned_bands())]
-    wide_classes = staged(
-        wide.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))),
-        "passage-wide-classes",
+    blocks = staged(
+        found.where("keys IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))).select("class", "at.*", *keys),
+        "passage-blocks",
     )
-    # the keys aren't needed again beyond the bands; without them both tables take less than half the disk
-    found = staged(wide.select("doc_id", "start", "n", "class"), "passage-found")
-    discard(wide)
     # classes that share a band; each is verified against the band's first class
-    banded = wide_classes.select("class", F.explode(F.array(*keys)).alias("key"))
+    banded = blocks.select("class", F.explode(F.array(*keys)).alias("key"))
     shared = staged(banded.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("other")).where("lead < other").select("key", "lead"), "passage-bands")
     banded = staged(banded.join(shared, "key").select("key", "class", "lead"), "passage-banded")
-    classes = staged(wide_classes.select("class", "first_doc_id", "last_doc_id"), "passage-classes")
-    discard(wide_classes)
     pairs = staged(banded.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
-    near = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "passage-near")
-    at = found.select("class", "doc_id", "start", "n").join(near, "class").join(classes.select("class", F.col("first_doc_id").alias("doc_id")), ["class", "doc_id"])
-    wanted = at.groupBy("class", "doc_id").agg(F.min("start").alias("start"), F.min("n").alias("n"))
-    sets = staged(shingle_rows(wanted, docs), "passage-shingles")
+    near = banded.select("class").distinct()
+    sets = staged(shingle_rows(blocks.join(near, "class").select("class", "doc_id", "start", "n"), docs), "passage-shingles")
+    discard(blocks)
+    discard(shared)
     links = staged(verified(pairs, sets), "passage-links")
     roots = components(links, name="passage")
     # bands that still hold several components are compared whole, in blocks
     placed = staged(banded.select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "passage-placed")
     apart = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "passage-apart")
-    blocks = (
+    crossed = (
         placed.join(apart, "key")
         .join(sets, "class")
         .withColumn("mine", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "root", "shingles")
     )
-    more = staged(blocks.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long").distinct(), "passage-more")
+    more = staged(crossed.groupBy("key", "i", "j").applyInArrow(block_links, "a long, b long").distinct(), "passage-more")
     if not more.isEmpty():
         roots = components(links.unionByName(more), name="passage")
+    for t in (banded, pairs, sets, placed, apart, more, links):
+        discard(t)
+    # what is in one document alone and near nothing goes here, before anything is joined with places
+    classes = found.groupBy("class").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("last_doc_id"))
     named = staged(
-        classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("component"), "first_doc_id", "last_doc_id"),
+        classes.join(roots.withColumnRenamed("node", "class"), "class", "left").where("root IS NOT NULL OR class_doc < last_doc_id").select("class", F.coalesce("root", "class").alias("component"), "class_doc", "last_doc_id"),
         "passage-named",
     )
-    repeated = named.groupBy("component").agg(F.min("first_doc_id").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
-    members = staged(named.select("class", "component", F.col("first_doc_id").alias("class_doc")).join(repeated, "component"), "passage-members")
-    for t in (classes, named, banded, placed, pairs, near, sets, shared, apart, more, links):
+    repeated = named.groupBy("component").agg(F.min("class_doc").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
+    members = staged(named.select("class", "component", "class_doc").join(repeated, "component"), "passage-members")
+    rows = staged(found.select("doc_id", "words", "start", "n", "class").join(members, "class"), "passage-rows")
+    for t in (found, named, members):
         discard(t)
-    rows = staged(found.select("doc_id", "start", "n", "class").join(members, "class"), "passage-rows")
-    discard(found)
-    discard(members)
-    place = F.min(F.struct("start", "n"))
+    place = F.min(F.struct("start", "n", "words"))
     same = rows.where("doc_id = class_doc").groupBy("class").agg(place.alias("same"))
     like = rows.where("doc_id = first_doc_id").groupBy("component").agg(place.alias("like"))
     own = F.col("doc_id") == F.col("class_doc")
@@ -276,7 +289,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return (
         rows.join(same, "class")
         .join(like, "component")
-        .select("doc_id", "start", "n", "class", "component", "first_doc_id", F.when(own, F.col("first_doc_id")).otherwise(F.col("class_doc")).alias("other"), at["start"].alias("other_start"), at["n"].alias("other_n"))
+        .select("doc_id", "words", "start", "n", "class", "component", "first_doc_id", F.when(own, F.col("first_doc_id")).otherwise(F.col("class_doc")).alias("other"), at["start"].alias("other_start"), at["n"].alias("other_n"), at["words"].alias("other_words"))
     )
 
 
@@ -324,27 +337,76 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 SPANS = "array<struct<begin:int,end:int>>"
 
 
-def texts_of(docs: DataFrame, name: str, text: str) -> DataFrame:
-    """The texts by doc_id: rows that repeat one count as one document, whose matches are sought in each."""
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias(name), F.col("text").cast("string").alias(text))
+#: So many asks for parts of one text are answered by one copy of it.
+ASKS = 512
+
+
+def parts_of(asks: DataFrame, docs: DataFrame) -> DataFrame:
+    """asks (at, low, high and others) with what they ask for: words, the hashes of words low to high of the text of document at, and text_key, a hash of that text.
+
+    A text that many ask for goes to many tasks, once for ASKS of them; rows that repeat a doc_id count as one document, each with words of its own.
+    """
+    asks = staged(asks, "passage-asks")
+    others = [c for c in asks.columns if c not in ("at", "high")]
+    many = asks.groupBy("at").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("chunks"))
+    dealt = asks.join(many, "at").withColumn("chunk", F.pmod(F.xxhash64(*asks.columns), F.col("chunks"))).groupBy("at", "chunk").agg(F.collect_list(F.struct(*others, "high")).alias("asks"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("at"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, "text"):
+            lists = b.column("asks").to_pylist()
+            rows: list[tuple] = []
+            size = 0
+            for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
+                for a in lists[i]:
+                    part = words[a["low"] : a["high"]].tobytes()
+                    rows.append((*(a[c] for c in others), b.column("text_key")[i].as_py(), part))
+                    size += len(part)
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*others, "text_key", "words"])
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*others, "text_key", "words"])
+
+    types = [{"bigint": pa.int64(), "int": pa.int32()}[asks.schema[c].dataType.simpleString()] for c in others] + [pa.int64(), pa.binary()]
+    schema = ", ".join(f"{c} {asks.schema[c].dataType.simpleString()}" for c in others)
+    return in_parts(dealt).join(texts, "at").select("asks", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"{schema}, text_key long, words binary")
 
 
 def removed_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text) and spans: the whole extents, in words, of all that is removed from each document, merged where they touch. found: as from repeats()."""
-    pairs = found.where("doc_id <> first_doc_id").groupBy("doc_id", "other").agg(F.collect_list(F.struct("start", "n", "class", "other_start", "other_n")).alias("at"))
-    both = pairs.join(texts_of(docs, "doc_id", "text"), "doc_id").join(texts_of(docs, "other", "other_text"), "other")
+    """doc_id, text_key (hash of the text) and spans: the whole extents, in words, of all that is removed from each document, merged where they touch. found: as from repeats().
+
+    Of both texts of a match only that part is compared which the other one is long enough to agree with.
+    """
+    pairs = staged(
+        found.where("doc_id <> first_doc_id")
+        .groupBy("doc_id", "other")
+        .agg(
+            F.collect_list(F.struct("start", "n", "class", "other_start", "other_n")).alias("at"),
+            F.greatest(F.lit(0), F.min(F.col("start") - F.col("other_start"))).alias("low"),
+            F.max(F.expr("start + n + other_words - other_start - other_n")).alias("high"),
+            F.greatest(F.lit(0), F.min(F.col("other_start") - F.col("start"))).alias("other_low"),
+            F.max(F.expr("other_start + other_n + words - start - n")).alias("other_high"),
+        ),
+        "passage-matches",
+    )
+    asks = pairs.select("doc_id", "other", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("doc_id").alias("at"), "low", "high"), F.struct(F.lit(1).alias("side"), F.col("other").alias("at"), F.col("other_low").alias("low"), F.col("other_high").alias("high")))).alias("x"))
+    parts = staged(parts_of(asks.select("doc_id", "other", "x.side", "x.at", "x.low", "x.high"), docs), "passage-parts")
+    mine = parts.where("side = 0").select("doc_id", "other", "text_key", "low", "words")
+    theirs = parts.where("side = 1").select("doc_id", "other", F.col("low").alias("other_low"), F.col("words").alias("other_words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(small(batches, "text"), "other_text"):
-            at, n = b.column("at").to_pylist(), b.num_rows
-            words = [[w for _, w in text_words([x.lower() for x in text_bytes(b.column(c))])] for c in ("text", "other_text")]
+        for b in small(small(batches, "words"), "other_words"):
             spans = []
-            for i in range(n):
-                here = [m for m in at[i] if m["start"] + m["n"] <= len(words[0][i]) and span_hash(words[0][i][m["start"] : m["start"] + m["n"]]).view(np.int64) == m["class"]]
-                spans.append([{"begin": s, "end": e} for s, e in merged(extended(words[0][i], words[1][i], here))])
+            for at, low, words, other_low, other_words in zip(*(b.column(c).to_pylist() for c in ("at", "low", "words", "other_low", "other_words"))):
+                words, other_words = np.frombuffer(words, np.uint64), np.frombuffer(other_words, np.uint64)
+                here = [m | {"start": m["start"] - low, "other_start": m["other_start"] - other_low} for m in at]
+                here = [m for m in here if m["start"] + m["n"] <= len(words) and span_hash(words[m["start"] : m["start"] + m["n"]]).view(np.int64) == m["class"]]
+                spans.append([{"begin": s + low, "end": e + low} for s, e in merged(extended(words, other_words, here))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text_key", "spans"])
 
-    each = in_parts(both).select("doc_id", F.xxhash64("text").alias("text_key"), "at", "text", "other_text").mapInArrow(run, f"doc_id long, text_key long, spans {SPANS}")
+    both = mine.join(theirs, ["doc_id", "other"]).join(pairs.select("doc_id", "other", "at"), ["doc_id", "other"])
+    each = in_parts(both).select("doc_id", "text_key", "at", "low", "words", "other_low", "other_words").mapInArrow(run, f"doc_id long, text_key long, spans {SPANS}")
 
     union = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),

@@ -111,4 +111,42 @@ SELECT s.doc_id, s.size, p.source_size, p.target, s.size * (p.whole + (s.h <= co
 FROM sizes s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
 """
 
-ORACLE_SQL = {"op3_source_mixing": MIX_SQL}
+#: All links by an index of shingles, then components. Every pair that shares a shingle is counted, which suits small tables.
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(l.b, w.doc_id))::BIGINT AS component_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.a = w.doc_id
+"""
+
+#: All pairs of a label, then components.
+VECTOR_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), found AS (SELECT a, min(b) AS least FROM reach GROUP BY a
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(f.least, v.vec_id))::BIGINT AS component_id, least(v.vec_id, coalesce(f.least, v.vec_id)) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN counts c ON c.a = v.vec_id LEFT JOIN found f ON f.a = v.vec_id
+"""
+
+ORACLE_SQL = {"op3_source_mixing": MIX_SQL, "op5_jaccard_join": JACCARD_SQL, "op6_embedding_dedup": VECTOR_SQL}
