@@ -350,12 +350,13 @@ def import_specs(text: Column) -> Column:
 
 # Other languages: comments and strings by table, then names, and definitions by pattern
 
-COMMENTS = {"ruby": r"#[^\n]*|^=begin.*?^=end", "php": r"//[^\n]*|#[^\n]*|/\*.*?\*/"}
+COMMENTS = {"ruby": r"#[^\n]*|^=begin.*?^=end", "php": r"<\?php\b|//[^\n]*|#[^\n]*|/\*.*?\*/"}
 KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "ruby": "alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield",
     "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new null package private protected public return short static strictfp super switch synchronized this throw throws transient true false try void volatile while",
-    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self static struct super trait true type union unsafe use where while",
+    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self static struct super trait true type union unsafe use where while"
+    " bool char str f32 f64 i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize",
     "php": "abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile extends final finally fn for foreach function global goto if implements include instanceof insteadof interface isset list match namespace new or print private protected public require return static switch throw trait try unset use var while xor yield",
     "c_sharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using var virtual void volatile while",
 }

@@ -1,4 +1,4 @@
-"""A stored baseline against the present (JN17, SRT3, SCL25)."""
+"""A stored baseline against the present (JN17, FLT13, SCL25)."""
 
 from __future__ import annotations
 
@@ -13,4 +13,4 @@ def compared(before: DataFrame, now: DataFrame) -> DataFrame:
     b = before.select("capability", *(F.col(c).alias(f"b_{c}") for c in ("correction", "utilization", "collapse_potential")))
     joined = now.select("capability", "correction", "utilization", "collapse_potential").join(b, "capability")
     change = {f"d_{c}": F.col(c) - F.col(f"b_{c}") for c in ("collapse_potential", "correction", "utilization")}
-    return joined.select("capability", *(v.alias(k) for k, v in change.items())).withColumn("verdict", S.change_verdict(F.col("d_collapse_potential"), F.col("d_utilization"))).orderBy(F.desc(F.abs("d_collapse_potential")), "capability")
+    return joined.select("capability", *(v.alias(k) for k, v in change.items())).withColumn("verdict", S.change_verdict(F.col("d_collapse_potential"), F.col("d_utilization")))

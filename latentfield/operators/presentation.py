@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with their place in an order, and in that order. For reports: they have a row for each capability or module."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")
+
+
+def by_members(proposals: DataFrame) -> DataFrame:
+    """SRT2: largest clusters first, then by id."""
+    return placed(proposals, F.desc("n_members"), "id", "ord")
+
+
+def by_change(changes: DataFrame) -> DataFrame:
+    """SRT3: largest changes of the potential first."""
+    return placed(changes, F.desc(F.abs("d_collapse_potential")), "capability")
+
+
+def by_baseline(sweep: DataFrame) -> DataFrame:
+    """SRT4: largest potential under the default parameters first."""
+    return placed(sweep, F.desc("baseline_cp"), "ord")
+
+
+def by_links(modules: DataFrame) -> DataFrame:
+    """SRT5: modules that most others import first, then those that define most."""
+    return placed(modules, F.desc("in_degree"), F.desc("n_defs"), "path")
+
+
 def quadrant(scores: DataFrame) -> DataFrame:
     """Readings with a distance and a score above 0.001: x is the distance, y the score, side where the point lies."""
     shown = scores.where("integration_distance IS NOT NULL AND score > 0.001")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.lexers import lexed, match_tokens
 from ..operators import changes, fields, modules, proposals, sweeps
+from ..operators.presentation import by_baseline, by_change, by_links, by_members
 from ..operators.readings import config, evidence, ranked, readings
 from ..operators.symbols import integration
 from ..sources import inputs
@@ -54,8 +55,7 @@ def discover(spark: SparkSession, root: str, data: str) -> DataFrame:
     proposed = staged(proposed, "proposals")
     members = staged(members, "members")
     # places among proposals, most members first, decide ties of the score
-    placed = proposed.withColumn("place", F.struct((-F.col("n_members")).alias("n"), "id", "ord"))
-    keyed = placed.select(F.col("place").alias("ord"), F.col("ord").cast("string").alias("id"), "label", "signals", F.col("id").alias("name"))
+    keyed = by_members(proposed).select(F.col("place").alias("ord"), F.col("ord").cast("string").alias("id"), "label", "signals", F.col("id").alias("name"))
     relabelled = events.drop("capability").join(members, "ord").withColumn("capability", F.col("root").cast("string"))
     files = lexed_tree(spark, root)
     found = staged(fields.capacity_evidence(keyed, tree_tokens(files)), "evidence")
@@ -64,7 +64,7 @@ def discover(spark: SparkSession, root: str, data: str) -> DataFrame:
     full = with_distance(scores, keyed, found, files)
     ids = members.join(events.select("ord", "id"), "ord").groupBy(F.col("root").cast("string").alias("capability")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda p: p["id"]).alias("member_ids"))
     names = keyed.select(F.col("id").alias("capability"), "name", "signals")
-    return full.drop("ord").join(ids, "capability").join(names, "capability").withColumn("capability", F.col("name")).drop("name").orderBy("rank")
+    return full.withColumnRenamed("ord", "place").join(ids, "capability").join(names, "capability").withColumn("capability", F.col("name")).drop("name").orderBy("rank")
 
 
 def sweep_evidence(spark: SparkSession, root: str, data: str) -> DataFrame:
@@ -79,13 +79,13 @@ def reflect(spark: SparkSession, root: str, data: str, level: int = 2) -> DataFr
     """PIP5, PIP6: stability of each verdict under other parameters (2), or under other designs of the sweep (3)."""
     rows = sweep_evidence(spark, root, data)
     found = sweeps.level3(rows) if level == 3 else sweeps.level2(rows).withColumn("verdict", S.stability_verdict(F.col("baseline_cp"), F.col("candidate_share"), F.col("rank1_share")))
-    return found.orderBy(F.desc("baseline_cp"), "ord")
+    return by_baseline(found)
 
 
 def reflection(spark: SparkSession, root: str, data: str) -> tuple[DataFrame, DataFrame]:
     """PIP9: both levels over inputs that are aggregated once."""
     rows = sweep_evidence(spark, root, data)
-    return sweeps.level2(rows).orderBy(F.desc("baseline_cp"), "ord"), sweeps.level3(rows).orderBy(F.desc("baseline_cp"), "ord")
+    return by_baseline(sweeps.level2(rows)), by_baseline(sweeps.level3(rows))
 
 
 def save_baseline(spark: SparkSession, root: str, data: str, path: str) -> None:
@@ -95,11 +95,11 @@ def save_baseline(spark: SparkSession, root: str, data: str, path: str) -> None:
 
 def compare(spark: SparkSession, root: str, data: str, path: str) -> DataFrame:
     """PIP7: what has changed since the newest baseline."""
-    return changes.compared(inputs.read_baseline(spark, path), scan(spark, root, data))
+    return by_change(changes.compared(inputs.read_baseline(spark, path), scan(spark, root, data)))
 
 
 def code_map(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """PIP8: modules with their roles, and the totals."""
     files = lexed_tree(spark, root)
     found = staged(modules.roles(modules.module_map(files)), "modules")
-    return found.orderBy(F.desc("in_degree"), F.desc("n_defs"), "path"), modules.totals(files, found)
+    return by_links(found), modules.totals(files, found)

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from latentfield.plans.oracle import SQL
-from latentfield.plans.queries import QUERIES
+from latentfield.plans import oracle, queries, tree_oracle, tree_queries
+
+SQL = oracle.SQL | tree_oracle.SQL
+QUERIES = queries.QUERIES | tree_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark conversations pages".split()
 
