@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +95,14 @@ def blocks_of(data: bytes, n_words: int) -> np.ndarray:
         line_ends.append(np.searchsorted(starts, np.flatnonzero(raw == 10)) + words)
         words += len(starts)
     ends, times = np.unique(np.concatenate(line_ends), return_counts=True)
-    spans = {(0, n_words)}
+    spans = [np.array([[0, n_words]], np.int64)]
     for cuts in (ends, ends[times > 1]):
-        cuts = np.unique(np.concatenate([[0], cuts, [n_words]]))
-        spans.update(zip(cuts[:-1].tolist(), np.diff(cuts).tolist()))
-    return np.array(sorted(x for x in spans if x[1] >= SPAN), np.int64).reshape(-1, 2)
+        cuts = np.concatenate([[0], cuts[(cuts > 0) & (cuts < n_words)], [n_words]])
+        spans.append(np.stack([cuts[:-1], np.diff(cuts)], axis=1))
+    found = np.concatenate(spans)
+    found = found[found[:, 1] >= SPAN]
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return found[np.append(True, (found[1:] != found[:-1]).any(axis=1))] if len(found) else found
 
 
 def block_least(shingles: np.ndarray, spans: np.ndarray, hashes: Bands) -> np.ndarray:
@@ -108,15 +112,30 @@ def block_least(shingles: np.ndarray, spans: np.ndarray, hashes: Bands) -> np.nd
     return np.stack([np.minimum.reduceat((padded ^ y) * x, bounds)[::2] for x, y in zip(hashes.a, hashes.b)])
 
 
-def span_hash(words: np.ndarray) -> np.uint64:
-    """The class of a span of words; for SPAN words, as from rolled()."""
-    if len(words) == SPAN:
-        return rolled(words, SPAN)[0]
-    return mixed((words * powers(len(words))[0][: len(words)]).sum(keepdims=True) + np.uint64(len(words)))[0]
+def distinct_shingles(shingles: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """How many different shingles each span has."""
+    out = spans[:, 1] - WIDTH + 1
+    in_order = np.sort(shingles)
+    if (in_order[1:] == in_order[:-1]).any():  # else no part of the text repeats a shingle
+        for k, (s, n) in enumerate(zip(spans[:, 0].tolist(), out.tolist())):
+            part = np.sort(shingles[s : s + n])
+            out[k] -= int((part[1:] == part[:-1]).sum())
+    return out
+
+
+def span_hashes(words: np.ndarray, spans: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class of each span (first word, number of words): a polynomial over its words, from running sums. grams: those of SPAN words."""
+    p, inverse = powers(len(words))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * p[: len(words)], dtype=np.uint64)])
+    start, n = spans[:, 0], spans[:, 1]
+    found = mixed((sums[start + n] - sums[start]) * inverse[start] + n.astype(np.uint64))
+    window = n == SPAN
+    found[window] = grams[start[window]]
+    return found
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, words (in the text), start (word number), n (words) and class (hash of the words) of each paragraph, and band keys of lines, blocks and whole texts.
+    """doc_id, words (in the text), start (word number), n (words) and class (hash of the words) of each paragraph, and the size (different shingles) and band keys of lines, blocks and whole texts.
 
     The windows have none: one changed word takes nearly half of their shingles.
     """
@@ -135,33 +154,35 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if not len(grams):
                     continue
                 whole = blocks_of(texts[i], len(words))
-                least = block_least(rolled(words, WIDTH), whole, hashes)
+                shingles = rolled(words, WIDTH)
+                least = block_least(shingles, whole, hashes)
                 keys = mixed(mixed(numbers * np.uint64(0xD6E8FEB86659FD93) + mixed(least[::2])) + mixed(least[1::2]))
-                classes = np.array([span_hash(words[x : x + y]) for x, y in whole.tolist()], np.uint64)
+                classes = span_hashes(words, whole, grams)
                 at = paragraph_starts(rolled(words, ANCHOR)[: len(grams)])
                 at = at[~np.isin(at, whole[whole[:, 1] == SPAN, 0])]  # a block that is just a window is there already
                 size = len(whole) + len(at)
-                found.append((np.full(size, ids[i]), np.full(size, len(words)), np.append(whole[:, 0], at), np.append(whole[:, 1], np.full(len(at), SPAN)), np.append(classes, grams[at]).view(np.int64), np.repeat([bands, 0], [len(whole), len(at)]), keys.T.ravel().view(np.int64)))
+                found.append((np.full(size, ids[i]), np.full(size, len(words)), np.append(whole[:, 0], at), np.append(whole[:, 1], np.full(len(at), SPAN)), np.append(classes, grams[at]).view(np.int64), np.append(distinct_shingles(shingles, whole), np.zeros(len(at), np.int64)), keys.T.ravel().view(np.int64)))
                 rows += size
                 if rows > 50_000:
-                    yield batch(found)
+                    yield batch(found, bands)
                     found, rows = [], 0
             if found:
-                yield batch(found)
+                yield batch(found, bands)
 
-    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words int, start int, n int, class long, keys array<long>")
+    return in_parts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words int, start int, n int, class long, size int, keys array<long>")
 
 
-def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+def batch(found: list[tuple[np.ndarray, ...]], bands: int) -> pa.RecordBatch:
     ids, words, at, n, classes, sizes, keys = (np.concatenate(x) for x in zip(*found))
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(sizes == 0, False)), pa.array(keys))
+    none = sizes == 0
+    offsets = np.append(0, np.cumsum(np.where(none, 0, bands))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(none, False)), pa.array(keys))
     numbers = [pa.array(x.astype(np.int32)) for x in (words, at, n)]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array(classes), lists], names=["doc_id", "words", "start", "n", "class", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, pa.array(classes), pa.array(sizes.astype(np.int32), mask=none), lists], names=["doc_id", "words", "start", "n", "class", "size", "keys"])
 
 
 def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (class, doc_id, start, n) with the sorted shingles of that paragraph, read again from the texts."""
+    """wanted (class, doc_id, start, n) with the sorted shingles of that paragraph, read again from the texts; several times where rows repeat a doc_id and its text."""
     starts = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("class", "start", "n")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
@@ -171,14 +192,15 @@ def shingle_rows(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             classes, sets = [], []
             for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
                 shingles = rolled(words, WIDTH)
-                for p in at[i]:
-                    end = p["start"] + p["n"]
-                    if end <= len(words) and int(span_hash(words[p["start"] : end]).view(np.int64)) == p["class"]:
-                        classes.append(p["class"])
-                        sets.append(np.unique(shingles[p["start"] : end - WIDTH + 1]).tobytes())
+                spans = np.array([(p["start"], p["n"]) for p in at[i] if p["start"] + p["n"] <= len(words)], np.int64).reshape(-1, 2)
+                wanted_here = {p["class"] for p in at[i]}
+                for (start, n), c in zip(spans.tolist(), span_hashes(words, spans, rolled(words, SPAN)).view(np.int64).tolist()):
+                    if c in wanted_here:  # not if it's the text of another row with the same id
+                        classes.append(c)
+                        sets.append(np.unique(shingles[start : start + n - WIDTH + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
 
-    return texts.join(starts, "doc_id").select("text", "at").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return texts.join(starts, "doc_id").select("text", "at").mapInArrow(run, "class long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,6 +219,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def block_links(t: pa.Table) -> pa.Table:
     """Links between the components of one block, as a spanning forest: sets become rows of zeros and ones, whose product counts what two share."""
+    _, once = np.unique(t.column("class").to_numpy(), return_index=True)
+    t = t.take(pa.array(once))
     classes, root = t.column("class").to_numpy(), t.column("root").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
     size = np.array([len(x) for x in sets])
@@ -241,23 +265,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     # keys are the same in all rows of a class; as numbers of their own they are aggregated by hash, without a sort
     keys = [f"key{i}" for i in range(tuned_bands())]
     blocks = staged(
-        found.where("keys IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))).select("class", "at.*", *keys),
+        found.where("keys IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "start", "n")).alias("at"), F.min("size").alias("size"), *(F.min(F.col("keys")[i]).alias(k) for i, k in enumerate(keys))).select("class", "at.*", "size", *keys),
         "passage-blocks",
     )
-    # classes that share a band; each is verified against the band's first class
-    banded = blocks.select("class", F.explode(F.array(*keys)).alias("key"))
-    shared = staged(banded.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("other")).where("lead < other").select("key", "lead"), "passage-bands")
-    banded = staged(banded.join(shared, "key").select("key", "class", "lead"), "passage-banded")
-    pairs = staged(banded.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
-    near = banded.select("class").distinct()
+    # classes that share a band; each is verified against the band's first class, unless their sizes alone rule a link out
+    banded = blocks.select("class", "size", F.explode(F.array(*keys)).alias("key"))
+    shared = staged(banded.groupBy("key").agg(F.min(F.struct("class", "size")).alias("lead"), F.max("class").alias("other"), F.count("*").alias("m")).where("lead.class < other").select("key", "lead", "m"), "passage-bands")
+    banded = staged(banded.join(shared, "key").select("key", "class", "size", "lead", "m"), "passage-banded")
+    alike = 100 * F.least("size", "lead.size") >= PERCENT * F.greatest("size", "lead.size")
+    pairs = staged(banded.where((F.col("class") != F.col("lead.class")) & alike).select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), "passage-pairs")
+    near = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(banded.where("m > 2").select("class")).distinct()
     sets = staged(shingle_rows(blocks.join(near, "class").select("class", "doc_id", "start", "n"), docs), "passage-shingles")
     discard(blocks)
     discard(shared)
     links = staged(verified(pairs, sets), "passage-links")
     roots = components(links, name="passage")
     # bands that still hold several components are compared whole, in blocks
-    placed = staged(banded.select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "passage-placed")
-    apart = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high AND m > 2").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "passage-apart")
+    placed = staged(banded.where("m > 2").select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")), "passage-placed")
+    apart = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "passage-apart")
     crossed = (
         placed.join(apart, "key")
         .join(sets, "class")
@@ -271,26 +296,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     for t in (banded, pairs, sets, placed, apart, more, links):
         discard(t)
     # what is in one document alone and near nothing goes here, before anything is joined with places
-    classes = found.groupBy("class").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("last_doc_id"))
+    at = F.min(F.struct("doc_id", "start", "n", "words"))
+    classes = found.groupBy("class").agg(at.alias("at"), F.max("doc_id").alias("last_doc_id"))
     named = staged(
-        classes.join(roots.withColumnRenamed("node", "class"), "class", "left").where("root IS NOT NULL OR class_doc < last_doc_id").select("class", F.coalesce("root", "class").alias("component"), "class_doc", "last_doc_id"),
+        classes.join(roots.withColumnRenamed("node", "class"), "class", "left").where("root IS NOT NULL OR at.doc_id < last_doc_id").select("class", F.coalesce("root", "class").alias("component"), "at", "last_doc_id"),
         "passage-named",
     )
-    repeated = named.groupBy("component").agg(F.min("class_doc").alias("first_doc_id"), F.max("last_doc_id").alias("last_doc_id")).where("first_doc_id < last_doc_id").select("component", "first_doc_id")
-    members = staged(named.select("class", "component", "class_doc").join(repeated, "component"), "passage-members")
+    repeated = named.groupBy("component").agg(F.min("at").alias("first"), F.max("last_doc_id").alias("last_doc_id")).where("first.doc_id < last_doc_id").select("component", "first")
+    members = staged(named.select("class", "component", "at").join(repeated, "component"), "passage-members")
     rows = staged(found.select("doc_id", "words", "start", "n", "class").join(members, "class"), "passage-rows")
     for t in (found, named, members):
         discard(t)
-    place = F.min(F.struct("start", "n", "words"))
-    same = rows.where("doc_id = class_doc").groupBy("class").agg(place.alias("same"))
-    like = rows.where("doc_id = first_doc_id").groupBy("component").agg(place.alias("like"))
-    own = F.col("doc_id") == F.col("class_doc")
-    at = F.when(own, F.col("like")).otherwise(F.col("same"))
-    return (
-        rows.join(same, "class")
-        .join(like, "component")
-        .select("doc_id", "words", "start", "n", "class", "component", "first_doc_id", F.when(own, F.col("first_doc_id")).otherwise(F.col("class_doc")).alias("other"), at["start"].alias("other_start"), at["n"].alias("other_n"), at["words"].alias("other_words"))
-    )
+    # in the first document that has these very words, the match is the component's first place, elsewhere theirs
+    other = F.when(F.col("doc_id") == F.col("at.doc_id"), F.col("first")).otherwise(F.col("at"))
+    return rows.select("doc_id", "words", "start", "n", "class", "component", F.col("first.doc_id").alias("first_doc_id"), *(other[c].alias("other" if c == "doc_id" else f"other_{c}") for c in ("doc_id", "start", "n", "words")))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -309,12 +328,12 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def extended(a: np.ndarray, b: np.ndarray, at: list[dict]) -> list[tuple[int, int]]:
-    """The matches in at (start and n in a, other_start and other_n in b) with all words before and behind that agree: begin and end in a."""
+def extended(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """The matches in at (start and n in a, start and n in b, a row each) with all words before and behind that agree: begin and end in a."""
     out: list[tuple[int, int]] = []
     done: dict[int, int] = {}
-    for m in sorted(at, key=lambda m: m["start"]):
-        s, e, x, y = m["start"], m["start"] + m["n"], m["other_start"], m["other_start"] + m["other_n"]
+    for s, n, x, m in at[np.argsort(at[:, 0], kind="stable")].tolist():
+        e, y = s + n, x + m
         if s - x == e - y and done.get(s - x, -1) >= e:
             continue
         begin, end = s - agreeing(a[:s][::-1], b[:x][::-1]), e + agreeing(a[e:], b[y:])
@@ -397,12 +416,17 @@ def removed_spans(found: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(small(batches, "words"), "other_words"):
-            spans = []
-            for at, low, words, other_low, other_words in zip(*(b.column(c).to_pylist() for c in ("at", "low", "words", "other_low", "other_words"))):
+            lists = b.column("at")
+            flat, ends = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+            matches = np.stack([flat.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "other_start", "other_n")], axis=1)
+            classes, spans = flat.field("class").to_numpy(), []
+            for k, (low, words, other_low, other_words) in enumerate(zip(*(b.column(c).to_pylist() for c in ("low", "words", "other_low", "other_words")))):
                 words, other_words = np.frombuffer(words, np.uint64), np.frombuffer(other_words, np.uint64)
-                here = [m | {"start": m["start"] - low, "other_start": m["other_start"] - other_low} for m in at]
-                here = [m for m in here if m["start"] + m["n"] <= len(words) and span_hash(words[m["start"] : m["start"] + m["n"]]).view(np.int64) == m["class"]]
-                spans.append([{"begin": s + low, "end": e + low} for s, e in merged(extended(words, other_words, here))])
+                at = matches[ends[k] : ends[k + 1]] - [low, 0, other_low, 0]
+                inside = at[:, 0] + at[:, 1] <= len(words)
+                at, own = at[inside], classes[ends[k] : ends[k + 1]][inside]
+                at = at[span_hashes(words, at[:, :2], rolled(words, SPAN)).view(np.int64) == own]  # not if it's the text of another row with the same id
+                spans.append([{"begin": s + low, "end": e + low} for s, e in merged(extended(words, other_words, at))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "text_key", "spans"])
 
     both = mine.join(theirs, ["doc_id", "other"]).join(pairs.select("doc_id", "other", "at"), ["doc_id", "other"])
