@@ -191,7 +191,7 @@ EMPTY = Trees(*(np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64, fl
 def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, seed: int = 7) -> Trees:
     """Fits on the sample_rows labelled documents (at most) whose ids hash lowest, so the driver gets a bounded set of rows.
 
-    Both classes must be there, else the empty model is returned, which keeps what the base rules keep.
+    Of rows that repeat those ids, up to sample_rows more are used, by their statistics' order. Both classes must be there, else the empty model is returned, which keeps what the base rules keep.
     """
     pick = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
