@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
 next one's docs. All but the last return the columns of documents.
+
+Defined cases: documents with null, empty or few words go in the first stage, as do all rows if there are none; a row with a null doc_id
+is judged by its text and never counts as a copy; rows that repeat a doc_id stay or go together, are taken equally often, and each
+occurrence has a segmentation of its own; texts are read whole; columns of any name, those that stages use inside too, are passed on
+as they are, but for text, which the pieces replace, and n_chars, which follows changed texts.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latentfield.llm import jaccard_join, mixing, piece_codec, quality, secret_scan
-from latentfield.llm.common import documents, staged
+from latentfield.llm.common import documents, fresh, staged
 from latentfield.llm.queries import tokenizer
 
 
@@ -38,8 +43,9 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The texts as piece ids, in place of text. Rows that repeat a document are numbered, and each has a segmentation of its own."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id", *others)
-    numbered = docs.withColumn("__occurrence", F.row_number().over(same))
-    return piece_codec.with_pieces(numbered, tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=1, occurrence="__occurrence")
+    number = fresh(docs, "__occurrence")
+    numbered = docs.withColumn(number, F.row_number().over(same))
+    return piece_codec.with_pieces(numbered, tokenizer("piece_bpe_32k.model"), dropout=0.1, seed=1, occurrence=number)
 
 
 STAGES = [
