@@ -40,21 +40,28 @@ def hops(edges: DataFrame, sources: DataFrame, *, most: int = MAX_HOPS) -> DataF
     return seen
 
 
+def pair_hops(members: DataFrame, edges: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
+    """(owner, a, b, hops) of the pairs a < b of an owner's nodes that a path of at most `most` hops joins. members: owner, node, each once.
+
+    Both ends walk half of the way, so what is written grows with the nodes within half of the hops, not with all
+    that a whole walk would reach; a path shows where two walks meet.
+    """
+    half = staged(hops(edges, members.select(F.col("node").alias("source")), most=(most + 1) // 2), "pair-walks")
+    walks = staged(members.withColumnRenamed("node", "source").join(half.select("source", F.col("node").alias("at"), F.col("hops").alias("h")), "source"), "pair-ends")
+    other = walks.select("owner", F.col("source").alias("b"), "at", F.col("h").alias("g"))
+    met = walks.withColumnRenamed("source", "a").join(other, ["owner", "at"]).where("a < b")
+    return met.groupBy("owner", "a", "b").agg(F.min(F.col("h") + F.col("g")).alias("hops")).where(F.col("hops") <= most)
+
+
 def mean_distances(members: DataFrame, edges: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
     """AGG11, JN7: (owner, distance): the mean over all pairs of an owner's nodes of hops / (hops + 2), or 1 without a path. members: owner, node. A single node gives 0.
 
     What is joined is pairs within hops, not all pairs: pairs without a path are known by their number.
     """
     own = staged(members.select("owner", "node").distinct(), "distance-members")
-    reach = hops(edges, own.select(F.col("node").alias("source")), most=most).where("hops > 0")
-    pair = (
-        own.select("owner", F.col("node").alias("source"))
-        .join(reach, "source")
-        .join(own.select(F.col("owner").alias("o"), F.col("node").alias("n")), (F.col("owner") == F.col("o")) & (F.col("node") == F.col("n")))
-        .where("source < node")
-    )
     near = (
-        pair.withColumn("x", S.hop_distance(F.col("hops")))
+        pair_hops(own, edges, most=most)
+        .withColumn("x", S.hop_distance(F.col("hops")))
         .groupBy("owner")
         .agg(F.count("*").alias("linked"), F.sum(F.col("x").cast("decimal(24,12)")).cast("double").alias("near"))
     )

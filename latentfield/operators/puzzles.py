@@ -39,7 +39,7 @@ def solved(given: DataFrame, near: DataFrame, *, most_rounds: int = 200) -> Data
         if new.isEmpty():
             return state
         state = staged(state.join(new, "cell", "left").select("cell", F.coalesce("state", "value").alias("state")), "puzzle-state")
-    return state
+    raise RuntimeError("the puzzle did not settle")
 
 
 def wave(start: DataFrame, near: DataFrame, *, most: int) -> DataFrame:

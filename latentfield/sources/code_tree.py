@@ -1,7 +1,7 @@
 """A source tree as a table (SRC3-7): path, ext, text.
 
 Spark's own file readers drop names that begin with _ or . and don't prune folders, so the tree is walked
-here: the driver lists one level, and each top folder becomes a partition that a task walks and reads.
+here: the driver lists the upper levels until there are enough folders, and each becomes a partition that a task walks and reads.
 Unreadable folders and files are skipped. Reading needs a file system that all executors share.
 """
 
@@ -25,6 +25,8 @@ EXTENSIONS = (
     ".py", ".go", ".rb", ".java", ".rs", ".php", ".cs",
 )
 SCHEMA = "path string, ext string, text string"
+#: Partitions that are wanted, and how many levels below the first are opened for them.
+ENOUGH, LEVELS = 64, 3
 
 
 def extension(name: str) -> str:
@@ -43,12 +45,20 @@ class CodeTreeReader(DataSourceReader):
     def __init__(self, root: str, extensions: tuple[str, ...]):
         self.root, self.extensions = root, extensions
 
-    def partitions(self) -> list[Branch]:
+    def inside(self, folder: str) -> list[str]:
         try:
-            inside = sorted(e.name for e in os.scandir(self.root) if e.is_dir() and e.name not in IGNORED)
+            return sorted(os.path.join(folder, e.name) for e in os.scandir(folder) if e.is_dir() and e.name not in IGNORED)
         except OSError:
-            inside = []
-        return [Branch(self.root, False), *(Branch(os.path.join(self.root, x), True) for x in inside)]
+            return []
+
+    def partitions(self) -> list[Branch]:
+        """Folders of one level after the other are opened, their own files being a partition, until ENOUGH are left to walk."""
+        shallow, deep = [self.root], self.inside(self.root)
+        for _ in range(LEVELS):
+            if not deep or len(deep) >= ENOUGH:
+                break
+            shallow, deep = shallow + deep, [x for folder in deep for x in self.inside(folder)]
+        return [*(Branch(x, False) for x in shallow), *(Branch(x, True) for x in deep)]
 
     def read(self, partition: Branch) -> Iterator[tuple[str, str, str]]:
         for folder, inside, names in os.walk(partition.folder):
