@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
 
 MAX_HOPS = 8
 
@@ -81,11 +81,15 @@ def components(edges: DataFrame, *, name: str = "components", most_rounds: int =
     nodes = staged(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), f"{name}-nodes")
     for _ in range(most_rounds):
         if rest.isEmpty():
+            discard(rest)
             return nodes
         both = rest.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
         to = staged(both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("to")), f"{name}-to")
         jump = staged(to.join(to.select(F.col("u").alias("to"), F.col("to").alias("further")), "to").select("u", F.col("further").alias("to")), f"{name}-jump")
-        nodes = staged(nodes.join(jump.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-nodes")
         moved = rest.join(jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
+        old = (to, jump, nodes, rest)
+        nodes = staged(nodes.join(jump.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-nodes")
         rest = staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        for t in old:
+            discard(t)
     raise RuntimeError("components did not settle")

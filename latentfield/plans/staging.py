@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,17 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With this setting Spark deletes a query's shuffle files when the query ends, not when the driver's collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin and end inside leave no shuffle files; the setting is as before afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and so do its shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a table from staged() that no later plan reads."""
+    """Deletes the files of a table from staged() that no later plan reads. A table that is gone already is left at that."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
