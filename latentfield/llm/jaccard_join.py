@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graphs import components
-from .common import fresh, in_parts, small, staged, text_bytes
+from .common import discard, fresh, in_parts, small, staged, text_bytes
 from .shingles import Bands, linked, overlap, shingle_set, text_words
 
 WIDTH = 5
@@ -191,6 +191,7 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     to_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tried = staged(bounded(to_leader, few.select("id", "point")), "join-leaders")
     links = staged(verified(tried, texts).distinct(), "join-links")
+    discard(trees)
     roots = components(links, name="join")
     # what the leaders left apart: trees with several components
     placed = members.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -241,11 +242,15 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     crossed = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "a long, b long")
     crossed = staged(crossed.join(tried, ["a", "b"], "left_anti"), "join-crossed")
+    for t in (members, few, placed, open_trees, tried):
+        discard(t)
     if not crossed.isEmpty():
         more = staged(verified(crossed, texts).distinct(), "join-more-links")
         if not more.isEmpty():
             roots = components(links.unionByName(more), name="join")
     named = staged(points.select("class", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("class", F.coalesce("root", "id").alias("component_id")), "join-named")
+    for t in (points, texts, links, crossed, roots):
+        discard(t)
     return signed.select("doc_id", "n_shingles", "class"), named
 
 
