@@ -25,17 +25,20 @@ def event_words(events: DataFrame) -> DataFrame:
     return events.select("ord", F.explode(S.words_of(F.col("after"))).alias("token"))
 
 
-def cooccurrence(words: DataFrame) -> DataFrame:
-    """AGG9, JN9: (token, other, n): in how many events the two stand together."""
+def cooccurrence(words: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """AGG9, JN9: (token, other, n): in how many events the two stand together. copies (ord, copies): for how many events each stands, 1 if not given."""
     other = words.select("ord", F.col("token").alias("other"))
-    return words.join(other, "ord").where("token <> other").groupBy("token", "other").agg(F.count("*").alias("n"))
+    both = words.join(other, "ord").where("token <> other")
+    if copies is None:
+        return both.groupBy("token", "other").agg(F.count("*").alias("n"))
+    return both.join(copies, "ord").groupBy("token", "other").agg(F.sum("copies").alias("n"))
 
 
-def expanded(words: DataFrame, least: int = MIN_COOCCURRENCE) -> DataFrame:
-    """JN10: each event's words and those that stand with one of them in `least` events or more; 0 turns this off."""
+def expanded(words: DataFrame, least: int = MIN_COOCCURRENCE, copies: DataFrame | None = None) -> DataFrame:
+    """JN10: each event's words and those that stand with one of them in `least` events or more; 0 turns this off. copies: as for cooccurrence()."""
     if least <= 0:
         return words
-    near = cooccurrence(words).where(F.col("n") >= least).select("token", "other")
+    near = cooccurrence(words, copies).where(F.col("n") >= least).select("token", "other")
     return words.unionByName(words.join(near, "token").select("ord", F.col("other").alias("token"))).distinct()
 
 
@@ -89,12 +92,18 @@ def linked_roots(words: DataFrame, threshold: float) -> DataFrame:
 
 
 def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN_COOCCURRENCE) -> DataFrame:
-    """GRA7: (ord, root) of every event with words; root is the cluster's first event. The threshold must be above 0."""
-    wide = staged(expanded(words, least), "cluster-words")
-    heads = staged(token_sets(wide), "cluster-heads")
-    first = heads.select(F.col("head").alias("ord")).distinct()
+    """GRA7: (ord, root) of every event with words; root is the cluster's first event. The threshold must be above 0.
+
+    Events with the same words are expanded once, and those that are the same after that are compared once.
+    """
+    heads = staged(token_sets(words), "cluster-heads")
+    copies = staged(heads.groupBy(F.col("head").alias("ord")).agg(F.count("*").alias("copies")), "cluster-copies")
+    wide = staged(expanded(staged(words.join(copies, "ord", "left_semi"), "cluster-texts"), least, copies), "cluster-words")
+    wide_heads = staged(token_sets(wide), "cluster-wide-heads")
+    first = wide_heads.select(F.col("head").alias("ord")).distinct()
     roots = linked_roots(staged(wide.join(first, "ord", "left_semi"), "cluster-sets"), threshold)
-    return heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select("ord", F.coalesce("root", "head").alias("root"))
+    of = wide_heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select(F.col("ord").alias("head"), F.coalesce("root", "head").alias("root"))
+    return heads.join(of, "head").select("ord", "root")
 
 
 def support(words: DataFrame, of: DataFrame) -> DataFrame:

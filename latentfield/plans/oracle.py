@@ -174,6 +174,17 @@ def board(side: int) -> str:
     return f"cells AS (SELECT range AS cell FROM range({side * side})), near AS (SELECT c.cell, y * {side} + x AS near FROM (SELECT cell, cell % {side} + dx AS x, cell // {side} + dy AS y FROM cells, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) c WHERE x >= 0 AND x < {side} AND y >= 0 AND y < {side})"
 
 
+#: The whole board is one row of lists, and each round of the recursion draws on all clues at once; more rounds than it takes change nothing.
+PUZZLE = f"""WITH RECURSIVE {board(20)}, filled AS (SELECT p_partkey % 400 AS cell, (max(p_size) > 40)::INT AS value FROM part GROUP BY 1),
+given AS (SELECT n.cell, sum(value)::INT AS clue FROM near n JOIN filled f ON f.cell = n.near GROUP BY n.cell),
+packed AS (SELECT list(g.clue ORDER BY c.cell) AS clue, list(c.near ORDER BY c.cell) AS near FROM (SELECT cell, list(near) AS near FROM near GROUP BY cell) c LEFT JOIN given g USING (cell)),
+solve AS (SELECT 0 AS k, list_transform(range(400), lambda c: NULL::INT) AS state UNION ALL
+  SELECT k + 1, list_transform(range(1, 401), lambda c: coalesce(state[c], list_max(list_transform(near[c], lambda i: drawn[i + 1])))) FROM (
+    SELECT k, state, near, list_transform(range(1, 401), lambda c: CASE WHEN clue[c] IS NULL OR len(list_filter(near[c], lambda j: state[j + 1] IS NULL)) = 0 THEN NULL
+      WHEN list_sum(list_transform(near[c], lambda j: coalesce(state[j + 1], 0))) = clue[c] THEN 0
+      WHEN list_sum(list_transform(near[c], lambda j: coalesce(state[j + 1], 1))) = clue[c] THEN 1 END) AS drawn FROM solve, packed WHERE k < 40))
+SELECT (c - 1)::INT AS cell, state[c] AS state FROM solve, range(1, 401) t(c) WHERE k = 40"""
+
 CUBE = """WITH s AS (SELECT count(*)::INT AS n FROM region), c AS (SELECT range::INT AS cell, n, range // (n * n) AS f, (range // n) % n AS y, range % n AS x FROM s, range(6 * (SELECT n * n FROM s))),
 e AS (SELECT cell, f, n, 2 * x + a AS u, 2 * y + b AS v FROM c, (VALUES (1, 0), (1, 2), (0, 1), (2, 1)) t(a, b)),
 p AS (SELECT cell, CASE f // 2 WHEN 0 THEN [(f % 2) * 2 * n, u, v] WHEN 1 THEN [u, (f % 2) * 2 * n, v] ELSE [u, v, (f % 2) * 2 * n] END AS at FROM e),
@@ -225,6 +236,7 @@ SQL = {
     "stencil": f"WITH {board(40)}, filled AS (SELECT p_partkey % 1600 AS cell, (max(p_size) > 40)::INT AS value FROM part GROUP BY 1) SELECT n.cell::INT AS cell, sum(value)::BIGINT AS clue FROM near n JOIN filled f ON f.cell = n.near GROUP BY n.cell",
     "wave": f"WITH RECURSIVE {board(40)}, walk AS (SELECT (n_nationkey * 61 % 1600)::BIGINT AS cell, 0 AS step FROM nation UNION SELECT near, step + 1 FROM walk JOIN near USING (cell) WHERE step < 6) SELECT cell::INT AS cell, min(step) AS step FROM walk GROUP BY cell",
     "cube_surface": CUBE,
+    "puzzle_solution": PUZZLE,
     "stream_demand": f"WITH {EVENTS}, {demand()} SELECT capability, \"count\", demand, {r('arrow_share', 6)} AS arrow_share, {r('coherence', 6)} AS coherence, direction_known FROM dem",
     "json_inputs": f"WITH {SIG} SELECT ord::INT AS ord, capability AS id, 'item ' || capability AS label, (SELECT string_agg(signal, ',' ORDER BY length(signal) DESC, signal) FROM sig s WHERE s.ord = caps.ord) AS signals FROM caps",
     "baseline_round_trip": f"{READINGS} SELECT capability, 0.0::DOUBLE AS d_collapse_potential, 0.0::DOUBLE AS d_correction, 0.0::DOUBLE AS d_utilization, 'stable' AS verdict FROM rd",
