@@ -4,7 +4,7 @@ A document's shingles are hashed into GROUPS groups; the counts of its groups ar
 share at most the sum of the smaller coordinates of their points, and two boxes of points at most
 the same sum of their upper corners. An R-tree over the points is joined with itself from the
 root down: pairs of boxes, then of points, whose bound can't reach the threshold are dropped.
-What survives is verified on the shingle sets themselves.
+What survives is verified on the shingle sets themselves, in the task that holds the tree, so no pair that doesn't link leaves it.
 
 Points of unrelated documents of one length lie too close together for boxes to tell them apart, so
 one tree over the corpus would compare nearly all pairs. The forest is therefore keyed first: a tree
@@ -13,7 +13,8 @@ with a probability of 5e-8, a nearer one less).
 
 Trees aren't expanded into all pairs. Equal sets are one class. In each tree, members are first
 verified against one leader, and what is linked is united; only trees that still hold several components are
-joined, and only between components. A tree of more than CHUNK members is joined in blocks, each a task.
+joined, and only between components. A tree of more than CHUNK members, or of more than SHINGLES shingles, is joined in blocks, each a
+task; a block gives a spanning forest of its links.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; a null doc_id gets a null component and links nothing; rows that repeat
@@ -40,7 +41,7 @@ WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 32, 4
 GROUPS = 256
-CHUNK = 256
+CHUNK, SHINGLES = 256, 1 << 20
 LEAF = 32
 
 
@@ -155,26 +156,34 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets do link. texts (id, text) holds each text a pair may name."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, class and shingles (sorted, as bytes) of the rows of docs whose doc_id is wanted (id)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, "text"):
+            sets = [b""] * b.num_rows
+            for i, words in text_words([x.lower() for x in text_bytes(b.column("text"))]):
+                sets[i] = shingle_set(words, WIDTH).tobytes()
+            classes = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(classes, pa.binary()), pa.array(sets, pa.binary())], names=["id", "class", "shingles"])
+
+    return in_parts(texts).mapInArrow(run, "id long, class binary, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets do link. sets (id, shingles) holds each set a pair may name."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
         for t in batches:
             ok = []
-            for s in range(0, t.num_rows, 64):
-                u = t.slice(s, 64)
-                left, right = text_bytes(u.column("x")), text_bytes(u.column("y"))
-                a = u.column("a").to_pylist()
-                fresh = {k: x for k, x in zip(a, left) if k not in kept}
-                kept = {k: kept[k] for k in a if k in kept} | {k: shingle_set(w, WIDTH) for k, w in zip(fresh, (w for _, w in text_words([x.lower() for x in fresh.values()])))}
-                for k, (_, w) in zip(a, text_words([x.lower() for x in right])):
-                    y = shingle_set(w, WIDTH)
-                    ok.append(linked(len(kept[k]), len(y), overlap(kept[k], y), PERCENT))
+            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                ok.append(linked(len(x), len(y), overlap(x, y), PERCENT))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_parts(both).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,27 +191,30 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = staged(signatures(docs), "join-signatures")
     points = staged(signed.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "n_shingles", "point", "keys")).alias("s")).select("class", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.point", "s.keys"), "join-classes")
     # trees with several members, and the leader of each
-    banded = points.select("id", "n", F.explode("keys").alias("key"))
+    banded = points.select("id", "class", "n", F.explode("keys").alias("key"))
     trees = staged(banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m")).where("m > 1"), "join-trees")
-    members = staged(banded.join(trees, "key").select("key", "id", "leader", "m"), "join-members")
+    members = staged(banded.join(trees, "key").select("key", "id", "class", "n", "leader"), "join-members")
     involved = members.select("id").distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(involved, "id", "left_semi"), "join-texts")
-    few = staged(points.select("id", "point", "keys").join(involved, "id", "left_semi"), "join-points")
+    sets = staged(shingle_sets(docs, involved), "join-sets")
+    few = staged(points.select("id", "class", "point", "keys").join(involved, "id", "left_semi"), "join-points")
     to_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tried = staged(bounded(to_leader, few.select("id", "point")), "join-leaders")
-    links = staged(verified(tried, texts).distinct(), "join-links")
+    links = staged(verified(tried, sets).distinct(), "join-links")
     discard(trees)
+    discard(tried)
     roots = components(links, name="join")
     # what the leaders left apart: trees with several components
-    placed = members.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    placed = members.select("key", "id", "class", "n").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "class", "n", F.coalesce("root", "id").alias("root"))
     placed = staged(placed, "join-placed")
-    open_trees = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "join-open")
+    discard(members)
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    open_trees = staged(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), chunks.alias("chunks")).where("low < high").select("key", "chunks"), "join-open")
     blocks = (
         placed.join(open_trees, "key")
-        .join(few, "id")
         .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "point", "keys")
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "class", "root")
+        .join(few.join(sets, ["id", "class"]), ["id", "class"])
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +228,26 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
             keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             band = int((keys[0] == rows.column("key")[0].as_py()).argmax())
-            tree = CountTree(unpacked(rows.column("point").to_pylist()))
-            for p, q in tree.pairs():
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            at = {r: r for r in root.tolist()}
+
+            def top(x: int) -> int:
+                while at[x] != x:
+                    at[x] = x = at[at[x]]
+                return x
+
+            found = []
+            for p, q in CountTree(unpacked(rows.column("point").to_pylist())).pairs():
                 ok = (root[p] != root[q]) & ~(keys[p, :band] == keys[q, :band]).any(axis=1)
                 if apart:
                     ok &= mine[p] != mine[q]
-                p, q = ids[p[ok]], ids[q[ok]]
-                if len(p):  # few: most pairs of a tree are united already or out of bounds
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                for x, y in zip(p[ok].tolist(), q[ok].tolist()):
+                    u, v = top(int(root[x])), top(int(root[y]))
+                    if u != v and linked(len(sets[x]), len(sets[y]), overlap(sets[x], sets[y]), PERCENT):
+                        at[max(u, v)] = min(u, v)
+                        found.append((int(ids[x]), int(ids[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -240,16 +264,12 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if pending:
             yield from done(pa.Table.from_batches(pending))
 
-    crossed = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(join, "a long, b long")
-    crossed = staged(crossed.join(tried, ["a", "b"], "left_anti"), "join-crossed")
-    for t in (members, few, placed, open_trees, tried):
-        discard(t)
-    if not crossed.isEmpty():
-        more = staged(verified(crossed, texts).distinct(), "join-more-links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more), name="join")
+    in_order = in_parts(blocks).select("key", "i", "j", "mine", "id", "root", "point", "keys", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = staged(in_order.mapInArrow(join, "a long, b long").distinct(), "join-more-links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), name="join")
     named = staged(points.select("class", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("class", F.coalesce("root", "id").alias("component_id")), "join-named")
-    for t in (points, texts, links, crossed, roots):
+    for t in (points, sets, few, placed, open_trees, links, more, roots):
         discard(t)
     return signed.select("doc_id", "n_shingles", "class"), named
 
