@@ -13,7 +13,7 @@ from .mixing import mix
 from .passage_dedup import repeated_documents
 from .piece_codec import round_trip
 from .pseudonyms import found_documents
-from .quality import quality_rules
+from .quality import MAX_REPEAT_PERCENT, MIN_WORDS, quality_rules, with_statistics
 from .secret_scan import secret_scan
 from .token_counts import token_counts
 
@@ -65,6 +65,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op7's base rules go by, alone, since SQL can express them."""
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return with_statistics(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans op8's base patterns find, alone, since SQL can express them."""
+    return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +89,8 @@ QUERIES = {
         op8_secret_scan,
         op9_pseudonyms,
         op10_token_counts,
+        quality_base,
+        secret_base,
     )
 }
 
@@ -149,4 +162,22 @@ SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(f
 FROM embeddings v LEFT JOIN counts c ON c.a = v.vec_id LEFT JOIN found f ON f.a = v.vec_id
 """
 
-ORACLE_SQL = {"op3_source_mixing": MIX_SQL, "op5_jaccard_join": JACCARD_SQL, "op6_embedding_dedup": VECTOR_SQL}
+QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS three FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) >= 2
+), repeated AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM again) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeated r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+"""
+
+SECRET_SQL = r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(x, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(x, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(x, '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+"""
+
+ORACLE_SQL = {"quality_base": QUALITY_SQL, "secret_base": SECRET_SQL, "op3_source_mixing": MIX_SQL, "op5_jaccard_join": JACCARD_SQL, "op6_embedding_dedup": VECTOR_SQL}
