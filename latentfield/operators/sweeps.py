@@ -63,11 +63,14 @@ def tally(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     return t.withColumn("candidate", S.is_candidate(S.category(F.col("correction"), F.col("capacity"), F.col("utilization"), F.col("known"), F.col("hi"), F.col("lo"))).cast("int"))
 
 
-def level2(evidence: DataFrame, *, levels: dict[str, tuple[float, ...]] | None = None, thresholds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """PIP5: for each capability the baseline, its shares of first places and candidacies, the range of its potential and its most sensitive knob."""
+def second_level(evidence: DataFrame, levels: dict[str, tuple[float, ...]] | None, thresholds: dict[str, tuple[float, ...]] | None) -> DataFrame:
+    """Readings under all scales and thresholds, judged."""
     spark = evidence.sparkSession
-    scores = swept(evidence, grid(spark, levels or LEVELS))
-    judged = tally(scores, grid(spark, thresholds or THRESHOLDS))
+    return tally(swept(evidence, grid(spark, levels or LEVELS)), grid(spark, thresholds or THRESHOLDS))
+
+
+def shares(evidence: DataFrame, judged: DataFrame) -> DataFrame:
+    """For each capability the baseline, its shares of first places and candidacies, and the range of its potential."""
     total = F.count("*")
     stats = judged.groupBy("capability").agg(
         total.alias("configurations"),
@@ -76,8 +79,14 @@ def level2(evidence: DataFrame, *, levels: dict[str, tuple[float, ...]] | None =
         F.min("collapse_potential").alias("cp_min"),
         F.max("collapse_potential").alias("cp_max"),
     )
-    base = swept(evidence, config(spark)).select("ord", "capability", "label", F.col("collapse_potential").alias("baseline_cp"), F.col("rank").alias("baseline_rank"), F.col("category").alias("baseline_category"))
-    return base.join(stats, "capability").join(sensitivity(judged), "capability", "left")
+    base = swept(evidence, config(evidence.sparkSession)).select("ord", "capability", "label", F.col("collapse_potential").alias("baseline_cp"), F.col("rank").alias("baseline_rank"), F.col("category").alias("baseline_category"))
+    return base.join(stats, "capability")
+
+
+def level2(evidence: DataFrame, *, levels: dict[str, tuple[float, ...]] | None = None, thresholds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """PIP5: shares() of the second level, and each capability's most sensitive knob."""
+    judged = second_level(evidence, levels, thresholds)
+    return shares(evidence, judged).join(sensitivity(judged), "capability", "left")
 
 
 def knob_levels(judged: DataFrame) -> DataFrame:
@@ -126,8 +135,8 @@ def design_shares(evidence: DataFrame) -> DataFrame:
 
 def level3(evidence: DataFrame) -> DataFrame:
     """PIP6, AGG14: how much a capability's candidate share depends on the design of the sweep itself."""
-    shares = design_shares(evidence).groupBy("capability").agg(
+    designs = design_shares(evidence).groupBy("capability").agg(
         F.min("share").alias("min_share"), F.max("share").alias("max_share"), F.avg("share").alias("mean_share"), (F.max("share") - F.min("share")).alias("spread"), F.min("rank1").alias("rank1_min")
     )
-    two = level2(evidence).select("ord", "capability", "label", "baseline_cp", F.col("candidate_share").alias("l2_share"))
-    return two.join(shares, "capability").withColumn("class_converges", F.col("spread") <= CONVERGES)
+    two = shares(evidence, second_level(evidence, None, None)).select("ord", "capability", "label", "baseline_cp", F.col("candidate_share").alias("l2_share"))
+    return two.join(designs, "capability").withColumn("class_converges", F.col("spread") <= CONVERGES)
