@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
 from .graphs import components
 
 THRESHOLD = 0.34
@@ -70,25 +70,41 @@ def linked(common: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     return sized.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
 
 
-def linked_roots(words: DataFrame, threshold: float) -> DataFrame:
+def likely(apart: DataFrame) -> DataFrame:
+    """(a, b): one event of another component for each event b, the one that is first with most of its words. apart: token, ord, root, over words that several components hold."""
+    first = apart.groupBy("token").agg(F.min(F.struct("ord", "root")).alias("first"))
+    led = staged(apart.join(first, "token"), "cluster-led")
+    second = led.where(F.col("root") != F.col("first.root")).groupBy("token").agg(F.min("ord").alias("second"))
+    partner = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.ord"))
+    votes = led.join(second, "token").groupBy(F.col("ord").alias("b"), partner.alias("a")).agg(F.count("*").alias("n"))
+    return votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+
+
+def linked_roots(words: DataFrame, threshold: float, *, rounds: int = 2) -> DataFrame:
     """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs.
 
-    Each event is first compared with the first event of each of its words, which are few; that unites nearly all that
-    belongs together. Then only events of different components are compared, over words that several components hold: a
-    pair's shared words are all among them, so its overlap is whole.
+    In a few rounds each event is compared with one event of another component, which unites nearly all that belongs together. Then all
+    events of different components are compared, over words that several components hold: a pair's shared words are all
+    among them, so its overlap is whole.
     """
     sizes = staged(words.groupBy("ord").agg(F.count("*").alias("size")), "cluster-sizes")
-    leads = words.groupBy("token").agg(F.min("ord").alias("a"))
-    tried = words.withColumnRenamed("ord", "b").join(leads, "token").where("a < b").select("a", "b").distinct()
-    links = staged(linked(common_of(tried, words), sizes, threshold), "cluster-leads")
-    roots = components(links, name="cluster")
-    placed = staged(words.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("token", "ord", F.coalesce("root", "ord").alias("root")), "cluster-placed")
-    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    apart = placed.join(several, "token")
-    left, right = apart.select("token", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("token", F.col("ord").alias("b"), F.col("root").alias("y"))
-    across = left.join(right, "token").where("x < y").groupBy("a", "b").agg(F.count("*").alias("common"))
-    more = staged(linked(across, sizes, threshold), "cluster-more")
-    return roots if more.isEmpty() else components(links.unionByName(more), name="cluster")
+    links, roots = None, sizes.select(F.col("ord").alias("node"), F.col("ord").alias("root"))
+    for k in range(rounds + 1):
+        placed = staged(words.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("token", "ord", F.coalesce("root", "ord").alias("root")), "cluster-placed")
+        several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+        apart = staged(placed.join(several, "token"), "cluster-apart")
+        discard(placed)
+        if k < rounds:
+            common = common_of(likely(apart), words)
+        else:
+            left, right = apart.select("token", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("token", F.col("ord").alias("b"), F.col("root").alias("y"))
+            common = left.join(right, "token").where("x < y").groupBy("a", "b").agg(F.count("*").alias("common"))
+        more = staged(linked(common, sizes, threshold), "cluster-more")
+        discard(apart)
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            roots = components(links, name="cluster")
+    return roots
 
 
 def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN_COOCCURRENCE) -> DataFrame:
