@@ -367,9 +367,12 @@ def parts_of(asks: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asks = staged(asks, "passage-asks")
     others = [c for c in asks.columns if c not in ("at", "high")]
-    many = asks.groupBy("at").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("chunks"))
-    dealt = asks.join(many, "at").withColumn("chunk", F.pmod(F.xxhash64(*asks.columns), F.col("chunks"))).groupBy("at", "chunk").agg(F.collect_list(F.struct(*others, "high")).alias("asks"))
+    hot = staged(asks.groupBy("at").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("chunks")).where("chunks > 1"), "passage-hot")
+    # one column for document and chunk: a shuffle by the document alone would do for two, and bring all chunks back together
+    chunk = F.pmod(F.xxhash64(*asks.columns), F.coalesce("chunks", F.lit(1))).cast("int")
+    dealt = asks.join(hot, "at", "left").withColumn("slot", F.struct("at", chunk.alias("chunk"))).groupBy("slot").agg(F.collect_list(F.struct(*others, "high")).alias("asks"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("at"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(hot, "at", "left").select("at", "text", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk")).select(F.struct("at", "chunk").alias("slot"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, "text"):
@@ -389,7 +392,7 @@ def parts_of(asks: DataFrame, docs: DataFrame) -> DataFrame:
 
     types = [{"bigint": pa.int64(), "int": pa.int32()}[asks.schema[c].dataType.simpleString()] for c in others] + [pa.int64(), pa.binary()]
     schema = ", ".join(f"{c} {asks.schema[c].dataType.simpleString()}" for c in others)
-    return in_parts(dealt).join(texts, "at").select("asks", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"{schema}, text_key long, words binary")
+    return in_parts(dealt).join(texts, "slot").select("asks", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"{schema}, text_key long, words binary")
 
 
 def removed_spans(found: DataFrame, docs: DataFrame) -> DataFrame:

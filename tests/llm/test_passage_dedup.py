@@ -1,7 +1,9 @@
 import random
 import re
 
-from latentfield.llm.passage_dedup import SPAN, WINDOW, deduplicated, paragraph_starts, repeated_documents, repeated_passages, rolled, tuned_bands
+from pyspark.sql import functions as F
+
+from latentfield.llm.passage_dedup import ASKS, SPAN, WINDOW, deduplicated, paragraph_starts, parts_of, repeated_documents, repeated_passages, rolled, tuned_bands
 from latentfield.llm.shingles import text_words
 
 
@@ -201,3 +203,19 @@ def test_a_text_that_many_share_with(spark):
     rows = [(0, " ".join(long))] + [(d, " ".join([*own(d), *long[d : d + 60], *own(-d)])) for d in range(1, 3001)]
     got = rows_of(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(got) == 3001 and all(got[d][1:] == (1, 0, 60, "40:100") for d in range(1, 3001))
+
+
+def test_asks_for_one_text_are_dealt_out(spark):
+    """A document that many ask for isn't read by one task."""
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        n = 8 * ASKS
+        docs = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(100))), (1, "a b c")], "doc_id long, text string")
+        asks = spark.range(n).select("id", F.when(F.col("id") < n - 1, 0).otherwise(1).cast("long").alias("at"), F.lit(1).alias("low"), F.lit(3).alias("high"))
+        got = parts_of(asks, docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    assert sorted(r.id for r in got) == list(range(n)) and all(len(r.words) == 16 for r in got)
+    assert len({r.task for r in got if r.id < n - 1}) > 2
