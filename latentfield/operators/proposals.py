@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -51,17 +51,56 @@ def overlap_pairs(words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return shared.select("a", "b", (F.col("common") / F.least("sa", "sb")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
-def token_sets(words: DataFrame) -> DataFrame:
-    """(ord, head): events with the same non-empty words have the same head, the first of them. They always link, so one is enough to compare."""
-    sets = words.groupBy("ord").agg(F.xxhash64(F.array_sort(F.collect_set("token"))).alias("set"))
-    heads = sets.groupBy("set").agg(F.min("ord").alias("head"))
-    return sets.join(heads, "set").select("ord", "head")
+def numbered(words: DataFrame) -> DataFrame:
+    """(ord, id): each word as a number, frequent words first, so that those which stand in many events lie close together."""
+    ids = words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").select("token", F.monotonically_increasing_id().alias("id"))
+    return words.join(staged(ids, "cluster-ids"), "token").select("ord", "id")
 
 
-def common_of(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, key: str, shift: int) -> DataFrame:
+    """(key, block, bits): the sets of numbers (key, id) as bits, 2 ** shift numbers (64 at most) to a row."""
+    bit = F.expr(f"shiftleft(1L, cast(id & {(1 << shift) - 1} AS int))")
+    return rows.groupBy(key, F.shiftright("id", shift).alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def numbers(sets: DataFrame, shift: int) -> DataFrame:
+    """(ord, id): the numbers in blocks()."""
+    at = F.explode(F.expr(f"filter(sequence(0, {(1 << shift) - 1}), i -> getbit(bits, i) = 1)"))
+    return sets.select("ord", "block", at.alias("i")).select("ord", (F.shiftleft("block", shift) + F.col("i")).alias("id"))
+
+
+def same_sets(sets: DataFrame) -> DataFrame:
+    """(ord, head): events with the same blocks have the same head, the first of them. They always link, so one is enough to compare."""
+    prints = [F.bit_xor(F.xxhash64("block", "bits", F.lit(k))).alias(f"print{k}") for k in (1, 2)]
+    of = sets.groupBy("ord").agg(*prints)
+    heads = of.groupBy("print1", "print2").agg(F.min("ord").alias("head"))
+    return of.join(heads, ["print1", "print2"]).select("ord", "head")
+
+
+def widened(sets: DataFrame, copies: DataFrame, least: int, shift: int) -> DataFrame:
+    """expanded() over blocks (ord, block, bits): each set united with those of the words that stand with one of its own in `least` events or more.
+
+    For least = 1 a word's company is the union of the sets that hold it, so no pairs of words are made.
+    """
+    own = staged(numbers(sets, shift), "cluster-numbers")
+    if least == 1:
+        near = own.join(sets, "ord").groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
+    else:
+        pairs = cooccurrence(own.withColumnRenamed("id", "token"), copies).where(F.col("n") >= least)
+        near = blocks(pairs.select(F.col("token").alias("of"), F.col("other").alias("id")), "of", shift).withColumnRenamed("of", "id")
+    near = staged(near, "cluster-near")
+    all_ = own.join(near, "id").select("ord", "block", "bits")
+    return (all_ if least == 1 else all_.unionByName(sets)).groupBy("ord", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+#: How many words two blocks share.
+SHARED = "sum(bit_count(bits & other))"
+
+
+def common_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with common: how many words the two share."""
-    left, right = words.select(F.col("ord").alias("a"), "token"), words.select(F.col("ord").alias("b"), "token")
-    return pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    left, right = sets.withColumnRenamed("ord", "a"), sets.select(F.col("ord").alias("b"), "block", F.col("bits").alias("other"))
+    return pairs.join(left, "a").join(right, ["b", "block"]).groupBy("a", "b").agg(F.expr(SHARED).alias("common"))
 
 
 def linked(common: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -70,54 +109,72 @@ def linked(common: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     return sized.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
 
 
-def likely(apart: DataFrame) -> DataFrame:
-    """(a, b): one event of another component for each event b, the one that is first with most of its words. apart: token, ord, root, over words that several components hold."""
-    first = apart.groupBy("token").agg(F.min(F.struct("ord", "root")).alias("first"))
-    led = staged(apart.join(first, "token"), "cluster-led")
-    second = led.where(F.col("root") != F.col("first.root")).groupBy("token").agg(F.min("ord").alias("second"))
-    partner = F.when(F.col("root") == F.col("first.root"), F.col("second")).otherwise(F.col("first.ord"))
-    votes = led.join(second, "token").groupBy(F.col("ord").alias("b"), partner.alias("a")).agg(F.count("*").alias("n"))
+def likely(apart: DataFrame, by: Column) -> DataFrame:
+    """(a, b): one event of another component for each event b that has such: of those that come first in a block by `by`, the one that leads with most of its words.
+
+    apart: block, bits, ord, root, size, over blocks that several components hold. A large set is a good guess, since an overlap is relative to the smaller.
+    """
+    first = apart.groupBy("block").agg(F.min(F.struct(by.alias("by"), "ord", "root", "bits")).alias("first"))
+    led = staged(apart.join(first, "block"), "cluster-led")
+    second = led.where(F.col("root") != F.col("first.root")).groupBy("block").agg(F.min(F.struct(by.alias("by"), "ord", "bits")).alias("second"))
+    leads = F.col("root") == F.col("first.root")
+    partner, other = F.when(leads, F.col("second.ord")).otherwise(F.col("first.ord")), F.when(leads, F.col("second.bits")).otherwise(F.col("first.bits"))
+    votes = led.join(second, "block").select(F.col("ord").alias("b"), partner.alias("a"), "bits", other.alias("other")).groupBy("a", "b").agg(F.expr(SHARED).alias("n")).where("n > 0")
     return votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def linked_roots(words: DataFrame, threshold: float, *, rounds: int = 2) -> DataFrame:
-    """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs.
+def linked_roots(sets: DataFrame, threshold: float, *, rounds: int = 3) -> DataFrame:
+    """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs. sets: ord, block, bits.
 
     In a few rounds each event is compared with one event of another component, which unites nearly all that belongs together. Then all
-    events of different components are compared, over words that several components hold: a pair's shared words are all
-    among them, so its overlap is whole.
+    events of different components are compared, over blocks that several components hold: a pair's shared words are all
+    in them, so its overlap is whole.
     """
-    sizes = staged(words.groupBy("ord").agg(F.count("*").alias("size")), "cluster-sizes")
+    sizes = staged(sets.groupBy("ord").agg(F.sum(F.expr("bit_count(bits)")).alias("size")), "cluster-sizes")
     links, roots = None, sizes.select(F.col("ord").alias("node"), F.col("ord").alias("root"))
+    held = F.expr("bit_count(bits)")
+    orders = (-F.col("size"), -held, -held / F.col("size"))
+    last = False
     for k in range(rounds + 1):
-        placed = staged(words.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("token", "ord", F.coalesce("root", "ord").alias("root")), "cluster-placed")
-        several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        apart = staged(placed.join(several, "token"), "cluster-apart")
-        discard(placed)
-        if k < rounds:
-            common = common_of(likely(apart), words)
+        last = last or k == rounds
+        of = staged(sizes.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("ord", "size", F.coalesce("root", "ord").alias("root")), "cluster-of")
+        placed = sets.join(of, "ord").select("block", "bits", "ord", "size", "root")
+        several = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+        apart = staged(placed.join(several, "block"), "cluster-apart")
+        if apart.isEmpty():
+            break
+        if not last:
+            common = common_of(likely(apart, orders[k % len(orders)]), sets)
         else:
-            left, right = apart.select("token", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("token", F.col("ord").alias("b"), F.col("root").alias("y"))
-            common = left.join(right, "token").where("x < y").groupBy("a", "b").agg(F.count("*").alias("common"))
+            left, right = apart.select("block", "bits", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("block", F.col("bits").alias("other"), F.col("ord").alias("b"), F.col("root").alias("y"))
+            common = left.join(right, "block").where("x < y AND bits & other <> 0").groupBy("a", "b").agg(F.expr(SHARED).alias("common"))
         more = staged(linked(common, sizes, threshold), "cluster-more")
         discard(apart)
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             roots = components(links, name="cluster")
+        if last:
+            break
+        last = more.isEmpty()  # a round that finds nothing is followed by the exact step
     return roots
 
 
 def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN_COOCCURRENCE) -> DataFrame:
     """GRA7: (ord, root) of every event with words; root is the cluster's first event. The threshold must be above 0.
 
-    Events with the same words are expanded once, and those that are the same after that are compared once.
+    Events with the same words are expanded once, and those that are the same after that are compared once. Expanded
+    sets hold much of the vocabulary and go as bits, 64 words to a row; others as one row a word.
     """
-    heads = staged(token_sets(words), "cluster-heads")
-    copies = staged(heads.groupBy(F.col("head").alias("ord")).agg(F.count("*").alias("copies")), "cluster-copies")
-    wide = staged(expanded(staged(words.join(copies, "ord", "left_semi"), "cluster-texts"), least, copies), "cluster-words")
-    wide_heads = staged(token_sets(wide), "cluster-wide-heads")
-    first = wide_heads.select(F.col("head").alias("ord")).distinct()
-    roots = linked_roots(staged(wide.join(first, "ord", "left_semi"), "cluster-sets"), threshold)
+    shift = 6 if least > 0 else 0
+    sets = staged(blocks(numbered(words), "ord", shift), "cluster-own")
+    heads = staged(same_sets(sets), "cluster-heads")
+    if least > 0:
+        copies = staged(heads.groupBy(F.col("head").alias("ord")).agg(F.count("*").alias("copies")), "cluster-copies")
+        sets = staged(widened(staged(sets.join(copies, "ord", "left_semi"), "cluster-texts"), copies, least, shift), "cluster-words")
+        wide_heads = staged(same_sets(sets), "cluster-wide-heads")
+    else:
+        wide_heads = heads.select(F.col("head").alias("ord"), "head").distinct()
+    roots = linked_roots(staged(sets.join(wide_heads.select(F.col("head").alias("ord")).distinct(), "ord", "left_semi"), "cluster-sets"), threshold)
     of = wide_heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select(F.col("ord").alias("head"), F.coalesce("root", "head").alias("root"))
     return heads.join(of, "head").select("ord", "root")
 
