@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import numbered
 
 
 def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows with their place in an order, and in that order. For reports: they have a row for each capability or module."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")
+    """rows with their place in an order, and in that order."""
+    return numbered(rows, *order, name="place").orderBy("place")
 
 
 def by_members(proposals: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranking import numbered
 
 #: Default scales: demand, files and use at which a field is at 63 %, and the use assumed where none is known.
 DEFAULT_CONFIG = (3.0, 2.0, 20.0, 0.5)
@@ -67,5 +68,5 @@ def readings(rows: DataFrame, configs: DataFrame, *, hi: float = S.HI, lo: float
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """WIN1, WIN2: place in each configuration by rounded score; equal ones in input order."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("config_id").orderBy(F.desc("score"), "ord")))
+    """WIN1, WIN2: place in each configuration by rounded score; equal ones in input order. A configuration may hold any number of rows."""
+    return numbered(scores, F.desc("score"), "ord", per="config_id")

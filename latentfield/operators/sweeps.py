@@ -53,8 +53,13 @@ def design(spark: SparkSession, name: str, radius: str, n: int) -> DataFrame:
 
 
 def swept(evidence: DataFrame, configs: DataFrame) -> DataFrame:
-    """Ranked readings under each configuration, without what only reports need."""
-    return ranked(readings(evidence, configs).drop("evidence"))
+    """Readings under each configuration, without what only reports need, and whether each is the first of its configuration.
+
+    A first place is an aggregate: no configuration's readings are sorted, however many there are.
+    """
+    scores = readings(evidence, configs).drop("evidence")
+    first = scores.groupBy(F.col("config_id").alias("c")).agg(F.max(F.struct("score", (-F.col("ord")).alias("o"))).alias("best"))
+    return scores.join(first, F.col("config_id") == F.col("c")).withColumn("is_first", F.col("ord") == -F.col("best.o")).drop("c", "best")
 
 
 def tally(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -74,12 +79,12 @@ def shares(evidence: DataFrame, judged: DataFrame) -> DataFrame:
     total = F.count("*")
     stats = judged.groupBy("capability").agg(
         total.alias("configurations"),
-        (F.sum((F.col("rank") == 1).cast("int")) / total).alias("rank1_share"),
+        (F.sum(F.col("is_first").cast("int")) / total).alias("rank1_share"),
         (F.sum("candidate") / total).alias("candidate_share"),
         F.min("collapse_potential").alias("cp_min"),
         F.max("collapse_potential").alias("cp_max"),
     )
-    base = swept(evidence, config(evidence.sparkSession)).select("ord", "capability", "label", F.col("collapse_potential").alias("baseline_cp"), F.col("rank").alias("baseline_rank"), F.col("category").alias("baseline_category"))
+    base = ranked(readings(evidence, config(evidence.sparkSession)).drop("evidence")).select("ord", "capability", "label", F.col("collapse_potential").alias("baseline_cp"), F.col("rank").alias("baseline_rank"), F.col("category").alias("baseline_category"))
     return base.join(stats, "capability")
 
 
@@ -129,7 +134,7 @@ def design_shares(evidence: DataFrame) -> DataFrame:
     names = designs.select("config_id", "design")
     scores = swept(evidence, designs.drop("design")).withColumn("candidate", S.is_candidate(F.col("category")).cast("int"))
     return scores.join(F.broadcast(names), "config_id").groupBy("capability", "design").agg(  # 2,118 names
-        (F.sum("candidate") / F.count("*")).alias("share"), (F.sum((F.col("rank") == 1).cast("int")) / F.count("*")).alias("rank1")
+        (F.sum("candidate") / F.count("*")).alias("share"), (F.sum(F.col("is_first").cast("int")) / F.count("*")).alias("rank1")
     )
 
 
