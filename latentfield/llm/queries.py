@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .embedding_dedup import near_duplicates
+from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .mixing import mix
@@ -65,6 +67,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 have the next label, and every hundredth is an anchor, as the task asks."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label).withColumn("is_anchor", F.col("vec_id") % 100 == 0))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that op7's base rules go by, alone, since SQL can express them."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -89,6 +102,8 @@ QUERIES = {
         op8_secret_scan,
         op9_pseudonyms,
         op10_token_counts,
+        op11_exact_dedup,
+        op12_hard_negatives,
         quality_base,
         secret_base,
     )
@@ -180,4 +195,28 @@ SELECT doc_id, len(list_filter(regexp_extract_all(x, '(?i:password|passwd|secret
 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
 """
 
-ORACLE_SQL = {"quality_base": QUALITY_SQL, "secret_base": SECRET_SQL, "op3_source_mixing": MIX_SQL, "op5_jaccard_join": JACCARD_SQL, "op6_embedding_dedup": VECTOR_SQL}
+COPIES_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents
+), placed AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST) AS place FROM t)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, place = 1 AS kept, sha256(x) AS text_sha256 FROM placed WINDOW w AS (PARTITION BY x ORDER BY place)
+"""
+
+#: All anchors against all rows.
+NEGATIVES_SQL = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE place <= 10
+"""
+
+ORACLE_SQL = {"op11_exact_dedup": COPIES_SQL, "op12_hard_negatives": NEGATIVES_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRET_SQL, "op3_source_mixing": MIX_SQL, "op5_jaccard_join": JACCARD_SQL, "op6_embedding_dedup": VECTOR_SQL}
