@@ -34,15 +34,20 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr]|[A-Z][A-Za-z-]{2,30}: ?[A-Za-z0-9,-]{1,80}){16,}?)-----END \1-----")
+#: Where a PEM block begins. What stands inside is found and parsed step by step, in one pass.
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 #: Headers of a PEM block, up to the line's end, which may be escaped; and what an encrypted one must say.
-PEM_HEADER = re.compile(r"[A-Z][A-Za-z-]{2,30}: ?[A-Za-z0-9,-]{1,80}(?=\s|\\[nr])")
-ENCRYPTED = re.compile(r"Proc-Type: ?4,ENCRYPTED(?:\s|\\[nr])+DEK-Info: ?[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,16}(?=\s|\\[nr])")
-LINE_END = re.compile(r"\s|\\[nr]")
+PEM_HEADER = re.compile(r"(?:\s|\\[nr])*+([A-Z][A-Za-z-]{2,30}): ?([A-Za-z0-9,-]{1,80})(?=\s|\\[nr])")
+ENCRYPTION = re.compile(r"[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,16}")
+BLANK = dict.fromkeys(map(ord, " \t\n\r\x0b\x0c"))
 #: Base64 of a DER sequence begins with M, of an OpenSSH blob with b3BlbnNza; hex of a DER sequence with 30.
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNza[A-Za-z0-9+/_-]{31,})={0,2}")
-#: The same over lines, with real or escaped ends.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNza)[A-Za-z0-9+/]{39,75}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/]{1,76})+={0,2}")
+#: The first line of the same over lines, with real or escaped ends; a further line; and all further lines.
+FIRST_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNza)[A-Za-z0-9+/]{39,75}(?=\r?\n|\\r\\n|\\n)")
+NEXT_LINE = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*+([A-Za-z0-9+/]{1,76})")
+OTHER_LINES = re.compile(r"(?:(?:\r?\n|\\r\\n|\\n)[ \t]*+[A-Za-z0-9+/]{1,76}+)*+")
+#: No key has so many fields in one sequence; what has more is not listed.
+MOST_FIELDS = 1000
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\x00"
 
@@ -75,9 +80,11 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
 
 
 def der_fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """Tag, start and end of the values that fill data[start:end] without a gap."""
+    """Tag, start and end of the values that fill data[start:end] without a gap; None if they don't, or are more than a key's."""
     out, at = [], start
     while at < end:
+        if len(out) == MOST_FIELDS:
+            return None
         found = der_length(data, at + 1)
         if found is None or found[1] + found[0] > end:
             return None
@@ -107,6 +114,29 @@ def is_der_key(data: bytes) -> bool:
     return bool(tags == [0x30, 0x04] and nested[0] and nested[0][0][0] == 0x06)
 
 
+def ssh_size(data: bytes) -> tuple[int, bool] | None:
+    """How many bytes an OpenSSH key has that begins like this, and True; or how many are needed to tell more, and False. None if it is none."""
+    if not data.startswith(SSH_MAGIC[: len(data)]):
+        return None
+    at, strings = len(SSH_MAGIC), 3
+    while strings:
+        if len(data) < at + 4:
+            return at + 4, False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        strings -= 1
+    if len(data) < at + 4:
+        return at + 4, False
+    count = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= count <= 16:
+        return None
+    at += 4
+    for _ in range(count + 1):
+        if len(data) < at + 4:
+            return at + 4, False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at, True
+
+
 def is_ssh_key(data: bytes) -> bool:
     """openssh-key-v1: cipher, derivation, its options, a count, then a counted public key that names its type."""
     if not data.startswith(SSH_MAGIC):
@@ -156,24 +186,90 @@ def is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_ssh_key(data))
 
 
+def joined_lines(text: str) -> str:
+    """Without white space and escaped line ends."""
+    return text.replace("\\n", "").replace("\\r", "").translate(BLANK)
+
+
 def is_pem_key(body: str) -> bool:
     """What stands between the lines of a PEM block: base64 of a key, or headers of an encrypted key and whole base64."""
-    data = decoded(LINE_END.sub("", PEM_HEADER.sub("", body)))
-    return is_key(data) or bool(data) and ENCRYPTED.search(body) is not None
+    at, headers = 0, []
+    if ":" in body:
+        while m := PEM_HEADER.match(body, at):
+            headers.append((m[1], m[2]))
+            at = m.end()
+    flat = joined_lines(body[at:])
+    if ":" in flat or "-" in flat or "_" in flat:
+        return False
+    data = decoded(flat)
+    locked = any(a == ("Proc-Type", "4,ENCRYPTED") and b[0] == "DEK-Info" and ENCRYPTION.fullmatch(b[1]) for a, b in zip(headers, headers[1:]))
+    return is_key(data) or bool(data) and locked
+
+
+def pem_keys(text: str) -> list[tuple[int, int]]:
+    """Blocks of private keys. A block ends at the next five dashes, which must be its own end; each character is looked at once."""
+    out, at = [], 0
+    while m := BEGIN.search(text, at):
+        at = text.find("-----", m.end())
+        if at < 0:
+            break
+        last = f"-----END {m[1]}-----"
+        if text.startswith(last, at):
+            if is_pem_key(text[m.end() : at]):
+                out.append((m.start(), at + len(last)))
+            at += len(last)
+    return out
+
+
+def wrapped_key(text: str, first: re.Match) -> int | None:
+    """Where a key ends that begins with this line of base64. Its first bytes tell its size, so no more lines are taken than it has."""
+    start, at, have = first.start(), first.end(), first.end() - first.start()
+
+    def flat() -> str:
+        return joined_lines(text[start:at])
+
+    def whole(size: int) -> bool:
+        nonlocal at, have
+        n = -(-size * 4 // 3)
+        if n > len(text) - start:
+            return False
+        while have < n:
+            line = NEXT_LINE.match(text, at)
+            if not line:
+                return False
+            at, have = line.end(), have + len(line[1])
+        return True
+
+    if text[start] == "M":
+        head = base64.b64decode(text[start : start + 8])
+        found = der_length(head, 1)
+        if head[0] != 0x30 or not found or not whole(sum(found)):
+            return None
+        n = -(-sum(found) * 4 // 3)
+    else:
+        size, more = len(SSH_MAGIC), True
+        while more and whole(size):
+            told = ssh_size(base64.b64decode(flat()[: have - have % 4]))
+            if told is None:
+                return None
+            size, more = (told[0], False) if told[1] else (told[0] + 3, True)  # three more, since only whole fours are decoded
+        n = -(-size * 4 // 3) if whole(size) else have - (have % 4 == 1)  # what is cut short is judged by what is there
+    if not is_key(decoded(flat()[:n])):
+        return None
+    end = at - (have - n)
+    return end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
 
 
 def wrapped_keys(text: str) -> list[tuple[int, int]]:
-    """Keys in base64 over several lines. The first bytes tell how long a DER key is, so lines behind it don't hide it."""
-    out = []
-    for m in WRAPPED.finditer(text):
-        places = [i for i in range(*m.span()) if text[i] not in " \t\r\n=\\" and (text[i] not in "nr" or text[i - 1] != "\\")]
-        flat = "".join(text[i] for i in places)
-        head = base64.b64decode(flat[:8])
-        size = der_length(head, 1)
-        n = -(-(size[0] + size[1]) * 4 // 3) if size and head[0] == 0x30 else len(flat)
-        if n <= len(flat) and is_key(decoded(flat[:n])):
-            end = places[n - 1] + 1
-            out.append((m.start(), end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))))
+    """Keys in base64 over several lines. Lines behind a key don't hide it; lines that follow a line which begins no key are passed over with it."""
+    out, at = [], 0
+    while m := FIRST_LINE.search(text, at):
+        end = wrapped_key(text, m)
+        if end is None:
+            at = OTHER_LINES.match(text, m.end()).end()
+        else:
+            out.append((m.start(), end))
+            at = end
     return out
 
 
@@ -184,7 +280,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     taken = []
     if "PRIVATE KEY-----" in text:
-        taken = [m.span() for m in PEM.finditer(text) if is_pem_key(m[2])]
+        taken = pem_keys(text)
         out += [("pem", s, e) for s, e in taken]
 
     def free(s: int) -> bool:
