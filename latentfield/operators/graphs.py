@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.staging import discard, staged
+from .ranking import numbered
 
 MAX_HOPS = 8
 
@@ -23,73 +26,94 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
-    """GRA3: (source, node, hops) for every node within `most` hops of each source (column source), itself at 0. edges must hold both directions.
+def seated(nodes: DataFrame, *order: str) -> DataFrame:
+    """(node, block, i, bit): each node's place among 64 that share a block, in an order. Nodes that are asked for together should be next to each other."""
+    seats = numbered(nodes, *order, name="seat", first=0)
+    return seats.select("node", F.shiftright("seat", 6).alias("block"), (F.col("seat") % 64).cast("int").alias("i")).withColumn("bit", F.expr("shiftleft(1L, i)"))
+
+
+def reached(edges: DataFrame, seats: DataFrame, most: int) -> list[DataFrame]:
+    """For each number of hops from 0, (node, block, bits, hops): the sources that reach the node in so many hops and not in fewer, 64 to a row.
 
-    All sources advance together; a round joins the newest rows with the edges and keeps what no earlier round has reached.
+    All sources advance together. What a round reaches is merged by bit_or before and after its shuffle, so neither hubs nor the number
+    of sources multiply rows; each (source, node) is one bit, written once.
     """
     edges = staged(edges.select("src", "dst"), "hops-edges")
-    seen = staged(sources.select("source").where("source IS NOT NULL").distinct().select("source", F.col("source").alias("node"), F.lit(0).alias("hops")), "hops-0")
-    front = seen
+    levels = [staged(seats.select("node", "block", F.col("bit").alias("bits"), F.lit(0).alias("hops")), "hops-0")]
     for k in range(1, most + 1):
-        reached = front.join(edges, front.node == edges.src).select("source", F.col("dst").alias("node")).distinct()
-        front = staged(reached.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(k)), f"hops-{k}")
-        if front.isEmpty():
+        sent = levels[-1].join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("got"))
+        seen = reduce(DataFrame.unionByName, levels).groupBy("node", "block").agg(F.bit_or("bits").alias("seen"))
+        new = sent.join(seen, ["node", "block"], "left").withColumn("bits", F.expr("got & ~coalesce(seen, 0L)")).where("bits <> 0")
+        level = staged(new.select("node", "block", "bits", F.lit(k).alias("hops")), f"hops-{k}")
+        if level.isEmpty():
+            discard(level)
             break
-        seen = seen.unionByName(front)
-    return seen
+        levels.append(level)
+    discard(edges)
+    return levels
 
 
-def pair_hops(members: DataFrame, edges: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
-    """(owner, a, b, hops) of the pairs a < b of an owner's nodes that a path of at most `most` hops joins. members: owner, node, each once.
-
-    Both ends walk half of the way, so what is written grows with the nodes within half of the hops, not with all
-    that a whole walk would reach; a path shows where two walks meet.
-    """
-    half = staged(hops(edges, members.select(F.col("node").alias("source")), most=(most + 1) // 2), "pair-walks")
-    walks = staged(members.withColumnRenamed("node", "source").join(half.select("source", F.col("node").alias("at"), F.col("hops").alias("h")), "source"), "pair-ends")
-    other = walks.select("owner", F.col("source").alias("b"), "at", F.col("h").alias("g"))
-    met = walks.withColumnRenamed("source", "a").join(other, ["owner", "at"]).where("a < b")
-    return met.groupBy("owner", "a", "b").agg(F.min(F.col("h") + F.col("g")).alias("hops")).where(F.col("hops") <= most)
+def hops(edges: DataFrame, sources: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
+    """GRA3: (source, node, hops) for every node within `most` hops of each source (column source), itself at 0. edges must hold both directions."""
+    seats = staged(seated(sources.select(F.col("source").alias("node")).where("node IS NOT NULL").distinct(), "node"), "hops-seats")
+    found = reduce(DataFrame.unionByName, reached(edges, seats, most))
+    names = seats.groupBy("block").agg(F.collect_list(F.struct("i", F.col("node").alias("source"))).alias("names"))  # 64 at most
+    set_ = F.explode(F.expr("filter(names, s -> getbit(bits, s.i) = 1)"))
+    return found.join(names, "block").select("node", "hops", set_.alias("s")).select("s.source", "node", "hops")
 
 
 def mean_distances(members: DataFrame, edges: DataFrame, *, most: int = MAX_HOPS) -> DataFrame:
     """AGG11, JN7: (owner, distance): the mean over all pairs of an owner's nodes of hops / (hops + 2), or 1 without a path. members: owner, node. A single node gives 0.
 
-    What is joined is pairs within hops, not all pairs: pairs without a path are known by their number.
+    No pair is ever a row: an owner's nodes are bits, and at each node of the owner those that reached it are counted.
     """
-    own = staged(members.select("owner", "node").distinct(), "distance-members")
-    near = (
-        pair_hops(own, edges, most=most)
-        .withColumn("x", S.hop_distance(F.col("hops")))
-        .groupBy("owner")
-        .agg(F.count("*").alias("linked"), F.sum(F.col("x").cast("decimal(24,12)")).cast("double").alias("near"))
-    )
+    own = staged(members.select("owner", "node").where("owner IS NOT NULL AND node IS NOT NULL").distinct(), "distance-members")
+    seats = staged(seated(own.groupBy("node").agg(F.min("owner").alias("first")), "first", "node"), "distance-seats")
+    masks = staged(own.join(seats, "node").groupBy("owner", "block").agg(F.bit_or("bit").alias("mask")), "distance-masks")
+    levels = reached(edges, seats, most)
+    met = reduce(DataFrame.unionByName, levels).where("hops > 0").join(own, "node").join(masks, ["owner", "block"])
+    # each pair is counted from both ends
+    near = met.groupBy("owner", "hops").agg((F.sum(F.expr("bit_count(bits & mask)")) / 2).cast("long").alias("n"))
+    near = near.groupBy("owner").agg(F.sum("n").alias("linked"), F.sum(F.col("n") * S.hop_distance(F.col("hops")).cast("decimal(18,12)")).cast("double").alias("near"))
     sizes = own.groupBy("owner").agg(F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return sizes.join(near, "owner", "left").select("owner", F.when(F.col("n") > 1, (F.coalesce("near", F.lit(0.0)) + pairs - F.coalesce("linked", F.lit(0))) / pairs).otherwise(F.lit(0.0)).alias("distance"), F.col("n").alias("n_nodes"))
+    result = sizes.join(near, "owner", "left").select("owner", F.when(F.col("n") > 1, (F.coalesce("near", F.lit(0.0)) + pairs - F.coalesce("linked", F.lit(0))) / pairs).otherwise(F.lit(0.0)).alias("distance"), F.col("n").alias("n_nodes"))
+    result = staged(result, "distances")
+    for t in (seats, masks, *levels):
+        discard(t)
+    return result
 
 
 def components(edges: DataFrame, *, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """GRA7: from edges (a, b), node and root (the smallest node reachable) of every node that has an edge to another.
 
     In each round every node moves to its smallest neighbour's smallest neighbour, edges are renamed
-    accordingly, and those inside one node disappear; rounds grow with the logarithm of the graph.
+    accordingly, and those inside one node disappear; rounds grow with the logarithm of the graph. Where a node ends is read off the rounds' moves afterwards.
     """
     between = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = staged(between.distinct(), f"{name}-edges")
-    nodes = staged(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("root")), f"{name}-nodes")
+    moves = []
     for _ in range(most_rounds):
         if rest.isEmpty():
-            discard(rest)
-            return nodes
+            break
         both = rest.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
-        to = staged(both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("to")), f"{name}-to")
-        jump = staged(to.join(to.select(F.col("u").alias("to"), F.col("to").alias("further")), "to").select("u", F.col("further").alias("to")), f"{name}-jump")
-        moved = rest.join(jump.select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(jump.select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
-        old = (to, jump, nodes, rest)
-        nodes = staged(nodes.join(jump.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-nodes")
-        rest = staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
-        for t in old:
-            discard(t)
-    raise RuntimeError("components did not settle")
+        to = both.groupBy(F.col("e.u").alias("u")).agg(F.min("e.v").alias("v")).select("u", F.least("u", "v").alias("to"))
+        moves.append(staged(to.join(to.select(F.col("u").alias("to"), F.col("to").alias("further")), "to").select("u", F.col("further").alias("to")), f"{name}-moves"))
+        moved = rest.join(moves[-1].select(F.col("u").alias("a"), F.col("to").alias("x")), "a").join(moves[-1].select(F.col("u").alias("b"), F.col("to").alias("y")), "b")
+        old, rest = rest, staged(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        discard(old)
+    else:
+        raise RuntimeError("components did not settle")
+    if not moves:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(rest)
+    # every node that has an edge moves in the first round; in later ones those that still have edges do
+    nodes = moves[0].select(F.col("u").alias("node"), F.col("to").alias("root"))
+    for m in moves[1:]:
+        nodes = nodes.join(m.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    if len(moves) == 1:
+        return nodes
+    nodes = staged(nodes, f"{name}-nodes")
+    for m in moves:
+        discard(m)
+    return nodes

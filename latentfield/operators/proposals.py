@@ -95,68 +95,81 @@ def widened(sets: DataFrame, copies: DataFrame, least: int, shift: int) -> DataF
 
 #: How many words two blocks share.
 SHARED = "sum(bit_count(bits & other))"
+#: Leaders go to the events that are compared with them in so many parts.
+PARTS = 16
+#: A word that more events hold is joined in parts of so many on either side.
+HOT = 4096
 
 
-def common_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with common: how many words the two share."""
-    left, right = sets.withColumnRenamed("ord", "a"), sets.select(F.col("ord").alias("b"), "block", F.col("bits").alias("other"))
-    return pairs.join(left, "a").join(right, ["b", "block"]).groupBy("a", "b").agg(F.expr(SHARED).alias("common"))
+def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose overlap coefficient reaches the threshold. Many pairs may share an a, so its set goes out in parts. sizes: ord, size."""
+    own = sets.join(sizes, "ord")
+    left = own.join(pairs.select(F.col("a").alias("ord")).distinct(), "ord", "left_semi").select(F.col("ord").alias("a"), "block", F.col("bits").alias("other"), F.col("size").alias("sa"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    right = own.select(F.col("ord").alias("b"), "block", "bits", F.col("size").alias("sb"))
+    met = pairs.join(right, "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).join(left, ["a", "block", "part"])
+    common = met.groupBy("a", "b", "sa", "sb").agg(F.expr(SHARED).alias("common"))
+    return common.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
 
 
-def linked(common: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose overlap coefficient reaches the threshold. sizes: ord, size."""
-    sized = common.join(sizes.select(F.col("ord").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("ord").alias("b"), F.col("size").alias("sb")), "b")
-    return sized.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
+def guesses(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): for each event b up to three others it may well link with: of the first events of its blocks in each of three orders, the one that shares most words where it is first.
+
+    Large sets are good guesses, since an overlap is relative to the smaller.
+    """
+    held = F.expr("bit_count(bits)")
+    orders = (-F.col("size"), -held, -held / F.col("size"))
+    firsts = sets.join(sizes, "ord").groupBy("block").agg(*(F.min(F.struct(o.cast("double").alias("o"), "ord", "bits")).alias(f"f{k}") for k, o in enumerate(orders)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"f{k}.ord").alias("a"), F.col(f"f{k}.bits").alias("other")) for k in range(len(orders)))))
+    led = sets.join(firsts.select("block", each.alias("x")).select("block", "x.*"), "block").where("ord <> a AND bits & other <> 0")
+    votes = led.groupBy(F.col("ord").alias("b"), "k", "a").agg(F.expr(SHARED).alias("n"))
+    return votes.groupBy("b", "k").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b").distinct()
 
 
-def likely(apart: DataFrame, by: Column) -> DataFrame:
-    """(a, b): one event of another component for each event b that has such: of those that come first in a block by `by`, the one that leads with most of its words.
+def candidates(apart: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different components, among them all whose overlap coefficient reaches the threshold. apart: (id, ord, root, size), the words that several components hold.
 
-    apart: block, bits, ord, root, size, over blocks that several components hold. A large set is a good guess, since an overlap is relative to the smaller.
+    Words are ordered rarest first. The smaller of two linked events needs ceil(threshold * size) words of the other, so one of them is among its
+    own but for the last that many less one: only those are looked up. Of the first common word both must have enough words left from there on.
     """
-    first = apart.groupBy("block").agg(F.min(F.struct(by.alias("by"), "ord", "root", "bits")).alias("first"))
-    led = staged(apart.join(first, "block"), "cluster-led")
-    second = led.where(F.col("root") != F.col("first.root")).groupBy("block").agg(F.min(F.struct(by.alias("by"), "ord", "bits")).alias("second"))
-    leads = F.col("root") == F.col("first.root")
-    partner, other = F.when(leads, F.col("second.ord")).otherwise(F.col("first.ord")), F.when(leads, F.col("second.bits")).otherwise(F.col("first.bits"))
-    votes = led.join(second, "block").select(F.col("ord").alias("b"), partner.alias("a"), "bits", other.alias("other")).groupBy("a", "b").agg(F.expr(SHARED).alias("n")).where("n > 0")
-    return votes.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+    many = apart.groupBy("id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    event = Window.partitionBy("ord")
+    placed = (
+        apart.join(many, "id")
+        .withColumn("left", F.count("*").over(event) - F.row_number().over(event.orderBy("n", "id")) + 1)  # words from this one on
+        .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(threshold) - 1e-9)))
+        .select("id", "parts", "ord", "root", "size", "left", "need")
+    )
+    mine = F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    small = placed.where("left >= need").select("id", mine.alias("p"), every.alias("q"), F.col("ord").alias("a"), F.col("root").alias("x"), F.col("size").alias("sa"), F.col("left").alias("la"), "need")
+    large = placed.select("id", every.alias("p"), mine.alias("q"), F.col("ord").alias("b"), F.col("root").alias("y"), F.col("size").alias("sb"), F.col("left").alias("lb"))
+    return small.join(large, ["id", "p", "q"]).where("x <> y AND (sa < sb OR sa = sb AND a < b) AND lb >= need").select("a", "b").distinct()
 
 
-def linked_roots(sets: DataFrame, threshold: float, *, rounds: int = 3) -> DataFrame:
+def linked_roots(sets: DataFrame, threshold: float, shift: int = 6) -> DataFrame:
     """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs. sets: ord, block, bits.
 
-    In a few rounds each event is compared with one event of another component, which unites nearly all that belongs together. Then all
-    events of different components are compared, over blocks that several components hold: a pair's shared words are all
-    in them, so its overlap is whole.
+    First each event is compared with a few guesses, which unites nearly all that belongs together. Then the words that
+    several components hold are joined: a pair's common words are all among them, so its overlap is whole.
     """
     sizes = staged(sets.groupBy("ord").agg(F.sum(F.expr("bit_count(bits)")).alias("size")), "cluster-sizes")
-    links, roots = None, sizes.select(F.col("ord").alias("node"), F.col("ord").alias("root"))
-    held = F.expr("bit_count(bits)")
-    orders = (-F.col("size"), -held, -held / F.col("size"))
-    last = False
-    for k in range(rounds + 1):
-        last = last or k == rounds
-        of = staged(sizes.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("ord", "size", F.coalesce("root", "ord").alias("root")), "cluster-of")
-        placed = sets.join(of, "ord").select("block", "bits", "ord", "size", "root")
-        several = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
-        apart = staged(placed.join(several, "block"), "cluster-apart")
-        if apart.isEmpty():
-            break
-        if not last:
-            common = common_of(likely(apart, orders[k % len(orders)]), sets)
-        else:
-            left, right = apart.select("block", "bits", F.col("ord").alias("a"), F.col("root").alias("x")), apart.select("block", F.col("bits").alias("other"), F.col("ord").alias("b"), F.col("root").alias("y"))
-            common = left.join(right, "block").where("x < y AND bits & other <> 0").groupBy("a", "b").agg(F.expr(SHARED).alias("common"))
-        more = staged(linked(common, sizes, threshold), "cluster-more")
+    links = staged(linked(guesses(sets, sizes), sets, sizes, threshold), "cluster-guessed")
+    roots = components(links, name="cluster")
+    of = sizes.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("ord", "size", F.coalesce("root", "ord").alias("root"))
+    placed = staged(sets.join(of, "ord").select("block", "bits", "ord", "size", "root"), "cluster-placed")
+    several = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    rows = placed.join(several, "block", "left_semi")
+    words = numbers(rows, shift).join(of, "ord")
+    shared = words.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("id")
+    apart = staged(words.join(shared, "id", "left_semi").select("id", "ord", "root", "size"), "cluster-apart")
+    if apart.isEmpty():
         discard(apart)
-        if not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            roots = components(links, name="cluster")
-        if last:
-            break
-        last = more.isEmpty()  # a round that finds nothing is followed by the exact step
-    return roots
+        return roots
+    more = staged(linked(candidates(apart, threshold), sets, sizes, threshold), "cluster-more")
+    found = roots if more.isEmpty() else components(links.unionByName(more), name="cluster")
+    for t in (apart, placed, more):
+        discard(t)
+    return found
 
 
 def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN_COOCCURRENCE) -> DataFrame:
@@ -174,7 +187,7 @@ def clusters(words: DataFrame, *, threshold: float = THRESHOLD, least: int = MIN
         wide_heads = staged(same_sets(sets), "cluster-wide-heads")
     else:
         wide_heads = heads.select(F.col("head").alias("ord"), "head").distinct()
-    roots = linked_roots(staged(sets.join(wide_heads.select(F.col("head").alias("ord")).distinct(), "ord", "left_semi"), "cluster-sets"), threshold)
+    roots = linked_roots(staged(sets.join(wide_heads.select(F.col("head").alias("ord")).distinct(), "ord", "left_semi"), "cluster-sets"), threshold, shift)
     of = wide_heads.join(roots.withColumnRenamed("node", "head"), "head", "left").select(F.col("ord").alias("head"), F.coalesce("root", "head").alias("root"))
     return heads.join(of, "head").select("ord", "root")
 

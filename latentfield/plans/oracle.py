@@ -84,17 +84,17 @@ CATEGORY = """CASE WHEN correction >= {hi} AND capacity >= {hi} AND NOT known TH
 HI_LO = CATEGORY.format(hi="0.6::DOUBLE", lo="0.34::DOUBLE")
 
 
-def scores(name: str, of: str, configs: str) -> str:
-    """Readings of `of` under each row of configs (config_id and the four scales)."""
+def scores(name: str, of: str, configs: str, by: str = "") -> str:
+    """Readings of `of` under each row of configs (config_id and the four scales); each value of the column `by` is ranked by itself."""
     return f"""
-{name}_raw AS (SELECT e.ord, e.capability, e.known, g.*, {clamp(f"{sat('demand', 'c_half')} * (0.5::DOUBLE + 0.5::DOUBLE * coherence)")} AS c,
+{name}_raw AS (SELECT {f"e.{by}, " if by else ""}e.ord, e.capability, e.known, g.*, {clamp(f"{sat('demand', 'c_half')} * (0.5::DOUBLE + 0.5::DOUBLE * coherence)")} AS c,
   {clamp(f"CASE WHEN declared > 0 THEN n_matched / declared::DOUBLE ELSE 0.0::DOUBLE END * {sat('n_files', 'k_half')}")} AS kk,
   CASE WHEN known THEN {sat('usage_total', 'u_half')} ELSE 0.0::DOUBLE END AS u,
   CASE WHEN demand > 0 THEN {clamp("(1.0::DOUBLE - exp(-demand / 3.0::DOUBLE)) * arrow_share * CASE WHEN direction_known THEN 0.5::DOUBLE + 0.5::DOUBLE * coherence ELSE 0.5::DOUBLE END")} ELSE 0.0::DOUBLE END AS cc,
   CASE WHEN declared > 0 THEN {clamp("n_matched / declared::DOUBLE")} ELSE 0.0::DOUBLE END AS kc, CASE WHEN known THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS uc FROM {of} e CROSS JOIN {configs} g),
 {name}_fields AS (SELECT * EXCLUDE (c, kk, u, cc, kc, uc), {r('c')} AS correction, {r('kk')} AS capacity, {r('u')} AS utilization, {r('c * (cc * kc * uc) * (1 - u)')} AS score,
   {r('c * kk * (1 - CASE WHEN known THEN u ELSE unknown_util_prior END)')} AS collapse_potential, {r('cc * kc * uc')} AS confidence FROM {name}_raw),
-{name} AS (SELECT *, {HI_LO} AS category, row_number() OVER (PARTITION BY config_id ORDER BY score DESC, ord) AS rank FROM {name}_fields)"""
+{name} AS (SELECT *, {HI_LO} AS category, row_number() OVER (PARTITION BY config_id{f", {by}" if by else ""} ORDER BY score DESC, ord) AS rank FROM {name}_fields)"""
 
 
 ONE = "(SELECT 0 AS config_id, 150.0::DOUBLE AS c_half, 5.0::DOUBLE AS k_half, 30.0::DOUBLE AS u_half, 0.5::DOUBLE AS unknown_util_prior)"
@@ -118,8 +118,7 @@ picked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, token
 PROPOSED = f"""{SIGNALS}, top AS (SELECT root, list(token ORDER BY place) AS s FROM picked WHERE place <= 6 GROUP BY root), sizes AS (SELECT root, count(*) AS n_members FROM cluster GROUP BY root)
       SELECT root, 'emergent-' || array_to_string(s[1:3], '-') AS id, array_to_string(list_transform(s[1:3], lambda t: upper(t[1]) || t[2:]), ' / ') || CASE WHEN n_members > 1 THEN ' (×' || n_members || ')' ELSE '' END AS label, array_to_string(s, ',') AS signals, n_members FROM top JOIN sizes USING (root)"""
 
-LINKS = """lines AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), shared AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY ALL),
-best AS (SELECT src, dst FROM shared QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) = 1), links AS (SELECT src, dst FROM best UNION SELECT dst, src FROM best)"""
+LINKS = """lines AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), links AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lines a JOIN lines b USING (l_orderkey) WHERE a.l_suppkey <> b.l_suppkey)"""
 HOPS = f"WITH RECURSIVE {LINKS}, walk AS (SELECT s_suppkey AS source, s_suppkey AS node, 0 AS hops FROM supplier WHERE {{where}} UNION SELECT source, dst, hops + 1 FROM walk JOIN links ON node = src WHERE hops < 8), reached AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY ALL)"
 DISTANCE = f"""{HOPS.format(where='TRUE')}, pairs AS (SELECT a.s_nationkey AS owner, coalesce(h.hops / (h.hops + 2)::DOUBLE, 1.0::DOUBLE) AS d FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey LEFT JOIN reached h ON h.source = a.s_suppkey AND h.node = b.s_suppkey),
 distances AS (SELECT s_nationkey AS owner, count(*) AS n_nodes, coalesce((SELECT avg(d) FROM pairs p WHERE p.owner = s_nationkey), 0.0::DOUBLE) AS distance FROM supplier GROUP BY s_nationkey)"""
@@ -160,6 +159,13 @@ L3 = f"""{L2}, designs AS ({DESIGNS}), {scores('ds', 'evi', 'designs')},
 per AS (SELECT capability, design, avg((category IN ('uncollapsed-feature', 'candidate-unverified'))::INT) AS share, avg((rank = 1)::INT) AS rank1 FROM ds GROUP BY ALL),
 three AS (SELECT capability, min(share) AS min_share, max(share) AS max_share, avg(share) AS mean_share, max(share) - min(share) AS spread, min(rank1) AS rank1_min FROM per GROUP BY capability)"""
 
+PARTS = f"""WITH tags AS (SELECT l_partkey, max(n) / sum(n)::DOUBLE AS coherence FROM (SELECT l_partkey, l_linestatus, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) GROUP BY 1),
+sums AS (SELECT l_partkey, sum(l_quantity) / 10.0::DOUBLE AS demand, sum(CASE WHEN l_returnflag <> 'N' THEN l_quantity ELSE 0 END) / 10.0::DOUBLE AS arrow_demand, bool_or(l_returnflag <> 'N') AS direction_known, count(DISTINCT l_suppkey) AS n_files, count(DISTINCT l_returnflag) AS n_matched,
+  sum(floor(l_discount * 100 + 0.5))::DOUBLE AS usage_total FROM lineitem GROUP BY 1),
+evi AS (SELECT p_partkey AS ord, p_partkey::VARCHAR AS capability, 3 AS declared, coalesce(demand, 0.0::DOUBLE) AS demand, CASE WHEN demand IS NULL THEN 0.0::DOUBLE ELSE coalesce(coherence, 0.5::DOUBLE) END AS coherence, CASE WHEN demand > 0 THEN arrow_demand / demand ELSE 0.0::DOUBLE END AS arrow_share,
+  coalesce(direction_known, FALSE) AS direction_known, coalesce(n_matched, 0) AS n_matched, coalesce(n_files, 0) AS n_files, usage_total IS NOT NULL AS known, coalesce(usage_total, 0.0::DOUBLE) AS usage_total FROM part LEFT JOIN sums s ON s.l_partkey = p_partkey LEFT JOIN tags t ON t.l_partkey = p_partkey),
+{scores('rd', 'evi', '(SELECT 0 AS config_id, 60.0::DOUBLE AS c_half, 10.0::DOUBLE AS k_half, 200.0::DOUBLE AS u_half, 0.5::DOUBLE AS unknown_util_prior)')}"""
+
 HALVES = f"""WITH {CAPACITY}, {EVENTS}, {demand('d0', "ts < TIMESTAMP '2024-01-16'")}, {demand('d1', "ts >= TIMESTAMP '2024-01-16'")}, {USE}, {evidence('e0', 'd0')}, {evidence('e1', 'd1')}, {scores('r0', 'e0', ONE)}, {scores('r1', 'e1', ONE)},
 change AS (SELECT capability, r1.collapse_potential - r0.collapse_potential AS p, r1.correction - r0.correction AS c, r1.utilization - r0.utilization AS u FROM r0 JOIN r1 USING (capability))"""
 
@@ -208,6 +214,7 @@ SQL = {
     "tokenize": f"{USER} SELECT conv_id, turn, len(words) AS n_words, array_to_string(list_sort(words), ',') AS words FROM turns",
     "signal_match": f"WITH {CAPACITY} SELECT capability, n_matched, n_files, hits FROM cap",
     "capacity_field": f"WITH {CAPACITY} SELECT capability, {r(clamp('coalesce(n_matched, 0) / nullif(declared, 0)::DOUBLE * ' + sat('coalesce(n_files, 0)', '5')))} AS capacity, {r(clamp('coalesce(n_matched, 0) / nullif(declared, 0)::DOUBLE'))} AS capacity_confidence FROM caps LEFT JOIN cap USING (capability)",
+    "part_readings": f"{PARTS} SELECT capability, score, collapse_potential, category, rank FROM rd",
     "top_k": f"{READINGS} SELECT rank, capability, score, category, rpad(repeat('#', floor(score * 10 + 0.5)::INT), 10, '.') AS bar, floor(confidence * 100 + 0.5)::BIGINT || '%' AS confidence FROM rd WHERE rank <= 10",
     "category_counts": f"{READINGS} SELECT category, count(*) AS n, max(score) AS best, count(*) FILTER (category IN ('uncollapsed-feature', 'candidate-unverified')) AS n_candidates FROM rd GROUP BY category",
     "cooccurrence": f"{USER}, co AS (SELECT a.token, b.token AS other, count(*) AS n FROM w a JOIN w b ON a.ord = b.ord AND a.token <> b.token GROUP BY ALL) SELECT token, count(*) AS n_others, sum(n)::BIGINT AS n_pairs, max(n) AS most FROM co GROUP BY token",

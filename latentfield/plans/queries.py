@@ -11,7 +11,7 @@ from ..functions import lexers
 from ..functions import scalars as S
 from ..functions.lexers import import_specs, text_identifiers
 from ..operators import changes, fields, graphs, modules, proposals, puzzles, sweeps, symbols
-from ..operators.readings import evidence, ranked, readings
+from ..operators.readings import config, evidence, ranked, readings
 from ..sources import inputs
 from ..sources import views as V
 from ..streaming import demand_stream
@@ -94,6 +94,18 @@ def readings_query(spark: SparkSession, sf: str) -> DataFrame:
     return view_readings(spark, sf).select("capability", *FIELDS, "known", "category", "rank")
 
 
+def part_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """As many keys as there are parts: demand by a line's quantity and what became of it, capacity by suppliers, use by discounts."""
+    lines = V.table(spark, sf, "lineitem").withColumn("capability", F.col("l_partkey").cast("string"))
+    kind = F.when(F.col("l_returnflag") == "R", "correction").when(F.col("l_returnflag") == "A", "repetition").otherwise("retry")
+    events = lines.select("capability", kind.alias("kind"), (F.col("l_quantity") / 10).alias("weight"), F.lit("part").alias("after"), F.array("l_linestatus").alias("direction"))
+    capacity = lines.groupBy("capability").agg(F.count_distinct("l_suppkey").alias("n_files"), F.count_distinct("l_returnflag").alias("n_matched"))
+    used = lines.select("capability", F.floor(F.col("l_discount") * 100 + 0.5).alias("count"))
+    parts = V.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"), F.array(*(F.lit(x) for x in "ANR")).alias("signals"))
+    scores = readings(evidence(parts, fields.demand(events), capacity, fields.usage(used)), config(spark, 60.0, 10.0, 200.0, 0.5))
+    return ranked(scores).select("capability", "score", "collapse_potential", "category", "rank")
+
+
 def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return view_readings(spark, sf).orderBy("rank").limit(10).select("rank", "capability", "score", "category", S.bar(F.col("score")).alias("bar"), S.percent(F.col("confidence")).alias("confidence"))
 
@@ -292,7 +304,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             signal_kind_join, demand_agg, coherence, usage_known, correction_field, scalar_functions, identifier_split, text_lexer, tokenize,
-            signal_match, capacity_field, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover, discover_plain,
+            signal_match, capacity_field, part_readings, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover, discover_plain,
             set_overlap, bfs_hops, mean_distance, integration_label, degree, sweep_l2, sensitivity, sweep_l3, compare_verdict, module_filters,
             python_imports, test_files, stencil, puzzle_solution, wave, cube_surface, stream_demand,
             json_inputs, baseline_round_trip, script_lexer, import_graph, symbol_graph, module_map,

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexers import text_tokens
-from ..operators.graphs import undirected
 from ..operators.readings import config
 from ..plans.staging import spread
 
@@ -82,12 +81,10 @@ def turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 
 
 def supplier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst) of each supplier and the one it shares most orders with (the smaller key, if equal), in both directions."""
+    """(src, dst) of all suppliers that share an order, in both directions."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     other = lines.select("l_orderkey", F.col("l_suppkey").alias("dst"))
-    shared = lines.join(other, "l_orderkey").where("l_suppkey <> dst").groupBy(F.col("l_suppkey").alias("src"), "dst").agg(F.count("*").alias("n"))
-    best = shared.groupBy("src").agg(F.max(F.struct("n", (-F.col("dst")).alias("d"))).alias("best")).select("src", (-F.col("best.d")).alias("dst"))
-    return undirected(best)
+    return lines.join(other, "l_orderkey").where("l_suppkey <> dst").select(F.col("l_suppkey").alias("src"), "dst").distinct()
 
 
 def half(events: DataFrame, later: bool) -> DataFrame:

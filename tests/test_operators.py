@@ -1,6 +1,7 @@
 """Operators by themselves, on hand-written rows."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -141,6 +142,44 @@ def test_mean_distance(spark):
     assert got == {"a": round((1 / 3 + 1 + 1) / 3, 4), "b": 0.0, "c": 0.5}
 
 
+def test_hops_of_many_sources(spark):
+    """More sources than bits in a word, hubs and separate parts: equal to walking from each; and far fewer rows than pairs are written."""
+    rng = random.Random(4)
+    edges = {(rng.randrange(200), rng.randrange(200)) for _ in range(260)} | {(0, k) for k in range(100, 190)} | {(k, k + 1) for k in range(300, 320)} | {(500, 500)}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for source in [*range(190), 305, 999]:
+        seen, front = {source}, {source}
+        for k in range(9):
+            want |= {(source, n, k) for n in front}
+            front = {m for n in front for m in near.get(n, ())} - seen
+            seen |= front
+    both = graphs.undirected(spark.createDataFrame(list(edges), "src int, dst int"))
+    sources = spark.createDataFrame([(k,) for k in [*range(190), 305, 999, 999, None]], "source int")
+    found = graphs.hops(both, sources)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    seats = graphs.seated(sources.select(F.col("source").alias("node")).where("node IS NOT NULL").distinct(), "node")
+    assert sum(x.count() for x in graphs.reached(both, seats, 8)) * 8 < len(want)
+
+
+def test_mean_distance_of_shared_nodes(spark):
+    """Owners share nodes, one has more than a word of bits, one node has no edge."""
+    rng = random.Random(9)
+    edges = {(rng.randrange(150), rng.randrange(150)) for _ in range(200)}
+    members = [("big", k) for k in range(140)] + [("odd", k) for k in range(1, 60, 2)] + [("lone", 777), ("two", 3), ("two", 888)]
+    both = graphs.undirected(spark.createDataFrame(list(edges), "src int, dst int"))
+    hops = {(r.source, r.node): r.hops for r in graphs.hops(both, spark.createDataFrame([(n,) for _, n in members], "source int")).collect()}
+    got = {r.owner: r.distance for r in graphs.mean_distances(spark.createDataFrame(members, "owner string, node int"), both).collect()}
+    for owner in ("big", "odd", "lone", "two"):
+        own = [n for o, n in members if o == owner]
+        d = [(h / (h + 2) if (h := hops.get((a, b))) is not None else 1.0) for k, a in enumerate(own) for b in own[k + 1 :]]
+        assert abs(got[owner] - (sum(d) / len(d) if d else 0.0)) < 1e-9
+
+
 def test_degrees(spark):
     got = {r.node: (r.out_degree, r.in_degree) for r in graphs.degrees(spark.createDataFrame([(1, 2), (1, 3)], "src int, dst int")).collect()}
     assert got == {1: (2, 0), 2: (0, 1), 3: (0, 1)}
@@ -171,6 +210,56 @@ def test_clusters_with_expansion(spark):
     assert {(r.a, r.b) for r in proposals.overlap_pairs(words).collect()} == {(0, 1), (1, 2), (3, 4)}
 
 
+def overlapping(sets, threshold):
+    """Roots of single linkage by the overlap coefficient, pair by pair."""
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= threshold:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in sets}
+
+
+def as_words(spark, sets):
+    return spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "ord int, token string")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_of_unlike_sizes(spark, seed, monkeypatch):
+    """Small events inside large ones, chains, copies and templates: equal to comparing all pairs, with hot words in parts too."""
+    monkeypatch.setattr(proposals, "HOT", 8)
+    rng = random.Random(seed)
+    sets = {}
+    for k in range(160):
+        n = rng.choice([1, 2, 3, 5, 8, 13, 40])
+        words = {f"w{int(rng.paretovariate(0.7)) % 900}" for _ in range(n)}
+        sets[k] = set(sets[rng.randrange(k)]) if k and rng.random() < 0.1 else words | ({f"t{k % 3}"} if rng.random() < 0.5 else set())
+    for threshold in (0.34, 0.5, 1.0):
+        got = {r.ord: r.root for r in proposals.clusters(as_words(spark, sets), threshold=threshold, least=0).collect()}
+        assert got == overlapping(sets, threshold), threshold
+
+
+def test_templated_events_below_the_threshold(spark):
+    """Every event shares 30 to 33 of its 100 words with all others. None links, and the index offers next to no pair."""
+    rng = random.Random(2)
+    sets = {k: {f"t{i}" for i in rng.sample(range(33), rng.randrange(30, 34))} for k in range(120)}
+    for k, s in sets.items():
+        s |= {f"own{k}x{i}" for i in range(100 - len(s))}
+    sets[120], sets[121] = set(list(sets[7])[:50]), {f"t{i}" for i in range(33)} | {"one more"}
+    words = as_words(spark, sets)
+    assert {r.ord: r.root for r in proposals.clusters(words, least=0).collect()} == overlapping(sets, 0.34)
+    ids = words.join(words.groupBy("token").count().orderBy("count", "token").select("token", F.monotonically_increasing_id().alias("id")), "token")
+    alone = ids.where("ord < 120").join(ids.groupBy("ord").count().withColumnRenamed("count", "size"), "ord").select("id", "ord", F.col("ord").alias("root"), "size")
+    assert proposals.candidates(alone, 0.34).count() == 0
+
+
 def test_equal_proposal_ids_stay_apart(spark):
     rows = [(k, f"e{k}", f"red blue green {w}") for k, w in enumerate(("one1", "two2"))] + [(k + 2, f"f{k}", f"red blue green {' '.join(f'{w}{j}' for j in range(30))}") for k, w in enumerate(("three", "four"))]
     found, _ = proposals.propose(spark.createDataFrame(rows, "ord int, id string, after string"), threshold=0.99, least=0)
