@@ -56,20 +56,20 @@ def text_identifiers(text: Column) -> Column:
     return F.filter(found, lambda x: ~F.lower(x).isin(*GENERIC_KEYWORDS))
 
 
-def match_tokens(files: DataFrame, identifiers: Column) -> DataFrame:
-    """(path, space, token) rows of files, for matching signals; no shuffle.
+def match_tokens(files: DataFrame, identifiers: Column, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, space, token) rows of files, for matching signals; no shuffle. Columns named by `by` come along.
 
     Identifiers become rows before they are split, so that each is split once, in generated code. Two
     identifiers of a file may give one token twice, which matching does away with.
     """
-    ids = files.select("path", F.explode(identifiers).alias("id"))
-    parts = ids.select("path", F.lower("id").alias("full"), identifier_parts(F.col("id")).alias("parts")).where(F.size("parts") > 0)
-    return parts.select("path", F.explode(tokens_of(F.col("full"), F.col("parts"))).alias("t")).select("path", "t.space", "t.token")
+    ids = files.select(*by, "path", F.explode(identifiers).alias("id"))
+    parts = ids.select(*by, "path", F.lower("id").alias("full"), identifier_parts(F.col("id")).alias("parts")).where(F.size("parts") > 0)
+    return parts.select(*by, "path", F.explode(tokens_of(F.col("full"), F.col("parts"))).alias("t")).select(*by, "path", "t.space", "t.token")
 
 
-def text_tokens(files: DataFrame) -> DataFrame:
+def text_tokens(files: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """match_tokens() of (path, text) by LEX1."""
-    return match_tokens(files, text_identifiers(F.col("text")))
+    return match_tokens(files, text_identifiers(F.col("text")), by=by)
 
 
 # JavaScript and TypeScript

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -78,21 +78,34 @@ def signal_rows(capabilities: DataFrame) -> DataFrame:
     )
 
 
-def matches(capabilities: DataFrame, tokens: DataFrame) -> DataFrame:
-    """JN5: (capability, k, signal, path) for each signal found in a file, by equality on (space, token). tokens: path, space, token."""
+def matches(capabilities: DataFrame, tokens: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """JN5: (capability, k, signal, path) for each signal found in a file, by equality on (space, token). tokens: path, space, token.
+
+    `by` names columns of tokens that tell file trees apart; they come along.
+    """
     keys = signal_rows(capabilities)
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return tokens.join(keys, ["space", "token"]).select("capability", "k", "signal", "path").distinct()
+    return tokens.join(keys, ["space", "token"]).select(*by, "capability", "k", "signal", "path").distinct()
+
+
+def capacity_of(found: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """AGG7 over matches(): files, hits and distinct matched signals of each capability, in one reading of them."""
+    return found.groupBy(*by, "capability").agg(F.count_distinct("path").alias("n_files"), F.count("*").alias("hits"), F.count_distinct("signal").alias("n_matched"))
 
 
 def capacity(capabilities: DataFrame, tokens: DataFrame) -> DataFrame:
-    """AGG7 in numbers alone: matched signals, files and hits of each capability. No list grows with the corpus."""
-    found = matches(capabilities, tokens)
-    per_file = found.groupBy("capability", "path").agg(F.count("*").alias("hits"))
-    files = per_file.groupBy("capability").agg(F.count("*").alias("n_files"), F.sum("hits").alias("hits"))
-    signals = found.select("capability", "signal").distinct().groupBy("capability").agg(F.count("*").alias("n_matched"))
-    return files.join(signals, "capability")
+    """AGG7 in numbers alone. No list grows with the corpus, and the corpus is lexed once."""
+    return capacity_of(matches(capabilities, tokens))
+
+
+def leading_files(found: DataFrame, most: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """The `most` files with most hits of each capability, first by hits, then by path: (capability, leading) with leading a list of path and hits."""
+    hits = found.groupBy(*by, "capability", "path").agg(F.count("*").alias("hits"))
+    place = F.row_number().over(Window.partitionBy(*by, "capability").orderBy(F.desc("hits"), "path"))
+    best = hits.withColumn("place", place).where(F.col("place") <= most)  # each task keeps its own first ones before the shuffle
+    ordered = F.array_sort(F.collect_list(F.struct("place", "path", "hits")))
+    return best.groupBy(*by, "capability").agg(F.transform(ordered, lambda x: F.struct(x["path"].alias("path"), x["hits"].alias("hits"))).alias("leading"))
 
 
 def capacity_evidence(capabilities: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -26,15 +26,21 @@ def evidence(capabilities: DataFrame, demand: DataFrame, capacity: DataFrame, us
     )
 
 
-def readings(rows: DataFrame, configs: DataFrame, *, hi: float = S.HI, lo: float = S.LO) -> DataFrame:
-    """The scores of evidence() rows under each configuration. configs is small: one row, or a grid of parameters."""
+#: A grid of configurations is broadcast up to so many rows (about 50 bytes each); beyond, the join shuffles.
+BROADCAST_CONFIGS = 50_000
+
+
+def readings(rows: DataFrame, configs: DataFrame, *, hi: float = S.HI, lo: float = S.LO, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The scores of evidence() rows under each configuration: one row, or a grid of parameters. `keep` names columns of rows that come along."""
+    if configs.limit(BROADCAST_CONFIGS + 1).count() <= BROADCAST_CONFIGS:
+        configs = F.broadcast(configs)
     c = F.col
     known = F.coalesce(c("known"), F.lit(False))
     demand = F.coalesce(c("demand"), F.lit(0.0))
     coherence = F.coalesce(c("coherence"), F.lit(0.0))
     matched, files = F.coalesce(c("n_matched"), F.lit(0)), F.coalesce(c("n_files"), F.lit(0)).cast("double")
     raw = (
-        rows.crossJoin(F.broadcast(configs))
+        rows.crossJoin(configs)
         .withColumn("known", known)
         .withColumn("_c", S.clamp01(S.saturate(demand, c("c_half")) * (F.lit(0.5) + F.lit(0.5) * coherence)))
         .withColumn("_k", S.clamp01(F.when(c("declared") > 0, matched / c("declared")).otherwise(0.0) * S.saturate(files, c("k_half"))))
@@ -63,6 +69,7 @@ def readings(rows: DataFrame, configs: DataFrame, *, hi: float = S.HI, lo: float
             S.rounded(c("_kc")).alias("capacity_confidence"),
             S.rounded(c("_uc")).alias("utilization_confidence"),
         ).alias("evidence"),
+        *(c(k) for k in keep),
     )
     return scored.withColumn("category", S.category(c("correction"), c("capacity"), c("utilization"), c("known"), hi, lo))
 
