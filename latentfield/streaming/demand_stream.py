@@ -15,14 +15,14 @@ from ..functions import scalars as S
 from ..operators.fields import total, weighted
 
 
-def batch_sums(events: DataFrame) -> DataFrame:
-    """One row for each capability and tag (null: the events themselves) of a batch."""
+def batch_sums(events: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each capability and tag (null: the events themselves) of a batch, and of each value of the columns `by`."""
     e = weighted(events)
     tagged = F.col("arrow") & (F.coalesce(F.size("direction"), F.lit(0)) > 0)
-    sums = e.groupBy("capability").agg(
+    sums = e.groupBy(*by, "capability").agg(
         F.lit(None).cast("string").alias("tag"), F.count("*").alias("n"), total(F.col("w")).alias("demand"), total(F.when(F.col("arrow"), F.col("w")).otherwise(F.lit(0.0))).alias("arrow_demand"), F.max(tagged).alias("direction_known")
     )
-    tags = e.where(tagged).select("capability", F.explode("direction").alias("tag")).groupBy("capability", "tag").agg(F.count("*").alias("n"))
+    tags = e.where(tagged).select(*by, "capability", F.explode("direction").alias("tag")).groupBy(*by, "capability", "tag").agg(F.count("*").alias("n"))
     return sums.unionByName(tags.withColumns({"demand": F.lit(0.0), "arrow_demand": F.lit(0.0), "direction_known": F.lit(False)}))
 
 

@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from latentfield.plans import oracle, queries, tree_oracle, tree_queries
 
-SQL = oracle.SQL | tree_oracle.SQL
-QUERIES = queries.QUERIES | tree_queries.QUERIES
+SQL = oracle.SQL | tree_oracle.SQL | jobs.SQL
+QUERIES = queries.QUERIES | tree_queries.QUERIES | jobs.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark conversations pages".split()
 
