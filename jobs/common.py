@@ -8,6 +8,7 @@ import logging
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ def counted(df: DataFrame, seen: Observation | None) -> DataFrame:
     return df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("rows"))
 
 
+def passed(seen: Observation) -> int:
+    """What counted() has counted, once the job has run. A plan that Spark sees to be empty isn't run, and nothing is counted."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def parser(doc: str, *paths: tuple[str, str]) -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(description=doc)
     out.add_argument("--config", help="JSON file of settings")

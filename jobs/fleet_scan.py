@@ -23,7 +23,7 @@ from latentfield.operators.ranking import numbered
 from latentfield.operators.readings import config, evidence, readings
 from latentfield.plans.staging import discard, staged
 
-from .common import command, counted, log, parser, table
+from .common import command, counted, log, parser, passed, table
 
 DEFAULTS = {"c_half": 3.0, "k_half": 2.0, "u_half": 20.0, "unknown_util_prior": 0.5, "hi": 0.6, "lo": 0.34, "leading_files": 3, "sources": [], "source_column": "source", "path_column": "path", "format": "parquet"}
 CAPABILITIES = "ord bigint, id string, label string, signals array<string>"
@@ -84,8 +84,8 @@ def run(spark: SparkSession, *, documents: DataFrame | str, capabilities: DataFr
     seen, written = Observation("fleet-documents"), Observation("fleet-output")
     out = counted(scanned(tables["documents"], tables["capabilities"], tables["events"], tables["usage"], s, seen), written)
     write(out, output, bool(s["sources"]))
-    log.info("read %s rows of documents%s", seen.get["rows"], f" of {len(s['sources'])} sources" if s["sources"] else "")
-    log.info("wrote %s rows to %s", written.get["rows"], output)
+    log.info("read %s rows of documents%s", passed(seen), f" of {len(s['sources'])} sources" if s["sources"] else "")
+    log.info("wrote %s rows to %s", passed(written), output)
     return read_output(spark, output)
 
 

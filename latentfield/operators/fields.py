@@ -56,7 +56,8 @@ def demand(events: DataFrame) -> DataFrame:
         total(F.when(F.col("arrow"), F.col("w")).otherwise(F.lit(0.0))).alias("arrow_demand"),
         F.max(tagged).alias("direction_known"),
     )
-    return sums.join(coherence(e), "capability", "left").select(
+    tags = coherence(e).withColumnRenamed("capability", "of")
+    return sums.join(tags, F.col("capability").eqNullSafe(F.col("of")), "left").select(
         "capability",
         "count",
         "demand",

@@ -41,8 +41,8 @@ def demand_so_far(spark: SparkSession, table: str) -> DataFrame:
     sums = spark.read.parquet(table)
     per_tag = sums.groupBy("capability", "tag").agg(F.sum("n").alias("n"), total(F.col("demand")).alias("demand"), total(F.col("arrow_demand")).alias("arrow_demand"), F.max("direction_known").alias("direction_known"))
     own = per_tag.where("tag IS NULL")
-    tags = per_tag.where("tag IS NOT NULL").groupBy("capability").agg((F.max("n") / F.sum("n")).alias("coherence"))
-    return own.join(tags, "capability", "left").select(
+    tags = per_tag.where("tag IS NOT NULL").groupBy(F.col("capability").alias("of")).agg((F.max("n") / F.sum("n")).alias("coherence"))
+    return own.join(tags, F.col("capability").eqNullSafe(F.col("of")), "left").select(
         "capability",
         F.col("n").alias("count"),
         "demand",
