@@ -125,11 +125,21 @@ def guesses(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return votes.groupBy("b", "k").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b").distinct()
 
 
-def candidates(apart: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of different components, among them all whose overlap coefficient reaches the threshold. apart: (id, ord, root, size), the words that several components hold.
+def by_blocks(apart: DataFrame, most: object, threshold: float) -> DataFrame:
+    """The linked pairs (a, b) of different components, of which one at least lies outside the component `most`, by their blocks. apart: block, bits, ord, root, size."""
+    left = apart.where(F.col("root") != most).select("block", "bits", F.col("ord").alias("a"), F.col("root").alias("x"), F.col("size").alias("sa"))
+    right = apart.select("block", F.col("bits").alias("other"), F.col("ord").alias("b"), F.col("root").alias("y"), F.col("size").alias("sb"))
+    once = (F.col("y") == most) | (F.col("x") < F.col("y"))
+    common = left.join(right, "block").where("x <> y AND bits & other <> 0").where(once).groupBy("a", "b", "sa", "sb").agg(F.expr(SHARED).alias("common"))
+    return common.where(F.col("common") / F.least("sa", "sb") >= threshold).select("a", "b")
+
+
+def candidates(apart: DataFrame, most: object, threshold: float) -> DataFrame:
+    """(a, b): pairs of different components, of which one at least lies outside the component `most`; among them are all whose overlap coefficient reaches the threshold.
 
-    Words are ordered rarest first. The smaller of two linked events needs ceil(threshold * size) words of the other, so one of them is among its
-    own but for the last that many less one: only those are looked up. Of the first common word both must have enough words left from there on.
+    apart: (id, ord, root, size), the words that several components hold. Words are ordered rarest first. The smaller of two linked events needs
+    ceil(threshold * size) words of the other, so one of them is among its own but for the last that many less one: only those are
+    looked up. Of the first common word both must have enough words left from there on.
     """
     many = apart.groupBy("id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
     event = Window.partitionBy("ord")
@@ -143,31 +153,47 @@ def candidates(apart: DataFrame, threshold: float) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     small = placed.where("left >= need").select("id", mine.alias("p"), every.alias("q"), F.col("ord").alias("a"), F.col("root").alias("x"), F.col("size").alias("sa"), F.col("left").alias("la"), "need")
     large = placed.select("id", every.alias("p"), mine.alias("q"), F.col("ord").alias("b"), F.col("root").alias("y"), F.col("size").alias("sb"), F.col("left").alias("lb"))
-    return small.join(large, ["id", "p", "q"]).where("x <> y AND (sa < sb OR sa = sb AND a < b) AND lb >= need").select("a", "b").distinct()
+    # pairs inside `most` are never made
+    met = small.where(F.col("x") != most).join(large, ["id", "p", "q"]).unionByName(small.where(F.col("x") == most).join(large.where(F.col("y") != most), ["id", "p", "q"]))
+    return met.where("x <> y AND (sa < sb OR sa = sb AND a < b) AND lb >= need").select("a", "b").distinct()
+
+
+#: Sets that hold so many words a block, on average, are compared as bits, others by their rare words.
+DENSE = 8
 
 
 def linked_roots(sets: DataFrame, threshold: float, shift: int = 6) -> DataFrame:
     """(node, root) of the events that link with another, as overlap_pairs() and components() give them, without making all pairs. sets: ord, block, bits.
 
-    First each event is compared with a few guesses, which unites nearly all that belongs together. Then the words that
-    several components hold are joined: a pair's common words are all among them, so its overlap is whole.
+    First each event is compared with a few guesses, which unites nearly all that belongs together. Then events outside the largest component are
+    compared with those of all others, over words that several components hold: a pair's common words are all among them, so its overlap is whole.
     """
     sizes = staged(sets.groupBy("ord").agg(F.sum(F.expr("bit_count(bits)")).alias("size")), "cluster-sizes")
     links = staged(linked(guesses(sets, sizes), sets, sizes, threshold), "cluster-guessed")
     roots = components(links, name="cluster")
     of = sizes.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("ord", "size", F.coalesce("root", "ord").alias("root"))
+    largest = of.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").first()
+    if largest is None:
+        return roots
+    most = largest.root
     placed = staged(sets.join(of, "ord").select("block", "bits", "ord", "size", "root"), "cluster-placed")
+    outside = F.col("root") != most
+    held, n = placed.where(outside).agg(F.sum(F.expr("bit_count(bits)")), F.count("*")).first()
+    if not n:
+        discard(placed)
+        return roots
     several = placed.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
     rows = placed.join(several, "block", "left_semi")
-    words = numbers(rows, shift).join(of, "ord")
-    shared = words.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("id")
-    apart = staged(words.join(shared, "id", "left_semi").select("id", "ord", "root", "size"), "cluster-apart")
-    if apart.isEmpty():
+    if held >= DENSE * n:
+        more = staged(by_blocks(rows, most, threshold), "cluster-more")
+    else:
+        words = numbers(rows, shift).join(of, "ord")
+        shared = words.groupBy("id").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("id")
+        apart = staged(words.join(shared, "id", "left_semi").select("id", "ord", "root", "size"), "cluster-apart")
+        more = staged(linked(candidates(apart, most, threshold), sets, sizes, threshold), "cluster-more")
         discard(apart)
-        return roots
-    more = staged(linked(candidates(apart, threshold), sets, sizes, threshold), "cluster-more")
     found = roots if more.isEmpty() else components(links.unionByName(more), name="cluster")
-    for t in (apart, placed, more):
+    for t in (placed, more):
         discard(t)
     return found
 

@@ -231,10 +231,11 @@ def as_words(spark, sets):
     return spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "ord int, token string")
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_clusters_of_unlike_sizes(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "dense"), [(0, 8), (1, 8), (2, 8), (3, 0)])
+def test_clusters_of_unlike_sizes(spark, seed, dense, monkeypatch):
     """Small events inside large ones, chains, copies and templates: equal to comparing all pairs, with hot words in parts too."""
     monkeypatch.setattr(proposals, "HOT", 8)
+    monkeypatch.setattr(proposals, "DENSE", dense)  # 0: all as bits
     rng = random.Random(seed)
     sets = {}
     for k in range(160):
@@ -246,6 +247,20 @@ def test_clusters_of_unlike_sizes(spark, seed, monkeypatch):
         assert got == overlapping(sets, threshold), threshold
 
 
+def test_dense_sets_without_guesses(spark, monkeypatch):
+    """Sets that hold much of the vocabulary, of which guesses have united few: the exact step alone finds the same."""
+    rng = random.Random(6)
+    halves = [[f"a{i}" for i in range(300)], [f"b{i}" for i in range(300)]]
+    sets = {k: set(rng.sample(halves[k % 2], rng.randrange(60, 250))) | ({"common"} if k % 5 else set()) for k in range(60)}
+    sets |= {60: {"a1", "b1", "c"}, 61: {f"c{i}" for i in range(40)}, 62: {f"c{i}" for i in range(27)} | {f"b{i}" for i in range(13)}}
+    plain = proposals.guesses
+    monkeypatch.setattr(proposals, "guesses", lambda *a: plain(*a).where("b % 7 = 0"))
+    words = as_words(spark, sets)
+    ids = words.join(words.groupBy("token").count().orderBy(F.desc("count"), "token").select("token", F.monotonically_increasing_id().alias("id")), "token")
+    got = {k: k for k in sets} | {r.node: r.root for r in proposals.linked_roots(proposals.blocks(ids, "ord", 6), 0.34).collect()}
+    assert got == overlapping(sets, 0.34)
+
+
 def test_templated_events_below_the_threshold(spark):
     """Every event shares 30 to 33 of its 100 words with all others. None links, and the index offers next to no pair."""
     rng = random.Random(2)
@@ -257,7 +272,7 @@ def test_templated_events_below_the_threshold(spark):
     assert {r.ord: r.root for r in proposals.clusters(words, least=0).collect()} == overlapping(sets, 0.34)
     ids = words.join(words.groupBy("token").count().orderBy("count", "token").select("token", F.monotonically_increasing_id().alias("id")), "token")
     alone = ids.where("ord < 120").join(ids.groupBy("ord").count().withColumnRenamed("count", "size"), "ord").select("id", "ord", F.col("ord").alias("root"), "size")
-    assert proposals.candidates(alone, 0.34).count() == 0
+    assert proposals.candidates(alone, 0, 0.34).count() == 0
 
 
 def test_equal_proposal_ids_stay_apart(spark):
