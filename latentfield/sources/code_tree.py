@@ -1,8 +1,10 @@
 """A source tree as a table (SRC3-7): path, ext, text.
 
-Spark's own file readers drop names that begin with _ or . and don't prune folders, so the tree is walked
-here: the driver lists the upper levels until there are enough folders, and each becomes a partition that a task walks and reads.
-Unreadable folders and files are skipped. Reading needs a file system that all executors share.
+Spark's own file readers drop names that begin with _ or . and don't prune folders, so the tree is listed here. The driver lists
+names and sizes, as it does for Spark's own readers, and deals them out by size: a partition is a few runs of names, so a large flat
+folder has many and small folders share one. A tree of more than MOST files is listed as far as that; a task walks each folder below.
+Filters on ext and on the beginning of path are taken over: other files are never opened, and folders off the path never listed.
+Unreadable folders and files are skipped. Reading needs a file system that all executors mount.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
 #: Folders that never hold a project's own code; fixed list, and this engine's output folder.
 IGNORED = frozenset([
@@ -25,8 +27,14 @@ EXTENSIONS = (
     ".py", ".go", ".rb", ".java", ".rs", ".php", ".cs",
 )
 SCHEMA = "path string, ext string, text string"
-#: Partitions that are wanted, and how many levels below the first are opened for them.
-ENOUGH, LEVELS = 64, 3
+#: Partitions that are wanted at least, if there are as many files, and bytes of one at most, but for a single larger file.
+ENOUGH, BYTES = 128, 64 << 20
+#: What opening a file costs, in bytes read.
+OPENING = 64 << 10
+#: Files that the driver lists at most.
+MOST = 2_000_000
+#: Spark asks a source of this kind for its filters only with this setting.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def extension(name: str) -> str:
@@ -35,44 +43,106 @@ def extension(name: str) -> str:
     return name[at:] if at > 0 else ""
 
 
-class Branch(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        super().__init__((folder, deep))
-        self.folder, self.deep = folder, deep
+class Part(InputPartition):
+    """Runs of names (folder, first, last) whose files are read, and folders that are walked whole."""
+
+    def __init__(self, runs: list[tuple[str, str, str]], deep: list[str]):
+        super().__init__((runs, deep))
+        self.runs, self.deep = runs, deep
 
 
 class CodeTreeReader(DataSourceReader):
     def __init__(self, root: str, extensions: tuple[str, ...]):
-        self.root, self.extensions = root, extensions
-
-    def inside(self, folder: str) -> list[str]:
+        self.root, self.extensions, self.prefixes = root, extensions, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over equality and lists of extensions, and equality with and beginnings of the path; what isn't taken over is given back."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("ext",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.extensions = tuple(e for e in self.extensions if e in wanted)
+            elif isinstance(f, IsNotNull):
+                continue  # no column is ever null
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.prefixes.append(f.value)
+            else:
+                if isinstance(f, EqualTo) and f.attribute == ("path",) and isinstance(f.value, str):
+                    self.prefixes.append(f.value)  # leads there; the equality itself is left to Spark
+                yield f
+
+    def relative(self, full: str) -> str:
+        return os.path.relpath(full, self.root).replace(os.sep, "/")
+
+    def leads(self, folder: str) -> bool:
+        """Whether files that are asked for can lie below the folder."""
+        inside = "" if folder == self.root else self.relative(folder) + "/"
+        return all(inside.startswith(p) or p.startswith(inside) for p in self.prefixes)
+
+    def wanted(self, folder: str, name: str) -> bool:
+        return extension(name) in self.extensions and (not self.prefixes or all(self.relative(os.path.join(folder, name)).startswith(p) for p in self.prefixes))
+
+    def listed(self, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+        """Names and sizes of a folder's files that are asked for, in order, and the folders in it."""
+        files, inside = [], []
         try:
-            return sorted(os.path.join(folder, e.name) for e in os.scandir(folder) if e.is_dir() and e.name not in IGNORED)
+            for e in sorted(os.scandir(folder), key=lambda e: e.name):
+                if e.is_dir():
+                    if e.name not in IGNORED and not e.is_symlink() and self.leads(full := os.path.join(folder, e.name)):
+                        inside.append(full)
+                elif self.wanted(folder, e.name):
+                    try:
+                        files.append((e.name, e.stat().st_size + OPENING))
+                    except OSError:
+                        continue
         except OSError:
-            return []
-
-    def partitions(self) -> list[Branch]:
-        """Folders of one level after the other are opened, their own files being a partition, until ENOUGH are left to walk."""
-        shallow, deep = [self.root], self.inside(self.root)
-        for _ in range(LEVELS):
-            if not deep or len(deep) >= ENOUGH:
-                break
-            shallow, deep = shallow + deep, [x for folder in deep for x in self.inside(folder)]
-        return [*(Branch(x, False) for x in shallow), *(Branch(x, True) for x in deep)]
-
-    def read(self, partition: Branch) -> Iterator[tuple[str, str, str]]:
-        for folder, inside, names in os.walk(partition.folder):
-            inside[:] = sorted(x for x in inside if x not in IGNORED) if partition.deep else []
-            for name in sorted(names):
-                ext = extension(name)
-                if ext not in self.extensions:
-                    continue
-                full = os.path.join(folder, name)
-                try:
-                    with open(full, encoding="utf-8", errors="replace", newline="") as f:
-                        yield os.path.relpath(full, self.root).replace(os.sep, "/"), ext, f.read()
-                except OSError:
-                    continue
+            return files, []
+        return files, inside
+
+    def partitions(self) -> list[Part]:
+        folders, todo, n = [], [self.root], 0
+        while todo and n < MOST:
+            folder = todo.pop()
+            files, inside = self.listed(folder)
+            n += len(files)
+            folders.append((folder, files))
+            todo += reversed(inside)
+        most = max(1, min(BYTES, sum(size for _, files in folders for _, size in files) // ENOUGH))
+        parts, runs, held = [], [], 0
+        for folder, files in folders:
+            first = last = None
+            for name, size in files:
+                if held and held + size > most:
+                    if first is not None:
+                        runs.append((folder, first, last))
+                    parts.append(Part(runs, []))
+                    runs, held, first = [], 0, None
+                first, last, held = name if first is None else first, name, held + size
+            if first is not None:
+                runs.append((folder, first, last))
+        return [*parts, *([Part(runs, [])] if runs else []), *(Part([], [x]) for x in todo)] or [Part([], [])]
+
+    def files(self, part: Part) -> Iterator[tuple[str, str]]:
+        for folder, first, last in part.runs:
+            try:
+                names = sorted(os.listdir(folder))
+            except OSError:
+                continue
+            yield from ((folder, x) for x in names if first <= x <= last)
+        for top in part.deep:
+            for folder, inside, names in os.walk(top):
+                inside[:] = sorted(x for x in inside if x not in IGNORED and self.leads(os.path.join(folder, x)))
+                yield from ((folder, x) for x in sorted(names))
+
+    def read(self, partition: Part) -> Iterator[tuple[str, str, str]]:
+        for folder, name in self.files(partition):
+            if not self.wanted(folder, name):
+                continue
+            full = os.path.join(folder, name)
+            try:
+                with open(full, encoding="utf-8", errors="replace", newline="") as f:
+                    yield self.relative(full), extension(name), f.read()
+            except OSError:
+                continue
 
 
 class CodeTree(DataSource):
@@ -91,5 +161,7 @@ class CodeTree(DataSource):
 
 
 def code_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files of the tree; filters on ext and path, and conditions joined by AND to them, go into the listing. Turns PUSHDOWN on for the session."""
+    spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(CodeTree)
     return spark.read.format("codetree").load(root)
