@@ -223,12 +223,21 @@ def support(words: DataFrame, of: DataFrame) -> DataFrame:
     return words.join(of, "ord").groupBy("root", "token").agg(F.count("*").alias("n"))
 
 
+#: Parts of a cluster's vocabulary that are sorted apart before their first words are.
+SIGNAL_PARTS = 32
+
+
 def signals(counts: DataFrame, most: int = MAX_SIGNALS) -> DataFrame:
     """WIN6, FLT3, FLT5: (root, token, n, place): a cluster's words that recur, or all if none does, most frequent first, without code keywords."""
     usable = counts.where(~F.col("token").isin(*CODE_KEYWORDS))
-    cluster = Window.partitionBy("root")
-    recurring = usable.withColumn("top", F.max("n").over(cluster)).where("n >= 2 OR top < 2")
-    return recurring.withColumn("place", F.row_number().over(cluster.orderBy(F.desc("n"), "token"))).where(F.col("place") <= most).select("root", "token", "n", "place")
+    top = usable.groupBy("root").agg(F.max("n").alias("top"))
+    recurring = usable.join(top, "root").where("n >= 2 OR top < 2")
+    # each task keeps its own first ones of a part of a cluster, so that no task sorts a whole vocabulary
+    part = F.pmod(F.xxhash64("token"), F.lit(SIGNAL_PARTS))
+    for by in (["root", part], ["root"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "token"))
+        recurring = recurring.withColumn("place", place).where(F.col("place") <= most)
+    return recurring.select("root", "token", "n", "place")
 
 
 def propose(events: DataFrame, *, threshold: float = THRESHOLD, most: int = MAX_SIGNALS, least: int = MIN_COOCCURRENCE) -> tuple[DataFrame, DataFrame]:

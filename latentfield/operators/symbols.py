@@ -43,26 +43,44 @@ def symbol_distance(capabilities: DataFrame, lexed: DataFrame) -> DataFrame:
     return mean_distances(members, symbol_graph(lexed)).where("n_nodes >= 2").select("owner", "distance")
 
 
-def script_candidates() -> F.Column:
-    """JN12: paths that a relative specifier may mean, best first. base: folder of the importer and specifier joined."""
-    base, stem = F.col("base"), F.regexp_replace(F.col("base"), r"(?<=[^/])\.[^./]*$", "")
-    return F.array(base, *(x for e in RESOLVED for x in (F.concat(stem, F.lit(e)), F.concat(base, F.lit(e)), F.concat(base, F.lit(f"/index{e}")))))
+def resolution_index(files: DataFrame) -> DataFrame:
+    """(key, slot, i, target): each file once under every name that can stand for it: its path, that without its extension, and as the index of its folder. files: path.
 
+    i is the extension's place in RESOLVED. Of paths that differ in case alone the last counts.
+    """
+    path = S.plain_path(F.col("path"))
 
-def python_candidates() -> F.Column:
-    """JN13."""
-    return F.array(F.concat("base", F.lit(".py")), F.concat("base", F.lit("/__init__.py")))
+    def without(end: str, slot: str, i: int) -> F.Column:
+        return F.when(F.endswith(path, F.lit(end)), F.struct(F.substring(path, F.lit(1), F.length(path) - len(end)).alias("key"), F.lit(slot).alias("slot"), F.lit(i).alias("i")))
+
+    names = [F.struct(path.alias("key"), F.lit("exact").alias("slot"), F.lit(0).alias("i")), without(".py", "module", 0), without("/__init__.py", "package", 1)]
+    names += [x for i, e in enumerate(RESOLVED) for x in (without(e, "plain", i), without(f"/index{e}", "index", i))]
+    return files.select("path", F.explode(F.array_compact(F.array(*names))).alias("n")).groupBy("n.key", "n.slot", "n.i").agg(F.max("path").alias("target"))
+
+
+def ordinal() -> F.Column:
+    """JN12, JN13: the place at which a name of the index is tried for a specifier's key, null if it isn't. A script's are: the base itself, then for each extension the stem
+    with it, the base with it, and the base as its folder; Python's the module, then the package."""
+    role, slot, i = F.col("role"), F.col("slot"), F.col("i")
+    base = F.when(slot == "exact", 0).when(slot == "plain", F.when(role == "both", 1 + 3 * i).otherwise(2 + 3 * i)).when(slot == "index", 3 + 3 * i)
+    return F.when(role == "python", F.when(slot.isin("module", "package"), i)).when(role == "stem", F.when(slot == "plain", 1 + 3 * i)).otherwise(base)
 
 
 def import_graph(lexed: DataFrame) -> DataFrame:
-    """GRA1: undirected edges between files. Each specifier's candidates are joined with the files' paths, and the first that exists counts (WIN8)."""
+    """GRA1: undirected edges between files. A specifier is looked up by its base and its stem, at most two rows, and of the files there the one that is tried first counts (WIN8)."""
     folder = F.regexp_replace("path", r"[^/]*$", "")
     up = F.repeat(F.lit("../"), F.greatest(F.lit(0), F.col("i.dots") - 1))
     specs = lexed.select("path", "ext", F.explode("imports").alias("i")).where("ext = '.py' OR startswith(i.spec, '.')")  # FLT11
     based = specs.select("path", "ext", F.col("i.spec").alias("spec"), S.plain_path(F.concat(folder, up, "i.spec")).alias("base"))
-    tried = based.select("path", "spec", "base", F.posexplode(F.when(F.col("ext") == ".py", python_candidates()).otherwise(script_candidates())).alias("k", "key"))
-    index = lexed.select(S.plain_path(F.col("path")).alias("key"), F.col("path").alias("target")).groupBy("key").agg(F.max("target").alias("target"))
-    found = tried.join(index, "key").groupBy("path", "spec", "base").agg(F.min_by("target", "k").alias("target"))
+    stem = F.regexp_replace(F.col("base"), r"(?<=[^/])\.[^./]*$", "")
+
+    def look(role: str, key: F.Column) -> F.Column:
+        return F.struct(F.lit(role).alias("role"), key.alias("key"))
+
+    looks = F.when(F.col("ext") == ".py", F.array(look("python", F.col("base")))).when(stem == F.col("base"), F.array(look("both", F.col("base")))).otherwise(F.array(look("base", F.col("base")), look("stem", stem)))
+    asked = based.select("path", "spec", "base", F.explode(looks).alias("l")).select("path", "spec", "base", "l.*")
+    met = asked.join(resolution_index(lexed.select("path")), "key").withColumn("k", ordinal()).where("k IS NOT NULL")
+    found = met.groupBy("path", "spec", "base").agg(F.min_by("target", "k").alias("target"))
     return undirected(found.select(F.col("path").alias("src"), F.col("target").alias("dst")))
 
 

@@ -6,6 +6,8 @@ table. Order in the array is kept as ord, since it decides ties.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,16 +47,38 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_baseline(readings: DataFrame, path: str) -> None:
-    """SNK3, PRJ2: four measures of each capability under the time of writing, beside earlier baselines."""
-    readings.select(F.current_timestamp().alias("saved_at"), "capability", "correction", "capacity", "utilization", "collapse_potential").write.mode("append").parquet(path)
+def write_baseline(readings: DataFrame, path: str) -> str:
+    """SNK3, PRJ2: four measures of each capability as a version of its own, beside earlier baselines; gives the version.
+
+    A version is a folder, named by the time of writing and a random part, so that two savings at one instant stay apart. Its line in the
+    manifest is written last: a version whose saving broke off has none and is never read.
+    """
+    spark = readings.sparkSession
+    at = spark.sql("SELECT current_timestamp()").first()[0]
+    version = f"{at:%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:12]}"
+    rows = readings.select("capability", "correction", "capacity", "utilization", "collapse_potential", F.lit(at).cast("timestamp").alias("saved_at"))
+    rows.write.mode("errorifexists").parquet(f"{path}/rows/version={version}")
+    mark = spark.range(1).select(F.lit(version).alias("version"), F.lit(at).cast("timestamp").alias("saved_at"))
+    mark.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return version
+
+
+BASELINE = "capability string, correction double, capacity double, utilization double, collapse_potential double, saved_at timestamp, version string"
+
+
+def baseline_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(version, saved_at) of all whole baselines; an error if there is none."""
+    return spark.read.schema("version string, saved_at timestamp").parquet(f"{path}/manifest")
 
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: the newest baseline; an error if there is none."""
-    all_ = spark.read.parquet(path)
-    newest = all_.agg(F.max("saved_at").alias("saved_at"))
-    return all_.join(F.broadcast(newest), "saved_at")  # one row
+def read_baseline(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """SRC8: a baseline, the newest if none is named; an error if there is none. Only its folder is read."""
+    if version is None:
+        newest = baseline_versions(spark, path).orderBy(F.desc("saved_at"), F.desc("version")).first()
+        if newest is None:
+            raise ValueError(f"no baseline in {path}")
+        version = newest.version
+    return spark.read.schema(BASELINE).parquet(f"{path}/rows").where(F.col("version") == version)
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators by themselves, on hand-written rows."""
 
 import math
+import posixpath
 import random
 
 import pytest
@@ -142,6 +143,66 @@ def test_mean_distance(spark):
     assert got == {"a": round((1 / 3 + 1 + 1) / 3, 4), "b": 0.0, "c": 0.5}
 
 
+def test_resolution_equals_trying_each_path(spark):
+    """Specifiers with and without extensions, of any case, against a loop over all candidates in their order."""
+    from latentfield.operators.symbols import RESOLVED
+
+    rng = random.Random(11)
+    ends = [*RESOLVED, ".py", "/index.ts", "/index.js", "/__init__.py", "", ".rb", ".D.ts"]
+    paths = sorted({f"{rng.choice(['src', 'src/in', 'lib'])}/{rng.choice('abcAB')}{rng.choice(ends)}" for _ in range(120)})
+    specs = [f"./{rng.choice(['', 'in/', '../lib/', '../'])}{rng.choice('abcB')}{rng.choice(['', '', '.js', '.ts', '.d', '.py', '.jsx'])}" for _ in range(150)]
+    files = [(p, ".py" if p.endswith(".py") else ".ts", [(rng.choice(specs), 1 if p.endswith(".py") else 0) for _ in range(6)]) for p in paths]
+    index, want = {}, set()
+    for p in paths:
+        index[p.lower()] = max(index.get(p.lower(), ""), p)
+    for path, ext, imports in files:
+        for spec, _ in imports:
+            base = posixpath.normpath(posixpath.join(posixpath.dirname(path), spec)).lower()
+            head, _, name = base.rpartition("/")
+            stem = base[: len(head) + 1 + name.rfind(".")] if name.rfind(".") > 0 else base
+            tried = [base + ".py", base + "/__init__.py"] if ext == ".py" else [base, *(x for e in RESOLVED for x in (stem + e, base + e, f"{base}/index{e}"))]
+            target = next((index[t] for t in tried if t in index), None)
+            if target and target != path:
+                want |= {(path, target), (target, path)}
+    lexed = spark.createDataFrame(files, "path string, ext string, imports array<struct<spec: string, dots: int>>")
+    assert {tuple(r) for r in import_graph(lexed).collect()} == want and len(want) > 100
+
+
+def test_baselines_are_versions(spark, tmp_path):
+    """Savings don't mix, one that broke off isn't read, and reading prunes to one folder."""
+    at = f"file://{tmp_path}/baselines"
+
+    def scores(v):
+        return spark.createDataFrame([(f"c{k}", v, v, v, v) for k in range(3)], "capability string, correction double, capacity double, utilization double, collapse_potential double")
+
+    first = inputs.write_baseline(scores(0.1), at)
+    second = inputs.write_baseline(scores(0.2), at)
+    assert first != second
+    scores(0.9).write.parquet(f"{at}/rows/version=99990101T000000.000000-torn")  # without a line in the manifest
+    got = inputs.read_baseline(spark, at)
+    assert {r.correction for r in got.collect()} == {0.2} and got.count() == 3
+    assert {r.correction for r in inputs.read_baseline(spark, at, first).collect()} == {0.1}
+    assert inputs.baseline_versions(spark, at).count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(version" in plan
+    with pytest.raises(Exception, match=r"manifest|PATH_NOT_FOUND"):
+        inputs.read_baseline(spark, f"{at}/none")
+
+
+def test_signals_of_a_large_cluster(spark):
+    """Equal to a sort of the whole vocabulary; words that don't recur count only where none does."""
+    rng = random.Random(3)
+    counts = [(0, f"w{k}", rng.randrange(1, 9)) for k in range(3000)] + [(1, f"v{k}", 1) for k in range(50)] + [(2, "import", 9), (2, "once", 1), (3, "class", 4)]
+    got = sorted(tuple(r) for r in proposals.signals(spark.createDataFrame(counts, "root int, token string, n int")).collect())
+    want = []
+    for root in (0, 1, 2):
+        usable = [(r, t, n) for r, t, n in counts if r == root and t not in proposals.CODE_KEYWORDS]
+        top = max(n for *_, n in usable)
+        some = sorted((x for x in usable if x[2] >= 2 or top < 2), key=lambda x: (-x[2], x[1]))[:6]
+        want += [(*x, k) for k, x in enumerate(some, 1)]
+    assert got == sorted(want)
+
+
 def test_hops_of_many_sources(spark):
     """More sources than bits in a word, hubs and separate parts: equal to walking from each; and far fewer rows than pairs are written."""
     rng = random.Random(4)
