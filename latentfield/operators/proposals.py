@@ -25,10 +25,23 @@ def event_words(events: DataFrame) -> DataFrame:
     return events.select("ord", F.explode(S.words_of(F.col("after"))).alias("token"))
 
 
+#: An event or word with more rows is joined with itself in parts of so many on either side.
+HOT = 4096
+
+
+def dealt(rows: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """rows twice, to be joined on (key, p, q): a key of many rows is cut into parts by item, of which one side is sent along the rows and the other along the columns of a square, so each pair meets once."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    placed = rows.join(parts, key)
+    mine = F.pmod(F.xxhash64(item), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    return placed.withColumn("p", mine).withColumn("q", every).drop("parts"), placed.withColumn("q", mine).withColumn("p", every).drop("parts")
+
+
 def cooccurrence(words: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """AGG9, JN9: (token, other, n): in how many events the two stand together. copies (ord, copies): for how many events each stands, 1 if not given."""
-    other = words.select("ord", F.col("token").alias("other"))
-    both = words.join(other, "ord").where("token <> other")
+    left, right = dealt(words.select("ord", "token"), "ord", "token")
+    both = left.join(right.withColumnRenamed("token", "other"), ["ord", "p", "q"]).where("token <> other")
     if copies is None:
         return both.groupBy("token", "other").agg(F.count("*").alias("n"))
     return both.join(copies, "ord").groupBy("token", "other").agg(F.sum("copies").alias("n"))
@@ -43,12 +56,14 @@ def expanded(words: DataFrame, least: int = MIN_COOCCURRENCE, copies: DataFrame
 
 
 def overlap_pairs(words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """JN8: (a, b, overlap) of the events a < b whose overlap coefficient reaches the threshold, which must be above 0. Only events that share a word are compared."""
+    """JN8: (a, b, overlap) of the events a < b whose overlap coefficient reaches the threshold, which must be above 0. Only candidates() are compared, not all that share a word."""
     size = words.groupBy("ord").agg(F.count("*").alias("size"))
     sized = words.join(size, "ord")
-    left, right = sized.select("token", F.col("ord").alias("a"), F.col("size").alias("sa")), sized.select("token", F.col("ord").alias("b"), F.col("size").alias("sb"))
-    shared = left.join(right, "token").where("a < b").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("common"))
-    return shared.select("a", "b", (F.col("common") / F.least("sa", "sb")).alias("overlap")).where(F.col("overlap") >= threshold)
+    pairs = staged(candidates(sized.select(F.col("token").alias("id"), "ord", F.col("ord").alias("root"), "size"), None, threshold), "overlap-candidates")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left, right = sized.select(F.col("ord").alias("a"), "token", F.col("size").alias("sa")), sized.select(F.col("ord").alias("b"), "token", F.col("size").alias("sb"))
+    common = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("common"))
+    return common.select("a", "b", (F.col("common") / F.least("sa", "sb")).alias("overlap")).where(F.col("overlap") >= threshold)
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -97,10 +112,6 @@ def widened(sets: DataFrame, copies: DataFrame, least: int, shift: int) -> DataF
 SHARED = "sum(bit_count(bits & other))"
 #: Leaders go to the events that are compared with them in so many parts.
 PARTS = 16
-#: A word that more events hold is joined in parts of so many on either side.
-HOT = 4096
-
-
 def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose overlap coefficient reaches the threshold. Many pairs may share an a, so its set goes out in parts. sizes: ord, size."""
     own = sets.join(sizes, "ord")
@@ -141,20 +152,21 @@ def candidates(apart: DataFrame, most: object, threshold: float) -> DataFrame:
     ceil(threshold * size) words of the other, so one of them is among its own but for the last that many less one: only those are
     looked up. Of the first common word both must have enough words left from there on.
     """
-    many = apart.groupBy("id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
     event = Window.partitionBy("ord")
     placed = (
-        apart.join(many, "id")
+        apart.join(apart.groupBy("id").agg(F.count("*").alias("n")), "id")
         .withColumn("left", F.count("*").over(event) - F.row_number().over(event.orderBy("n", "id")) + 1)  # words from this one on
         .withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(threshold) - 1e-9)))
-        .select("id", "parts", "ord", "root", "size", "left", "need")
+        .select("id", "ord", "root", "size", "left", "need")
     )
-    mine = F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    small = placed.where("left >= need").select("id", mine.alias("p"), every.alias("q"), F.col("ord").alias("a"), F.col("root").alias("x"), F.col("size").alias("sa"), F.col("left").alias("la"), "need")
-    large = placed.select("id", every.alias("p"), mine.alias("q"), F.col("ord").alias("b"), F.col("root").alias("y"), F.col("size").alias("sb"), F.col("left").alias("lb"))
-    # pairs inside `most` are never made
-    met = small.where(F.col("x") != most).join(large, ["id", "p", "q"]).unionByName(small.where(F.col("x") == most).join(large.where(F.col("y") != most), ["id", "p", "q"]))
+    rows, columns = dealt(placed, "id", "ord")
+    small = rows.where("left >= need").select("id", "p", "q", F.col("ord").alias("a"), F.col("root").alias("x"), F.col("size").alias("sa"), "need")
+    large = columns.select("id", "p", "q", F.col("ord").alias("b"), F.col("root").alias("y"), F.col("size").alias("sb"), F.col("left").alias("lb"))
+    key = ["id", "p", "q"]
+    if most is None:
+        met = small.join(large, key)
+    else:  # pairs inside `most` are never made
+        met = small.where(F.col("x") != most).join(large, key).unionByName(small.where(F.col("x") == most).join(large.where(F.col("y") != most), key))
     return met.where("x <> y AND (sa < sb OR sa = sb AND a < b) AND lb >= need").select("a", "b").distinct()
 
 

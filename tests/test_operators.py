@@ -292,6 +292,29 @@ def as_words(spark, sets):
     return spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "ord int, token string")
 
 
+def test_hot_events_and_words_are_joined_in_parts(spark, monkeypatch):
+    """One event holds all words, one word stands in all events: pairs and counts are those of a plain loop, and no join key has many rows."""
+    monkeypatch.setattr(proposals, "HOT", 16)
+    rng = random.Random(12)
+    sets = {k: {f"w{i}" for i in rng.sample(range(150), rng.randrange(1, 12))} | {"all"} for k in range(80)} | {80: {f"w{i}" for i in range(150)}}
+    words = as_words(spark, sets)
+    want = {}
+    for s in sets.values():
+        for a in s:
+            for b in s - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.token, r.other): r.n for r in proposals.cooccurrence(words).collect()} == want
+    copies = spark.createDataFrame([(k, 1 + k % 3) for k in sets], "ord int, copies int")
+    assert sum(r.n for r in proposals.cooccurrence(words, copies).collect()) == sum((1 + k % 3) * len(s) * (len(s) - 1) for k, s in sets.items())
+    for key, item in (("ord", "token"), ("token", "ord")):
+        left, right = proposals.dealt(words, key, item)
+        assert max(r["count"] for side in (left, right) for r in side.groupBy(key, "p", "q").count().collect()) <= 40
+    for threshold in (0.3, 0.34, 0.8):
+        pairs = {(r.a, r.b): round(r.overlap, 9) for r in proposals.overlap_pairs(words, threshold).collect()}
+        plain = {(a, b): round(len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])), 9) for a in sets for b in sets if a < b}
+        assert pairs == {k: v for k, v in plain.items() if v >= threshold}
+
+
 @pytest.mark.parametrize(("seed", "dense"), [(0, 8), (1, 8), (2, 8), (3, 0)])
 def test_clusters_of_unlike_sizes(spark, seed, dense, monkeypatch):
     """Small events inside large ones, chains, copies and templates: equal to comparing all pairs, with hot words in parts too."""
