@@ -1,9 +1,11 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from latentfield.llm import language_id as L
 from latentfield.llm.language_id import PART, Binder, identify, is_held_out, language_id, learn
 
 
@@ -88,3 +90,32 @@ def test_too_many_languages_are_refused(spark):
     assert len(learn(rows, dimensions=64, most_languages=5).languages) == 5
     with pytest.raises(ValueError, match="languages"):
         learn(rows, dimensions=64, most_languages=4)
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """3,000 labels, beyond what the driver takes: documents find their own language, blocks of prototypes give what one object gives."""
+    monkeypatch.setattr(L, "HELD", 100)
+    rng = random.Random(1)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in range(3000)}
+    rows = [(k * 2 + j, " ".join(rng.choice(words[k]) for _ in range(12)), f"l{k:04d}") for k in range(3000) for j in (0, 1)]
+    df = spark.createDataFrame(rows + [(None, "abc", None), (9000, None, "l0001"), (9001, "12 34", "l0002")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id(df, dimensions=256, most_languages=2000).collect()}
+    assert len(got) == 6003 and got[9000].lang_pred == got[9001].lang_pred == "und" and got[9001].score == 0
+    learned = [(i, lang) for i, _, lang in rows if not got[i].held_out]
+    assert sum(got[i].lang_pred == lang for i, lang in learned) > 0.97 * len(learned)
+    few = df.where("doc_id < 1200")
+    one = {r.doc_id: (r.lang_pred, r.score) for r in language_id(few, dimensions=256).collect()}
+    for block, chunk in ((512, 2048), (64, 100)):
+        monkeypatch.setattr(L, "BLOCK", block)
+        monkeypatch.setattr(L, "CHUNK", chunk)
+        table = {r.doc_id: (r.lang_pred, r.score) for r in language_id(few, dimensions=256, most_languages=10).collect()}
+        assert {k: v[0] for k, v in table.items()} == {k: v[0] for k, v in one.items()} and all(abs(table[k][1] - one[k][1]) < 1e-8 for k in one)
+
+
+def test_ties_go_to_the_first_name(spark):
+    """Languages learned from the same text have the same prototype."""
+    rows = [(k, "some words of a language", f"l{k % 3}") for k in range(30)] + [(k, "ganz andere wörter hier", "z") for k in range(30, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (2000, 1):
+        got = {r.doc_id: r.lang_pred for r in language_id(df, dimensions=256, most_languages=most).collect()}
+        assert got == {k: "l0" if k < 30 else "z" for k in range(40)}
