@@ -237,4 +237,4 @@ def signed(x: Column) -> Column:
 
 def uniform(seed: Column) -> Column:
     """SCL35: a reproducible number in [0, 1) from a text."""
-    return F.pmod(F.xxhash64(seed), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.conv(F.substring(F.md5(seed.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

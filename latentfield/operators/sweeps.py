@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -62,66 +62,84 @@ def swept(evidence: DataFrame, configs: DataFrame) -> DataFrame:
     return scores.join(first, F.col("config_id") == F.col("c")).withColumn("is_first", F.col("ord") == -F.col("best.o")).drop("c", "best")
 
 
-def tally(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """JN19, AGG12: one row for each reading and pair of thresholds, with its category anew. thresholds is small."""
-    t = scores.drop("category").crossJoin(F.broadcast(thresholds.drop("config_id")))
-    return t.withColumn("candidate", S.is_candidate(S.category(F.col("correction"), F.col("capacity"), F.col("utilization"), F.col("known"), F.col("hi"), F.col("lo"))).cast("int"))
+def candidacies(thresholds: dict[str, tuple[float, ...]]) -> dict[tuple[float, float], Column]:
+    """JN19: for each pair of thresholds whether a reading is a candidate under it, 0 or 1."""
+    c = F.col
+    return {(h, l): S.is_candidate(S.category(c("correction"), c("capacity"), c("utilization"), c("known"), h, l)).cast("long") for h in thresholds["hi"] for l in thresholds["lo"]}
 
 
-def second_level(evidence: DataFrame, levels: dict[str, tuple[float, ...]] | None, thresholds: dict[str, tuple[float, ...]] | None) -> DataFrame:
-    """Readings under all scales and thresholds, judged."""
-    spark = evidence.sparkSession
-    return tally(swept(evidence, grid(spark, levels or LEVELS)), grid(spark, thresholds or THRESHOLDS))
-
+def counts(scores: DataFrame, levels: dict[str, tuple[float, ...]], thresholds: dict[str, tuple[float, ...]]) -> DataFrame:
+    """AGG12, AGG13: a row for each capability with all that the sweep counts, in one aggregate of its readings.
 
-def shares(evidence: DataFrame, judged: DataFrame) -> DataFrame:
-    """For each capability the baseline, its shares of first places and candidacies, and the range of its potential."""
-    total = F.count("*")
-    stats = judged.groupBy("capability").agg(
-        total.alias("configurations"),
-        (F.sum(F.col("is_first").cast("int")) / total).alias("rank1_share"),
-        (F.sum("candidate") / total).alias("candidate_share"),
+    A reading isn't repeated for thresholds or knobs: how often it is a candidate is added up under all pairs of thresholds, under each of either
+    threshold, and for each level of the other knobs. `cells` holds (knob_ord, knob, level, t, c): times judged and times a candidate.
+    """
+    pairs = candidacies(thresholds)
+    sums = {("hi", h): sum((x for (a, _), x in pairs.items() if a == h), F.lit(0)) for h in thresholds["hi"]} | {("lo", l): sum((x for (_, b), x in pairs.items() if b == l), F.lit(0)) for l in thresholds["lo"]}
+    named = {key: f"c_{k}" for k, key in enumerate(sums)}
+    rows = scores.withColumns({named[key]: x for key, x in sums.items()})
+    all_ = sum((F.col(named["hi", h]) for h in thresholds["hi"]), F.lit(0))
+    cells = []
+    for knob_ord, knob in enumerate(KNOBS):
+        for level in (levels | thresholds)[knob]:
+            if knob in thresholds:
+                t, c = F.count("*") * (len(pairs) // len(thresholds[knob])), F.sum(named[knob, level])
+            else:
+                here = F.col(knob) == F.lit(float(level))
+                t, c = F.count_if(here) * len(pairs), F.coalesce(F.sum(F.when(here, all_)), F.lit(0))
+            cells.append(F.struct(F.lit(knob_ord).alias("knob_ord"), F.lit(knob).alias("knob"), F.lit(float(level)).alias("level"), t.alias("t"), c.alias("c")))
+    return rows.groupBy("capability").agg(
+        (F.count("*") * len(pairs)).alias("configurations"),
+        (F.sum(F.col("is_first").cast("int")) / F.count("*")).alias("rank1_share"),
+        (F.sum(all_) / (F.count("*") * len(pairs))).alias("candidate_share"),
         F.min("collapse_potential").alias("cp_min"),
         F.max("collapse_potential").alias("cp_max"),
+        F.array(*cells).alias("cells"),
     )
+
+
+def second_level(evidence: DataFrame, levels: dict[str, tuple[float, ...]] | None = None, thresholds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+    """counts() under all scales and thresholds."""
+    levels, thresholds = levels or LEVELS, thresholds or THRESHOLDS
+    return counts(swept(evidence, grid(evidence.sparkSession, levels)), levels, thresholds)
+
+
+def shares(evidence: DataFrame, counted: DataFrame) -> DataFrame:
+    """For each capability the baseline, its shares of first places and candidacies, and the range of its potential."""
     base = ranked(readings(evidence, config(evidence.sparkSession)).drop("evidence")).select("ord", "capability", "label", F.col("collapse_potential").alias("baseline_cp"), F.col("rank").alias("baseline_rank"), F.col("category").alias("baseline_category"))
-    return base.join(stats, "capability")
+    return base.join(counted, "capability")
 
 
 def level2(evidence: DataFrame, *, levels: dict[str, tuple[float, ...]] | None = None, thresholds: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
     """PIP5: shares() of the second level, and each capability's most sensitive knob."""
-    judged = second_level(evidence, levels, thresholds)
-    return shares(evidence, judged).join(sensitivity(judged), "capability", "left")
+    counted = shares(evidence, second_level(evidence, levels, thresholds))
+    best = sensitivity(F.col("cells"))
+    knob = {x: best[x] for x in ("knob", "low_level", "low_share", "high_level", "high_share")}
+    return counted.select(*(c for c in counted.columns if c != "cells"), *(v.alias(k) for k, v in knob.items()))
 
 
-def knob_levels(judged: DataFrame) -> DataFrame:
-    """AGG13: (capability, knob, level): times judged and times a candidate. All knobs in one pass."""
-    knobs = F.array(*(F.struct(F.lit(i).alias("knob_ord"), F.lit(k).alias("knob"), F.col(k).alias("level")) for i, k in enumerate(KNOBS)))
-    return judged.select("capability", "candidate", F.explode(knobs).alias("x")).groupBy("capability", "x.knob_ord", "x.knob", "x.level").agg(F.count("*").alias("t"), F.sum("candidate").alias("c"))
+def knob_levels(counted: DataFrame) -> DataFrame:
+    """AGG13: (capability, knob, level): times judged (t) and times a candidate (c)."""
+    return counted.select("capability", F.inline("cells")).select("capability", "knob", "level", "t", "c")
 
 
-def sensitivity(judged: DataFrame) -> DataFrame:
-    """WIN4, WIN5: the knob whose levels' shares differ most (the first, if equal; none if no share differs) with its lowest and highest level.
+def of_knob(k: int):
+    return lambda x: x["knob_ord"] == k
+
+
+def sensitivity(cells: Column) -> Column:
+    """WIN4, WIN5: of a capability's cells the knob whose levels' shares differ most (the first, if equal; null if no share differs) with its lowest and highest level.
 
     Levels of a knob are judged equally often, so counts are compared: whole numbers tie exactly.
     """
-    cells = knob_levels(judged)
-    knob = Window.partitionBy("capability", "knob_ord")
-    spread = (
-        cells.withColumn("lo_n", F.row_number().over(knob.orderBy("c", "level")))
-        .withColumn("hi_n", F.row_number().over(knob.orderBy(F.desc("c"), F.desc("level"))))
-        .groupBy("capability", "knob_ord", "knob")
-        .agg(
-            (F.max("c") - F.min("c")).alias("spread"),
-            F.max(F.when(F.col("lo_n") == 1, F.col("level"))).alias("low_level"),
-            F.max(F.when(F.col("lo_n") == 1, F.col("c") / F.col("t"))).alias("low_share"),
-            F.max(F.when(F.col("hi_n") == 1, F.col("level"))).alias("high_level"),
-            F.max(F.when(F.col("hi_n") == 1, F.col("c") / F.col("t"))).alias("high_share"),
-        )
-        .where("spread > 0")
-    )
-    best = Window.partitionBy("capability").orderBy(F.desc("spread"), "knob_ord")
-    return spread.withColumn("n", F.row_number().over(best)).where("n = 1").select("capability", "knob", "low_level", "low_share", "high_level", "high_share")
+    knobs = []
+    for k, knob in enumerate(KNOBS):
+        own = F.filter(cells, of_knob(k))
+        low = F.array_min(F.transform(own, lambda x: F.struct(x["c"].alias("c"), x["level"].alias("level"), x["t"].alias("t"))))
+        high = F.array_max(F.transform(own, lambda x: F.struct(x["c"].alias("c"), x["level"].alias("level"), x["t"].alias("t"))))
+        knobs.append(F.struct((low["c"] - high["c"]).alias("negated"), F.lit(k).alias("k"), F.lit(knob).alias("knob"), low["level"].alias("low_level"), (low["c"] / low["t"]).alias("low_share"), high["level"].alias("high_level"), (high["c"] / high["t"]).alias("high_share")))
+    widest = F.array_min(F.array(*knobs))
+    return F.when(widest["negated"] < 0, widest)
 
 
 def design_shares(evidence: DataFrame) -> DataFrame:
@@ -143,5 +161,5 @@ def level3(evidence: DataFrame) -> DataFrame:
     designs = design_shares(evidence).groupBy("capability").agg(
         F.min("share").alias("min_share"), F.max("share").alias("max_share"), F.avg("share").alias("mean_share"), (F.max("share") - F.min("share")).alias("spread"), F.min("rank1").alias("rank1_min")
     )
-    two = shares(evidence, second_level(evidence, None, None)).select("ord", "capability", "label", "baseline_cp", F.col("candidate_share").alias("l2_share"))
+    two = shares(evidence, second_level(evidence)).select("ord", "capability", "label", "baseline_cp", F.col("candidate_share").alias("l2_share"))
     return two.join(designs, "capability").withColumn("class_converges", F.col("spread") <= CONVERGES)

@@ -189,8 +189,7 @@ def sweep_l2(spark: SparkSession, sf: str) -> DataFrame:
 
 def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     rows = staged(view_evidence(spark, sf), "sweep-evidence")
-    scores = sweeps.swept(rows, sweeps.grid(spark, sweeps.LEVELS))
-    return sweeps.knob_levels(sweeps.tally(scores, sweeps.grid(spark, sweeps.THRESHOLDS))).select("capability", "knob", "level", "t", F.col("c").cast("long").alias("c"))
+    return sweeps.knob_levels(sweeps.second_level(rows))
 
 
 def sweep_l3(spark: SparkSession, sf: str) -> DataFrame:

@@ -133,5 +133,5 @@ SQL = {
     "baseline_changes": f"""{HALVES} SELECT capability, {r6('p')} AS d_collapse_potential, {r6('c')} AS d_correction, {r6('u')} AS d_utilization, CASE WHEN p <= -0.1 AND u > 0 THEN 'collapsed' WHEN p <= -0.1 THEN 'decaying' WHEN p >= 0.1 THEN 'intensifying' ELSE 'stable' END AS verdict, row_number() OVER (ORDER BY abs(p) DESC, capability) AS place
       FROM change JOIN (SELECT capability FROM r0 WHERE known) k USING (capability)""",
     "report_rows": f"{READINGS} SELECT capability, score, category, rank FROM rd",
-    "seeded": "SELECT count(*) AS n, count(*) AS n_inside, count(*) AS n_again FROM part",
+    "seeded": "SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM part",
 }
