@@ -10,8 +10,8 @@ Pairs are not emitted. A run that is not the first to hold a pair leaves it to t
 prefixes of the earlier passes tell, so links can be counted for each vector by adding counts; what
 leaves a run besides is a spanning forest of its links, which components then unite across passes.
 
-The number of passes grows with the longest prefix, so that a pair at the threshold is missed by all
-passes with a probability below `miss`.
+The number of passes of a label grows with its prefix, so that a pair at the threshold is missed by all
+passes with a probability below `miss`; small labels have few passes beside large ones.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite numbers, or whose label is null, links with
 nothing; vectors of unlike length don't link; equal vectors of a label are one class with a count,
@@ -95,13 +95,15 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, m
     if top is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     most_bits = max(0, math.ceil(math.log2(top / RUN)))
-    passes = passes_for(most_bits, least, miss)
+    passes_of = np.array([passes_for(k, least, miss) if k else 1 for k in range(most_bits + 1)])  # a label's own, by its bits; one that is one run has one pass
+    passes = int(passes_of.max())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             dims, n = b.column("dims").to_numpy().astype(np.int64), b.column("n").to_numpy()
             bits = np.array([max(0, math.ceil(math.log2(m / RUN))) for m in n.tolist()], np.int64)
+            several = passes_of[bits]
             keys, data = np.zeros((b.num_rows, passes), np.int64), [b""] * b.num_rows
             for at, x in matrix(b.column("e"), dims):
                 d = x.shape[1]
@@ -109,10 +111,11 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, seed: int = 3, m
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((passes * most_bits, d))
                 for i, v in zip(at.tolist(), packed(x)):
                     data[i] = v
-                side = (x @ planes[d].T > 0).reshape(len(at), passes, most_bits)
-                weight = np.where(np.arange(most_bits) < bits[at][:, None], 1 << np.arange(most_bits, dtype=np.int64), 0)
-                keys[at] = (side * weight[:, None, :]).sum(axis=2)
-            several = np.where(bits > 0, passes, 1)  # a label that is one run has one pass
+                for n_passes in np.unique(several[at]).tolist():
+                    mine = np.flatnonzero(several[at] == n_passes)
+                    side = (x[mine] @ planes[d][: n_passes * most_bits].T > 0).reshape(len(mine), n_passes, most_bits)
+                    weight = np.where(np.arange(most_bits) < bits[at[mine]][:, None], 1 << np.arange(most_bits, dtype=np.int64), 0)
+                    keys[at[mine], :n_passes] = (side * weight[:, None, :]).sum(axis=2)
             ends = np.append(0, np.cumsum(several)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.arange(passes) < several[:, None]]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copies"), b.column("label"), b.column("dims"), pa.array(data, pa.binary()), lists], names=["id", "copies", "label", "dims", "data", "keys"])

@@ -89,3 +89,23 @@ def test_empty_and_unusable(spark):
     assert E.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = E.near_duplicates(spark.createDataFrame([(1, None, 1), (None, [1.0], 1), (2, [1.0], None)], schema)).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 0, 1), (2, 0, 2), (None, 0, None)}
+
+
+def test_small_labels_have_few_passes(spark, monkeypatch):
+    """A label has as many passes as its own prefix needs, whatever the largest label needs, and links are those of brute force."""
+    monkeypatch.setattr(E, "RUN", 2)
+    monkeypatch.setattr(E, "PASSES", 4)
+    rng = np.random.default_rng(7)
+    rows = [(k, (rng.standard_normal(8) if k % 3 else np.ones(8) + rng.normal(0, 0.1, 8)).tolist(), 0 if k < 500 else 1 + k % 40) for k in range(700)]
+    staged, seen = E.staged, {}
+
+    def watching(df, name):
+        seen[name] = staged(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(E, "staged", watching)
+    monkeypatch.setattr(E, "discard", lambda df: None)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), miss=1e-9).collect()}
+    assert got == brute(rows)
+    n = {r.label: r.n for r in seen["vector-hashes"].selectExpr("label", "size(keys) AS n").distinct().collect()}
+    assert n["0"] > 3 * n["1"] and n["1"] == E.passes_for(2, 0.93, 1e-9)
