@@ -246,6 +246,7 @@ SQL = {
     "puzzle_solution": PUZZLE,
     "stream_demand": f"WITH {EVENTS}, {demand()} SELECT capability, \"count\", demand, {r('arrow_share', 6)} AS arrow_share, {r('coherence', 6)} AS coherence, direction_known FROM dem",
     "json_inputs": f"WITH {SIG} SELECT ord::INT AS ord, capability AS id, 'item ' || capability AS label, (SELECT string_agg(signal, ',' ORDER BY length(signal) DESC, signal) FROM sig s WHERE s.ord = caps.ord) AS signals FROM caps",
+    "json_arrays": "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1)::INT AS ord, lang AS label, md5(text) AS digest FROM documents",
     "baseline_round_trip": f"{READINGS} SELECT capability, 0.0::DOUBLE AS d_collapse_potential, 0.0::DOUBLE AS d_correction, 0.0::DOUBLE AS d_utilization, 'stable' AS verdict FROM rd",
     "script_lexer": f"WITH {SCRIPTS} SELECT 'src/part' || k || '.ts' AS path, array_to_string(list_sort(list_distinct(['makePart' || k, 'makePart' || o, 'size', 'name', 'length'])), ',') AS identifiers, array_to_string(list_sort(['makePart' || k, 'name']), ',') AS declared, './part' || o || '.js' AS imported FROM parts",
     "import_graph": f"WITH {SCRIPTS} SELECT 'src/part' || a || '.ts' AS src, 'src/part' || b || '.ts' AS dst FROM edges",

@@ -14,6 +14,7 @@ from ..operators import changes, fields, graphs, modules, proposals, puzzles, sw
 from ..operators.readings import config, evidence, ranked, readings
 from ..sources import inputs
 from ..sources import views as V
+from ..sources.json_array import split_rows
 from ..streaming import demand_stream
 from .staging import shared_dir, staged
 
@@ -261,6 +262,19 @@ def json_inputs(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.json_rows(spark, at, inputs.CAPABILITIES).select("ord", "id", "label", F.array_join("signals", ",").alias("signals"))
 
 
+def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as JSON arrays, a file for each remainder of their numbers, and read again in parts."""
+    at = f"{shared_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    docs = V.table(spark, sf, "documents").select((F.col("doc_id") % 4).alias("part"), "doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("label"), F.col("text").alias("description"))).alias("value"))
+    ends = docs.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lines = docs.join(ends, "part").select("part", "doc_id", F.concat(F.when(F.col("doc_id") == F.col("low"), F.lit("[")).otherwise(F.lit(",")), "value", F.when(F.col("doc_id") == F.col("high"), F.lit("]")).otherwise(F.lit(""))).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(at)
+    rows, other = split_rows(spark, at, inputs.CAPABILITIES)
+    if other:
+        raise ValueError(f"no arrays: {', '.join(other)}")
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "ord", "label", F.md5(F.col("description").cast("binary")).alias("digest"))
+
+
 def baseline_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Readings saved as a baseline and compared with themselves."""
     at = f"{shared_dir(spark)}/baseline-{uuid.uuid4().hex}"
@@ -306,7 +320,7 @@ QUERIES = {
             signal_match, capacity_field, part_readings, top_k, category_counts, cooccurrence, token_expand, overlap_pairs, components, cluster_signals, discover, discover_plain,
             set_overlap, bfs_hops, mean_distance, integration_label, degree, sweep_l2, sensitivity, sweep_l3, compare_verdict, module_filters,
             python_imports, test_files, stencil, puzzle_solution, wave, cube_surface, stream_demand,
-            json_inputs, baseline_round_trip, script_lexer, import_graph, symbol_graph, module_map,
+            json_inputs, json_arrays, baseline_round_trip, script_lexer, import_graph, symbol_graph, module_map,
         )
     },
 }

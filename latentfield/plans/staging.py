@@ -61,8 +61,17 @@ def discard(df: DataFrame) -> None:
 SMALL = 64 << 20
 
 
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes; for one that is read from files, what they hold."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def split_size(spark: SparkSession) -> int:
+    """The most bytes of a file that one task reads."""
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt out evenly if it has fewer files than there are cores; a larger one is left as it is, since its splits are enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if size_of(df) <= SMALL and len(df.inputFiles()) < cores else df

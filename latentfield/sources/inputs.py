@@ -1,7 +1,7 @@
 """The three JSON inputs (SRC1-2) and stored results (SRC8, SNK1-4).
 
 Each input is one array of objects in a file. A file that is missing or not such an array is an empty
-table. Order in the array is kept as ord, since it decides ties.
+table. Order in the array is kept as ord, since it decides ties. Large arrays are read in parts.
 """
 
 from __future__ import annotations
@@ -12,22 +12,42 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import size_of, split_size
+from .json_array import SPACE, split_rows, struct_type
+
 CAPABILITIES = "id string, label string, description string, signals array<string>"
 CORRECTIONS = "id string, capability string, kind string, before string, after string, weight double, at string, direction array<string>"
 USAGE = "capability string, count double"
+#: Inputs of up to so many bytes are read whole. The check of a text as JSON gives up on larger ones somewhere above this.
+WHOLE = 8 << 20
+
+
+def whole_rows(texts: DataFrame, schema: str) -> DataFrame:
+    """The rows of arrays that are one text each; further columns of texts stay before them."""
+    kept = [c for c in texts.columns if c != "value"]
+    # what isn't JSON as a whole counts as empty, not in part; a parser that stops behind the first value doesn't within brackets of both kinds
+    strict = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), "value", F.lit("}"))).isNotNull()
+    checked = texts.withColumn("value", F.when(strict & ~F.regexp_like("value", F.lit(f"^{SPACE}$")), F.col("value")))
+    parsed = F.from_json("value", f"array<{struct_type(schema)}>")
+    return checked.select(*kept, F.posexplode(parsed).alias("ord", "r")).select(*kept, "ord", "r.*")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """ord and the fields of schema, one row for each object of the array in the file."""
+    """ord and the fields of schema, one row for each object of the array in the file (or of each file in a folder).
+
+    Small inputs are read whole. Larger ones are read in parts, but for files that aren't arrays of objects: these are read whole as well,
+    which Spark's JSON check does up to some MB; beyond, such a file counts as malformed.
+    """
     try:
         whole = spark.read.text(path, wholetext=True)
     except AnalysisException:
-        whole = spark.createDataFrame([], "value string")
-    fields = ", ".join("{}: {}".format(*x.split(" ", 1)) for x in schema.split(", "))
-    # what isn't JSON as a whole counts as empty, not in part
-    whole = whole.withColumn("value", F.when(F.try_parse_json("value").isNotNull(), F.col("value")))
-    parsed = F.from_json("value", f"array<struct<{fields}>>")
-    return whole.select(F.posexplode(parsed).alias("ord", "r")).select("ord", "r.*")
+        return whole_rows(spark.createDataFrame([], "value string"), schema)
+    if size_of(whole) <= min(split_size(spark), WHOLE):
+        return whole_rows(whole, schema)
+    rows, other = split_rows(spark, path, schema)
+    if other:
+        rows = rows.drop("file").unionByName(whole_rows(spark.read.text(other, wholetext=True), schema))
+    return rows.drop("file")
 
 
 def capabilities(spark: SparkSession, folder: str) -> DataFrame:
