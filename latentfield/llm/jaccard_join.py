@@ -13,7 +13,8 @@ with a probability of 5e-8, a nearer one less).
 
 Trees aren't expanded into all pairs. Equal sets are one class. In each tree, members are first
 verified against one leader, and what is linked is united; only trees that still hold several components are
-joined, and only between components. A tree of more than CHUNK members is joined in blocks, each a task.
+joined, and only between components. A tree of more than CHUNK members is joined in blocks, each a task. A leader of many
+members meets them in parts, so no join key has many rows.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing
 and are their own component; a null doc_id gets a null component and links nothing; rows that repeat
@@ -41,6 +42,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 4
 GROUPS = 256
 CHUNK = 256
+#: So many pairs of one document meet its text or point in one place.
+PART = 512
 LEAF = 32
 
 
@@ -140,25 +143,45 @@ def signatures(docs: DataFrame) -> DataFrame:
     return in_parts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary, keys array<long>")
 
 
+def dealt_out(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) with the parts of a and b that each belongs to, part_a and part_b, and the ids that have several: side, id, parts."""
+    counts = [pairs.groupBy(F.col(k).alias("id")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1").select(F.lit(k).alias("side"), "id", "parts") for k in "ab"]
+    hot = staged(counts[0].unionByName(counts[1]), "join-hot")  # as a table of known size it is broadcast only if it is small
+    for k, other in (("a", "b"), ("b", "a")):
+        part = F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")
+        pairs = pairs.join(hot.where(F.col("side") == k).select(F.col("id").alias(k), "parts"), k, "left").withColumn(f"part_{k}", part).drop("parts")
+    return pairs, hot
+
+
+def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """a, b and, as x and y, what rows (id and `column`) holds for either.
+
+    An id with many pairs, as the leader of a large tree, isn't one key: a copy of its row goes to each of its parts.
+    """
+    pairs, hot = dealt_out(pairs)
+    for k, name in (("b", "y"), ("a", "x")):
+        many = hot.where(F.col("side") == k).select(F.col("id").alias(k), "parts")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        met = rows.select(F.col("id").alias(k), F.col(column).alias(name)).join(many, k, "left").withColumn(f"part_{k}", copies).drop("parts")
+        pairs = pairs.join(met, [k, f"part_{k}"])
+    return pairs.select("a", "b", "x", "y")
+
+
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs (a, b) whose points allow a link, by the summed minima."""
-    both = pairs.join(points.select(F.col("id").alias("a"), F.col("point").alias("p")), "a").join(points.select(F.col("id").alias("b"), F.col("point").alias("q")), "b")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for s in range(0, t.num_rows, 1024):
                 u = t.slice(s, 1024)
-                p, q = (unpacked(u.column(c).to_pylist()) for c in ("p", "q"))
+                p, q = (unpacked(u.column(c).to_pylist()) for c in ("x", "y"))
                 ok = np.minimum(p, q).sum(axis=1) >= least_overlap(p.sum(axis=1), q.sum(axis=1))
                 yield u.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return beside(pairs, points, "point").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets do link. texts (id, text) holds each text a pair may name."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for t in batches:
@@ -174,7 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok.append(linked(len(kept[k]), len(y), overlap(kept[k], y), PERCENT))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return beside(pairs, texts, "text").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,10 +211,11 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     involved = members.select("id").distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(involved, "id", "left_semi"), "join-texts")
     few = staged(points.select("id", "point", "keys").join(involved, "id", "left_semi"), "join-points")
-    to_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    to_leader = staged(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "join-to-leader")
     tried = staged(bounded(to_leader, few.select("id", "point")), "join-leaders")
     links = staged(verified(tried, texts).distinct(), "join-links")
     discard(trees)
+    discard(to_leader)
     roots = components(links, name="join")
     # what the leaders left apart: trees with several components
     placed = members.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))

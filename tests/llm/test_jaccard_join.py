@@ -3,7 +3,8 @@ from collections import Counter
 
 import numpy as np
 
-from latentfield.llm.jaccard_join import CountTree, count_vector, jaccard_join, least_overlap, representatives
+from latentfield.llm import jaccard_join as module
+from latentfield.llm.jaccard_join import CountTree, beside, count_vector, dealt_out, jaccard_join, least_overlap, representatives
 from latentfield.llm.shingles import BLOCK, pieces, shingle_set, text_words, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +100,27 @@ def test_blocks(spark, docs, monkeypatch):
     base = [f"c{k}" for k in range(60)]
     rows += [(10_000 + k, " ".join(f"x{j}" if j < k else w for j, w in enumerate(base))) for k in range(12)]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
+
+
+def test_a_leader_of_many_is_dealt_out(spark):
+    pairs = spark.range(1, 20_001).selectExpr("0L AS a", "id AS b").union(spark.range(30_000, 30_050).selectExpr("id AS a", "20000L AS b"))
+    rows = spark.range(0, 30_050).selectExpr("id", "concat('t', id) AS text")
+    placed, hot = dealt_out(pairs)
+    assert {(r.side, r.id) for r in hot.collect()} == {("a", 0)}
+    assert max(r["count"] for r in placed.groupBy("a", "part_a").count().collect()) <= 2 * module.PART
+    got = beside(pairs, rows, "text")
+    assert got.count() == pairs.count() and got.where("x <> concat('t', a) OR y <> concat('t', b)").count() == 0
+
+
+def test_near_copies_of_one_template(spark, monkeypatch):
+    """One leader for hundreds of documents, all different, some of them below the threshold; with small parts."""
+    monkeypatch.setattr(module, "PART", 8)
+    rng = np.random.default_rng(7)
+    rows = []
+    for d in range(400):
+        words = [f"w{k}" for k in range(120)]
+        for k in range(int(rng.integers(1, 5))):
+            words[int(rng.integers(0, 120))] = f"d{d}x{k}"
+        rows.append((d, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
