@@ -15,6 +15,7 @@ from latentfield.operators import changes, fields, graphs, modules, proposals, p
 from latentfield.operators.readings import config, evidence, ranked, readings
 from latentfield.operators.symbols import import_graph
 from latentfield.sources import inputs
+from latentfield.sources import views as V
 
 EVENT = "capability string, kind string, weight double, after string, direction array<string>"
 
@@ -477,3 +478,27 @@ def test_stream_equals_batch(spark, tmp_path):
     got = demand_stream.demand_so_far(spark, str(tmp_path / "sums")).orderBy("capability").collect()
     assert got == fields.demand(events(spark, *rows)).orderBy("capability").collect()
     assert k == 2
+
+
+def test_reach_is_merged_in_tiles_before_it_is_shuffled(spark, monkeypatch):
+    """Parts of a graph that are apart lie in tiles of their own; small tiles and short rows of neighbours give the same hops."""
+    links = [(c * 100 + a, c * 100 + b) for c in range(3) for a in range(12) for b in range(12) if a != b and 0 < min((a - b) % 12, (b - a) % 12) <= 3]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    lists, places = graphs.tiled(edges)
+    assert len({(r.node // 100, r["at"]) for r in places.collect()}) == places.select("at").distinct().count() == 3
+    assert lists.count() == places.count() == 36
+    sources = edges.select(F.col("src").alias("source")).distinct()
+    want = sorted((c * 100 + a, c * 100 + b, (min((a - b) % 12, (b - a) % 12) + 2) // 3) for c in range(3) for a in range(12) for b in range(12))
+    for tile, chunk in ((graphs.TILE, graphs.CHUNK), (7, 2)):
+        monkeypatch.setattr(graphs, "TILE", tile)
+        monkeypatch.setattr(graphs, "CHUNK", chunk)
+        assert sorted(map(tuple, graphs.hops(edges, sources).collect())) == want
+
+
+def test_supplier_links_are_merged_before_they_are_shuffled(spark, tmp_path):
+    """What is shuffled of pairs that many orders repeat is one row for 64 suppliers, not one a pair."""
+    rows = [(o, s) for o in range(3000) for s in ((o % 5), (o % 5) + 1, (o % 5) + 2)]
+    spark.createDataFrame([*rows, (1, None), (None, 3)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = V.supplier_links(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(a, b) for a in range(7) for b in range(7) if a != b and abs(a - b) <= 2}
+    assert "bit_or" in df._jdf.queryExecution().toString() and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
