@@ -88,3 +88,21 @@ def test_parts_are_tasks(spark, tmp_path, splits):
     from latentfield.sources.json_array import pieces
 
     assert pieces(spark, str(path)).rdd.getNumPartitions() >= 16
+
+
+def test_arrays_are_one_file_each_however_the_join_is_planned(spark, tmp_path):
+    """A join that is planned as a shuffle and turned into a broadcast while it runs leaves no array in pieces."""
+    from latentfield.plans.queries import json_arrays
+
+    rows = [(k, "en", f"text {k} }}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(x, None) for x in names]
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], str(10 << 20))
+        found = sorted((r.doc_id, r.ord) for r in json_arrays(spark, str(tmp_path)).collect())
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert found == [(k, k // 4) for k in range(400)]
