@@ -122,8 +122,7 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_expand(spark: SparkSession, sf: str) -> DataFrame:
     words = staged(proposals.event_words(V.turns(spark, sf, "user")), "words")
-    wide = proposals.expanded(words, 3).groupBy("ord").agg(F.count("*").alias("n_expanded"))
-    return words.groupBy("ord").agg(F.count("*").alias("n_words")).join(wide, "ord")
+    return words.groupBy("ord").agg(F.count("*").alias("n_words")).join(proposals.expanded_sizes(words, 3), "ord")
 
 
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,7 +287,7 @@ def script_files(spark: SparkSession, sf: str) -> DataFrame:
     """A script for each part: it imports another part's, and its function calls that one's."""
     other = (F.col("p_partkey") * 7 + 3) % 100
     text = F.format_string("// part %1$d\nimport { makePart%2$d } from './part%2$d.js';\nexport function makePart%1$d(size: number) {\n  const name = `${size} of %3$s`;\n  return makePart%2$d(name.length);\n}\n", "p_partkey", other, "p_type")
-    return V.table(spark, sf, "part").select(F.format_string("src/part%d.ts", "p_partkey").alias("path"), F.lit(".ts").alias("ext"), text.alias("text"))
+    return V.parts(spark, sf).select(F.format_string("src/part%d.ts", "p_partkey").alias("path"), F.lit(".ts").alias("ext"), text.alias("text"))
 
 
 def script_lexer(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,7 +307,7 @@ def module_map(spark: SparkSession, sf: str) -> DataFrame:
     """Modules that import one of ten others, and define as many functions as their size in tens."""
     defs = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("p_size") / 10).cast("int")), lambda i: F.concat(F.lit("def f"), i.cast("string"), F.lit("(): pass"))), "\n")
     head = F.format_string("from .m%d import x\nimport pkg.m%d\n", F.col("p_partkey") % 10, F.col("p_partkey") % 3)
-    files = V.table(spark, sf, "part").select(F.format_string("pkg/m%d.py", "p_partkey").alias("path"), F.lit(".py").alias("ext"), F.concat(head, defs).alias("text"))
+    files = V.parts(spark, sf).select(F.format_string("pkg/m%d.py", "p_partkey").alias("path"), F.lit(".py").alias("ext"), F.concat(head, defs).alias("text"))
     return modules.roles(modules.module_map(lexers.lexed(files))).select("module", "n_defs", "in_degree", "out_degree", "is_foundation", "is_surface", "is_rich", "is_isolated")
 
 
