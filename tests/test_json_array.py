@@ -96,11 +96,12 @@ def test_arrays_are_one_file_each_however_the_join_is_planned(spark, tmp_path):
 
     rows = [(k, "en", f"text {k} }}") for k in range(400)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
     before = [spark.conf.get(x, None) for x in names]
     try:
         spark.conf.set(names[0], "-1")
         spark.conf.set(names[1], str(10 << 20))
+        spark.conf.set(names[2], "false")
         found = sorted((r.doc_id, r.ord) for r in json_arrays(spark, str(tmp_path)).collect())
     finally:
         for name, value in zip(names, before):

@@ -502,3 +502,26 @@ def test_supplier_links_are_merged_before_they_are_shuffled(spark, tmp_path):
     df = V.supplier_links(spark, str(tmp_path))
     assert {tuple(r) for r in df.collect()} == {(a, b) for a in range(7) for b in range(7) if a != b and abs(a - b) <= 2}
     assert "bit_or" in df._jdf.queryExecution().toString() and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_are_dealt_out_before_they_are_lexed(spark, tmp_path):
+    from latentfield.plans.queries import script_files
+
+    spark.range(60).selectExpr("id AS p_partkey", "'x' AS p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert lexers.lexed(script_files(spark, str(tmp_path))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_script_is_scanned_once(monkeypatch):
+    scans, scan = [], lexers.script_scan
+    monkeypatch.setattr(lexers, "script_scan", lambda text: scans.append(text) or scan(text))
+    text = "import a from './b.js';\nconst c = a(1);\n"
+    assert lexers.findings(text, ".ts") == (["a", "c"], [], [("./b.js", 0)], [("c", ["a", "c"])]) and len(scans) == 1
+    for other, ext in ((text, ".rb"), ("from .m import x\ndef f(): pass\n", ".py"), (" \n", ".py"), ("", ".ts"), ("def (:", ".py")):
+        assert lexers.findings(other, ext)[:3] == (lexers.identifiers(other, ext), lexers.definitions(other, ext), lexers.imports(other, ext))
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_sizes_of_expanded_events(spark, least):
+    words = spark.createDataFrame([(k, f"w{(k * 7 + j * j) % 23}") for k in range(40) for j in range(5)], "ord long, token string").distinct()
+    want = sorted((r.ord, r["count"]) for r in proposals.expanded(words, least).groupBy("ord").count().collect())
+    assert sorted(map(tuple, proposals.expanded_sizes(words, least).select("ord", "n_expanded").collect())) == want
