@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.lexers import import_specs
+from ..plans.staging import staged
 
 #: FLT8: paths of tests.
 TEST_FOLDER, TEST_NAMES = r"(^|[\\/])tests?[\\/]", (r"^test_", r"_test\.\w+$", r"^conftest\.")
@@ -32,8 +33,8 @@ def imported(files: DataFrame) -> DataFrame:
 
 def module_map(files: DataFrame) -> DataFrame:
     """path, module, n_defs, defs, in_degree, out_degree of every module that isn't a test and has any of them (FLT9). files: path, text, definitions."""
-    code = files.where(~is_test(F.col("path")))
-    links = imported(code)
+    code = staged(files.where(~is_test(F.col("path"))).select("path", "text", "definitions"), "modules")  # read many times, lexed once
+    links = staged(imported(code), "module-links")
     out = links.groupBy("path").agg(F.count("*").alias("out_degree"))
     into = links.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("in_degree"))
     return (
