@@ -598,3 +598,24 @@ def test_sizes_of_expanded_events(spark, least):
     words = spark.createDataFrame([(k, f"w{(k * 7 + j * j) % 23}") for k in range(40) for j in range(5)], "ord long, token string").distinct()
     want = sorted((r.ord, r["count"]) for r in proposals.expanded(words, least).groupBy("ord").count().collect())
     assert sorted(map(tuple, proposals.expanded_sizes(words, least).select("ord", "n_expanded").collect())) == want
+
+
+def test_what_is_blanked_is_tried_only_where_its_mark_stands(spark):
+    texts = ["plain words here", 'a "b \\" c" d', "x 'y' `z` /* k */ // m\nn # o", "/*'*/' / / it's", "a/*b", "/\"*\"* c */ d", "q /'/'/ r", "#'\n' s 't", "", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string")
+    plain = F.col("text")
+    for pattern in lexers.STRIPPED:
+        plain = F.regexp_replace(plain, pattern, " ")
+    assert all(r.a == r.b for r in rows.select(lexers.stripped(F.col("text")).alias("a"), plain.alias("b")).collect())
+    assert "regexp_replace(regexp_replace(" not in rows.select(lexers.stripped(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_become_tokens_in_generated_code(spark):
+    names = ["labels", "class_", "Boss", "glass", "bus", "ownerIds", "HTTPServer2x", "_", "$", "A", "a", "X9s", "parts_parts"]
+    files = spark.createDataFrame([(n, n) for n in names], "path string, text string")
+    tokens = lexers.match_tokens(files, F.array("text"))
+    want = files.select("path", F.explode(S.identifier_tokens(F.col("text"))).alias("t")).select("path", "t.space", "t.token").distinct()
+    assert sorted(map(tuple, tokens.distinct().collect())) == sorted(map(tuple, want.collect()))
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    made = plan.split("Generate explode(coalesce(", 1)[1].split("\n")[0]
+    assert "lambda" not in made and plan.count("RLIKE") == 1  # split once, and words not at all
