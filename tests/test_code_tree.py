@@ -90,5 +90,24 @@ def test_a_flat_folder_is_dealt_out(tmp_path):
     assert any(r == [(str(tmp_path), "f03000.py", "f03000.py")] for r in (p.runs for p in parts))
 
 
+def test_tasks_do_not_list_a_folder_again(tmp_path, monkeypatch):
+    """Each of the many parts of a flat folder knows its own files, so the folder is listed once, by the driver."""
+    names = [f"f{k:05d}.py" for k in range(3000)] + ["ä ö.py"]
+    write(str(tmp_path), names)
+    open(os.fsencode(tmp_path) + b"/\xff.py", "wb").close()  # no text
+    reader = C.CodeTreeReader(str(tmp_path), C.EXTENSIONS)
+    parts = reader.partitions()
+    assert len(parts) >= 64
+
+    def no_list(*_):
+        raise AssertionError("a folder was listed by a task")
+
+    with monkeypatch.context() as m:
+        m.setattr(os, "listdir", no_list)
+        m.setattr(os, "scandir", no_list)
+        m.setattr(os, "walk", no_list)
+        assert sorted(p for part in parts for p, _, _ in reader.read(part)) == sorted([*names, "\udcff.py"])
+
+
 def test_no_tree(spark, tmp_path):
     assert C.code_files(spark, str(tmp_path / "none")).count() == 0

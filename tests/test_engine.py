@@ -2,7 +2,8 @@
 
 import pytest
 
-from latentfield.plans import pipelines
+from latentfield.plans import pipelines, samples
+from latentfield.sources import inputs as json_inputs
 from tests import fixtures
 
 
@@ -149,3 +150,20 @@ def test_plans_match_by_equality(spark, sf):
     found = fields.matches(views.capabilities(spark, sf), views.tokens(spark, sf))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_inputs_are_not_written_as_one_row(spark, tmp_path):
+    """Order, nulls and repeated rows of an input stay, and its array is written a record a line."""
+    rows = spark.createDataFrame([(3, "c", None), (1, "a", 1.0), (2, "b ]}", 2.0), (3, "c", None)], "ord int, capability string, count double")
+    samples.write_json(rows, "usage", str(tmp_path))
+    assert [tuple(r) for r in json_inputs.usage(spark, str(tmp_path)).orderBy("ord").collect()] == [(0, "a", 1.0), (1, "b ]}", 2.0), (2, "c", None), (3, "c", None)]
+    assert spark.read.text(f"{tmp_path}/usage.json").count() == 4
+    assert [f.endswith(".txt") for f in spark.read.text(f"{tmp_path}/usage.json").inputFiles()] == [True]
+    samples.write_json(rows.limit(0), "corrections", str(tmp_path))
+    assert json_inputs.corrections(spark, str(tmp_path)).isEmpty()
+    assert spark.read.text(f"{tmp_path}/corrections.json").first().value == "[]"
+
+
+def test_texts_are_staged_only_for_the_map(spark, inputs):
+    assert "text" not in pipelines.lexed_tree(spark, inputs[0]).columns
+    assert "text" in pipelines.lexed_tree(spark, inputs[0], texts=True).columns
