@@ -3,7 +3,9 @@
 import math
 import posixpath
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -619,3 +621,38 @@ def test_words_become_tokens_in_generated_code(spark):
     plan = tokens._jdf.queryExecution().executedPlan().toString()
     made = plan.split("Generate explode(coalesce(", 1)[1].split("\n")[0]
     assert "lambda" not in made and plan.count("RLIKE") == 1  # split once, and words not at all
+
+
+def test_reach_is_merged_word_by_word():
+    """What neighbours hold is united as tables of words or word by word, in pieces of any size, alike and as a loop does it; names may be numbers or texts."""
+    rng = random.Random(2)
+    for name in (int, str):
+        held = {name(u): {rng.randrange(20) * 3: rng.getrandbits(64) - (1 << 63) for _ in range(rng.randrange(1, 9))} for u in range(0, 60, 2)}
+        sent = pa.table({"node": list(held), "blocks": [list(x) for x in held.values()], "words": [list(x.values()) for x in held.values()]})
+        rows = [(rng.randrange(3), name(v), [name(u) for u in rng.sample(range(70), rng.randrange(1, 12))]) for v in range(50)]
+        want = {}
+        for _, v, near in rows:
+            for u in near:
+                for block, word in held.get(u, {}).items():
+                    want[v, block] = want.get((v, block), 0) | word
+        lists = pa.table(dict(zip(("at", "src", "dsts"), zip(*rows))))
+        for merged, filled in ((1 << 18, 8), (16, 8), (16, 0), (16, 1 << 40)):
+            got = {}
+            for r in graphs.uniting(merged, filled)(sent, lists).to_pylist():
+                got[r["node"], r["block"]] = got.get((r["node"], r["block"]), 0) | r["got"]
+            assert got == {k: w for k, w in want.items() if w}
+        assert graphs.uniting(16, 8)(sent.slice(0, 0), lists).num_rows == graphs.uniting(16, 8)(sent, lists.slice(0, 0)).num_rows == 0
+
+
+def test_hops_of_a_connected_graph_end_with_its_last_pair(spark, monkeypatch):
+    """Nothing is asked of a graph once all pairs are found; small tasks, which get their blocks in parts, give the same."""
+    edges = graphs.undirected(spark.createDataFrame([(a, (a + k) % 90) for a in range(90) for k in range(1, 24)], "src long, dst long"))
+    sources = spark.createDataFrame([(k,) for k in [*range(90), 999]], "source long")
+    want = sorted([(a, b, -(-min((a - b) % 90, (b - a) % 90) // 23)) for a in range(90) for b in range(90)] + [(999, 999, 0)])
+    for words in (graphs.WORDS, 40):
+        monkeypatch.setattr(graphs, "WORDS", words)
+        rounds, write = [], graphs.staged
+        monkeypatch.setattr(graphs, "staged", lambda df, name: rounds.append(name) or write(df, name))
+        assert sorted(map(tuple, graphs.hops(edges, sources).collect())) == want
+        monkeypatch.setattr(graphs, "staged", write)
+        assert [x for x in rounds if re.fullmatch(r"hops-\d", x)] == ["hops-0", "hops-1", "hops-2"]
