@@ -656,3 +656,17 @@ def test_hops_of_a_connected_graph_end_with_its_last_pair(spark, monkeypatch):
         assert sorted(map(tuple, graphs.hops(edges, sources).collect())) == want
         monkeypatch.setattr(graphs, "staged", write)
         assert [x for x in rounds if re.fullmatch(r"hops-\d", x)] == ["hops-0", "hops-1", "hops-2"]
+
+
+def test_mean_distance_of_a_connected_graph_ends_with_its_last_pair(spark, monkeypatch):
+    """No round follows the one that finds the last pair, also if blocks are dealt to several tasks; a node without an edge is at distance 1."""
+    edges = graphs.undirected(spark.createDataFrame([(a, (a + k) % 130) for a in range(130) for k in range(1, 33)], "src int, dst int"))
+    members = spark.createDataFrame([(k % 2, k) for k in range(130)] + [(2, 0), (2, 500)], "owner int, node int")
+    near = {o: [-(-min(b - a, 130 - b + a) // 32) for a in range(o, 130, 2) for b in range(a + 2, 130, 2)] for o in (0, 1)}
+    want = {o: sum(h / (h + 2) for h in d) / len(d) for o, d in near.items()} | {2: 1.0}
+    monkeypatch.setattr(graphs, "WORDS", 100)
+    rounds, write = [], graphs.staged
+    monkeypatch.setattr(graphs, "staged", lambda df, name: rounds.append(name) or write(df, name))
+    got = {r.owner: r.distance for r in graphs.mean_distances(members, edges).collect()}
+    assert got.keys() == want.keys() and all(abs(got[o] - d) < 1e-9 for o, d in want.items())
+    assert "hops-3" in rounds and "hops-4" not in rounds
