@@ -16,6 +16,7 @@ from latentfield.functions import scalars as S
 from latentfield.operators import changes, fields, graphs, modules, proposals, puzzles, sweeps
 from latentfield.operators.readings import config, evidence, ranked, readings
 from latentfield.operators.symbols import import_graph
+from latentfield.plans import queries
 from latentfield.sources import inputs
 from latentfield.sources import views as V
 
@@ -670,3 +671,13 @@ def test_mean_distance_of_a_connected_graph_ends_with_its_last_pair(spark, monke
     got = {r.owner: r.distance for r in graphs.mean_distances(members, edges).collect()}
     assert got.keys() == want.keys() and all(abs(got[o] - d) < 1e-9 for o, d in want.items())
     assert "hops-3" in rounds and "hops-4" not in rounds
+
+
+def test_integration_label_of_suppliers_that_all_share_an_order(spark, tmp_path, monkeypatch):
+    """One round finds all pairs, so none follows; the label is that of a distance of a third."""
+    spark.createDataFrame([(k, k % 3) for k in range(100)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, k) for k in range(100)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rounds, write = [], graphs.staged
+    monkeypatch.setattr(graphs, "staged", lambda df, name: rounds.append(name) or write(df, name))
+    assert sorted(map(tuple, queries.integration_label(spark, str(tmp_path)).collect())) == [(k, "RIPE") for k in range(3)]
+    assert "hops-1" in rounds and "hops-2" not in rounds
