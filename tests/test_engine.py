@@ -44,6 +44,17 @@ def test_discover(spark, inputs):
     assert [r.rank for r in sorted(got.values(), key=lambda r: -r.score)] == [1, 2, 3, 4]
 
 
+def test_discover_sends_no_table_of_events_through_the_driver(spark, inputs, monkeypatch):
+    """Events meet their clusters once, by merging, however small the planner takes a few of their columns to be; what is returned reads no table of all events besides."""
+    plans, write = {}, pipelines.staged
+    monkeypatch.setattr(pipelines, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    full = pipelines.discover(spark, *inputs)
+    assert "SortMergeJoin" in plans["relabelled"] and "BroadcastHashJoin" not in plans["relabelled"]
+    files = full.inputFiles()
+    assert any("/relabelled-" in f for f in files) and not any("/events-" in f or "/members-" in f for f in files)
+    assert sorted(len(r.member_ids) for r in full.collect()) == [1, 2, 4, 4]
+
+
 def test_reflect(spark, inputs):
     two = {r.capability: r for r in pipelines.reflect(spark, *inputs).collect()}
     knobs = ("c_half", "k_half", "u_half", "unknown_util_prior", "hi", "lo")
